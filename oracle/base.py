@@ -88,7 +88,8 @@ in_history AS (
   FROM profile p JOIN unit_base u USING (unit_id, domain) JOIN breaches b USING (pid, domain)
   WHERE p.base_n >= 4 AND p.n_3 > 0
 ), devs AS (
-  SELECT pid, unit_id, domain, round(round(zs, 10), 4) AS z_self, round(round(zu, 10), 4) AS z_unit,
+  SELECT pid, unit_id, domain, round(zs::DECIMAL(28,10), 4)::DOUBLE AS z_self,
+         round(zu::DECIMAL(28,10), 4)::DOUBLE AS z_unit,
          CASE WHEN round(zs, 9) >= 0 THEN 'elevated' ELSE 'reduced' END AS direction,
          (CASE WHEN round(abs((mean_3 - base_mean) / base_stdev), 9) >= 1 THEN 1 ELSE 0 END
           + CASE WHEN round(abs((coalesce(mean_7, 0) - base_mean) / base_stdev), 9) >= 1 THEN 1 ELSE 0 END
@@ -106,8 +107,17 @@ in_history AS (
   JOIN cohort USING (unit_id) GROUP BY unit_id, domain, cohort_size
 )"""
 
+def rd(expr: str, digits: int) -> str:
+    """Decimal half-up rounding: binary ``round`` misses ties such as 1.035."""
+    return f"round(({expr})::DECIMAL(28,10), {digits})::DOUBLE"
+
+
+def sg(expr: str, digits: int) -> str:
+    return f"printf('%+.{digits}f', {rd(expr, digits)})"
+
+
 def f(expr: str, digits: int) -> str:
-    return f"printf('%.{digits}f', round(round(({expr})::DOUBLE, 10), {digits}))"
+    return f"printf('%.{digits}f', {rd(expr, digits)})"
 
 
 def pct(expr: str) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from oracle.base import f, pct, run, screened, short
+from oracle.base import f, pct, rd, run, screened, sg, short
 
 SQL: dict[str, str] = {}
 
@@ -154,9 +154,9 @@ def _mean(d: str, w: int) -> str:
 
 SQL["feature_matrix"] = screened(
     "SELECT pid, unit_id, "
-    + ", ".join([f"round(round({_mean(d, w)}, 10), 6)::DOUBLE AS {d}_mean_{w}d"
+    + ", ".join([f"{rd(_mean(d, w), 6)} AS {d}_mean_{w}d"
                  for d in _DOMAINS for w in _WINDOWS]
-                + [f"round(round({_mean(d, 3)} - {_mean(d, 20)}, 10), 6)::DOUBLE AS {d}_slope"
+                + [f"{rd(_mean(d, 3) + ' - ' + _mean(d, 20), 6)} AS {d}_slope"
                    for d in _DOMAINS])
     + " FROM profile GROUP BY pid, unit_id")
 
@@ -219,7 +219,8 @@ WITH signals AS (
   FROM profile p JOIN unit_base USING (unit_id, domain) JOIN breaches b USING (pid, domain)
   WHERE base_n >= 10 AND n_7 > 0
 ), devs AS (
-  SELECT pid, unit_id, domain, round(round(zs, 10), 4) AS z_self, round(round(zu, 10), 4) AS z_unit,
+  SELECT pid, unit_id, domain, round(zs::DECIMAL(28,10), 4)::DOUBLE AS z_self,
+         round(zu::DECIMAL(28,10), 4)::DOUBLE AS z_unit,
     CASE WHEN round(zs, 9) >= 0 THEN 'elevated' ELSE 'reduced' END AS direction,
     ((round(abs(zs), 9) >= 2)::INT
      + (round(abs((coalesce(mean_30, 0) - base_mean) / base_stdev), 9) >= 2)::INT
@@ -434,12 +435,12 @@ FROM case_facts f LEFT JOIN ranked r USING (pid) GROUP BY f.pid""", f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY pid ORDER BY abs(z_self) DESC, domain) AS pos,
     {_PROSE} || ' is ' || CASE direction WHEN 'elevated' THEN 'well above' ELSE 'well below' END
-      || ' their own 20-day baseline (z=' || printf('%+.1f', round(z_self, 1))
+      || ' their own 20-day baseline (z=' || {sg("z_self", 1)}
       || CASE WHEN windows_breached > 0 THEN ', sustained across ' || windows_breached
            || ' of the three scoring windows' ELSE '' END || ')' AS line,
     domain || '|' || CASE WHEN abs(z_self) >= 1 THEN 'supports' ELSE 'insufficient' END
-      || '|z_self=' || printf('%+.2f', round(z_self, 2)) || ', z_unit='
-      || printf('%+.2f', round(z_unit, 2)) || ', tier ' || tier AS stance
+      || '|z_self=' || {sg("z_self", 2)} || ', z_unit='
+      || {sg("z_unit", 2)} || ', tier ' || tier AS stance
   FROM cons
 )""")
 

@@ -1,7 +1,7 @@
 """All SQL twins."""
 
-from oracle import screening
+from oracle import modelling, screening
 
 SQL: dict[str, str] = {}
-for part in (screening,):
+for part in (screening, modelling):
     SQL.update(part.SQL)

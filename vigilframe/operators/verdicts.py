@@ -28,9 +28,15 @@ def acute_items(instrument: Column, items: Column, cfg: Config) -> Column:
         F.try_element_at(items, name), F.lit(0)) > cfg.acute_minimum)
 
 
-def decide(cases: DataFrame, cfg: Config, frozen: Column | bool = False) -> DataFrame:
-    """Evaluate the gates and add decision, reason, recommendation and counterfactuals."""
-    out = counterfactuals(evaluate(cases, cfg), cfg)
+def decide(cases: DataFrame, cfg: Config, frozen: Column | bool = False,
+           detail: bool = True) -> DataFrame:
+    """Evaluate the gates and add decision, reason and recommendation.
+
+    ``detail`` also adds ``mind_change``, the counterfactual of every failed gate.
+    """
+    out = evaluate(cases, cfg)
+    if detail:
+        out = counterfactuals(out, cfg)
     freeze = frozen if isinstance(frozen, Column) else F.lit(bool(frozen))
     override = (F.size("acute_items") > 0) | F.col("clinician_concern")
     no_basis = F.size("consented") == 0
@@ -58,10 +64,12 @@ def decide(cases: DataFrame, cfg: Config, frozen: Column | bool = False) -> Data
         .when(F.col("decision") == "ESCALATE", F.col("matched"))
         .otherwise(strings(())))
     out = out.withColumns({"decision": decision, "reason": reason, "override": override})
+    last = {} if not detail else {
+        "mind_change": F.when(F.col("override"), F.filter("mind_change", lambda m: F.lit(False)))
+        .otherwise(F.col("mind_change"))}
     return out.withColumns({
+        **last,
         "recommended": recommended,
-        "mind_change": F.when(F.col("override"), F.filter("mind_change", lambda m: F.lit(False)))
-        .otherwise(F.col("mind_change")),
         "named": F.col("decision").isin(*NAMED),
         "config_version": F.lit(cfg.version),
     })

@@ -37,7 +37,8 @@ def nightly(signals: DataFrame, consent: DataFrame, as_of: date, cfg: Config, *,
             shortfall: DataFrame | None = None, calendar: DataFrame | None = None,
             capacity: DataFrame | None = None, risk: DataFrame | None = None,
             active: DataFrame | None = None, suppressed: DataFrame | None = None,
-            frozen: Column | bool = False, keep: bool = True) -> Night:
+            frozen: Column | bool = False, keep: bool = True,
+            detail: bool = True) -> Night:
     """Protect, collapse, screen, assemble and decide.
 
     ``keep=True`` writes the profile and the deviations to the shared checkpoint folder, because
@@ -53,7 +54,8 @@ def nightly(signals: DataFrame, consent: DataFrame, as_of: date, cfg: Config, *,
     context = case_ops.with_unit_context(devs, fractions, calendar)
     cases = case_ops.build_cases(context, consent, capacity=capacity, risk=risk, active=active,
                                  suppressed=suppressed)
-    return Night(daily, profile, devs, fractions, cases, decide(cases, cfg, frozen), consent)
+    return Night(daily, profile, devs, fractions, cases, decide(cases, cfg, frozen, detail),
+                 consent)
 
 
 def all_cases(night: Night) -> DataFrame:

@@ -37,9 +37,9 @@ def deviations_of(spark, folder):
     return deviation.deviations(profile, CFG)
 
 
-def night_of(spark, folder, **extra):
+def night_of(spark, folder, detail=False):
     return nightly(T.event_signals(spark, folder), T.consent_states(spark, folder), AS_OF, CFG,
-                   **extra)
+                   detail=detail)
 
 
 # --------------------------------------------------------------------- raw extracts ---
@@ -353,7 +353,8 @@ def verdicts(spark, folder):
 @QUERIES.query
 def counterfactuals(spark, folder):
     """What would have changed each refusal, in the order it is reported."""
-    rows = night_of(spark, folder).verdicts.select("pid", F.posexplode("mind_change"))
+    rows = night_of(spark, folder, detail=True).verdicts.select(
+        "pid", F.posexplode("mind_change"))
     return rows.select(
         "pid", F.col("pos").cast("bigint").alias("position"), F.col("col.gate").alias("gate"),
         r9("col.current", "current"), F.col("col.required").alias("required"),
@@ -386,7 +387,7 @@ def verdicts_with_calendars(spark, folder):
         (F.max("unit_fraction") < 0.4).alias("capacity"))
     context = case_ops.with_unit_context(night.deviations, night.fractions, calendar)
     cases = case_ops.build_cases(context, night.consent, capacity=capacity, active=active)
-    return decide(cases, CFG).select(
+    return decide(cases, CFG, detail=False).select(
         "pid", "decision", r9("consistency"), r9("actionability"), "capacity", "confounders",
         F.coalesce("duplicate", F.lit("")).alias("duplicate"))
 
@@ -514,7 +515,7 @@ def own_reasons(spark, folder):
 @QUERIES.query
 def case_payload(spark, folder):
     """Nested case documents, hashed so that one comparison covers every field."""
-    out = views.case_payload(night_of(spark, folder).verdicts)
+    out = views.case_payload(night_of(spark, folder, detail=True).verdicts)
     return out.select("pid", F.get_json_object("payload", "$.decision").alias("decision"),
                       F.get_json_object("payload", "$.reason").alias("reason"),
                       F.get_json_object("payload", "$.gates[0].name").alias("first_gate"),
