@@ -1,7 +1,7 @@
 """All SQL twins."""
 
-from oracle import modelling, screening
+from oracle import disclosure, modelling, screening
 
 SQL: dict[str, str] = {}
-for part in (screening, modelling):
+for part in (screening, modelling, disclosure):
     SQL.update(part.SQL)
