@@ -1,7 +1,7 @@
 """All SQL twins."""
 
-from oracle import disclosure, modelling, screening
+from oracle import disclosure, feedback, intraday, modelling, screening
 
 SQL: dict[str, str] = {}
-for part in (screening, modelling, disclosure):
+for part in (screening, modelling, disclosure, feedback, intraday):
     SQL.update(part.SQL)
