@@ -1,7 +1,7 @@
 """All SQL twins."""
 
-from oracle import disclosure, feedback, intraday, modelling, screening
+from oracle import disclosure, feedback, intraday, modelling, screening, voice
 
 SQL: dict[str, str] = {}
-for part in (screening, modelling, disclosure, feedback, intraday):
+for part in (screening, modelling, disclosure, feedback, intraday, voice):
     SQL.update(part.SQL)

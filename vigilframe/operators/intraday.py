@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilframe.config import Config
 from vigilframe.functions.scalar import settled, strings
 from vigilframe.operators.verdicts import acute_items, decide
+from vigilframe.session import materialised
 
 SELF_REPORT = "self_report"
 ROUTE = "mental_health_authority"
@@ -99,5 +100,10 @@ def fold(cases: DataFrame, folded: DataFrame, fractions: DataFrame, cfg: Config)
 
 def redecide(cases: DataFrame, scored: DataFrame, fractions: DataFrame, cfg: Config,
              frozen: Column | bool = False) -> DataFrame:
-    """The verdict after the day's submissions, by the same gates as the night."""
-    return decide(fold(cases, latest_per_person(scored), fractions, cfg), cfg, frozen, detail=False)
+    """The verdict after the day's submissions, by the same gates as the night.
+
+    The folded rows are written first: every gate reads them, and a filter on the verdict would
+    otherwise be pushed down with a copy of the fold inside each of its terms.
+    """
+    folded = materialised(fold(cases, latest_per_person(scored), fractions, cfg), "folded")
+    return decide(folded, cfg, frozen, detail=False)
