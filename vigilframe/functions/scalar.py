@@ -21,7 +21,8 @@ def lookup(mapping: Mapping, key: Column, default: Column | None = None) -> Colu
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """NULL stays NULL: ``least`` and ``greatest`` alone would turn an absent value into a bound."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def z_score(value: Column, mean: Column, stdev: Column) -> Column:
