@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from oracle.base import f, pct, rd, run, screened, sg, short
+from oracle.base import CONTEXT, GATES, SCREEN, f, pct, rd, run, screened, sg, short
 
 SQL: dict[str, str] = {}
 
@@ -614,3 +614,38 @@ SELECT CASE decision WHEN 'ESCALATE' THEN 'MONITOR' ELSE decision END AS decisio
     || 'frozen to MONITOR-only for this run' AS freeze_reason, count(*) AS n
 FROM verdicts GROUP BY ALL""")
 
+
+SQL["verdicts_with_calendars"] = "WITH " + SCREEN + ",\n" + CONTEXT.split("), hits AS")[0].replace(
+    "true AS capacity", "max(calm::INT) = 1 AS capacity").replace(
+    "FROM case_devs GROUP BY", "FROM case_devs JOIN (SELECT unit_id, max(unit_fraction) < 0.4 AS calm "
+    "FROM fractions GROUP BY unit_id) USING (unit_id) GROUP BY") + """
+), entries AS (
+  SELECT DISTINCT o_custkey::VARCHAR AS pid,
+    CASE o_orderstatus WHEN 'F' THEN 'leave' ELSE 'training' END AS domain,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'planned_leave_cycle'
+      WHEN '2-HIGH' THEN 'scheduled_training' ELSE 'seasonal_roster' END AS rule
+  FROM orders WHERE floor(o_totalprice / 50000) >= 5
+), hits AS (
+  SELECT pid, domain, 'unit_op_tempo' AS rule, 0.70::DOUBLE AS mass FROM case_devs
+  WHERE round(unit_fraction, 9) >= 0.40
+  UNION ALL
+  SELECT d.pid, d.domain, e.rule, CASE e.rule WHEN 'planned_leave_cycle' THEN 0.60
+    WHEN 'scheduled_training' THEN 0.50 ELSE 0.45 END FROM case_devs d JOIN entries e
+    USING (pid, domain)
+), acute AS (SELECT NULL::VARCHAR AS pid, NULL::VARCHAR AS items WHERE false
+), resting AS (
+  SELECT o_custkey::VARCHAR AS pid FROM orders GROUP BY ALL HAVING max(o_totalprice) > 480000
+),
+""" + GATES.replace("{persistence}", "0.20").split(", verdicts AS (")[0] + """
+, final AS (
+  SELECT g.*, list_contains(string_split(matched, ','), 'WLF-REST') AND r.pid IS NOT NULL AS dup,
+    CASE WHEN dup THEN 0 ELSE actionability END AS act
+  FROM gates g LEFT JOIN resting r USING (pid)
+)
+SELECT pid, CASE WHEN n_consented = 0 OR round(act, 9) < 0.5 THEN 'NO_FLAG'
+    WHEN NOT persistence_passed OR NOT evidence_passed OR NOT consistency_passed THEN 'MONITOR'
+    ELSE 'ESCALATE' END AS decision,
+  round(consistency, 9) AS consistency, round(act, 9)::DOUBLE AS actionability, capacity,
+  coalesce((SELECT string_agg(DISTINCT rule, ',' ORDER BY rule) FROM hits h WHERE h.pid = f.pid), '')
+    AS confounders, CASE WHEN dup THEN 'WLF-REST' ELSE '' END AS duplicate
+FROM final f"""

@@ -83,6 +83,15 @@ def contains_any(text: Column, needles: Iterable[str]) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times, also inside lambdas of ``body``.
+
+    Lambda bodies have no common-subexpression elimination: an expression named in one is computed
+    again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hmac_sha256(secret: str, message: Column) -> Column:
     """HMAC-SHA256 in hex, composed from ``sha2`` so that it stays inside code generation."""
     key = secret.encode()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import DOMAIN_PROSE, PLAYBOOK, PRECEDENTS, REVIEWERS, Config
-from vigilframe.functions.scalar import fixed, lookup, percent, signed, strings
+from vigilframe.functions.scalar import fixed, let, lookup, percent, signed, strings
 from vigilframe.operators.cases import consented
 from vigilframe.operators.gates import detect
 from vigilframe.operators.verdicts import decide
@@ -156,7 +156,10 @@ def precedents(cases: DataFrame) -> DataFrame:
 
 
 def welfare_context_finding(cfg: Config) -> Column:
-    matched = ranked_precedents()
+    return let(ranked_precedents(), _welfare_story)
+
+
+def _welfare_story(matched: Column) -> Column:
     lines = F.transform(matched, lambda p: F.concat(
         p["code"], F.lit(" ("), percent(p["score"]), F.lit(" driver overlap, outcome: "),
         p["outcome"], F.lit("): "), p["note"]))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import Config
 from vigilframe.functions.median import grouped_median
-from vigilframe.functions.scalar import clamp, contains_any, fixed, settled
+from vigilframe.functions.scalar import clamp, fixed, let, settled
+from vigilframe.session import materialised
 
 TAIL_WORDS = 6
 UNIT_STDEV = 0.15
@@ -16,60 +17,93 @@ NO_TEXT = ""
 
 
 # --------------------------------------------------------------------------- words ---
-def negated(before: Column, cfg: Config, clause_break: str) -> Column:
-    """A negator inside the last words of the clause the cue stands in."""
-    clause = F.element_at(F.split(before, clause_break), -1)
-    words = F.filter(F.split(clause, r"\s+"), lambda w: w != "")
-    tail = F.when(F.size(words) > TAIL_WORDS, F.slice(words, -TAIL_WORDS, TAIL_WORDS)).otherwise(words)
-    return contains_any(F.array_join(tail, " "), cfg.negators)
+# The search is SQL text: a lambda body has no common-subexpression elimination, so everything
+# that is used twice is bound once with ``bind`` and then read as a lambda variable.
+HIT = "STRUCT<phrase: STRING, start: INT, stop: INT>"
 
 
-def occurrences(text: Column, pattern: str) -> Column:
-    """Every match of a pattern with its position, from the pieces between the matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
+def raw(pattern: str) -> str:
+    """A pattern as a raw SQL string literal."""
+    if '"' in pattern:
+        raise ValueError(f"a pattern may not hold a double quote: {pattern}")
+    return f'r"{pattern}"'
 
-    def length(items: Column, upto: Column) -> Column:
-        return F.aggregate(F.slice(items, F.lit(1), upto), F.lit(0), lambda a, x: a + F.length(x))
 
-    hits = F.transform(found, lambda m, i: F.struct(
-        m.alias("phrase"), (length(pieces, i + 1) + length(found, i)).alias("start")))
-    return F.when(text.rlike(pattern), hits).otherwise(
-        F.array().cast("array<struct<phrase:string,start:int>>"))
+def bind(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def cues(text: Column, cfg: Config, clause_break: str) -> Column:
+def matches(text: str, pattern: str) -> str:
+    """Every match of a pattern, in order: array of (phrase, start, stop).
+
+    One pass over the matches and the lengths of the pieces between them.
+    """
+    p = raw(pattern)
+    steps = (f"zip_with(found, slice(transform(split({text}, {p}, -1), g -> length(g)), 1, "
+             "size(found)), (m, g) -> named_struct('m', m, 'g', g))")
+    walk = (
+        f"aggregate({steps}, named_struct('at', 0, 'hits', CAST(array() AS ARRAY<{HIT}>)), "
+        "(acc, x) -> named_struct('at', acc.at + x.g + length(x.m), 'hits', array_append(acc.hits, "
+        "named_struct('phrase', x.m, 'start', acc.at + x.g, "
+        "'stop', acc.at + x.g + length(x.m)))), acc -> acc.hits)")
+    found = bind(f"regexp_extract_all({text}, {p}, 0)", "found", walk)
+    return f"IF({text} RLIKE {p}, {found}, CAST(array() AS ARRAY<{HIT}>))"
+
+
+def any_of(text: str, needles) -> str:
+    return "(" + " OR ".join(f'contains({text}, {raw(n)})' for n in needles) + ")"
+
+
+def negated(cfg: Config) -> str:
+    """A negator inside the last words of the clause that match ``m`` of text ``s`` stands in.
+
+    ``s.breaks`` are the end positions of every clause break of the text; the clause starts at the
+    last of them before the cue, so a long text is not cut again for each of its cues.
+    """
+    opened = "coalesce(array_max(filter(s.breaks, e -> e <= m.start)), 0)"
+    words = bind(opened, "o", "filter(split(substring(s.text, o + 1, m.start - o), "
+                              "r\"\\s+\"), w -> w <> '')")
+    tail = bind(words, "w", f"array_join(IF(size(w) > {TAIL_WORDS}, slice(w, -{TAIL_WORDS}, "
+                            f"{TAIL_WORDS}), w), ' ')")
+    return bind(tail, "t", any_of("t", cfg.negators))
+
+
+def cues(column: str, cfg: Config, clause_break: str) -> Column:
     """Every cue that is not negated; array of (rank, order, start, phrase, kind, confidence)."""
-    lowered = F.lower(text)
-    bonus = (F.when(contains_any(lowered, cfg.hedges), cfg.hedge_bonus).otherwise(0.0)
-             + F.when(contains_any(F.concat(F.lit(" "), lowered, F.lit(" ")),
-                                   [f" {c} " for c in cfg.contrasts]), cfg.contrast_bonus)
-             .otherwise(0.0))
     found = []
     for order, (pattern, kind, base) in enumerate(cfg.cues):
-        confidence = settled(F.least(F.lit(1.0), F.lit(base) + bonus), 3)
-        kept = F.filter(occurrences(lowered, pattern), lambda m: ~negated(
-            F.substring(lowered, F.lit(1), m["start"]), cfg, clause_break))
-        found.append(F.transform(kept, _described(order, kind, confidence)))
-    return F.concat(*found)
-
-
-def _described(order: int, kind: str, confidence: Column):
-    return lambda m: F.struct(
-        (-confidence).alias("rank"), F.lit(order).alias("order"), m["start"].alias("start"),
-        m["phrase"].alias("phrase"), F.lit(kind).alias("kind"), confidence.alias("confidence"))
+        sure = f"round(round(least(1D, {float(base)}D + s.bonus), 10), 3)"
+        found.append(
+            f"transform(filter({matches('s.text', pattern)}, m -> NOT {negated(cfg)}), "
+            f"m -> named_struct('rank', -{sure}, 'order', {order}, 'start', m.start, "
+            f"'phrase', m.phrase, 'kind', {raw(kind)}, 'confidence', {sure}))")
+    padded = "concat(' ', low, ' ')"
+    contrasts = any_of(padded, [f" {c} " for c in cfg.contrasts])
+    bonus = (f"IF({any_of('low', cfg.hedges)}, {cfg.hedge_bonus}D, 0D) + "
+             f"IF({contrasts}, {cfg.contrast_bonus}D, 0D)")
+    # clause breaks are only located in texts that hold a cue at all
+    holds = " OR ".join(f"low RLIKE {raw(p)}" for p, _, _ in cfg.cues)
+    breaks = (f"IF({holds}, transform({matches('low', clause_break)}, h -> h.stop), "
+              "CAST(array() AS ARRAY<INT>))")
+    prepared = bind(f"lower({column})", "low",
+                    f"named_struct('text', low, 'bonus', {bonus}, 'breaks', {breaks})")
+    return F.expr(bind(prepared, "s", f"concat({', '.join(found)})"))
 
 
 def best_cue(utterances: DataFrame, cfg: Config, clause_break: str) -> DataFrame:
-    """One finding per utterance: the strongest cue, the first one on ties."""
-    return utterances.withColumn("cue", F.array_min(cues(F.col("text"), cfg, clause_break)))
+    """Utterances that make a claim, with their strongest cue (the first one on ties).
+
+    The cue comes out of a generator, so a later filter does not evaluate the search again.
+    """
+    strongest = F.slice(F.array_sort(cues("text", cfg, clause_break)), 1, 1)
+    return utterances.select("*", F.explode(strongest).alias("cue"))
 
 
 def acute_phrases(text: Column, cfg: Config) -> Column:
     """The literal patterns heard in a text."""
-    lowered = F.lower(F.coalesce(text, F.lit(NO_TEXT)))
-    return F.filter(F.array(*[F.when(lowered.rlike(p), F.lit(p)) for p in cfg.acute_phrases]),
-                    lambda p: p.isNotNull())
+    return let(F.lower(F.coalesce(text, F.lit(NO_TEXT))), lambda lowered: F.filter(
+        F.array(*[F.when(lowered.rlike(p), F.lit(p)) for p in cfg.acute_phrases]),
+        lambda p: p.isNotNull()))
 
 
 # -------------------------------------------------------------------------- frames ---
@@ -120,9 +154,8 @@ def frames_near(utterances: DataFrame, frames: DataFrame, cfg: Config) -> DataFr
     return joined.filter(F.abs(F.col("at_ms") - F.col("said_at")) <= w).drop("slot")
 
 
-def gap_assessments(utterances: DataFrame, frames: DataFrame, cfg: Config) -> DataFrame:
-    """utterances: (session_id, utterance_id, at_ms, cue), one row per claim -> its assessment."""
-    claims = utterances.filter("cue IS NOT NULL")
+def gap_assessments(claims: DataFrame, frames: DataFrame, cfg: Config) -> DataFrame:
+    """claims: (session_id, utterance_id, at_ms, cue), one row per claim -> its assessment."""
     near = frames_near(claims.select("session_id", "utterance_id", "at_ms"),
                        trustworthy(frames, cfg), cfg)
     # the window bounds the frames of one utterance, so a per-utterance median is small
@@ -236,7 +269,9 @@ def voice_baseline(history: DataFrame, cfg: Config) -> DataFrame:
     low, high = F.least(normal, notable), F.greatest(normal, notable)
     rows = history.filter("value IS NOT NULL").withColumns({
         "low": low - 3 * (high - low), "high": high + 3 * (high - low)})
-    centre = grouped_median(rows, ["pid", "feature"], "value", "low", "high")
+    # read by the spread and again by the result: written once
+    centre = materialised(grouped_median(rows, ["pid", "feature"], "value", "low", "high"),
+                          "voice-centre")
     away = rows.join(centre, ["pid", "feature"]).withColumns({
         "off": F.abs(F.col("value") - F.col("median")), "zero": F.lit(0.0),
         "span": F.col("high") - F.col("low")})

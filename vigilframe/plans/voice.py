@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigilframe.config import CLAUSE_BREAK, Config
 from vigilframe.operators import voice
 from vigilframe.plans.registry import Registry, joined, r9
+from vigilframe.session import materialised
 from vigilframe.sources import tables as T
 
 QUERIES = Registry()
@@ -60,17 +61,17 @@ def claims(spark, folder):
 def cue_counts(spark, folder):
     """Every cue of every utterance that is not negated."""
     rows = utterances(spark, folder).select(
-        "utterance_id", F.inline(voice.cues(F.col("text"), CFG, BREAKS)))
+        "utterance_id", F.inline(voice.cues("text", CFG, BREAKS)))
     return rows.select("utterance_id", F.col("start").cast("bigint").alias("start"), "phrase",
                        "kind", "confidence")
 
 
 @QUERIES.query
 def cue_best(spark, folder):
-    found = claims(spark, folder).filter("cue IS NOT NULL")
-    return found.select("utterance_id", F.col("cue.start").cast("bigint").alias("start"),
-                        F.col("cue.phrase").alias("phrase"), F.col("cue.kind").alias("kind"),
-                        F.col("cue.confidence").alias("confidence"))
+    return claims(spark, folder).select(
+        "utterance_id", F.col("cue.start").cast("bigint").alias("start"),
+        F.col("cue.phrase").alias("phrase"), F.col("cue.kind").alias("kind"),
+        F.col("cue.confidence").alias("confidence"))
 
 
 @QUERIES.query
@@ -93,7 +94,7 @@ def frame_divergence(spark, folder):
 @QUERIES.query
 def utterance_frames(spark, folder):
     """Interval join: trustworthy frames around every claim."""
-    said = claims(spark, folder).filter("cue IS NOT NULL").select(
+    said = claims(spark, folder).select(
         "session_id", "utterance_id", "at_ms")
     near = voice.frames_near(said, voice.trustworthy(frames(spark, folder), CFG), CFG)
     return near.groupBy("utterance_id").agg(
@@ -126,9 +127,10 @@ def sustained_strain(spark, folder):
 def sittings(spark, folder):
     """Session medians per person, as the history keeps them."""
     medians = voice.session_medians(frames(spark, folder), CFG)
-    return medians.select(
+    kept = medians.select(
         F.substring_index("session_id", "-", 1).alias("pid"), "session_id", "feature",
         F.round(F.round("median", 10), 5).alias("value"))
+    return materialised(kept, "sittings")
 
 
 @QUERIES.query
