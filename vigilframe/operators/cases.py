@@ -59,7 +59,10 @@ def build_cases(devs: DataFrame, consent: DataFrame, *, capacity: DataFrame | No
     risk: (pid, risk_status, risk_score, drivers); active: (pid, active_codes);
     suppressed: (pid, suppressed_drivers).
     """
-    packed = devs.groupBy("pid", "unit_id").agg(
+    # a person has one unit in a run, so grouping by pid alone lets every later join on pid reuse
+    # this exchange
+    packed = devs.groupBy("pid").agg(
+        F.max("unit_id").alias("unit_id"),
         F.array_sort(F.collect_list(F.struct(*DEVIATION_FIELDS))).alias("deviations"),
         F.max("cohort_size").alias("cohort_size"))
     out = packed.join(consent.select("pid", "status", "scope", "welfare_contact"), "pid")

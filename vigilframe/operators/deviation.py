@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import Config
 from vigilframe.functions.scalar import clamp, lookup, reaches, settled, z_score
-from vigilframe.operators.features import cohort_sizes, unit_baseline
+from vigilframe.operators.features import cohort_sizes, people, unit_baseline
 
 
 def tier_of(domain: Column, cfg: Config) -> Column:
@@ -76,7 +76,6 @@ def candidates(devs: DataFrame) -> DataFrame:
 
 
 def cleared(profile: DataFrame, devs: DataFrame) -> DataFrame:
-    """Everyone screened, with the ones nothing was found for marked CLEARED."""
-    people = profile.groupBy("pid", "unit_id").agg(F.count("*").alias("series"))
-    quiet = people.join(candidates(devs).select("pid"), "pid", "left_anti")
+    """Everyone screened for whom nothing was found."""
+    quiet = people(profile).join(devs.select("pid"), "pid", "left_anti")
     return quiet.select("pid", "unit_id", F.lit("CLEARED").alias("decision"))

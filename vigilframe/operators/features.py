@@ -8,20 +8,28 @@ the per-domain aggregate and the case row all reuse that partitioning.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.config import Config
 from vigilframe.functions.scalar import settled
+from vigilframe.operators.protect import consent_filter
 
 KEY = ("pid", "domain")
 
 
 def in_history(signals: DataFrame, as_of: date, days: int) -> DataFrame:
-    """Keep ``as_of - days + 1 .. as_of``; pruned at the scan when ``day`` is a partition column."""
-    return signals.filter(age_in(F.to_date("observed_at"), as_of, days))
+    """Keep ``as_of - days + 1 .. as_of``.
+
+    The bounds are constants of the column's own type, so they reach the scan as pushed filters (and
+    prune partitions where the column is one).
+    """
+    kind = signals.schema["observed_at"].dataType.simpleString()
+    first = F.lit(as_of - timedelta(days=days - 1)).cast(kind)
+    after = F.lit(as_of + timedelta(days=1)).cast(kind)
+    return signals.filter((F.col("observed_at") >= first) & (F.col("observed_at") < after))
 
 
 def age_in(day: Column, as_of: date, days: int, lag: int = 0) -> Column:
@@ -40,9 +48,15 @@ def daily_parts(signals: DataFrame) -> DataFrame:
     )
 
 
-def daily_series(signals: DataFrame) -> DataFrame:
-    """One value per (pid, domain, day), with the unit the person was last seen in."""
+def daily_series(signals: DataFrame, consent: DataFrame | None = None) -> DataFrame:
+    """One value per (pid, domain, day), with the unit the person was last seen in.
+
+    Consent reads only the person and the domain, so it is applied to the pre-aggregated rows: the
+    join then reuses the exchange on ``pid`` and the raw rows are never shuffled for it.
+    """
     parts = daily_parts(signals).repartition("pid")
+    if consent is not None:
+        parts = consent_filter(parts, consent)
     last_seen = F.max(F.struct("seen", "unit_id")).over(Window.partitionBy("pid"))
     return (
         parts.withColumn("unit_id", last_seen["unit_id"])
@@ -97,7 +111,10 @@ def profiles(daily: DataFrame, as_of: date, cfg: Config) -> DataFrame:
         aggs.append(F.avg(F.when(inside, F.col("value"))).alias(f"mean_{days}"))
     for i, days in enumerate(cfg.persistence_windows):
         aggs.append((F.count_if((F.col("age") < days) & over) / F.lit(days)).alias(f"breach_{i}"))
-    return rows.groupBy("pid", "unit_id", "domain").agg(*aggs)
+    out = rows.groupBy("pid", "unit_id", "domain").agg(*aggs)
+    # one marked row per person: people are counted later without another distinct
+    first = F.row_number().over(Window.partitionBy("pid").orderBy("domain")) == 1
+    return out.withColumn("is_first", first)
 
 
 def unit_baseline(profile: DataFrame, cfg: Config, days: int | None = None) -> DataFrame:
@@ -112,9 +129,13 @@ def unit_baseline(profile: DataFrame, cfg: Config, days: int | None = None) -> D
     )
 
 
+def people(profile: DataFrame) -> DataFrame:
+    """One row per screened person."""
+    return profile.filter("is_first").select("pid", "unit_id")
+
+
 def cohort_sizes(profile: DataFrame) -> DataFrame:
-    people = profile.groupBy("pid", "unit_id").agg(F.count("*").alias("domains"))
-    return people.groupBy("unit_id").agg(F.count("*").alias("cohort_size"))
+    return people(profile).groupBy("unit_id").agg(F.count("*").alias("cohort_size"))
 
 
 def membership(daily: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import Config
 from vigilframe.operators import cases as case_ops
-from vigilframe.operators import deviation, features, protect
+from vigilframe.operators import deviation, features
 from vigilframe.operators.verdicts import decide
 from vigilframe.session import materialised
 
@@ -28,8 +28,10 @@ class Night:
     consent: DataFrame
 
 
-def screen(signals: DataFrame, as_of: date, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    daily = features.daily_series(features.in_history(signals, as_of, cfg.history_days))
+def screen(signals: DataFrame, as_of: date, cfg: Config,
+           consent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    recent = features.in_history(signals, as_of, cfg.history_days)
+    daily = features.daily_series(recent, consent)
     return daily, features.profiles(daily, as_of, cfg)
 
 
@@ -46,8 +48,7 @@ def nightly(signals: DataFrame, consent: DataFrame, as_of: date, cfg: Config, *,
     and shuffled once.  ``keep=False`` leaves one lazy plan.
     """
     table = materialised if keep else (lambda df, name: df)
-    covered = protect.consent_filter(signals, consent)
-    daily, profile = screen(covered, as_of, cfg)
+    daily, profile = screen(signals, as_of, cfg, consent)
     profile = table(profile, "profile")
     devs = table(deviation.deviations(profile, cfg, shortfall), "deviations")
     fractions = deviation.unit_fractions(devs, profile)

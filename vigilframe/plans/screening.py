@@ -25,11 +25,12 @@ def covered(spark, folder):
 
 def daily_of(spark, folder):
     return features.daily_series(
-        features.in_history(covered(spark, folder), AS_OF, CFG.history_days))
+        features.in_history(T.event_signals(spark, folder), AS_OF, CFG.history_days),
+        T.consent_states(spark, folder))
 
 
 def profile_of(spark, folder):
-    return screen(covered(spark, folder), AS_OF, CFG)[1]
+    return screen(T.event_signals(spark, folder), AS_OF, CFG, T.consent_states(spark, folder))[1]
 
 
 def deviations_of(spark, folder):
@@ -223,7 +224,7 @@ def feature_matrix(spark, folder):
 @QUERIES.query
 def rolling_baseline(spark, folder):
     """The lagged window evaluated for every day of history."""
-    daily = features.daily_series(covered(spark, folder))
+    daily = features.daily_series(T.event_signals(spark, folder), T.consent_states(spark, folder))
     return features.rolling_stats(daily, 7, 3).select("pid", "domain", day("day"), "n", r9("mean"))
 
 
@@ -231,7 +232,7 @@ def rolling_baseline(spark, folder):
 def retention(spark, folder):
     """Daily rows kept and aged out, per domain."""
     cfg = CFG.but(retention_days=14)
-    daily = features.daily_series(covered(spark, folder))
+    daily = features.daily_series(T.event_signals(spark, folder), T.consent_states(spark, folder))
     kept = features.retained(daily, AS_OF, cfg).groupBy("domain").agg(F.count("*").alias("kept"))
     return daily.groupBy("domain").agg(F.count("*").alias("n")).join(kept, "domain", "left").select(
         "domain", "kept", (F.col("n") - F.col("kept")).alias("removed"))
@@ -538,7 +539,7 @@ def units_covered(spark, folder):
 def threshold_sweep(spark, folder):
     """Escalation rate and caseload as the evidence threshold moves."""
     night = night_of(spark, folder)
-    screened = night.profile.agg(F.count_distinct("pid").alias("screened"))
+    screened = features.people(night.profile).agg(F.count("*").alias("screened"))
     sweep = views.threshold_sweep(night.verdicts, screened, [0.4, 0.5, 0.6, 0.65, 0.7, 0.75, 0.8])
     return sweep.select("threshold", "escalated", r9("rate"), "officers")
 
