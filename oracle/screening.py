@@ -232,6 +232,12 @@ WITH signals AS (
   FROM scored WHERE round(abs(zs), 9) >= 2.0 OR round(abs(zu), 9) >= 2.0
 )""" + _DEVS
 
+_LAX = SQL["deviations_default_windows"].replace(">= 2.0", ">= 0.5").replace(">= 2)", ">= 0.5)")
+SQL["seasonal_deviations"] = f"""
+SELECT pid, domain FROM (SELECT pid, domain, direction FROM ({_LAX}))
+JOIN (SELECT pid, domain, direction FROM ({_LAX.replace("2001-06-30", "2000-06-30")}))
+  USING (pid, domain, direction)"""
+
 SQL["missingness"] = screened("""
 SELECT domain, round(round(greatest(0, 1 - n_rows
          / ((SELECT count(DISTINCT user_id) FROM events) * 15)), 4), 9)::DOUBLE AS missing,

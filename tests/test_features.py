@@ -159,6 +159,22 @@ def test_kept_and_lazy_runs_agree(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_stage_log_counts_what_was_written(spark):
+    from vigilframe.operators.views import run_summary
+    from vigilframe.plans.nightly import StageLog, all_cases
+
+    log = StageLog()
+    night = nightly(T.event_signals(spark, SMALL), T.consent_states(spark, SMALL), T.EVENTS_AS_OF,
+                    T.EVENTS_CONFIG, log=log, detail=False)
+    stages = log.table(spark)
+    got = {r.name: r for r in stages.collect()}
+    assert got["profile"].rows_out == night.profile.count()
+    assert (got["deviations"].rows_in, got["deviations"].rows_out) == (
+        night.profile.count(), night.deviations.count())
+    text = run_summary(all_cases(night), "run", T.EVENTS_AS_OF, T.EVENTS_CONFIG, stages).first()[0]
+    assert '"stages":[{"name":"deviations"' in text and '"run_id":"run"' in text
+
+
 def test_config_is_checked():
     with pytest.raises(ValueError):
         Config(baseline_lag=30)

@@ -50,6 +50,14 @@ def calendar_flags(devs: DataFrame, entries: DataFrame, as_of: date) -> DataFram
         F.bool_or(F.col("kind") == "seasonal").alias("seasonal"))
 
 
+def seasonal_entries(devs: DataFrame, earlier: DataFrame, as_of: date) -> DataFrame:
+    """Calendar entries for deviations that the prior year's same window already showed."""
+    again = devs.select("pid", "domain", "direction").join(
+        earlier.select("pid", "domain", "direction"), ["pid", "domain", "direction"])
+    return again.select("pid", "domain", F.lit("seasonal").alias("kind"),
+                        F.lit(as_of).alias("starts_on"), F.lit(as_of).alias("ends_on"))
+
+
 def build_cases(devs: DataFrame, consent: DataFrame, *, capacity: DataFrame | None = None,
                 risk: DataFrame | None = None, active: DataFrame | None = None,
                 suppressed: DataFrame | None = None) -> DataFrame:

@@ -6,11 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from vigilframe.operators import cases as case_ops
 from vigilframe.operators import deviation, features, protect, rhythm, views
 from vigilframe.operators import gates as gate_ops
 from vigilframe.operators import reviewers as panel
-from vigilframe.operators.verdicts import illegal_transitions
-from vigilframe.plans.nightly import all_cases, nightly, screen
+from vigilframe.operators.verdicts import decide, illegal_transitions
+from vigilframe.plans.nightly import all_cases, last_year, nightly, screen
 from vigilframe.plans.registry import Registry, day, joined, r9
 from vigilframe.sources import tables as T
 
@@ -263,6 +264,21 @@ def deviations_default_windows(spark, folder):
     return _deviation_columns(deviation.deviations(profile, T.LINEITEM_CONFIG))
 
 
+@QUERIES.query
+def seasonal_deviations(spark, folder):
+    """Line-item deviations that also stood out in the same window one year before."""
+    cfg = T.LINEITEM_CONFIG.but(z_self=0.5, z_unit=0.5)
+    signals = T.lineitem_signals(spark, folder)
+    everyone = signals.select("pid").distinct().withColumns(
+        {"status": F.lit("ACTIVE"), "scope": F.array(*[F.lit(d) for d in cfg.domains])})
+    _, profile = screen(signals, T.LINEITEM_AS_OF, cfg)
+    devs = deviation.deviations(profile, cfg)
+    earlier = last_year(signals, everyone, T.LINEITEM_AS_OF, cfg)
+    flags = case_ops.calendar_flags(
+        devs, case_ops.seasonal_entries(devs, earlier, T.LINEITEM_AS_OF), T.LINEITEM_AS_OF)
+    return flags.filter("seasonal").select("pid", "domain")
+
+
 @QUERIES.query
 def missingness(spark, folder):
     """Deviations with the shortfall their source reported."""
@@ -367,9 +383,6 @@ def counterfactuals(spark, folder):
 @QUERIES.query
 def verdicts_with_calendars(spark, folder):
     """The same run with leave, training and seasonal calendars, active actions and capacity."""
-    from vigilframe.operators import cases as case_ops
-    from vigilframe.operators.verdicts import decide
-
     night = night_of(spark, folder)
     orders = T.read(spark, folder, "orders").select(
         F.col("o_custkey").cast("string").alias("pid"), "o_orderstatus", "o_orderpriority",

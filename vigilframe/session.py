@@ -29,13 +29,22 @@ def build_session(app: str = "vigilframe", master: str | None = None,
     return builder.getOrCreate()
 
 
+_TEST_FOLDERS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a session without one (a test) gets its own."""
+    """The shared folder the cluster names.
+
+    Only a local session may go without one (a test); it gets a folder of its own.
+    """
     named = spark.conf.get(CHECKPOINT_DIR, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="vigilframe-")
-        spark.conf.set(CHECKPOINT_DIR, named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder every executor can reach")
+    return _TEST_FOLDERS.setdefault(
+        context.applicationId, tempfile.mkdtemp(prefix="vigilframe-"))
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
