@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 CONSOLE_OPENS = time(7, 0)
 
 
-def enqueue(verdicts: DataFrame, queued_at: datetime) -> DataFrame:
+def enqueue(verdicts: DataFrame, queued_at: datetime | Column) -> DataFrame:
     """One alert per named verdict; it carries a pid and never a name."""
     acute = F.col("decision") == "IMMEDIATE_ESCALATE"
-    queued = F.lit(queued_at)
+    queued = queued_at if isinstance(queued_at, Column) else F.lit(queued_at)
     return verdicts.filter("named").select(
         "pid", "unit_id", F.when(acute, "same_day").otherwise("routine").alias("priority"),
         "reason", F.round("composite", 4).alias("composite"),

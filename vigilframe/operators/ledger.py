@@ -7,9 +7,6 @@ task never holds more than ``SEGMENT`` rows however many rows one run or unit wr
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,23 +34,29 @@ def payload_parts(entries: DataFrame) -> DataFrame:
                                 "segment": F.floor(F.col("seq") / SEGMENT)})
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("seq", kind="stable")
-    previous, before, after = GENESIS, [], []
-    for head, tail in zip(rows["_head"], rows["_tail"]):
-        before.append(previous)
-        previous = hashlib.sha256(f"{head}{previous}{tail}".encode()).hexdigest()
-        after.append(previous)
-    return rows[["segment", "seq"]].assign(prev_hash=before, entry_hash=after)
+def chained(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Fold (segment, seq, _head, _tail, keep...) into chains, one per segment.
+
+    A segment is an array of at most ``SEGMENT`` rows; the fold carries the hashes only, and each
+    row then reads its own hash and the one before it.
+    """
+    fields = ("seq", *keep)
+    packed = rows.groupBy("segment").agg(
+        F.collect_list(F.struct(*fields, "_head", "_tail")).alias("rows"))
+    ordered = F.expr("array_sort(rows, (l, r) -> CASE WHEN l.seq < r.seq THEN -1 "
+                     "WHEN l.seq > r.seq THEN 1 ELSE 0 END)")
+    hashes = F.expr(f"aggregate(rows, array('{GENESIS}'), (acc, x) -> array_append(acc, "
+                    "sha2(concat(x._head, element_at(acc, -1), x._tail), 256)))")
+    named = ", ".join(f"'{c}', x.{c}" for c in fields)
+    linked = F.expr(f"transform(rows, (x, i) -> named_struct({named}, "
+                    "'prev_hash', hashes[i], 'entry_hash', hashes[i + 1]))")
+    return (packed.withColumn("rows", ordered).withColumn("hashes", hashes)
+            .select("segment", F.inline(linked)))
 
 
 def seal(entries: DataFrame) -> DataFrame:
     """entries with FIELDS -> the same rows with segment, prev_hash and entry_hash."""
-    parts = payload_parts(entries)
-    # only the text to hash travels to Python; a group has at most SEGMENT rows
-    links = parts.select("segment", "seq", "_head", "_tail").groupBy("segment").applyInPandas(
-        _chain, "segment bigint, seq bigint, prev_hash string, entry_hash string")
-    return entries.join(links, "seq")
+    return chained(payload_parts(entries), tuple(f for f in FIELDS if f != "seq"))
 
 
 def heads(sealed: DataFrame) -> DataFrame:
@@ -61,12 +64,11 @@ def heads(sealed: DataFrame) -> DataFrame:
     tops = sealed.groupBy("segment").agg(F.max_by("entry_hash", "seq").alias("head"),
                                          F.count("*").alias("rows"))
     level = tops.select(
-        F.floor(F.col("segment") / SEGMENT).alias("block"), F.col("segment").alias("seq"),
-        F.col("head").alias("_head"), F.lit("").alias("_tail"))
-    links = level.withColumnRenamed("block", "segment").groupBy("segment").applyInPandas(
-        _chain, "segment bigint, seq bigint, prev_hash string, entry_hash string")
-    return tops.join(links.select(F.col("seq").alias("segment"),
-                                  F.col("entry_hash").alias("chained_head")), "segment")
+        F.floor(F.col("segment") / SEGMENT).alias("segment"), F.col("segment").alias("seq"),
+        "head", F.col("rows").alias("n"), F.col("head").alias("_head"), F.lit("").alias("_tail"))
+    return chained(level, ("head", "n")).select(
+        F.col("seq").alias("segment"), "head", F.col("n").alias("rows"),
+        F.col("entry_hash").alias("chained_head"))
 
 
 def verify(ledger: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from vigilframe.operators import alerts, intraday, protect, views
@@ -14,7 +12,6 @@ from vigilframe.sources import tables as T
 
 QUERIES = Registry()
 CFG, AS_OF = T.EVENTS_CONFIG, T.EVENTS_AS_OF
-NOW = datetime(2024, 1, 31, 2, 0)
 
 
 def scored(spark, folder):
@@ -64,7 +61,8 @@ def redecided(spark, folder):
 
 @QUERIES.query
 def alerts_queued(spark, folder):
-    out = alerts.enqueue(redecided(spark, folder), NOW)
+    now = F.lit("2024-01-31 02:00:00").cast("timestamp_ntz")
+    out = alerts.enqueue(redecided(spark, folder), now)
     return out.select("pid", "unit_id", "priority", "route_to", "intervention", "reason",
                       stamp("deliver_after"))
 

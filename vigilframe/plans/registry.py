@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,14 @@ class Registry(dict):
     def query(self, fn: Query) -> Query:
         if fn.__name__ in self:
             raise ValueError(f"query {fn.__name__} is registered twice")
-        self[fn.__name__] = fn
+
+        @wraps(fn)
+        def in_utc(spark: SparkSession, folder: str) -> DataFrame:
+            # days, windows and literals are all read as UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, folder)
+
+        self[fn.__name__] = in_utc
         return fn
 
 
