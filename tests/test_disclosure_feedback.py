@@ -132,7 +132,43 @@ def test_alert_queue(spark):
             final.add((pid, queue.pop(0), seq))
     final |= {(p, s, None) for p, q in waiting.items() for s in q}
     df = spark.createDataFrame(log, "pid STRING, seq BIGINT, kind STRING")
-    assert {(r.pid, r.seq, r.delivered_seq) for r in alerts.replay(df).collect()} == final
+    for limit in (1 << 20, 37, 3):
+        got = {(r.pid, r.seq, r.delivered_seq) for r in alerts.replay(df, limit).collect()}
+        assert got == final
+
+
+def test_state_log_across_stretches(spark):
+    from vigilframe.config import LEGAL_STATES
+    from vigilframe.operators.verdicts import illegal_transitions
+
+    rng = random.Random(8)
+    log = [(f"p{rng.randrange(3)}", i, rng.choice(list(LEGAL_STATES))) for i in range(200)]
+    last, want = {}, set()
+    for pid, seq, state in log:
+        if pid in last and state not in LEGAL_STATES[last[pid]]:
+            want.add((pid, seq, last[pid], state))
+        last[pid] = state
+    df = spark.createDataFrame(log, "pid STRING, seq BIGINT, state STRING")
+    for limit in (1 << 20, 7):
+        assert {tuple(r) for r in illegal_transitions(df, limit).collect()} == want
+
+
+def test_sittings_across_stretches(spark):
+    from vigilframe.operators.voice import sessions_by_gap
+
+    hour = 3_600_000
+    rng = random.Random(6)
+    frames = sorted({(f"p{rng.randrange(2)}", rng.randrange(20 * 24) * hour) for _ in range(120)})
+    want, last, number = set(), {}, {}
+    for pid, at in frames:
+        if pid not in last or at - last[pid] > 12 * hour:
+            number[pid] = number.get(pid, 0) + 1
+        last[pid] = at
+        want.add((pid, at, number[pid]))
+    df = spark.createDataFrame(frames, "pid STRING, at_ms BIGINT")
+    for limit in (1 << 20, 5):
+        got = sessions_by_gap(df, 12 * hour, limit).select("pid", "at_ms", "sitting").collect()
+        assert {tuple(r) for r in got} == want
 
 
 def test_alerts_wait_for_the_console(spark):

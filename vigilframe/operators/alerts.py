@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, time
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.functions.ordered import SPAN, lagged, running, stretch_for
+from vigilframe.session import materialised
+
 CONSOLE_OPENS = time(7, 0)
 
 
@@ -42,30 +45,35 @@ def pending(alerts: DataFrame, unit_id: str = "") -> DataFrame:
     return out.filter(F.col("unit_id") == unit_id) if unit_id else out
 
 
-def replay(log: DataFrame) -> DataFrame:
+def replay(log: DataFrame, limit: int = SPAN) -> DataFrame:
     """Final alerts of a (pid, seq, kind) log of enqueue, deliver and cancel, in order.
 
     A delivery takes the oldest undelivered alert and does nothing on an empty queue; a cancellation
     removes what is undelivered and leaves no trace.  Between two cancellations this is a queue, so
-    the running counts say which deliveries found something (those that set no new record of
-    deliveries over alerts) and which alert each of them took.
+    running counts say which deliveries found something (those that set no new record of deliveries
+    over alerts) and which alert each of them took.
     """
-    person = Window.partitionBy("pid").orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cancels = F.count_if(F.col("kind") == "cancel").over(person)
-    rows = log.withColumn("epoch", cancels)
-    stretch = Window.partitionBy("pid", "epoch").orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({
-        "alert_no": F.count_if(F.col("kind") == "enqueue").over(stretch),
-        "tries": F.count_if(F.col("kind") == "deliver").over(stretch)})
-    rows = rows.withColumn("excess", F.col("tries") - F.col("alert_no"))
-    rows = rows.withColumn("wasted", F.greatest(F.lit(0), F.max("excess").over(stretch)))
-    rows = rows.withColumn("taken", F.col("tries") - F.col("wasted"))
-    rows = rows.withColumn("fresh", F.col("taken") > F.coalesce(
-        F.lag("taken").over(Window.partitionBy("pid", "epoch").orderBy("seq")), F.lit(0)))
+    def is_(kind: str) -> Column:
+        return (F.col("kind") == kind).cast("bigint")
+
+    span = stretch_for(log, "pid", limit)
+
+    def step(rows: DataFrame, name: str) -> DataFrame:
+        # cut into stretches every step reads its input twice, so the input is written first
+        return rows if span is None else materialised(rows, name)
+
+    rows = running(log, ["pid"], "seq", {"epoch": ("sum", is_("cancel"))}, span)
+    rows = running(step(rows, "alert-epochs"), ["pid", "epoch"], "seq",
+                   {"alert_no": ("sum", is_("enqueue")), "tries": ("sum", is_("deliver"))}, span)
+    rows = running(step(rows, "alert-counts"), ["pid", "epoch"], "seq",
+                   {"excess": ("max", F.col("tries") - F.col("alert_no"))}, span)
+    wasted = F.greatest(F.lit(0), F.col("excess"))
+    rows = rows.withColumn("taken", F.col("tries") - wasted)
+    rows = step(rows, "alert-taken")
+    rows = lagged(rows, ["pid", "epoch"], "seq", "taken", "before", span)
+    fresh = F.col("taken") > F.coalesce("before", F.lit(0))
     alerts = rows.filter("kind = 'enqueue'").select("pid", "epoch", "alert_no", "seq")
-    served = rows.filter("kind = 'deliver' AND fresh").select(
+    served = rows.filter((F.col("kind") == "deliver") & fresh).select(
         "pid", "epoch", F.col("taken").alias("alert_no"), F.col("seq").alias("delivered_seq"))
     last = log.groupBy("pid").agg(F.count_if(F.col("kind") == "cancel").alias("last_epoch"))
     out = alerts.join(served, ["pid", "epoch", "alert_no"], "left").join(last, "pid")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import GATES, LEGAL_STATES, PLAYBOOK, Config
+from vigilframe.functions.ordered import SPAN, lagged, stretch_for
 from vigilframe.functions.scalar import fixed, lookup, plural, present, shortest, strings
 from vigilframe.operators.gates import evaluate
 
@@ -202,12 +203,12 @@ def counterfactuals(gated: DataFrame, cfg: Config) -> DataFrame:
 
 
 # -------------------------------------------------------------- state transitions ---
-def illegal_transitions(log: DataFrame) -> DataFrame:
+def illegal_transitions(log: DataFrame, limit: int = SPAN) -> DataFrame:
     """Moves in a (pid, seq, state) log that the state table does not allow."""
-    moves = log.withColumn("previous", F.lag("state").over(
-        Window.partitionBy("pid").orderBy("seq"))).filter(F.col("previous").isNotNull())
+    span = stretch_for(log, "pid", limit)
+    moves = lagged(log, ["pid"], "seq", "state", "previous", span).filter(
+        F.col("previous").isNotNull())
     allowed = lookup({s: strings(t) for s, t in LEGAL_STATES.items()}, F.col("previous"),
                      strings(()))
     return moves.filter(~F.array_contains(allowed, F.col("state"))).select(
         "pid", "seq", "previous", "state")
-

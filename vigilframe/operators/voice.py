@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import Config
 from vigilframe.functions.median import grouped_median
+from vigilframe.functions.ordered import SPAN, lagged, running, stretch_for
 from vigilframe.functions.scalar import clamp, fixed, let, settled
 from vigilframe.session import materialised
 
@@ -14,6 +15,7 @@ TAIL_WORDS = 6
 UNIT_STDEV = 0.15
 MAD_SCALE = 1.4826
 NO_TEXT = ""
+DAY_MS = 86_400_000
 
 
 # --------------------------------------------------------------------------- words ---
@@ -347,10 +349,9 @@ def as_deviation(gaps: DataFrame, strain: DataFrame, shift: DataFrame, cfg: Conf
         F.lit(0.0).alias("breach_1"), F.lit(0.0).alias("breach_2"), F.lit(0.0).alias("missing"))
 
 
-def sessions_by_gap(frames: DataFrame, idle_ms: int) -> DataFrame:
+def sessions_by_gap(frames: DataFrame, idle_ms: int, limit: int = SPAN) -> DataFrame:
     """Cut a person's frames into sittings wherever they were silent for longer than ``idle_ms``."""
-    order = Window.partitionBy("pid").orderBy("at_ms")
-    fresh = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(order) > idle_ms, F.lit(True))
-    return frames.withColumn("_fresh", fresh.cast("int")).withColumn(
-        "sitting", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop(
-        "_fresh")
+    span = None if stretch_for(frames, "pid", limit) is None else DAY_MS
+    near = lagged(frames, ["pid"], "at_ms", "at_ms", "_before", span)
+    fresh = F.coalesce(F.col("at_ms") - F.col("_before") > idle_ms, F.lit(True)).cast("bigint")
+    return running(near, ["pid"], "at_ms", {"sitting": ("sum", fresh)}, span).drop("_before")
