@@ -45,3 +45,17 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm.neardup import near_groups
+
+    return near_groups(read(spark, folder, "documents"), shingle=3, percent=85)
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm.bpe import encode
+
+    return encode(read(spark, folder, "documents"), keep=["doc_id"], with_ids=False)
