@@ -59,3 +59,22 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from vigilframe.llm.bpe import encode
 
     return encode(read(spark, folder, "documents"), keep=["doc_id"], with_ids=False)
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm import language
+
+    docs, fold = read(spark, folder, "documents"), bucket(F.col("doc_id"), 3)
+    model = language.fit(docs.where(fold != 1))
+    return language.identify(docs, model, keep=["doc_id"]).select(
+        "doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm import lm
+
+    fold = bucket(F.col("doc_id"), 10)
+    return lm.score(read(spark, folder, "documents"), fold != 0).withColumn(
+        "held_out", bucket(F.col("doc_id"), 10) == 0)
