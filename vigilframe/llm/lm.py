@@ -1,23 +1,23 @@
 """Language-model scores from a weighted backoff automaton.
 
-A text is its lower-cased (A-Z) words and one end.  Two levels are smoothed into each other by
-absolute discounting: P(token) = max(c - D, 0) / N + D * V / N * S(token), with c the token's count
-over the whole training corpus, and S its spelling, letter by letter with a closing mark, under byte
-n-grams of up to ORDER bytes that also look across the border of words.  Spelling makes the model
-open: an unseen word has a probability of its own.
-
-The byte n-grams are the automaton.  Contexts are states, n-grams are arcs with a discounted
-log-probability, and a state without an arc for the next byte follows its failure arc to the context
-without its first byte and pays its backoff weight.  An n-gram becomes an arc if it makes up 2**-ARCS
-of all training bytes, so there are at most 2**ARCS arcs of each length whatever the size of the
-corpus: that is what may be broadcast.  One pass from left to right carries the state and adds up.
-
-Counts, of bytes and of words, are taken over all training texts.  Words that make up 2**-HEAD of the
-tokens are looked up in the task (at most 2**HEAD); for all others the token meets its count in a
-join, where no key is hot because the frequent ones are gone.
-
-Defined results: null and empty texts are one end token; with no training text every token has c = 0,
-base is -infinity-free (the end and nothing else, 0.1 / 0.1) and the spelling is uniform; rows are told
+A text is its lower-cased (A-Z) words and one end.  Word n-grams of up to ORDER words are counted over
+the whole training corpus and smoothed by absolute discounting (the unigram discounts follow from the
+counts of counts): an unseen continuation pays its context's backoff weight and is looked up in the
+shorter context, and what the unigrams set aside is the probability of the one unknown word.
+
+Frequent n-grams form the automaton: contexts are states, n-grams are arcs, and a state without an arc
+for the next word follows its failure arc to the context without its first word.  An n-gram becomes an
+arc if it makes up 2**-ARCS of all training tokens; so there are at most 2**ARCS arcs of each length
+whatever the size of the corpus, and that is what may be broadcast.  A longer n-gram is counted only
+where both of its shorter ones were kept, which loses none.  One pass from left to right carries the
+state and adds up.
+
+A rarer word is in no kept n-gram: it is met at the root, after the backoff weights on the way there,
+and the state after it is the root.  Its own count is as exact as any other: it comes from a join on
+the table of all words, where no key is hot because the frequent words are gone.
+
+Defined results: null and empty texts are one end token; without training text every token is unknown
+and has probability 1 (score 0), and the base is that of the formula with N = V = 0; rows are told
 apart by their place, so repeated and null ids are scored row by row; empty tables give empty tables.
 """
 
@@ -36,111 +36,144 @@ from pyspark.sql import functions as F
 from vigilframe.llm.lookup import Lookup
 from vigilframe.llm.tables import Scratch
 
-ORDER = 6
-ARCS, HEAD = 20, 19
-DISCOUNT = 0.6
+ORDER = 3
+ARCS = 19
+#: bits of a frequent word's number; ORDER of them fit one key
+WIDTH = 20
+DISCOUNT = 0.5
 END = b"\n"
-PAD = END * (ORDER - 1)
-#: bytes that are counted or scored at once, and the length of a lane
-BLOCK, LANE = 1 << 22, 1 << 11
+#: words that are counted or scored at once, and the length of a lane
+BLOCK, LANE = 1 << 19, 1 << 8
 BASE_ADD = 0.1
+MASK = np.uint64((1 << WIDTH) - 1)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of the words of a whole text and of its end."""
+    words = (text or "").encode().lower().split()
+    words.append(END)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def spelled(words: list[bytes]) -> bytes:
-    return b" ".join([*words, END]) if words else END
+END_KEY = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64)
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The texts' tokens, some BLOCK words at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column("text"):
+            held.append(tokens(text.as_py()))
+            size += len(held[-1])
+            if size >= BLOCK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
-END_KEY = int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64))
+def _counted(keys: np.ndarray) -> pa.RecordBatch:
+    known, n = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(known.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The ORDER bytes that end at each position after the pad."""
-    array = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(array) - len(PAD)
-    code = np.zeros(n, np.uint64)
-    for k in range(ORDER):
-        code = (code << np.uint64(8)) | array[k:k + n]
-    return code
+def count_words(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            yield _counted(np.concatenate(block))
 
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): byte n-grams (0) and words (1), block by block."""
 
-    def told(kind: int, keys: np.ndarray) -> pa.RecordBatch:
-        known, n = np.unique(keys, return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(known), kind, np.int8)), pa.array(known.view(np.int64)),
-             pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+def numbered(block: list[np.ndarray], table: Lookup) -> np.ndarray:
+    """Frequent words by number, others -1; every text follows an end mark of its own."""
+    found = table.find(np.concatenate([np.concatenate([END_KEY, text]) for text in block]))
+    return found.astype(np.int64)
+
+
+def joined_keys(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end at each place, and where all their words are frequent."""
+    n = len(numbers)
+    code, good = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(size - 1, -1, -1):
+        word = np.concatenate([np.full(k, -1), numbers[:n - k]])
+        good &= word >= 0
+        code = (code << np.uint64(WIDTH)) | (word.astype(np.uint64) & MASK)
+    return code, good
+
+
+def predicted(block: list[np.ndarray]) -> np.ndarray:
+    """Distance from the start mark of each text; the marks themselves (0) are not predicted."""
+    return np.concatenate([np.arange(len(text) + 1) for text in block])
 
-    held, words, size = [], [], 0
-    for batch in batches:
-        for text in batch.column("text"):
-            found = tokens(text.as_py())
-            data = spelled(found)
-            words.append(word_keys([*found, END]))
-            for start in range(0, len(data), BLOCK):
-                before = PAD + data if not start else data[start - len(PAD):]
-                held.append(grams(before[:BLOCK + len(PAD)] if start + BLOCK < len(data) or start
-                                  else before))
-                size += len(held[-1])
-                if size >= BLOCK:
-                    yield told(0, np.concatenate(held))
-                    yield told(1, np.concatenate(words)) if words else told(1, np.empty(0, np.uint64))
-                    held, words, size = [], [], 0
-    if held:
-        yield told(0, np.concatenate(held))
-    if words:
-        yield told(1, np.concatenate(words))
+
+def count_grams(texts: DataFrame, sent, size: int) -> DataFrame:
+    """n-grams of ``size`` frequent words whose beginning and end (one word shorter) were kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, kept = sent.value
+        table = Lookup(heads)
+        shorter = Lookup(kept) if size > 2 else None
+        for block in _blocks(batches):
+            numbers = numbered(block, table)
+            code, good = joined_keys(numbers, size)
+            good &= predicted(block) >= size - 1  # all inside one text and its start mark
+            code = code[good]
+            if shorter is not None:
+                tail = np.uint64((1 << (WIDTH * (size - 1))) - 1)
+                code = code[shorter.find(code >> np.uint64(WIDTH)) >= 0]
+                code = code[shorter.find(code & tail) >= 0]
+            yield _counted(code)
+
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Automaton:
-    """Arcs by (state, byte) with log10 weight and target; per state its backoff and failure."""
+    """Arcs by (state, word) with log10 weight and target; per state its backoff and failure."""
 
     arcs: np.ndarray
     weight: np.ndarray
     target: np.ndarray
     backoff: np.ndarray
     failure: np.ndarray
-    start: int
 
     def walker(self):
-        """Bytes after the pad -> log10 weight of each, in lanes that are walked side by side."""
+        """Word numbers -> log10 weight of each; a rare word (-1) brings the way to the root only."""
         table = Lookup(self.arcs)
-        weight, target = np.append(self.weight, 0), np.append(self.target, 0)
-
-        def step(state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            cost = np.zeros(len(state))
-            at = state
-            row = table.find((at.astype(np.uint64) << np.uint64(8)) | symbol)
-            fell = np.flatnonzero(row < 0)
-            at = at.copy()
+        weight, target = np.append(self.weight, 0.0), np.append(self.target, 0)
+
+        def step(state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cost, at = np.zeros(len(state)), state.copy()
+            symbol = word.astype(np.uint64) & MASK
+            row = table.find((at.astype(np.uint64) << np.uint64(WIDTH)) | symbol)
+            row[word < 0] = -1
+            fell = np.flatnonzero((row < 0) & (at > 0))
             while len(fell):
                 cost[fell] += self.backoff[at[fell]]
                 at[fell] = self.failure[at[fell]]
-                row[fell] = table.find((at[fell].astype(np.uint64) << np.uint64(8)) | symbol[fell])
-                fell = fell[row[fell] < 0]
+                found = table.find((at[fell].astype(np.uint64) << np.uint64(WIDTH)) | symbol[fell])
+                row[fell] = np.where(word[fell] < 0, -1, found)
+                fell = fell[(row[fell] < 0) & (at[fell] > 0)]
             return cost + weight[row], target[row]
 
-        def walk(data: bytes) -> np.ndarray:
-            array = np.frombuffer(data, np.uint8).astype(np.uint64)
-            n, warm = len(array) - len(PAD), len(PAD)
-            lanes = max(1, -(-n // LANE))
-            width = -(-n // lanes)
-            # each lane first reads the bytes before it: they alone determine its state
-            begin = np.arange(lanes) * width
-            out = np.zeros(lanes * width)
-            padded = np.concatenate([array, np.zeros(lanes * width - n, np.uint64)])
+        def walk(numbers: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+            """``fresh`` marks the start marks, which follow nothing.
+
+            Lanes are walked side by side; each first reads the words before it, which alone
+            determine its state.
+            """
+            n, warm = len(numbers), ORDER - 1
+            lanes = -(-n // LANE)
+            padded = np.full(warm + lanes * LANE, -1, np.int64)
+            padded[warm:warm + n] = numbers
+            starts = np.zeros(warm + lanes * LANE, bool)
+            starts[warm:warm + n] = fresh
+            begin, out = np.arange(lanes) * LANE, np.zeros(lanes * LANE)
             state = np.zeros(lanes, np.int64)
-            for k in range(warm + width):
+            for k in range(warm + LANE):
+                state[starts[begin + k]] = 0
                 cost, state = step(state, padded[begin + k])
                 if k >= warm:
                     out[begin + k - warm] = cost
@@ -149,87 +182,80 @@ class Automaton:
         return walk
 
 
-def build(gram: np.ndarray, count: np.ndarray) -> Automaton:
-    """The automaton of the kept n-grams, given as (length << 48 | bytes) with their counts.
-
-    The kept n-grams are closed: with one of them come its beginning and its end.
-    """
-    length, code = gram >> np.uint64(48), gram & np.uint64((1 << 48) - 1)
-    total = float(count[length == 1].sum())
-    # unigrams: every byte has an arc from the root, seen or not
-    symbol = np.arange(256, dtype=np.uint64)
-    seen = np.zeros(256)
-    seen[code[length == 1].astype(int)] = count[length == 1]
-    probability = [(symbol, (seen + BASE_ADD) / (total + 256 * BASE_ADD))]
-    contexts = [np.zeros(1, np.uint64)]  # by length, sorted
-    backoffs = [np.zeros(1)]
-    context_counts = dict()
-    arcs_by_order = [(symbol, np.zeros(256, np.int64), np.log10(probability[0][1]))]
-    for order in range(2, ORDER + 1):
-        keep = length == order
-        if not keep.any():
+def build(heads: np.ndarray, unigram: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton:
+    """From log10 unigram weights with the frequent words' counts, and (keys, counts) by length."""
+    log_p, counts = unigram, heads.astype(float)
+    keys = np.arange(len(heads), dtype=np.uint64)
+    probability, sizes = [(keys, 10.0 ** log_p)], [(keys, counts)]
+    contexts, backoffs = [np.zeros(1, np.uint64)], [np.zeros(1)]
+    arcs_by_order = [(keys, np.zeros(len(keys), np.int64), log_p)]
+    for order, (keys, n) in enumerate(grams, 2):
+        if not len(keys):
             break
-        by = np.argsort(code[keep])
-        keys, n = code[keep][by], count[keep][by].astype(float)
-        context, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-        below = length == order - 1
-        by = np.argsort(code[below])
-        of_context = count[below][by][np.searchsorted(code[below][by], context)].astype(float)
+        by = np.argsort(keys)
+        keys, n = keys[by], n[by].astype(float)
+        context, of = np.unique(keys >> np.uint64(WIDTH), return_inverse=True)
+        shorter_keys, shorter_counts = sizes[-1]
+        of_context = shorter_counts[np.searchsorted(shorter_keys, context)]
         p = (n - DISCOUNT) / of_context[of]
-        shorter_keys, shorter = probability[-1]
-        low = shorter[np.searchsorted(shorter_keys, keys & np.uint64((1 << (8 * (order - 1))) - 1))]
+        low_keys, low = probability[-1]
+        tail = np.uint64((1 << (WIDTH * (order - 1))) - 1)
+        low = low[np.searchsorted(low_keys, keys & tail)]
         given, had = np.bincount(of, p, len(context)), np.bincount(of, low, len(context))
-        left = np.maximum(1 - given, 1e-12) / np.maximum(1 - had, 1e-12)
+        backoffs.append(np.log10(np.maximum(1 - given, 1e-12) / np.maximum(1 - had, 1e-12)))
         contexts.append(context)
-        backoffs.append(np.log10(left))
         probability.append((keys, p))
+        sizes.append((keys, n))
         arcs_by_order.append((keys, of, np.log10(p)))
     offsets = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
 
     def state_of(keys: np.ndarray, longest: int) -> np.ndarray:
-        """The longest end of these byte strings that is a state."""
-        out = np.zeros(len(keys), np.int64)
-        open_ = np.ones(len(keys), bool)
+        """The longest end of these word strings that is a state."""
+        out, unset = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
         for size in range(min(longest, len(contexts) - 1), 0, -1):
-            ends = keys & np.uint64((1 << (8 * size)) - 1)
+            ends = keys & np.uint64((1 << (WIDTH * size)) - 1)
             at = np.minimum(np.searchsorted(contexts[size], ends), len(contexts[size]) - 1)
-            hit = open_ & (contexts[size][at] == ends)
+            hit = unset & (contexts[size][at] == ends)
             out[hit] = offsets[size] + at[hit]
-            open_ &= ~hit
+            unset &= ~hit
         return out
 
     arcs, weight, target = [], [], []
-    for order, (keys, of, log_p) in enumerate(arcs_by_order, 1):
-        arcs.append(((offsets[order - 1] + of).astype(np.uint64) << np.uint64(8)) | (keys & np.uint64(255)))
-        weight.append(log_p)
+    for order, (keys, of, log_of) in enumerate(arcs_by_order, 1):
+        arcs.append(((offsets[order - 1] + of).astype(np.uint64) << np.uint64(WIDTH)) | (keys & MASK))
+        weight.append(log_of)
         target.append(state_of(keys, min(order, ORDER - 1)))
     failure = np.concatenate([np.zeros(1, np.int64)] + [
         state_of(context, size - 1) for size, context in enumerate(contexts) if size])
     return Automaton(np.concatenate(arcs), np.concatenate(weight), np.concatenate(target),
-                     np.concatenate(backoffs), failure, 0)
-
-
-def train(texts: DataFrame, scratch: Scratch) -> tuple[Automaton, DataFrame, dict[str, int]]:
-    """The automaton, the table of word counts (key, n) and N and V, from a column ``text``."""
-    counts = scratch.write(texts.mapInArrow(_count, "kind byte, key long, n long").groupBy(
-        "kind", "key").agg(F.sum("n").alias("n")), "counts")
-    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(
-        F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    n_bytes = sums[0]["n"] if 0 in sums else 0
-    least = max(1.0, n_bytes / 2 ** ARCS)
-    longest = counts.where("kind = 0")
-    by_length = None
-    for size in range(1, ORDER + 1):
-        mask = (1 << (8 * size)) - 1
-        # a longer n-gram cannot be more frequent than its end, so few rows reach the last step
-        kept = longest.groupBy(F.col("key").bitwiseAND(F.lit(mask).cast("long")).alias("code")).agg(
-            F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("size", F.lit(size))
-        by_length = kept if by_length is None else by_length.unionByName(kept)
-    arcs = by_length.toArrow()
-    gram = (arcs["size"].to_numpy().astype(np.uint64) << np.uint64(48)) | arcs["code"].to_numpy().astype(np.uint64)
-    words = counts.where("kind = 1").select("key", "n")
-    return (build(gram, arcs["n"].to_numpy()), words,
-            {"n": sums[1]["n"] if 1 in sums else 0, "v": sums[1]["v"] if 1 in sums else 0})
+                     np.concatenate(backoffs), failure)
+
+
+@dataclass
+class Unigrams:
+    """Discounts by count (1, 2, 3 and more) from the counts of counts, and what they set aside."""
+
+    n: int
+    v: int
+    discount: tuple[float, float, float]
+    aside: float
+
+    @classmethod
+    def of(cls, n: int, v: int, ones: int, twos: int, threes: int, fours: int) -> Unigrams:
+        y = ones / (ones + 2 * twos) if ones and twos else 0.5
+        told = [k - (k + 1) * y * b / a if a and b else 0.5 * k
+                for k, a, b in ((1, ones, twos), (2, twos, threes), (3, threes, fours))]
+        d = tuple(min(max(x, 0.1), k - 0.1) for k, x in enumerate(told, 1))
+        aside = d[0] * ones + d[1] * twos + d[2] * (v - ones - twos)
+        return cls(n, v, d, aside / n if n else 1.0)
+
+    def log_p(self, c: np.ndarray) -> np.ndarray:
+        d = np.select([c == 1, c == 2], self.discount[:2], self.discount[2])
+        return np.log10((c - d) / self.n)
+
+    def log_p_column(self, c: Column) -> Column:
+        d = F.when(c == 1, self.discount[0]).when(c == 2, self.discount[1]).otherwise(self.discount[2])
+        return F.when(c > 0, F.log10((c - d) / max(self.n, 1))).otherwise(math.log10(self.aside))
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -237,84 +263,78 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score; learned where ``training``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
-    automaton, words, sums = train(
-        docs.where(training).select(F.col(text_col).alias("text")), scratch)
-    n, v = sums["n"], sums["v"]
-    head = words.where(F.col("n") >= max(1.0, n / 2 ** HEAD)).toArrow()
-    sent = spark.sparkContext.broadcast((  # at most 2**HEAD words, 2**ARCS arcs of each length
-        head["key"].to_numpy(), head["n"].to_numpy(),
-        (automaton.arcs, automaton.weight, automaton.target, automaton.backoff, automaton.failure, 0)))
+    texts = docs.where(training).select(F.col(text_col).alias("text"))
+    words = scratch.write(count_words(texts), "words")
+    of = words.agg(F.sum("n"), F.count("*"), *[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
+    unigrams = Unigrams.of(of[0] or 0, *of[1:])
+    n, v = unigrams.n, unigrams.v
+    least = max(1.0, n / 2 ** ARCS)
+    head = words.where(F.col("n") >= least).orderBy("key").toArrow()
+    keys, counts = head["key"].to_numpy().view(np.uint64), head["n"].to_numpy()
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    for size in range(2, ORDER + 1):
+        sent = spark.sparkContext.broadcast((keys, grams[-1][0] if grams else None))
+        found = count_grams(texts, sent, size).where(F.col("n") >= least).toArrow()
+        grams.append((found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()))
+    made = build(counts, unigrams.log_p(counts.astype(float)), grams)
+    sent = spark.sparkContext.broadcast((  # at most 2**ARCS words and arcs of each length
+        keys, counts, (made.arcs, made.weight, made.target, made.backoff, made.failure)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    share = DISCOUNT * v / n if n else 1.0  # the probability that falls to the spelling
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, parts = sent.value
-        table, walk = Lookup(keys.view(np.uint64)), Automaton(*parts).walker()
-        counts = np.append(counts, 0).astype(float)
-
-        def told(uids, ids, data, of_token, token_doc) -> Iterator[pa.RecordBatch]:
-            costs = walk(b"".join([PAD, *data]))
-            token_keys = np.concatenate(of_token)
-            owner = np.repeat(np.arange(len(data)), [len(k) for k in of_token])
-            array = np.frombuffer(b"".join(data), np.uint8)
-            # tokens end at their space, the last one of a text is its end mark
-            ends = np.flatnonzero((array == 32) | (array == 10)) + 1
-            spelling = np.add.reduceat(costs, np.concatenate([[0], ends[:-1]]))
-            row = table.find(token_keys)
-            known = row >= 0
-            c = counts[row]
-            base = np.where(known, np.log10(c + BASE_ADD), 0.0)
-            with np.errstate(divide="ignore"):
-                best = np.where(known, np.log10(np.maximum(c - DISCOUNT, 0) / max(n, 1)
-                                                + share * 10.0 ** spelling), 0.0)
-            m = len(data)
-            yield _batch([pa.array(uids), ids, pa.array(np.zeros(m, np.int64)),
-                          pa.array(np.bincount(owner, minlength=m)),
-                          pa.array(np.bincount(owner, known, m).astype(np.int64)),
-                          pa.array(np.bincount(owner, base, m)), pa.array(np.bincount(owner, best, m))])
-            rest = np.flatnonzero(~known)
-            for i in range(0, len(rest), 1 << 16):
-                part = rest[i:i + (1 << 16)]
-                k = len(part)
-                yield _batch([pa.array(np.array(uids)[owner[part]]), pa.nulls(k, ids.type),
-                              pa.array(token_keys[part].view(np.int64)), pa.nulls(k, pa.int64()),
-                              pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()),
-                              pa.array(spelling[part])])
+        head_keys, head_counts, parts = sent.value
+        table, walk = Lookup(head_keys), Automaton(*parts).walker()
+        log_c = np.append(np.log10(head_counts + BASE_ADD), 0.0)
 
-        def _batch(columns):
+        def batch_of(columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 columns, ["uid", "id", "key", "n_tokens", "n_known", "base", "best"])
 
+        def told(uids: list, ids: pa.Array, block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            numbers, place = numbered(block, table), predicted(block)
+            real = place > 0
+            costs = walk(numbers, place == 0)[real]
+            hashes, numbers = np.concatenate(block), numbers[real]
+            owner, m = np.repeat(np.arange(len(block)), [len(t) for t in block]), len(block)
+            known = numbers >= 0
+            yield batch_of([
+                pa.array(uids, pa.int64()), ids, pa.nulls(m, pa.int64()),
+                pa.array(np.bincount(owner, minlength=m)),
+                pa.array(np.bincount(owner, known, m).astype(np.int64)),
+                pa.array(np.bincount(owner, log_c[numbers], m)), pa.array(np.bincount(owner, costs, m))])
+            rare = np.flatnonzero(~known)
+            for i in range(0, len(rare), 1 << 16):
+                part = rare[i:i + (1 << 16)]
+                k = len(part)
+                yield batch_of([
+                    pa.array(np.array(uids, np.int64)[owner[part]]), pa.nulls(k, ids.type),
+                    pa.array(hashes[part].view(np.int64)), pa.nulls(k, pa.int64()),
+                    pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())])
+
         for batch in batches:
-            texts, uids = batch.column("text").to_pylist(), batch.column("uid").to_pylist()
-            data, of_token, size, first = [], [], 0, 0
-            for i, text in enumerate(texts):
-                found = tokens(text)
-                # every text begins in the state after a pad of end marks
-                data.append(spelled(found) if not data else spelled(found))
-                of_token.append(word_keys([*found, END]))
-                size += len(data[-1])
-                if size >= BLOCK or i == len(texts) - 1:
-                    yield from told(uids[first:i + 1], batch.column("id").slice(first, i + 1 - first),
-                                    data, of_token, None)
-                    data, of_token, size, first = [], [], 0, i + 1
+            uids, ids = batch.column("uid").to_pylist(), batch.column("id")
+            block, size, first = [], 0, 0
+            for i, text in enumerate(batch.column("text")):
+                block.append(tokens(text.as_py()))
+                size += len(block[-1])
+                if size >= BLOCK or i == batch.num_rows - 1:
+                    yield from told(uids[first:i + 1], ids.slice(first, i + 1 - first), block)
+                    block, size, first = [], 0, i + 1
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),
                        F.col(text_col).alias("text"))
-    told = scratch.write(rows.mapInArrow(
+    table = scratch.write(rows.mapInArrow(
         run, f"uid long, id {id_type}, key long, n_tokens long, n_known long, base double, best double"),
         "told")
-    rare = told.where(F.col("n_tokens").isNull()).select("uid", "key", F.col("best").alias("spelling"))
+    rare = table.where(F.col("key").isNotNull()).select("uid", "key")
     c = F.coalesce("n", F.lit(0))
-    met = rare.join(words.where(F.col("n") < max(1.0, n / 2 ** HEAD)), "key", "left").select(
+    met = rare.join(words.where(F.col("n") < least), "key", "left").select(
         "uid", (c > 0).cast("long").alias("n_known"), F.log10(c + BASE_ADD).alias("base"),
-        F.log10(F.greatest(c - DISCOUNT, F.lit(0.0)) / max(n, 1)
-                + share * F.pow(F.lit(10.0), "spelling")).alias("best"))
-    sums_of = met.unionByName(told.where(F.col("n_tokens").isNotNull()).select(
-        "uid", "n_known", "base", "best")).groupBy("uid").agg(
+        unigrams.log_p_column(c).alias("best"))
+    heads = table.where(F.col("key").isNull())
+    sums = met.unionByName(heads.select("uid", "n_known", "base", "best")).groupBy("uid").agg(
         *[F.sum(x).alias(x) for x in ("n_known", "base", "best")])
-    heads = told.where(F.col("n_tokens").isNotNull()).select("uid", "id", "n_tokens")
-    return heads.join(sums_of, "uid").select(
+    return heads.select("uid", "id", "n_tokens").join(sums, "uid").select(
         F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * math.log10(n + BASE_ADD * (v + 1))).alias("base_score"),
         F.col("best").alias("score"))
