@@ -63,3 +63,65 @@ e AS (
 ), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)"""
+
+SQL["op2_sharding"] = r"""
+WITH RECURSIVE shard AS (
+  SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name,
+         ('0x' || substr(md5(name || '/start'), 1, 15))::BIGINT % 1613 AS start,
+         ('0x' || substr(md5(name || '/step'), 1, 15))::BIGINT % 1612 + 1 AS step
+  FROM range(0, 16) t(i)
+), orders AS (
+  SELECT list(o ORDER BY i) AS o
+  FROM (SELECT i, list_transform(range(0, 1613), lambda j: (start + j * step) % 1613) AS o FROM shard)
+), turns AS (
+  SELECT 0 AS t, []::BIGINT[] AS taken
+  UNION ALL
+  SELECT t + 1, list_append(taken, list_filter(o[t % 16 + 1], lambda s: NOT list_contains(taken, s))[1])
+  FROM turns, orders WHERE t < 1613
+), slots AS (
+  SELECT unnest(taken) AS slot, (unnest(range(0, 1613)) % 16)::INT AS i FROM turns WHERE t = 1613
+), d AS (
+  SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % 1613 AS slot FROM documents
+)
+SELECT doc_id, slot, name AS shard FROM d JOIN slots USING (slot) JOIN shard USING (i)"""
+
+# crc32 has no DuckDB function: the checksum of (file, seq) is folded over the bits of its bytes
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(file || '/' || seq, ''),
+  lambda ch: ascii(ch)::BIGINT)), lambda acc, byte:
+  list_reduce(list_prepend(xor(acc, byte), range(0, 8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))"""
+
+
+def _level(k: int, side: str) -> str:
+    below = f"{side}{k - 1}"
+    return f"""{side}{k} AS (
+  SELECT file, idx // 16 AS idx, min(s) AS s, max(e) AS e,
+         sha256(min(s) || '|' || max(e) || '|' || string_agg(hash, '|' ORDER BY idx)) AS hash
+  FROM {below} GROUP BY file, idx // 16)"""
+
+
+SQL["op3_warc_fixity"] = rf"""
+WITH r AS (
+  SELECT page_id // 512 AS file, page_id,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+         || 'WARC-Record-ID: <urn:md5:' || md5(page_id || '/' || url) || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
+         || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+), p AS (
+  SELECT file, row_number() OVER w - 1 AS seq, sum(strlen(record)) OVER w - strlen(record) AS s,
+         sum(strlen(record)) OVER w AS e, record
+  FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id)
+), m AS (SELECT *, xor({_CRC}, 4294967295::BIGINT) AS mark FROM p),
+a0 AS (SELECT file, seq AS idx, s, e, sha256(record) AS hash FROM m),
+b0 AS (
+  SELECT file, seq AS idx, s, e,
+         sha256(CASE WHEN mark % 37 = 3 THEN left(record, 59) || '#' || substr(record, 61) ELSE record END) AS hash
+  FROM m WHERE mark % 101 <> 5
+), {", ".join(_level(k, side) for side in "ab" for k in (1, 2, 3))}
+SELECT file, idx AS seq, a0.s::BIGINT AS start_offset, a0.e::BIGINT AS end_offset,
+       CASE WHEN b0.hash IS NULL THEN 'lost' ELSE 'changed' END AS kind, a0.hash AS expected_sha256,
+       b0.hash AS found_sha256, a3.hash AS root, b3.hash AS found_root
+FROM a0 LEFT JOIN b0 USING (file, idx) JOIN a3 USING (file) LEFT JOIN b3 USING (file)
+WHERE b0.hash IS DISTINCT FROM a0.hash"""

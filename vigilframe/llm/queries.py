@@ -78,3 +78,36 @@ def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     fold = bucket(F.col("doc_id"), 10)
     return lm.score(read(spark, folder, "documents"), fold != 0).withColumn(
         "held_out", bucket(F.col("doc_id"), 10) == 0)
+
+
+#: 16 shards over a prime number of slots, a hundred for each
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(16)], 1613
+
+
+@query
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm.sharding import place_rows
+
+    return place_rows(read(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+
+
+@query
+def op3_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Audits a replica of ``pages`` in which one record in 37 has one character changed and one in
+    101 is lost, by the checksum of its place."""
+    from vigilframe.llm.fixity import audit, lay_out
+    from vigilframe.llm.tables import Scratch
+
+    scratch = Scratch(spark, "fixity")
+    records = scratch.write(lay_out(read(spark, folder, "pages")), "records")
+    mark = F.crc32(F.concat_ws("/", "file", "seq").cast("binary"))
+    damaged = F.when(mark % 37 == 3, F.overlay("record", F.lit("#"), F.lit(60))).otherwise(F.col("record"))
+    replica = records.where(mark % 101 != 5).withColumn("record", damaged)
+    return audit(records, replica, scratch=scratch)
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
