@@ -3,7 +3,8 @@
 Every text becomes a set of word shingles (64-bit hashes), K MinHash samples, bands of ROWS samples,
 and an odd sketch: each sample flips one bit, so the bits that differ between two sketches count the
 samples that differ.  So many bands are taken that a pair at the threshold meets in none of them with
-a chance below MISS, and the sketch bound is set with the same care.
+a chance below MISS, and the sketch bound is set with the same care.  A second parity bitmap folds the
+whole set: its differing bits never outnumber the shingles that differ, so it sifts without any risk.
 
 Texts with equal sets become one node first.  A bucket of n nodes is never expanded into its n*n
 pairs: every node meets the smallest node of its buckets (one pair for each node), links are
@@ -34,8 +35,9 @@ from vigilframe.llm.tables import Scratch
 
 ROWS = 5
 MISS = 1e-8
-SKETCH_BITS = 512
-WORDS = SKETCH_BITS // 64
+#: of the samples' sketch and of the whole set's
+SKETCH_BITS, SET_BITS = 512, 1024
+WORDS, SET_WORDS = SKETCH_BITS // 64, SET_BITS // 64
 SIGMAS = 6.5
 SEED = 20240117
 
@@ -80,6 +82,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    places = (hashes >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 class Signer:
     def __init__(self, percent: int):
         self.bands = bands_for(percent)
@@ -90,15 +97,14 @@ class Signer:
         self.tag = _mix(np.arange(1, k + 1).astype(np.uint64))
 
     def sign(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys and the odd sketch (words of 64 bits)."""
+        """Band keys and both parity bitmaps (words of 64 bits)."""
         least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(codes), 1024):
             values = codes[i:i + 1024, None] * self.a
             values += self.b
             np.minimum(least, values.min(axis=0), out=least)
-        places = (_mix(least ^ self.tag) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(int)
-        odd = (np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)
-        sketch = np.packbits(odd).view(np.int64)
+        sketch = np.concatenate([_parity(_mix(least ^ self.tag), SKETCH_BITS),
+                                 _parity(_mix(codes), SET_BITS)])
         key = np.arange(1, self.bands + 1).astype(np.uint64)
         rows = least.reshape(self.bands, ROWS)
         for k in range(ROWS):
@@ -144,35 +150,47 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def _apart(left: str, right: str) -> Column:
-    """Bits in which two sketches differ."""
-    bits = [F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(WORDS)]
+def _apart(a: str, b: str, words: range = range(WORDS)) -> Column:
+    """Bits in which the sketches ``s{a}`` and ``s{b}`` differ."""
+    bits = [F.bit_count(F.col(f"s{a}")[i].bitwiseXOR(F.col(f"s{b}")[i])) for i in words]
     return sum(bits[1:], bits[0])
 
 
+def _possible(percent: int, a: str = "a", b: str = "b") -> Column:
+    """Sizes and sketches (columns n and s of either side) allow a link.
+
+    At most (100 - p) / (100 + p) of both sizes may differ if the share p is to be reached.
+    """
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & (_apart(a, b) <= sketch_limit(percent))
+            & (_apart(a, b, range(WORDS, WORDS + SET_WORDS)) * (100 + percent)
+               <= (na + nb) * (100 - percent)))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                 percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     scratch = scratch or Scratch(docs.sparkSession, "neardup")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type, limit = rows.schema["id"].dataType.simpleString(), sketch_limit(percent)
+    id_type = rows.schema["id"].dataType.simpleString()
     signed = scratch.write(rows.mapInArrow(
         _signed(shingle, percent),
         f"id {id_type}, n long, set binary, bands array<long>, sketch array<long>"), "signed")
     nodes = scratch.write(signed.where("set IS NOT NULL AND id IS NOT NULL").groupBy("set").agg(
-        F.min("id").alias("x"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "nodes")
+        F.min("id").alias("x"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch")), "nodes")
     placed = nodes.select("x", F.explode("bands").alias("key"))
     heads = placed.groupBy("key").agg(F.min("x").alias("m"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.write(placed.join(heads.select("key", "m"), "key"), "shared")
-    sketches = nodes.select("x", "sketch")
     texts = None
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sketches are near enough."""
-        both = pairs.join(sketches.select(F.col("x").alias("b"), F.col("sketch").alias("sb")), "b")
-        both = both.join(sketches.select(F.col("x").alias("a"), F.col("sketch").alias("sa")), "a")
-        return both.where(_apart("sa", "sb") <= limit).select("a", "b")
+        for side in "ba":
+            pairs = pairs.join(nodes.select(F.col("x").alias(side), F.col("n").alias(f"n{side}"),
+                                            F.col("sketch").alias(f"s{side}")), side)
+        return pairs.where(_possible(percent)).select("a", "b")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """Decide (a, b) on the full sets."""
@@ -203,15 +221,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = labelled(shared.select("key", "x"))
     mixed = held.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max_by("c", "n").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    rest = scratch.write(held.join(mixed.select("key", "most"), "key").join(sketches, "x"), "mixed")
-    few = rest.where("c <> most").select("key", F.col("x").alias("a"), F.col("c").alias("ca"),
-                                         F.col("sketch").alias("sa"))
-    met = few.join(rest.select("key", "most", F.col("x").alias("b"), F.col("c").alias("cb"),
-                               F.col("sketch").alias("sb")), "key").where(
+    rest = scratch.write(held.join(mixed.select("key", "most"), "key").join(
+        nodes.select("x", "n", "sketch"), "x"), "mixed")
+
+    def side(name: str) -> list[Column]:
+        return [F.col(c).alias(f"{to}{name}") for c, to in (("x", ""), ("c", "c"), ("n", "n"), ("sketch", "s"))]
+
+    few = rest.where("c <> most").select("key", *side("a"))
+    met = few.join(rest.select("key", "most", *side("b")), "key").where(
         (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b")))
-        & (_apart("sa", "sb") <= limit))
+        & _possible(percent))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                     _apart("sa", "sb").alias("apart")).distinct().join(
+                     _apart("a", "b").alias("apart")).distinct().join(
         decided.select("a", "b"), ["a", "b"], "left_anti")
     met = scratch.write(met, "met")
 
