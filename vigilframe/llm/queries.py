@@ -111,3 +111,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm import licences
+
+    docs = read(spark, folder, "documents")
+    return licences.scan(docs, licences.fit(docs))
