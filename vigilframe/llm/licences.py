@@ -18,12 +18,11 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.llm.decontaminate import words
@@ -77,38 +76,47 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
-def grams(w: str) -> Column:
-    """The distinct pairs and triples of neighbouring words."""
-    def of(size: int) -> Column:
-        zipped = F.arrays_zip(*[F.slice(w, k + 1, F.greatest(F.size(w) - (size - 1), F.lit(0))).alias(f"w{k}")
-                                for k in range(size)])
-        return F.transform(zipped, lambda s: F.concat_ws(" ", *[s[f"w{k}"] for k in range(size)]))
-
-    return F.array_distinct(F.concat(of(2), of(3)))
-
-
 @dataclass
 class LicenceModel:
+    """Classes in order, and three small tables whose size the templates fix."""
+
     classes: list[str]
-    vocabulary: list[str]
-    weights: list[list[float]]  # by word n-gram, one for each class
     intercepts: list[float]
     temperature: float
-    templates: list[tuple[str, list[str]]]
+    pairs: DataFrame  # (pair): the first two words of every feature
+    features: DataFrame  # (gram, w): a weight for each class
+    templates: DataFrame  # (class, template, gram, size)
 
 
-def _rows(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
-    """Few fixed rows as an expression, so that no Python data enters a plan."""
-    each = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(t).alias("text")) for c, t in texts])
-    return spark.range(1).select(F.inline(each)).select("class", words(F.col("text")).alias("w"))
+def _placed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per word pair of a paragraph (column ``w``), with the word that follows, or null."""
+    n = F.size("w")
+    zipped = F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(3)])
+    return lines.where(n > 1).select(*keys, F.explode(zipped).alias("s")).select(
+        *keys, F.concat_ws(" ", "s.w0", "s.w1").alias("pair"), F.col("s.w1").alias("w1"),
+        F.col("s.w2").alias("w2")).where(F.col("w1").isNotNull())
+
+
+def grams_of(lines: DataFrame, keys: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """(keys, gram): the distinct pairs and triples of every paragraph.
+
+    With ``pairs`` only places where a known pair begins are looked at, which is all that features
+    can begin with.
+    """
+    placed = _placed(lines, keys)
+    if pairs is not None:
+        placed = placed.join(pairs, "pair")
+    triple = F.when(F.col("w2").isNotNull(), F.concat_ws(" ", "pair", "w2"))
+    return placed.select(*keys, F.explode(F.array_compact(F.array("pair", triple))).alias("gram")).distinct()
 
 
 def _thinned(rows: DataFrame, first: int, copies: int) -> DataFrame:
-    """Each row ``copies`` times, whole or with up to a fifth of its words left out."""
-    made = rows.select("class", "w", F.explode(F.sequence(F.lit(first), F.lit(first + copies - 1))).alias("copy"))
+    """Each template ``copies`` times, whole or with up to a fifth of its words left out."""
+    made = rows.select("class", "template", "w",
+                       F.explode(F.sequence(F.lit(first), F.lit(first + copies - 1))).alias("copy"))
     keep = F.filter("w", lambda x, i: (F.pmod(F.xxhash64(x, i, F.col("copy")), F.lit(100))
                                        >= F.pmod(F.col("copy"), F.lit(5)) * 5))
-    return made.select("class", keep.alias("w"))
+    return made.select("class", "template", "copy", keep.alias("w"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", background: int = BACKGROUND,
@@ -116,82 +124,89 @@ def fit(docs: DataFrame, text_col: str = "text", background: int = BACKGROUND,
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "licences")
     classes = sorted({c for c, _ in templates} | {NONE})
-    fixed = _rows(spark, list(templates)).withColumn("grams", grams("w"))
-    known = [(r["class"], r["grams"]) for r in fixed.collect()]  # the fixed templates
-    vocabulary = sorted({g for _, held in known for g in held})
-    vocab = F.array(*[F.lit(g) for g in vocabulary])
+    fixed = spark.createDataFrame([(c, i, t) for i, (c, t) in enumerate(templates)],
+                                  "class string, template int, text string")
+    fixed = scratch.write(fixed.select("class", "template", words(F.col("text")).alias("w")), "fixed")
+    known = grams_of(fixed, ["class", "template"])
+    known = scratch.write(known.join(known.groupBy("template").agg(F.count("*").alias("size")), "template")
+                          .select("class", "template", "gram", "size"), "templates")
+    vocabulary = [r["gram"] for r in known.select("gram").distinct().orderBy("gram").collect()]
+    pairs = scratch.write(known.where("gram NOT LIKE '% % %'").select(
+        F.col("gram").alias("pair")).distinct(), "pairs")
+    vocab = known.select("gram").distinct()
+
     share = min(1.0, background / max(1, docs.count()))
     lines = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(share * (1 << 20))).select(
-        F.explode(F.split(text_col, "\n")).alias("line")).select(words(F.col("line")).alias("w"))
-    lines = lines.withColumn("grams", F.array_intersect(grams("w"), vocab))
-    near = [F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in held]))) * 3 >= len(held)
-            for _, held in known if held]
-    apart = near[0]
-    for one in near[1:]:
-        apart = apart | one
-    empty = F.array().cast("array<string>")
-    rows = _thinned(fixed, 0, COPIES).select("class", F.array_intersect(grams("w"), vocab).alias("grams"))
-    rows = rows.unionByName(lines.where(~apart).select(F.lit(NONE).alias("class"), "grams"))
-    rows = rows.unionByName(spark.range(1).select(F.lit(NONE).alias("class"), empty.alias("grams")))
-    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")) - 1
-    # equal rows are one weighted row: the background is mostly featureless
-    rows = rows.withColumn("grams", F.array_sort("grams")).groupBy("class", "grams").agg(
-        F.count("*").cast("double").alias("weight")).withColumn("label", number.cast("double"))
+        F.monotonically_increasing_id().alias("uid"),
+        F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line")).select(
+        "uid", "paragraph", words(F.col("line")).alias("w"))
+    place = ["uid", "paragraph"]
+    held = scratch.write(grams_of(lines, place, pairs).join(vocab, "gram"), "background")
+    near = held.join(known, "gram").groupBy(*place, "template", "size").agg(F.count("*").alias("n")).where(
+        "3 * n >= size").select(*place).distinct()
+    rows = held.join(near, place, "left_anti").groupBy(*place).agg(F.collect_set("gram").alias("grams"))
+    featureless = lines.count() - held.select(*place).distinct().count() + 1
+    rows = rows.select(F.lit(NONE).alias("class"), "grams", F.lit(1.0).alias("weight")).unionByName(
+        spark.range(1).select(F.lit(NONE).alias("class"), F.array().cast("array<string>").alias("grams"),
+                              F.lit(float(featureless)).alias("weight")))
+    copy = ["class", "template", "copy"]
+    rows = rows.unionByName(grams_of(_thinned(fixed, 0, COPIES), copy, pairs).join(vocab, "gram").groupBy(
+        *copy).agg(F.collect_set("gram").alias("grams")).select("class", "grams", F.lit(1.0).alias("weight")))
+    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")).cast("int") - 1
+    rows = rows.groupBy("class", F.array_sort("grams").alias("grams")).agg(F.sum("weight").alias("weight"))
+    table = scratch.write(rows.withColumn("label", number.cast("double")), "rows")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
     vectors.setBinary(True)
-    table = scratch.write(rows, "rows")
-    model = LogisticRegression(maxIter=60, regParam=0.0005, standardization=False, family="multinomial",
-                               weightCol="weight").fit(vectors.transform(table))
-    by_class = model.coefficientMatrix.toArray()
-    weights = [[float(by_class[k, i]) for k in range(len(classes))] for i in range(len(vocabulary))]
-    out = LicenceModel(classes, vocabulary, weights, [float(x) for x in model.interceptVector], 1.0, known)
+    learned = LogisticRegression(maxIter=60, regParam=0.0005, standardization=False, family="multinomial",
+                                 weightCol="weight").fit(vectors.transform(table))
+    by_class = learned.coefficientMatrix.toArray()
+    features = scratch.write(spark.createDataFrame(
+        [(g, by_class[:, i].tolist()) for i, g in enumerate(vocabulary)], "gram string, w array<double>"),
+        "features")
+    out = LicenceModel(classes, [float(x) for x in learned.interceptVector], 1.0, pairs, features, known)
     # the temperature with the least log-loss on copies that were not learned from
-    test = _thinned(fixed, 1000, CALIBRATION_COPIES).select("class", F.array_intersect(
-        grams("w"), vocab).alias("grams")).where(F.size("grams") > 0)
-    test = test.withColumn("logits", _logits(out, "grams"))
-    told = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")).cast("int") - 1
-    losses = test.select(*[F.avg(-F.log(F.greatest(F.get(_softmax(F.col("logits"), t), told), F.lit(1e-12)))
-                                 ).alias(str(i)) for i, t in enumerate(TEMPERATURES)]).first()
-    out.temperature = min(range(len(TEMPERATURES)), key=lambda i: losses[i] if losses[i] is not None else math.inf)
-    out.temperature = TEMPERATURES[out.temperature]
-    scratch.clear()
+    test = logits(grams_of(_thinned(fixed, 1000, CALIBRATION_COPIES), copy, pairs), copy, out)
+    told = F.get(_softmax(F.col("logits"), F.col("t")), number)
+    losses = test.withColumn("t", F.explode(F.array(*[F.lit(t) for t in TEMPERATURES]))).groupBy("t").agg(
+        F.avg(-F.log(F.greatest(told, F.lit(1e-12)))).alias("loss")).orderBy("loss", "t").first()
+    out.temperature = losses["t"] if losses else 1.0
     return out
 
 
-def _logits(model: LicenceModel, column: str) -> Column:
-    row = {g: w for g, w in zip(model.vocabulary, model.weights)}
-    table = F.create_map(*[x for g, w in row.items() for x in (F.lit(g), F.array(*[F.lit(v) for v in w]))])
-    start = F.array(*[F.lit(x) for x in model.intercepts])
-    return F.aggregate(column, start, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
+def logits(grams: DataFrame, keys: list[str], model: LicenceModel) -> DataFrame:
+    """(keys, grams, logits) of paragraphs with features."""
+    n = len(model.classes)
+    rows = grams.join(model.features, "gram").groupBy(*keys).agg(
+        F.collect_set("gram").alias("grams"), *[F.sum(F.col("w")[k]).alias(f"_l{k}") for k in range(n)])
+    return rows.select(*keys, "grams", F.array(*[F.col(f"_l{k}") + model.intercepts[k] for k in range(n)])
+                       .alias("logits"))
 
 
-def _softmax(logits: Column, temperature: float) -> Column:
-    top = F.array_max(logits)
-    parts = F.transform(logits, lambda x: F.exp((x - top) / temperature))
+def _softmax(values: Column, temperature: Column) -> Column:
+    parts = F.transform(values, lambda x: F.exp((x - F.array_max(values)) / temperature))
     return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per licence paragraph: id, paragraph (its line, from 0), family, probability, similarity, text."""
-    vocab = F.array(*[F.lit(g) for g in model.vocabulary])
-    classes = F.array(*[F.lit(c) for c in model.classes])
-    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    rows = lines.withColumn("w", words(F.col("line"))).withColumn(
-        "grams", F.array_intersect(grams("w"), vocab)).where(F.size("grams") > 0)
-    rows = rows.withColumn("p", _softmax(_logits(model, "grams"), model.temperature))
-    families = [k for k, c in enumerate(model.classes) if c not in (NONE, UNKNOWN)]
-    p_family = F.array_max(F.array(*[F.get("p", F.lit(k)) for k in families]))
-    best = F.get(classes, F.array_position("p", p_family).cast("int") - 1)
-    rows = rows.withColumn("p_family", p_family).withColumn("best", best).withColumn(
-        "p_none", F.get("p", F.lit(model.classes.index(NONE)))).where("p_none < 0.5")
-    compared = F.array(*[F.struct(F.lit(c).alias("class"), F.array(*[F.lit(g) for g in held]).alias("held"))
-                         for c, held in model.templates if held])
-    likeness = F.transform(F.filter(compared, lambda t: t["class"] == F.col("best")),
-                           lambda t: F.size(F.array_intersect("grams", t["held"])) / F.size(t["held"]))
-    rows = rows.withColumn("similarity", F.coalesce(F.array_max(likeness), F.lit(0.0)))
+    """Per licence paragraph: id, paragraph (its line, from 0), family, probability and similarity."""
+    keys = ["uid", "id", "paragraph"]
+    lines = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),
+                        F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line")).select(
+        *keys, words(F.col("line")).alias("w"))
+    rows = logits(grams_of(lines, keys, model.pairs), keys, model).select(
+        *keys, "grams", _softmax(F.col("logits"), F.lit(model.temperature)).alias("p"))
+    families = F.array(*[F.lit(c) for c in model.classes])
+    ranked = F.array_max(F.filter(F.arrays_zip(F.col("p").alias("p"), families.alias("class")),
+                                  lambda x: ~x["class"].isin(NONE, UNKNOWN)))
+    rows = rows.select(*keys, "grams", F.get("p", F.lit(model.classes.index(NONE))).alias("p_none"),
+                       ranked.alias("best")).where("p_none < 0.5").select(
+        *keys, "grams", "p_none", F.col("best.class").alias("class"), F.col("best.p").alias("p_family"))
+    held = model.templates.groupBy("class", "template", "size").agg(F.collect_set("gram").alias("held"))
+    likeness = F.size(F.array_intersect("grams", "held")) / F.col("size")
+    rows = rows.join(held, "class", "left").groupBy(*keys, "class", "p_none", "p_family").agg(
+        F.coalesce(F.max(likeness), F.lit(0.0)).alias("similarity"))
     stands = (F.col("p_family") >= SURE) & (F.col("similarity") >= CONTAINED)
     return rows.select(
-        F.col("_id").alias(id_col), F.col("paragraph").cast("long").alias("paragraph"),
-        F.when(stands, F.col("best")).otherwise(F.lit(UNKNOWN)).alias("family"),
-        F.when(stands, F.col("p_family")).otherwise(1 - F.col("p_none")).alias("probability"),
-        "similarity", F.col("line").alias("text"))
+        F.col("id").alias(id_col), F.col("paragraph").cast("long").alias("paragraph"),
+        F.when(stands, F.col("class")).otherwise(F.lit(UNKNOWN)).alias("family"),
+        F.when(stands, F.col("p_family")).otherwise(1 - F.col("p_none")).alias("probability"), "similarity")
