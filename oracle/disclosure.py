@@ -261,14 +261,15 @@ SQL["consent_enrolled"] = "WITH " + FOLD + """
 SELECT pid, status FROM states WHERE status IN ('ACTIVE', 'PARTIAL')"""
 SQL["consent_revocations"] = "WITH " + FOLD + "\nSELECT pid, seq FROM log WHERE kind = 'revoke'"
 SQL["forgotten_rows"] = "WITH " + FOLD + """,
-kept AS (
-  SELECT user_id::VARCHAR AS pid, 'journal' AS kind FROM events
-  WHERE user_id::VARCHAR NOT IN (SELECT pid FROM states WHERE status = 'REVOKED')
-  UNION ALL
-  SELECT o_custkey::VARCHAR, 'alerts' FROM orders WHERE o_orderstatus = 'F'
-    OR o_custkey::VARCHAR NOT IN (SELECT pid FROM states WHERE status = 'REVOKED')
+had AS (
+  SELECT user_id::VARCHAR AS pid, 'journal' AS kind, event_id AS seq, false AS safe FROM events
+  UNION ALL SELECT pid, 'receipts', seq, false FROM log WHERE log.kind = 'enrol'
+  UNION ALL SELECT o_custkey::VARCHAR, 'alerts', o_orderkey, o_orderstatus = 'F' FROM orders
 )
-SELECT kind, pid, count(*) AS n FROM kept GROUP BY ALL"""
+SELECT kind, pid, count(*) AS n FROM had
+WHERE safe OR NOT EXISTS (
+  SELECT 1 FROM log WHERE log.kind = 'revoke' AND log.pid = had.pid AND log.seq > had.seq)
+GROUP BY ALL"""
 
 TEXTS = """
 texts AS (

@@ -560,7 +560,7 @@ SQL["monitored_cases"] = run("""
 SELECT pid, unit_id, round(composite, 9) AS composite FROM verdicts WHERE decision = 'MONITOR'""")
 
 SQL["refused_nearest"] = run("""
-SELECT substr(pid, 1, 12) AS pid, unit_id, decision, reason, round(composite, 9) AS composite,
+SELECT pid, substr(pid, 1, 12) AS short_pid, unit_id, decision, reason, round(composite, 9) AS composite,
   round(miss, 9) AS closest_miss FROM (
   SELECT *, round(coalesce(least(CASE WHEN NOT evidence_passed THEN 0.65 - evidence END,
     CASE WHEN NOT consistency_passed THEN 0.70 - consistency END,
@@ -579,14 +579,15 @@ SELECT pid, decision IN ('ESCALATE', 'IMMEDIATE_ESCALATE') AS named_to_an_office
 FROM (
   SELECT pid, decision, 'evidence' AS gate, evidence AS value, 0.65 AS threshold, evidence_passed AS passed FROM verdicts
   UNION ALL SELECT pid, decision, 'consistency', consistency, 0.70, consistency_passed FROM verdicts
-  UNION ALL SELECT pid, decision, 'persistence', persistence, 0.60, persistence_passed FROM verdicts
+  UNION ALL SELECT pid, decision, 'persistence', persistence, 0.20, persistence_passed FROM verdicts
   UNION ALL SELECT pid, decision, 'actionability', actionability, 0.50, actionability_passed FROM verdicts)""")
 
 SQL["case_payload"] = run(f"""
 SELECT pid, decision, reason, 'evidence' AS first_gate,
   'evidence = 0.50x' || {f("volume", 3)} || ' + 0.30x' || {f("breadth", 3)} || ' + 0.20x'
     || has_t1::INT || ' = ' || {f("evidence", 3)} AS formula,
-  nullif(split_part(recommended, ',', 1), '') AS first_action
+  0.65::DOUBLE AS threshold_0, 0.70::DOUBLE AS threshold_1, 0.20::DOUBLE AS threshold_2,
+  0.50::DOUBLE AS threshold_3, nullif(split_part(recommended, ',', 1), '') AS first_action
 FROM verdicts JOIN recommended USING (pid)""")
 
 SQL["gate_table"] = run(f"""
@@ -594,7 +595,7 @@ SELECT pid, decision, 'evid' || CASE WHEN evidence_passed THEN '+' ELSE '-' END
   || ' cons' || CASE WHEN consistency_passed THEN '+' ELSE '-' END || {f("consistency", 2)}
   || ' pers' || CASE WHEN persistence_passed THEN '+' ELSE '-' END || {f("persistence", 2)}
   || ' acti' || CASE WHEN actionability_passed THEN '+' ELSE '-' END || {f("actionability", 2)}
-  AS gates, substr(reason, 1, 38) AS reason FROM verdicts""")
+  AS gates, reason, substr(reason, 1, 38) AS short_reason FROM verdicts""")
 
 SQL["units_covered"] = run("SELECT DISTINCT unit_id FROM cases WHERE unit_id <> ''")
 

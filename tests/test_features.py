@@ -180,3 +180,21 @@ def test_config_is_checked():
         Config(baseline_lag=30)
     with pytest.raises(ValueError):
         Config(persistence_weights=(0.5, 0.5, 0.5))
+
+
+def test_one_key_with_most_rows_is_cut_into_stretches(spark):
+    from pyspark.sql import functions as F
+
+    from vigilframe.functions.ordered import lagged, running
+
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")).alias("pid"),
+        F.col("id").alias("seq"), (F.col("id") % 7).alias("v"))
+    out = running(rows, ["pid"], "seq", {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}, 64)
+    out = lagged(out, ["pid"], "seq", "v", "before", 64).filter("pid = 'hot'").orderBy("seq").collect()
+    total, last = 0, None
+    for r in out:
+        total += r.v
+        assert (r.total, r.before) == (total, last)
+        last = r.v
+    assert len(out) == 4500 and max(r.top for r in out) == 6

@@ -2,7 +2,9 @@
 
 from datetime import datetime
 
+import pytest
 from conftest import SMALL
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from vigilframe.operators import alerts, intraday, protect
@@ -82,7 +84,8 @@ def test_nothing_is_routed_without_a_ledger(spark, tmp_path):
         night.cases, night.fractions, T.EVENTS_CONFIG, ledger=broken,
         routes=lambda rows, b: seen.append("route"), verdicts=lambda rows, b: seen.append("verdict"),
         unrecorded=assessments.write_batch(str(tmp_path / "manual")))
-    assessments.follow(responses, body, str(tmp_path / "ckpt")).awaitTermination(240)
+    with pytest.raises(StreamingQueryException):  # the batch is not committed: nothing is lost
+        assessments.follow(responses, body, str(tmp_path / "ckpt")).awaitTermination(240)
     manual = spark.read.parquet(str(tmp_path / "manual"))
     assert seen == [] and manual.count() > 0
     assert "NOT been routed" in manual.first().message
@@ -157,3 +160,31 @@ def test_journal_stream(spark, tmp_path):
                    lambda df, b: rows.extend(df.collect()),
                    str(tmp_path / "ckpt")).awaitTermination(240)
     assert {(r.pid, r.events, r.total, r.acute) for r in rows} == {("a", 2, 12, True)}
+
+
+def test_later_batches_count_the_earlier_ones_and_the_freeze(spark, tmp_path):
+    night, cfg = night_of(spark, SMALL), T.EVENTS_CONFIG
+    rows = T.assessments(spark, SMALL).cache()
+    middle = rows.approxQuantile("response_id", [0.5], 0)[0] if dict(rows.dtypes)["response_id"] != "string" \
+        else sorted(r.response_id for r in rows.select("response_id").collect())[rows.count() // 2]
+    first, second = rows.filter(F.col("response_id") < middle), rows.filter(F.col("response_id") >= middle)
+    got = {}
+
+    def keep(decided, batch):
+        got.update({r.pid: r.decision for r in decided.select("pid", "decision").collect()})
+
+    def run(frozen):
+        got.clear()
+        body = assessments.handler(
+            night.cases, night.fractions, cfg, ledger=lambda r, b: None, routes=lambda r, b: None,
+            verdicts=keep, earlier=lambda batch: first if batch else rows.limit(0), frozen=frozen)
+        body(first, 0)
+        body(second, 1)
+        return dict(got)
+
+    want = {r.pid: r.decision for r in intraday.redecide(
+        night.cases, intraday.score_responses(rows, cfg), night.fractions, cfg).select(
+        "pid", "decision").collect()}
+    assert run(False) == want
+    named = {p for p, d in want.items() if d == "ESCALATE"}
+    assert all(d != "ESCALATE" for d in run(True).values()) or not named

@@ -1,9 +1,10 @@
 """Running totals and previous rows of keys that may be arbitrarily large.
 
-A window over a key is one task however many rows the key holds.  That is fine while no key is
-large, which ``stretch_for`` checks with one count per key.  Beyond that a key's rows are cut into
-stretches of its order column: a window only sees one stretch, and one summary row per (key, stretch)
-crosses the border.  Both ways give the same columns.
+A window over a key is one task however many rows the key holds.  So the order column is cut into
+stretches of fixed width: a window sees one stretch of a key, and one summary row per (key, stretch)
+crosses the border.  With an order that is unique within a key a stretch holds WIDTH rows at most, and
+no key has more borders than the whole range of the order column has stretches.  There is one plan
+for every size and no job while it is built.
 """
 
 from __future__ import annotations
@@ -13,32 +14,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 1 << 20
+WIDTH = 1 << 16
 KINDS = {"sum": F.sum, "max": F.max}
 
 
-def stretch_for(rows: DataFrame, key: str, limit: int = SPAN) -> int | None:
-    """None while every key fits one window, else the width of a stretch."""
-    largest = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return None if (largest or 0) <= limit else limit
-
-
-def _cut(rows: DataFrame, order: str, span: int) -> DataFrame:
-    return rows.withColumn("_stretch", F.floor(F.col(order) / span))
+def _cut(rows: DataFrame, order: str, width: int) -> DataFrame:
+    return rows.withColumn("_stretch", F.floor(F.col(order) / width))
 
 
 def running(rows: DataFrame, keys: Sequence[str], order: str,
-            totals: Mapping[str, tuple[str, Column]], span: int | None) -> DataFrame:
+            totals: Mapping[str, tuple[str, Column]], width: int = WIDTH) -> DataFrame:
     """Add running ``sum`` or ``max`` columns per key, up to and including each row.
 
-    ``order`` is numeric and unique within a key.  With a ``span`` the input is read twice.
+    ``order`` is numeric and unique within a key.  The input is read twice.
     """
     keys = list(keys)
-    if span is None:
-        upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumns({n: KINDS[k](c).over(upto) for n, (k, c) in totals.items()})
-    rows = _cut(rows, order, span).withColumns({f"_v_{n}": c for n, (_, c) in totals.items()})
+    rows = _cut(rows, order, width).withColumns({f"_v_{n}": c for n, (_, c) in totals.items()})
     inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(
@@ -58,12 +49,10 @@ def running(rows: DataFrame, keys: Sequence[str], order: str,
 
 
 def lagged(rows: DataFrame, keys: Sequence[str], order: str, column: str, alias: str,
-           span: int | None) -> DataFrame:
+           width: int = WIDTH) -> DataFrame:
     """Add the value of ``column`` (never NULL) on the key's previous row."""
     keys = list(keys)
-    if span is None:
-        return rows.withColumn(alias, F.lag(column).over(Window.partitionBy(*keys).orderBy(order)))
-    rows = _cut(rows, order, span)
+    rows = _cut(rows, order, width)
     inside = Window.partitionBy(*keys, "_stretch").orderBy(order)
     last = rows.groupBy(*keys, "_stretch").agg(F.max(F.struct(
         F.col(order).alias("o"), F.col(column).alias("v"))).alias("_last"))

@@ -7,7 +7,7 @@ from datetime import datetime, time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.functions.ordered import SPAN, lagged, running, stretch_for
+from vigilframe.functions.ordered import WIDTH, lagged, running
 from vigilframe.session import materialised
 
 CONSOLE_OPENS = time(7, 0)
@@ -45,7 +45,7 @@ def pending(alerts: DataFrame, unit_id: str = "") -> DataFrame:
     return out.filter(F.col("unit_id") == unit_id) if unit_id else out
 
 
-def replay(log: DataFrame, limit: int = SPAN) -> DataFrame:
+def replay(log: DataFrame, width: int = WIDTH) -> DataFrame:
     """Final alerts of a (pid, seq, kind) log of enqueue, deliver and cancel, in order.
 
     A delivery takes the oldest undelivered alert and does nothing on an empty queue; a cancellation
@@ -56,21 +56,16 @@ def replay(log: DataFrame, limit: int = SPAN) -> DataFrame:
     def is_(kind: str) -> Column:
         return (F.col("kind") == kind).cast("bigint")
 
-    span = stretch_for(log, "pid", limit)
-
-    def step(rows: DataFrame, name: str) -> DataFrame:
-        # cut into stretches every step reads its input twice, so the input is written first
-        return rows if span is None else materialised(rows, name)
-
-    rows = running(log, ["pid"], "seq", {"epoch": ("sum", is_("cancel"))}, span)
-    rows = running(step(rows, "alert-epochs"), ["pid", "epoch"], "seq",
-                   {"alert_no": ("sum", is_("enqueue")), "tries": ("sum", is_("deliver"))}, span)
-    rows = running(step(rows, "alert-counts"), ["pid", "epoch"], "seq",
-                   {"excess": ("max", F.col("tries") - F.col("alert_no"))}, span)
+    # every step reads its input twice, so the input is written first
+    rows = running(log, ["pid"], "seq", {"epoch": ("sum", is_("cancel"))}, width)
+    rows = running(materialised(rows, "alert-epochs"), ["pid", "epoch"], "seq",
+                   {"alert_no": ("sum", is_("enqueue")), "tries": ("sum", is_("deliver"))}, width)
+    rows = running(materialised(rows, "alert-counts"), ["pid", "epoch"], "seq",
+                   {"excess": ("max", F.col("tries") - F.col("alert_no"))}, width)
     wasted = F.greatest(F.lit(0), F.col("excess"))
     rows = rows.withColumn("taken", F.col("tries") - wasted)
-    rows = step(rows, "alert-taken")
-    rows = lagged(rows, ["pid", "epoch"], "seq", "taken", "before", span)
+    rows = lagged(materialised(rows, "alert-taken"), ["pid", "epoch"], "seq", "taken", "before",
+                  width)
     fresh = F.col("taken") > F.coalesce("before", F.lit(0))
     alerts = rows.filter("kind = 'enqueue'").select("pid", "epoch", "alert_no", "seq")
     served = rows.filter((F.col("kind") == "deliver") & fresh).select(

@@ -54,17 +54,20 @@ def revocations_for_auditor(events: DataFrame) -> DataFrame:
     return events.filter(F.col("kind") == "revoke").select("pid", "seq")
 
 
-def forget(tables: dict[str, DataFrame], states: DataFrame) -> dict[str, DataFrame]:
-    """Drop receipts, undelivered alerts and journal rows of everyone who withdrew."""
-    gone = states.filter(F.col("status") == "REVOKED").select("pid")
+def forget(tables: dict[str, DataFrame], events: DataFrame) -> dict[str, DataFrame]:
+    """Drop receipts, undelivered alerts and journal rows from before a person's last withdrawal.
+
+    A withdrawal erases when it happens: completing afterwards brings nothing back, and what
+    follows a new enrolment is kept.  ``events`` and the tables are ordered by ``seq``.
+    """
+    gone = events.filter(F.col("kind") == "revoke").groupBy("pid").agg(
+        F.max("seq").alias("_erased"))
     out = {}
     for name, table in tables.items():
+        erased = F.coalesce(F.col("seq") < F.col("_erased"), F.lit(False))
         if name == "alerts":
-            pending, seen = (table.filter("delivered_at IS NULL"),
-                             table.filter("delivered_at IS NOT NULL"))
-            out[name] = pending.join(gone, "pid", "left_anti").unionByName(seen)
-        else:
-            out[name] = table.join(gone, "pid", "left_anti")
+            erased = erased & F.col("delivered_at").isNull()
+        out[name] = table.join(gone, "pid", "left").filter(~erased).drop("_erased")
     return out
 
 

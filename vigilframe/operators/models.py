@@ -77,19 +77,23 @@ def score(model: RiskModel | None, rows: DataFrame) -> DataFrame:
 
 def digest(spark: SparkSession, path: str) -> str:
     """SHA-256 over the files of a saved model: hashed in tasks, a short list is combined."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .filter(~F.col("path").contains("/_")))
     name = F.element_at(F.split("path", "/"), -1)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .filter(~name.startswith("_")))
     listed = files.select(F.concat_ws(":", F.substring_index(F.col("path"), path, -1), name,
                                       F.sha2("content", 256)).alias("line"))
     whole = listed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256))
     return whole.first()[0]
 
 
+def whole_digest(spark: SparkSession, path: str) -> str:
+    return f"{digest(spark, f'{path}/booster')}-{digest(spark, f'{path}/calibrator')}"
+
+
 def save(model: RiskModel, spark: SparkSession, path: str) -> str:
     model.booster.write().overwrite().save(f"{path}/booster")
     model.calibrator.write().overwrite().save(f"{path}/calibrator")
-    mark = digest(spark, f"{path}/booster")
+    mark = whole_digest(spark, path)
     card = spark.range(1).select(F.lit(model.version).alias("version"), F.lit(mark).alias("digest"),
                                  F.array(*[F.lit(f) for f in model.features]).alias("features"))
     card.write.mode("overwrite").json(f"{path}/card")
@@ -101,7 +105,7 @@ def load(spark: SparkSession, path: str) -> RiskModel | None:
     try:
         card = spark.read.schema("version STRING, digest STRING, features ARRAY<STRING>").json(
             f"{path}/card").first()
-        if card is None or digest(spark, f"{path}/booster") != card.digest:
+        if card is None or whole_digest(spark, path) != card.digest:
             return None
         return RiskModel(PipelineModel.load(f"{path}/booster"),
                          IsotonicRegressionModel.load(f"{path}/calibrator"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import GATES, LEGAL_STATES, PLAYBOOK, Config
-from vigilframe.functions.ordered import SPAN, lagged, stretch_for
+from vigilframe.functions.ordered import WIDTH, lagged
 from vigilframe.functions.scalar import fixed, lookup, plural, present, shortest, strings
 from vigilframe.operators.gates import evaluate
 
@@ -203,10 +203,9 @@ def counterfactuals(gated: DataFrame, cfg: Config) -> DataFrame:
 
 
 # -------------------------------------------------------------- state transitions ---
-def illegal_transitions(log: DataFrame, limit: int = SPAN) -> DataFrame:
+def illegal_transitions(log: DataFrame, width: int = WIDTH) -> DataFrame:
     """Moves in a (pid, seq, state) log that the state table does not allow."""
-    span = stretch_for(log, "pid", limit)
-    moves = lagged(log, ["pid"], "seq", "state", "previous", span).filter(
+    moves = lagged(log, ["pid"], "seq", "state", "previous", width).filter(
         F.col("previous").isNotNull())
     allowed = lookup({s: strings(t) for s, t in LEGAL_STATES.items()}, F.col("previous"),
                      strings(()))

@@ -104,7 +104,7 @@ def refused(verdicts: DataFrame, cfg: Config, limit: int) -> DataFrame:
     held = verdicts.filter(~F.col("named")).withColumn(
         "closest_miss", F.round(closest_miss(cfg), 4))
     top = held.orderBy(F.round("closest_miss", 4), "pid").limit(limit)
-    return top.withColumn("pid", F.substring("pid", 1, SHORT_PID))
+    return top.withColumn("short_pid", F.substring("pid", 1, SHORT_PID))
 
 
 # ----------------------------------------------------------------------- explanations ---
@@ -116,7 +116,7 @@ def gate_structs(cfg: Config) -> Column:
         for g in GATES])
 
 
-def own_reasons(verdicts: DataFrame, cfg: Config | None = None) -> DataFrame:
+def own_reasons(verdicts: DataFrame, cfg: Config) -> DataFrame:
     """The account the person is owed: the same gates the officer saw."""
     message = F.when(F.col("named"), F.lit(
         "A welfare officer was given your name, along with these reasons.")).otherwise(F.lit(
@@ -124,7 +124,7 @@ def own_reasons(verdicts: DataFrame, cfg: Config | None = None) -> DataFrame:
             "stopped it."))
     return verdicts.select(
         "pid", F.col("named").alias("named_to_an_officer"), message.alias("message"),
-        F.inline(gate_structs(cfg or Config())))
+        F.inline(gate_structs(cfg)))
 
 
 def plain_driver(feature: Column) -> Column:
@@ -143,11 +143,11 @@ def plain_driver(feature: Column) -> Column:
     return out.otherwise(F.translate(feature, "_", " "))
 
 
-def case_payload(verdicts: DataFrame, cfg: Config | None = None) -> DataFrame:
+def case_payload(verdicts: DataFrame, cfg: Config) -> DataFrame:
     actions = {code: F.struct(F.lit(code).alias("code"), F.lit(title).alias("title"),
                               F.lit(why).alias("rationale"), F.lit(who).alias("authority"))
                for code, title, why, _, who in PLAYBOOK}
-    gates = F.transform(gate_structs(cfg or Config()), lambda g: F.struct(
+    gates = F.transform(gate_structs(cfg), lambda g: F.struct(
         g["gate"].alias("name"), g["value"].alias("value"), g["threshold"].alias("threshold"),
         g["passed"].alias("passed"), g["formula"].alias("formula")))
     document = F.to_json(F.struct(
@@ -163,7 +163,7 @@ def gate_table(verdicts: DataFrame) -> DataFrame:
     signs = [F.concat(F.lit(g[:4]), F.when(F.col(f"{g}_passed"), "+").otherwise("-"),
                       fixed(F.col(g), 2)) for g in GATES]
     return verdicts.select("pid", "decision", F.concat_ws(" ", *signs).alias("gates"),
-                           F.substring("reason", 1, 38).alias("reason"))
+                           "reason", F.substring("reason", 1, 38).alias("short_reason"))
 
 
 # ------------------------------------------------------------------------ what-if sweep ---

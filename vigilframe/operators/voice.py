@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import Config
 from vigilframe.functions.median import grouped_median
-from vigilframe.functions.ordered import SPAN, lagged, running, stretch_for
+from vigilframe.functions.ordered import lagged, running
 from vigilframe.functions.scalar import clamp, fixed, let, settled
 from vigilframe.session import materialised
 
@@ -349,9 +349,8 @@ def as_deviation(gaps: DataFrame, strain: DataFrame, shift: DataFrame, cfg: Conf
         F.lit(0.0).alias("breach_1"), F.lit(0.0).alias("breach_2"), F.lit(0.0).alias("missing"))
 
 
-def sessions_by_gap(frames: DataFrame, idle_ms: int, limit: int = SPAN) -> DataFrame:
+def sessions_by_gap(frames: DataFrame, idle_ms: int, width: int = DAY_MS) -> DataFrame:
     """Cut a person's frames into sittings wherever they were silent for longer than ``idle_ms``."""
-    span = None if stretch_for(frames, "pid", limit) is None else DAY_MS
-    near = lagged(frames, ["pid"], "at_ms", "at_ms", "_before", span)
+    near = lagged(frames, ["pid"], "at_ms", "at_ms", "_before", width)
     fresh = F.coalesce(F.col("at_ms") - F.col("_before") > idle_ms, F.lit(True)).cast("bigint")
-    return running(near, ["pid"], "at_ms", {"sitting": ("sum", fresh)}, span).drop("_before")
+    return running(near, ["pid"], "at_ms", {"sitting": ("sum", fresh)}, width).drop("_before")

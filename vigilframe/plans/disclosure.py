@@ -240,15 +240,18 @@ def consent_revocations(spark, folder):
 def forgotten_rows(spark, folder):
     """What remains of receipts, journal and alerts once withdrawn people are forgotten."""
     events = consent_events(spark, folder)
-    states = consent.fold(events, DOMAINS)
     journal = T.read(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("pid"), F.lit("journal").alias("kind"))
-    alerts = T.read(spark, folder, "orders").select(
-        F.col("o_custkey").cast("string").alias("pid"), F.lit("alerts").alias("kind"),
+        F.col("user_id").cast("string").alias("pid"), F.lit("journal").alias("kind"),
+        F.col("event_id").alias("seq"))
+    orders = T.read(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("pid"), F.col("o_orderkey").alias("seq"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("delivered_at"))
-    left = consent.forget({"journal": journal, "alerts": alerts}, states)
-    both = left["journal"].unionByName(left["alerts"].drop("delivered_at"))
-    return both.groupBy("kind", "pid").agg(F.count("*").alias("n"))
+    receipts = events.filter("kind = 'enrol'").select("pid", F.lit("receipts").alias("kind"), "seq")
+    left = consent.forget({"journal": journal, "receipts": receipts, "alerts": orders.withColumn(
+        "kind", F.lit("alerts"))}, events)
+    rows = left["journal"].unionByName(left["receipts"]).unionByName(
+        left["alerts"].drop("delivered_at"))
+    return rows.groupBy("kind", "pid").agg(F.count("*").alias("n"))
 
 
 def catalogue(spark, folder):

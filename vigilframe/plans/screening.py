@@ -516,24 +516,26 @@ def monitored_cases(spark, folder):
 def refused_nearest(spark, folder):
     """The twelve refusals that came closest, for the auditor."""
     return views.refused(night_of(spark, folder).verdicts, CFG, limit=12).select(
-        "pid", "unit_id", "decision", "reason", r9("composite"), r9("closest_miss"))
+        "pid", "short_pid", "unit_id", "decision", "reason", r9("composite"), r9("closest_miss"))
 
 
 @QUERIES.query
 def own_reasons(spark, folder):
     """Gate values and messages as shown to the person themselves, for every person."""
-    return views.own_reasons(night_of(spark, folder).verdicts).select(
+    return views.own_reasons(night_of(spark, folder).verdicts, CFG).select(
         "pid", "named_to_an_officer", "message", "gate", r9("value"), "threshold", "passed")
 
 
 @QUERIES.query
 def case_payload(spark, folder):
     """Nested case documents, hashed so that one comparison covers every field."""
-    out = views.case_payload(night_of(spark, folder, detail=True).verdicts)
+    out = views.case_payload(night_of(spark, folder, detail=True).verdicts, CFG)
     return out.select("pid", F.get_json_object("payload", "$.decision").alias("decision"),
                       F.get_json_object("payload", "$.reason").alias("reason"),
                       F.get_json_object("payload", "$.gates[0].name").alias("first_gate"),
                       F.get_json_object("payload", "$.gates[0].formula").alias("formula"),
+                      *[F.get_json_object("payload", f"$.gates[{i}].threshold").cast("double")
+                        .alias(f"threshold_{i}") for i in range(4)],
                       F.get_json_object("payload", "$.recommended[0].code").alias("first_action"))
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,11 +37,15 @@ def handler(cases: DataFrame, fractions: DataFrame, cfg: Config, *,
             verdicts: Callable[[DataFrame, int], None],
             queue: Callable[[DataFrame, int], None] | None = None,
             unrecorded: Callable[[DataFrame, int], None] | None = None,
+            earlier: Callable[[int], DataFrame] | None = None, frozen: Column | bool = False,
             now: datetime | None = None) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` body.
 
     Nothing is routed without a record: if the ledger cannot be written, the acute submissions go
-    to ``unrecorded`` with a message for a human, and the batch routes and decides nothing.
+    to ``unrecorded`` with a message for a human, the batch routes and decides nothing, and it
+    fails, so that the query hands over the same submissions again.  ``earlier`` gives the
+    submissions of the batches before (since the night), which count on: a report may only raise.
+    ``frozen`` is the freeze of the run the cases come from.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         scored = intraday.score_responses(batch, cfg).persist()
@@ -50,16 +54,19 @@ def handler(cases: DataFrame, fractions: DataFrame, cfg: Config, *,
             try:
                 ledger(ledger_rows(scored), batch_id)
             except Exception:
-                if unrecorded is None:
-                    raise
-                unrecorded(urgent.select("response_id", "pid", F.lit(UNRECORDED).alias("message")),
-                           batch_id)
-                return
+                if unrecorded is not None:
+                    unrecorded(urgent.select(
+                        "response_id", "pid", F.lit(UNRECORDED).alias("message")), batch_id)
+                raise
             routes(urgent, batch_id)
-            decided = intraday.redecide(cases, scored, fractions, cfg)
+            told = scored
+            if earlier is not None:  # everything those people have reported today
+                before = intraday.score_responses(earlier(batch_id), cfg)
+                told = scored.unionByName(before.join(scored.select("pid").distinct(), "pid", "left_semi"))
+            decided = intraday.redecide(cases, told, fractions, cfg, frozen)
             verdicts(decided.select("pid", "unit_id", "decision", "reason", "composite"), batch_id)
             if queue is not None:
-                queue(alerts.enqueue(decided, now or datetime.now()), batch_id)
+                queue(alerts.enqueue(decided, now or datetime.now(timezone.utc)), batch_id)
         finally:
             scored.unpersist()
     return handle
