@@ -201,7 +201,7 @@ SQL["ledger_verification"] = "WITH RECURSIVE " + CHAIN + """,
 kept AS (
   SELECT c.*, t.cents, t.h1, t.h2, t.tail,
     CASE WHEN t.cents > 48000 THEN 0 ELSE t.cents END AS shown
-  FROM chain c JOIN texts t USING (seq) WHERE t.cents <> 1234
+  FROM chain c JOIN texts t USING (seq) WHERE t.cents <> 1234 AND c.segment NOT IN (1, 2)
 ), near AS (
   SELECT *, lag(seq) OVER w AS last_seq, lag(entry_hash) OVER w AS last_hash FROM kept
   WINDOW w AS (PARTITION BY segment ORDER BY seq)
@@ -212,7 +212,15 @@ SELECT segment, seq, CASE
       THEN 'prev_hash does not match the entry before'
     ELSE 'content does not match its hash' END AS reason
 FROM near WHERE seq <> coalesce(last_seq + 1, segment * 1024)
-  OR prev_hash <> coalesce(last_hash, repeat('0', 64)) OR shown <> cents"""
+  OR prev_hash <> coalesce(last_hash, repeat('0', 64)) OR shown <> cents
+UNION ALL
+SELECT s.segment, s.segment * 1024, CASE
+    WHEN s.segment = 2 OR (s.segment <> 1 AND k.n IS NULL) THEN 'segment missing'
+    ELSE 'segment does not match its sealed head' END
+FROM (SELECT segment, count(*) AS n, arg_max(entry_hash, seq) AS head FROM chain GROUP BY segment) s
+LEFT JOIN (SELECT segment, count(*) AS n, arg_max(entry_hash, seq) AS head FROM kept
+           GROUP BY segment) k USING (segment)
+WHERE s.segment IN (1, 2) OR k.n IS NULL OR k.n <> s.n OR k.head <> s.head"""
 
 SQL["ledger_reads"] = """
 SELECT user_id::VARCHAR AS subject_pid, count(*) AS n, max(event_id) AS last_seq FROM events

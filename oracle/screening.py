@@ -546,14 +546,14 @@ WHERE decision IN ('ESCALATE', 'IMMEDIATE_ESCALATE')""")
 
 SQL["scoped_caseload"] = run("""
 SELECT 'officer-' || s_suppkey AS operator, 'welfare_officer' AS role, pid, unit_id AS case_unit,
-  decision, closed_as IS NOT NULL AS contacted, coalesce(closed_as, '') AS closed_as,
-  coalesce(closed_as = 'done', false) AS blocking
+  decision, contacted IS NOT NULL AS contacted, coalesce(closed_as, '') AS closed_as,
+  contacted IS NOT NULL AND closed_as IS NULL AS blocking
 FROM verdicts JOIN supplier ON unit_id = 'U' || s_nationkey AND s_acctbal > 0
 LEFT JOIN (
-  SELECT o_custkey::VARCHAR AS pid, arg_max(CASE o_orderpriority WHEN '1-URGENT' THEN 'done'
+  SELECT o_custkey::VARCHAR AS pid, true AS contacted, arg_max(CASE o_orderpriority
       WHEN '2-HIGH' THEN 'supported' WHEN '3-MEDIUM' THEN 'not_supported'
-      WHEN '4-NOT SPECIFIED' THEN 'already_known' ELSE 'declined_contact' END,
-      (o_orderdate, o_orderkey)) AS closed_as FROM orders GROUP BY ALL) USING (pid)
+      WHEN '4-NOT SPECIFIED' THEN 'already_known' ELSE 'declined_contact' END, o_orderkey)
+      FILTER (o_orderpriority <> '1-URGENT') AS closed_as FROM orders GROUP BY ALL) USING (pid)
 WHERE decision IN ('ESCALATE', 'IMMEDIATE_ESCALATE')""")
 
 SQL["monitored_cases"] = run("""

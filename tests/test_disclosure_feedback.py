@@ -76,6 +76,16 @@ def test_ledger_chain(spark):
     changed = sealed.withColumn("action", F.when(F.col("seq") == 1500, "y").otherwise(
         F.col("action")))
     assert ledger.first_break(changed).first()[1:] == (1500, "content does not match its hash")
+    heads = ledger.heads(sealed).persist()
+    assert ledger.first_break(sealed, heads).first().verified
+    lost = ledger.first_break(sealed.filter("segment <> 1"), heads).first()
+    assert lost[1:] == (1024, "segment missing")
+    forged = ledger.seal(entries(spark, 2500).withColumn("purpose", F.lit("another"))).filter("segment = 1")
+    swapped = sealed.filter("segment <> 1").unionByName(forged)
+    assert ledger.first_break(swapped).first().verified  # consistent in itself
+    assert ledger.first_break(swapped, heads).first()[1:] == (
+        1024, "segment does not match its sealed head")
+    assert ledger.root(heads).first() != ledger.root(ledger.heads(swapped)).first()
     gone = ledger.first_break(sealed.filter("seq <> 77")).first()
     assert gone.seq == 78 and gone.reason == "sequence gap"
     relinked = sealed.withColumn("prev_hash", F.when(F.col("seq") == 9, "0" * 64).otherwise(

@@ -71,12 +71,38 @@ def heads(sealed: DataFrame) -> DataFrame:
         F.col("entry_hash").alias("chained_head"))
 
 
-def verify(ledger: DataFrame) -> DataFrame:
-    """Every broken entry with its reason; empty when the chain holds.
+def root(sealed_heads: DataFrame) -> DataFrame:
+    """One hash over all heads: the last of every block of heads, chained (a row per SEGMENT**2)."""
+    tops = sealed_heads.groupBy(F.floor(F.col("segment") / SEGMENT).alias("seq")).agg(
+        F.max_by("chained_head", "segment").alias("_head"))
+    whole = chained(tops.withColumns({"segment": F.lit(0), "_tail": F.lit("")}), ())
+    return whole.agg(F.max_by("entry_hash", "seq").alias("root"))
+
+
+def verify(ledger: DataFrame, sealed_heads: DataFrame | None = None) -> DataFrame:
+    """Every broken entry or segment with its reason; empty when the log holds.
 
     Recomputing a hash is row-local and the comparison with the neighbour is a window over one
-    segment, so verification runs on all segments at once.
+    segment, so verification runs on all segments at once.  A segment that is consistent in itself
+    may still be forged or gone: with the heads that were stored when it was sealed (kept under
+    their ``root``), every segment is compared with its own.
     """
+    broken = broken_entries(ledger)
+    if sealed_heads is None:
+        return broken
+    now = ledger.withColumn("segment", F.floor(F.col("seq") / SEGMENT)).groupBy("segment").agg(
+        F.max_by("entry_hash", "seq").alias("_head"), F.count("*").alias("_rows"))
+    met = sealed_heads.select("segment", "head", "rows").join(now, "segment", "full")
+    reason = (F.when(F.col("_head").isNull(), "segment missing")
+              .when(F.col("head").isNull(), "segment was never sealed")
+              .when((F.col("head") != F.col("_head")) | (F.col("rows") != F.col("_rows")),
+                    "segment does not match its sealed head"))
+    return broken.unionByName(met.select(
+        "segment", (F.col("segment") * SEGMENT).alias("seq"), reason.alias("reason")
+    ).filter(F.col("reason").isNotNull()))
+
+
+def broken_entries(ledger: DataFrame) -> DataFrame:
     rows = payload_parts(ledger)
     order = Window.partitionBy("segment").orderBy("seq")
     rows = rows.withColumns({
@@ -93,8 +119,8 @@ def verify(ledger: DataFrame) -> DataFrame:
         "segment", "seq", "reason")
 
 
-def first_break(ledger: DataFrame) -> DataFrame:
-    broken = verify(ledger).agg(F.min("seq").alias("seq"), F.min_by("reason", "seq").alias("reason"))
+def first_break(ledger: DataFrame, sealed_heads: DataFrame | None = None) -> DataFrame:
+    broken = verify(ledger, sealed_heads).agg(F.min("seq").alias("seq"), F.min_by("reason", "seq").alias("reason"))
     return broken.select(F.col("seq").isNull().alias("verified"), "seq",
                          F.coalesce("reason", F.lit("chain verified")).alias("reason"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import DRIVER_WORDS, GATES, PLAYBOOK, Config
 from vigilframe.functions.scalar import fixed, lookup, reaches
+from vigilframe.operators import feedback
 
 CASES_PER_OFFICER = 6
 SHORT_PID = 12
@@ -81,12 +82,15 @@ def scoped_caseload(verdicts: DataFrame, scopes: DataFrame, book: DataFrame) ->
         F.lit("*").alias("operator"), F.lit("mental_health_authority").alias("role"),
         F.col("case_unit").alias("unit_id"), "*")
     listed = mine.unionByName(every)
-    latest = book.groupBy("pid").agg(F.max_by("outcome", F.struct("at", "seq")).alias("closed_as"))
-    out = listed.join(latest, "pid", "left")
+    # contacted: the log names the person; closed: it holds a valid outcome; between them it blocks
+    contacted = book.groupBy("pid").agg(F.lit(True).alias("contacted"))
+    closed = feedback.latest_closes(book).select("pid", F.col("outcome").alias("closed_as"))
+    out = listed.join(contacted, "pid", "left").join(closed, "pid", "left")
     return out.withColumns({
-        "contacted": F.col("closed_as").isNotNull(),
-        "blocking": F.coalesce(F.col("closed_as") == "done", F.lit(False)),
-    }).withColumn("closed_as", F.coalesce("closed_as", F.lit("")))
+        "contacted": F.coalesce("contacted", F.lit(False)),
+        "blocking": F.col("contacted").isNotNull() & F.col("closed_as").isNull(),
+        "closed_as": F.coalesce("closed_as", F.lit("")),
+    })
 
 
 def monitored(verdicts: DataFrame) -> DataFrame:

@@ -180,12 +180,17 @@ def ledger_heads(spark, folder):
 
 @QUERIES.query
 def ledger_verification(spark, folder):
-    """Breaks found after some entries were rewritten and some removed."""
+    """Breaks found after entries were rewritten and removed, one whole segment was removed and
+    another replaced by a forgery that is sealed anew."""
     sealed = ledger.seal(entries(spark, folder))
+    segment = F.col("segment")
     price = F.element_at("detail", "cents").cast("bigint")
     tampered = sealed.withColumn("detail", F.when(
         price > 48000, F.create_map(F.lit("cents"), F.lit("0"))).otherwise(F.col("detail")))
-    return ledger.verify(tampered.filter(price != 1234))
+    forged = ledger.seal(entries(spark, folder).withColumn(
+        "detail", F.create_map(F.lit("cents"), F.lit("1")))).filter(segment == 1)
+    left = tampered.filter((price != 1234) & ~segment.isin(1, 2)).unionByName(forged)
+    return ledger.verify(left, ledger.heads(sealed))
 
 
 @QUERIES.query
