@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,77 +24,54 @@ DAY_MS = 86_400_000
 
 
 # --------------------------------------------------------------------------- words ---
-# The search is SQL text: a lambda body has no common-subexpression elimination, so everything
-# that is used twice is bound once with ``bind`` and then read as a lambda variable.
-HIT = "STRUCT<phrase: STRING, start: INT, stop: INT>"
-
-
-def raw(pattern: str) -> str:
-    """A pattern as a raw SQL string literal."""
-    if '"' in pattern:
-        raise ValueError(f"a pattern may not hold a double quote: {pattern}")
-    return f'r"{pattern}"'
-
+CUE = ("array<struct<rank: double, order: int, start: int, phrase: string, kind: string, "
+       "confidence: double>>")
 
-def bind(value: str, name: str, body: str) -> str:
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-
-def matches(text: str, pattern: str) -> str:
-    """Every match of a pattern, in order: array of (phrase, start, stop).
-
-    One pass over the matches and the lengths of the pieces between them.
-    """
-    p = raw(pattern)
-    steps = (f"zip_with(found, slice(transform(split({text}, {p}, -1), g -> length(g)), 1, "
-             "size(found)), (m, g) -> named_struct('m', m, 'g', g))")
-    walk = (
-        f"aggregate({steps}, named_struct('at', 0, 'hits', CAST(array() AS ARRAY<{HIT}>)), "
-        "(acc, x) -> named_struct('at', acc.at + x.g + length(x.m), 'hits', array_append(acc.hits, "
-        "named_struct('phrase', x.m, 'start', acc.at + x.g, "
-        "'stop', acc.at + x.g + length(x.m)))), acc -> acc.hits)")
-    found = bind(f"regexp_extract_all({text}, {p}, 0)", "found", walk)
-    return f"IF({text} RLIKE {p}, {found}, CAST(array() AS ARRAY<{HIT}>))"
+def half_up(value: float, places: int) -> float:
+    step = Decimal(1).scaleb(-places)
+    return float(Decimal(repr(value)).quantize(step, ROUND_HALF_UP))
 
 
-def any_of(text: str, needles) -> str:
-    return "(" + " OR ".join(f'contains({text}, {raw(n)})' for n in needles) + ")"
-
-
-def negated(cfg: Config) -> str:
-    """A negator inside the last words of the clause that match ``m`` of text ``s`` stands in.
+def cues(column: str, cfg: Config, clause_break: str) -> Column:
+    """Every cue that is not negated; array of (rank, order, start, phrase, kind, confidence).
 
-    ``s.breaks`` are the end positions of every clause break of the text; the clause starts at the
-    last of them before the cue, so a long text is not cut again for each of its cues.
+    One pass over a batch of texts with every pattern compiled once.  A cue is negated by a negator
+    among the last words between the clause break before it and itself; clause breaks are located
+    once per text, and only in texts that hold a cue.
     """
-    opened = "coalesce(array_max(filter(s.breaks, e -> e <= m.start)), 0)"
-    words = bind(opened, "o", "filter(split(substring(s.text, o + 1, m.start - o), "
-                              "r\"\\s+\"), w -> w <> '')")
-    tail = bind(words, "w", f"array_join(IF(size(w) > {TAIL_WORDS}, slice(w, -{TAIL_WORDS}, "
-                            f"{TAIL_WORDS}), w), ' ')")
-    return bind(tail, "t", any_of("t", cfg.negators))
-
-
-def cues(column: str, cfg: Config, clause_break: str) -> Column:
-    """Every cue that is not negated; array of (rank, order, start, phrase, kind, confidence)."""
-    found = []
-    for order, (pattern, kind, base) in enumerate(cfg.cues):
-        sure = f"round(round(least(1D, {float(base)}D + s.bonus), 10), 3)"
-        found.append(
-            f"transform(filter({matches('s.text', pattern)}, m -> NOT {negated(cfg)}), "
-            f"m -> named_struct('rank', -{sure}, 'order', {order}, 'start', m.start, "
-            f"'phrase', m.phrase, 'kind', {raw(kind)}, 'confidence', {sure}))")
-    padded = "concat(' ', low, ' ')"
-    contrasts = any_of(padded, [f" {c} " for c in cfg.contrasts])
-    bonus = (f"IF({any_of('low', cfg.hedges)}, {cfg.hedge_bonus}D, 0D) + "
-             f"IF({contrasts}, {cfg.contrast_bonus}D, 0D)")
-    # clause breaks are only located in texts that hold a cue at all
-    holds = " OR ".join(f"low RLIKE {raw(p)}" for p, _, _ in cfg.cues)
-    breaks = (f"IF({holds}, transform({matches('low', clause_break)}, h -> h.stop), "
-              "CAST(array() AS ARRAY<INT>))")
-    prepared = bind(f"lower({column})", "low",
-                    f"named_struct('text', low, 'bonus', {bonus}, 'breaks', {breaks})")
-    return F.expr(bind(prepared, "s", f"concat({', '.join(found)})"))
+    bank = [(order, re.compile(p), kind, float(base)) for order, (p, kind, base) in enumerate(cfg.cues)]
+    breaks, tail_words = re.compile(clause_break), TAIL_WORDS
+    negators, hedges = tuple(cfg.negators), tuple(cfg.hedges)
+    contrasts = tuple(f" {c} " for c in cfg.contrasts)
+    # a confidence takes one of four values for each cue
+    sure = {(order, h, c): half_up(half_up(min(1.0, base + h * cfg.hedge_bonus + c * cfg.contrast_bonus),
+                                           10), 3)
+            for order, _, _, base in bank for h in (False, True) for c in (False, True)}
+
+    def search(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            found, ends = [], None
+            if text is not None:
+                low = text.lower()
+                for order, pattern, kind, _ in bank:
+                    for match in pattern.finditer(low):
+                        if ends is None:
+                            ends = [m.end() for m in breaks.finditer(low)]
+                            padded = f" {low} "
+                            bonus = any(h in low for h in hedges), any(c in padded for c in contrasts)
+                        at = match.start()
+                        k = bisect_right(ends, at)
+                        clause = low[ends[k - 1] if k else 0:at]
+                        tail = " ".join(clause.split()[-tail_words:])
+                        if not any(n in tail for n in negators):
+                            value = sure[(order, *bonus)]
+                            found.append((-value, order, at, match.group(), kind, value))
+            out.append(found if text is not None else None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(search, CUE)(F.col(column))
 
 
 def best_cue(utterances: DataFrame, cfg: Config, clause_break: str) -> DataFrame:
