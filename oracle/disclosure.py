@@ -58,7 +58,7 @@ facts AS (
       WHEN coalesce(v.decision, 'CLEARED') NOT IN ('ESCALATE', 'IMMEDIATE_ESCALATE')
         THEN 'verdict is ' || coalesce(v.decision, 'CLEARED') END AS log_reason
   FROM checked q LEFT JOIN consent c USING (pid) LEFT JOIN verdicts v USING (pid)
-  LEFT JOIN customer p ON p.c_custkey::VARCHAR = q.pid AND p.c_nationkey < 20
+  LEFT JOIN customer p ON p.c_custkey::VARCHAR = q.pid
 )"""
 
 SQL["disclosure_decisions"] = run("""
@@ -282,13 +282,18 @@ GROUP BY ALL"""
 TEXTS = """
 texts AS (
   SELECT lang AS locale, 'v' || count(DISTINCT source) AS text_version,
-    arg_min(sha256(text), doc_id) AS content_hash,
-    CASE lang WHEN 'en' THEN 'source' WHEN 'fr' THEN 'reviewed' ELSE 'draft' END AS review_status,
-    CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE 'German' END AS english_name
-  FROM documents WHERE lang <> 'es' GROUP BY lang
+    sha256(sum(h1) || '.' || sum(h2) || '.' || sum(h3) || '.' || sum(h4)) AS content_hash,
+    CASE lang WHEN 'en' THEN 'source' WHEN 'de' THEN 'draft' ELSE 'reviewed' END AS review_status,
+    CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German'
+      ELSE 'Spanish' END AS english_name
+  FROM (SELECT lang, source, ('0x' || substr(sha256(text), 1, 15))::BIGINT AS h1,
+          ('0x' || substr(sha256(text), 16, 15))::BIGINT AS h2,
+          ('0x' || substr(sha256(text), 31, 15))::BIGINT AS h3,
+          ('0x' || substr(sha256(text), 46, 15))::BIGINT AS h4 FROM documents WHERE lang IS NOT NULL)
+  GROUP BY lang
 ), asked AS (
   SELECT c_custkey::VARCHAR AS pid, c_acctbal, CASE c_mktsegment WHEN 'FURNITURE' THEN 'fr'
-    WHEN 'MACHINERY' THEN 'de' WHEN 'HOUSEHOLD' THEN 'es' ELSE 'en' END AS locale,
+    WHEN 'MACHINERY' THEN 'de' WHEN 'HOUSEHOLD' THEN 'it' WHEN 'BUILDING' THEN 'es' ELSE 'en' END AS locale,
     CASE WHEN c_acctbal < -500 THEN 'REVOKED' ELSE 'ENROLLED' END AS status
   FROM customer
 )"""

@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
+from vigilframe.session import remove_written  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -24,3 +26,4 @@ def spark():
         .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_written(session)

@@ -41,10 +41,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named:
         return named
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local["):
         raise ValueError(f"{CHECKPOINT_DIR} must name a folder every executor can reach")
-    return _TEST_FOLDERS.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="vigilframe-"))
+    if context.applicationId not in _TEST_FOLDERS:
+        _TEST_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="vigilframe-")
+    return _TEST_FOLDERS[context.applicationId]
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +55,18 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     written table and not the whole plan, and the readers still prune columns.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/vigilframe/{name}-{uuid.uuid4().hex}"
+    path = f"{written_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{checkpoint_dir(spark)}/vigilframe/{spark.sparkContext.applicationId}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once their results have been used."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(written_folder(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
