@@ -86,6 +86,17 @@ SELECT pid, decision, reason, recommended, round(evidence, 9) AS evidence,
   round(actionability, 9) AS actionability
 FROM verdicts JOIN recommended USING (pid)"""
 
+SQL["acute_records"] = "WITH " + REDECIDED + """
+SELECT 'override.applied' AS action, g.pid AS subject_pid, coalesce(unit_id, '') AS unit_id,
+  response_id, 'item_9' AS acute_items, concat_ws(',',
+    CASE WHEN NOT evidence_passed THEN 'evidence' END,
+    CASE WHEN NOT consistency_passed THEN 'consistency' END,
+    CASE WHEN NOT persistence_passed THEN 'persistence' END,
+    CASE WHEN NOT actionability_passed THEN 'actionability' END) AS bypassed_gates,
+  'mental_health_authority' AS routed_to, 12::BIGINT AS acknowledge_by_hours,
+  strftime(taken_at, '%Y-%m-%d %H:%M:%S') AS at
+FROM good g LEFT JOIN verdicts v ON v.pid = g.pid WHERE g.acute"""
+
 SQL["alerts_queued"] = "WITH " + REDECIDED + """
 SELECT pid, unit_id, CASE decision WHEN 'ESCALATE' THEN 'routine' ELSE 'same_day' END AS priority,
   CASE decision WHEN 'ESCALATE' THEN 'welfare_officer' ELSE 'mental_health_authority' END AS route_to,

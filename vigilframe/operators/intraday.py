@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.config import Config
+from vigilframe.config import GATES, Config
 from vigilframe.functions.scalar import settled, strings
 from vigilframe.operators.verdicts import acute_items, decide
 from vigilframe.session import materialised
@@ -47,6 +47,20 @@ def acute_routes(scored: DataFrame, cfg: Config) -> DataFrame:
         .alias("acknowledge_by"))
 
 
+def override_records(routes: DataFrame, decided: DataFrame, cfg: Config) -> DataFrame:
+    """What the ledger keeps of every acute route: the items that fired, never the answers, and the
+    gates of the person's verdict that it went past."""
+    failed = [F.when(~F.col(f"{g}_passed"), g) for g in GATES]
+    gates = decided.select("pid", "unit_id", F.concat_ws(",", *failed).alias("bypassed_gates"))
+    return routes.join(gates, "pid", "left").select(
+        F.lit("override.applied").alias("action"), F.col("pid").alias("subject_pid"),
+        F.coalesce("unit_id", F.lit("")).alias("unit_id"),
+        F.lit("welfare:acute_risk").alias("purpose"), "response_id", "instrument",
+        F.array_join("acute", ",").alias("acute_items"),
+        F.coalesce("bypassed_gates", F.lit("")).alias("bypassed_gates"), "routed_to",
+        F.lit(cfg.acute_ack_hours).alias("acknowledge_by_hours"), F.col("taken_at").alias("at"))
+
+
 def latest_per_person(scored: DataFrame) -> DataFrame:
     """Replay of a person's submissions in any order of arrival.
 

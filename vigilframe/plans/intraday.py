@@ -59,6 +59,16 @@ def redecided(spark, folder):
     return intraday.redecide(night.cases, scored(spark, folder), night.fractions, CFG)
 
 
+@QUERIES.query
+def acute_records(spark, folder):
+    """The override entry of every acute submission, with the gates it bypassed."""
+    told = scored(spark, folder)
+    out = intraday.override_records(intraday.acute_routes(told, CFG), redecided(spark, folder), CFG)
+    return out.select("action", "subject_pid", "unit_id", "response_id", "acute_items",
+                      "bypassed_gates", "routed_to", F.col("acknowledge_by_hours").cast("bigint")
+                      .alias("acknowledge_by_hours"), stamp("at"))
+
+
 @QUERIES.query
 def alerts_queued(spark, folder):
     now = F.lit("2024-01-31 02:00:00").cast("timestamp_ntz")
