@@ -5,16 +5,16 @@ the whole training corpus and smoothed by absolute discounting (the unigram disc
 counts of counts): an unseen continuation pays its context's backoff weight and is looked up in the
 shorter context, and what the unigrams set aside is the probability of the one unknown word.
 
-Frequent n-grams form the automaton: contexts are states, n-grams are arcs, and a state without an arc
-for the next word follows its failure arc to the context without its first word.  An n-gram becomes an
-arc if it makes up 2**-ARCS of all training tokens; so there are at most 2**ARCS arcs of each length
-whatever the size of the corpus, and that is what may be broadcast.  A longer n-gram is counted only
-where both of its shorter ones were kept, which loses none.  One pass from left to right carries the
-state and adds up.
+Every n-gram of the training texts counts, however rare.  Those that make up 2**-ARCS of all training
+tokens, at most 2**ARCS of each length, are broadcast, so that no hot key is shuffled; that cache only
+says where a count is found.  All other places of all rows are dealt out once by their context (under a
+cached context by context and word), and sorted: a context's places lie together, so its count, the
+counts of its words and what is unseen are read off in one pass.  Unseen places, which only rows that
+were not learned from have, meet the table of all bigrams and the backoff weights of their contexts.
+A context's weight needs its words' bigrams, which only contexts with an unseen place look up.
 
-A rarer word is in no kept n-gram: it is met at the root, after the backoff weights on the way there,
-and the state after it is the root.  Its own count is as exact as any other: it comes from a join on
-the table of all words, where no key is hot because the frequent words are gone.
+Words are told apart by 63 bits of a hash (frequent ones by number), contexts of two words by 63 more.
+``Automaton`` is the same model for a table that fits one machine, for comparison.
 
 Defined results: null and empty texts are one end token; without training text every token is unknown
 and has probability 1 (score 0), and the base is that of the formula with N = V = 0; rows are told
@@ -30,11 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.llm.lookup import Lookup
-from vigilframe.llm.tables import Scratch
+from vigilframe.llm.tables import Scratch, shuffle_partitions
 
 ORDER = 3
 ARCS = 19
@@ -52,10 +52,12 @@ def tokens(text: str | None) -> np.ndarray:
     """Hashes of the words of a whole text and of its end."""
     words = (text or "").encode().lower().split()
     words.append(END)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | TOP
 
 
-END_KEY = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64)
+#: set in every word's hash: as a long it is negative, a frequent word's number is not
+TOP = np.uint64(1 << 63)
+END_KEY = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64) | TOP
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -258,83 +260,289 @@ class Unigrams:
         return F.when(c > 0, F.log10((c - d) / max(self.n, 1))).otherwise(math.log10(self.aside))
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """63 bits that stand for a pair of codes."""
+    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h ^ (h >> np.uint64(32))) + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(32))) & ~TOP).view(np.int64)
+
+
+class Cache:
+    """The frequent words and n-grams with their counts, as the workers look them up."""
+
+    def __init__(self, words, pairs, triples):
+        self.words, self.pairs, self.triples = (Lookup(keys) for keys, _ in (words, pairs, triples))
+        self.n1, self.n2, self.n3 = (np.append(n, 0) for _, n in (words, pairs, triples))
+
+    def of(self, block: list[np.ndarray]):
+        """Per place, start marks included: number or -1, code, and cached counts (0: not cached)."""
+        numbers = numbered(block, self.words)
+        hashes = np.concatenate([np.concatenate([END_KEY, text]) for text in block])
+        code = np.where(numbers >= 0, numbers, hashes.view(np.int64))
+        place, counts = predicted(block), []
+        for size, table, n in ((2, self.pairs, self.n2), (3, self.triples, self.n3)):
+            keys, good = joined_keys(numbers, size)
+            row = table.find(keys)
+            row[~good | (place < size - 1)] = -1
+            counts.append(n[row])
+        return place, numbers, code, counts[0], counts[1]
+
+
+def count_pairs(texts: DataFrame, sent, parts: int) -> DataFrame:
+    """(v, w, n, cw): every bigram with its count and that of its second word.
+
+    A rare word's bigrams lie together, so their sum is the word's count; a frequent word brings it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Cache(*sent.value)
+        for block in _blocks(batches):
+            place, numbers, code, _, _ = cache.of(block)
+            at = np.flatnonzero(place > 0)
+            pair = np.stack([code[at - 1], code[at]], 1)
+            by = np.lexsort((pair[:, 1], pair[:, 0]))
+            pair, at = pair[by], at[by]
+            first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1)))
+            n, v, w = np.diff(np.append(first, len(at))), *pair[first].T.copy()
+            cw = cache.n1[numbers[at[first]]] * (w >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(w < 0, w, mixed(v, w))), pa.array(v), pa.array(w), pa.array(cw), pa.array(n)],
+                ["spot", "v", "w", "cw", "n"])
+
+    rows = texts.mapInArrow(run, "spot long, v long, w long, cw long, n long").repartition(parts, "spot")
+    rows = rows.groupBy("spot", "v", "w").agg(F.max("cw").alias("cw"), F.sum("n").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("spot"))
+    return rows.select("v", "w", "n", F.when(F.col("w") < 0, whole).otherwise(F.col("cw")).alias("cw"))
+
+
+DOC, WORD, GRAM, FIRST, UNSEEN, TYPE, SUM = range(7)
+PLACES = ["kind", "learned", "uid", "id", "spot", "ctx", "v", "w", "nctx", "npair", "base", "best"]
+MET = ["kind", "uid", "id", "ctx", "v", "w", "nctx", "npair", "n_known", "base", "best"]
+
+
+def _batch(names: list[str], size: int, id_type, **given) -> pa.RecordBatch:
+    """Columns that are not given are 0, ids null."""
+    zero, real = np.zeros(size, np.int64), np.zeros(size)
+    columns = [given[c] if c in given else pa.nulls(size, id_type) if c == "id"
+               else real if c in ("base", "best") else zero for c in names]
+    return pa.RecordBatch.from_arrays(
+        [x if isinstance(x, pa.Array) else pa.array(x, pa.float64() if c in ("base", "best") else pa.int64())
+         for c, x in zip(names, columns)], names)
+
+
+def places(rows: DataFrame, sent, starts: int, id_type: str) -> DataFrame:
+    """A row for each text with what the cache tells, and one for each place that it does not tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Cache(*sent.value)
+        log_c = np.log10(cache.n1 + BASE_ADD)
+
+        def told(uids: np.ndarray, ids: pa.Array, learned: np.ndarray, block: list[np.ndarray]):
+            place, numbers, code, pair, triple = cache.of(block)
+            m, owner = len(block), np.repeat(np.arange(len(block)), [len(t) + 1 for t in block])
+            best, known = np.zeros(len(place)), (place > 0) & (numbers >= 0)
+            context = np.append(0, pair[:-1])
+            seen = triple > 0  # its context is cached too
+            best[seen] = np.log10((triple[seen] - DISCOUNT) / context[seen])
+            first = (place == 1) & (pair > 0)
+            best[first] = np.log10((pair[first] - DISCOUNT) / starts)
+            yield _batch(PLACES, m, ids.type, uid=uids, id=ids, spot=mixed(uids, uids),
+                         w=np.bincount(owner, place > 0, m).astype(np.int64),
+                         v=np.bincount(owner, known, m).astype(np.int64),
+                         base=np.bincount(owner[known], log_c[numbers[known]], m), best=np.bincount(owner, best, m))
+
+            def out(at: np.ndarray, kind: int, **given):
+                for k in range(0, len(at), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    own = owner[at[part]]
+                    yield _batch(PLACES, len(own), ids.type, kind=np.full(len(own), kind), uid=uids[own],
+                                 learned=learned[own], **{c: x[part] for c, x in given.items()})
+
+            at = np.flatnonzero((place > 0) & (numbers < 0))
+            yield from out(at, WORD, spot=code[at])
+            at = np.flatnonzero((place == 1) & (pair == 0))
+            yield from out(at, FIRST, spot=mixed(code[at - 1], code[at]), v=code[at - 1], w=code[at])
+            at = np.flatnonzero((place > 1) & (triple == 0))
+            ctx, w, n = mixed(code[at - 2], code[at - 1]), code[at], context[at]
+            yield from out(at, GRAM, spot=np.where(n > 0, mixed(ctx, w), ctx), ctx=ctx, v=code[at - 1], w=w,
+                           nctx=n, npair=pair[at])
+
+        for batch in batches:
+            uids, ids = batch.column("uid").to_numpy(), batch.column("id")
+            learned = batch.column("learned").to_numpy()
+            block, size, first = [], 0, 0
+            for i, text in enumerate(batch.column("text")):
+                block.append(tokens(text.as_py()))
+                size += len(block[-1])
+                if size >= BLOCK or i == batch.num_rows - 1:
+                    part = slice(first, i + 1)
+                    yield from told(uids[part], ids.slice(first, i + 1 - first), learned[part], block)
+                    block, size, first = [], 0, i + 1
+
+    return rows.mapInArrow(run, f"kind long, learned long, uid long, id {id_type}, spot long, ctx long, v long, "
+                                "w long, nctx long, npair long, base double, best double")
+
+
+def meet(dealt: DataFrame, id_type: str) -> DataFrame:
+    """Places sorted by (spot, w) -> sums of what is seen, places that are unseen, and the word types
+    of the contexts that unseen places may follow."""
+
+    def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, c = table.column("id").combine_chunks(), {
+            x: table.column(x).to_numpy() for x in table.column_names if x != "id"}
+        kind, spot, w, id_type = c["kind"], c["spot"], c["w"], ids.type
+        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+        docs = np.flatnonzero(kind == DOC)
+        if len(docs):
+            yield _batch(MET, len(docs), id_type, uid=c["uid"][docs], id=ids.take(pa.array(docs)),
+                         nctx=w[docs], n_known=c["v"][docs], base=c["base"][docs], best=c["best"][docs])
+        new_spot = np.append(True, spot[1:] != spot[:-1])
+        new = new_spot | np.append(True, w[1:] != w[:-1])
+        of_spot, of = np.cumsum(new_spot) - 1, np.cumsum(new) - 1
+        word, gram = kind == WORD, kind == GRAM
+        learned = c["learned"] * (word | gram)
+        n_spot, n = np.bincount(of_spot, learned).astype(np.int64), np.bincount(of, learned).astype(np.int64)
+        n_all, n = n_spot[of_spot], n[of]
+        context = np.where(c["nctx"] > 0, c["nctx"], n_all)
+        seen, unseen = gram & (n > 0), gram & (n == 0)
+        best = np.zeros(len(kind))
+        best[seen] = np.log10((n[seen] - DISCOUNT) / context[seen])
+        told = np.flatnonzero(word | seen)
+        if len(told):
+            uid, own = np.unique(c["uid"][told], return_inverse=True)
+            is_word = word[told]
+            count = n_all[told]
+            yield _batch(MET, len(uid), id_type, kind=np.full(len(uid), SUM), uid=uid,
+                         n_known=np.bincount(own, is_word & (count > 0), len(uid)).astype(np.int64),
+                         base=np.bincount(own, np.log10(count + BASE_ADD) * is_word, len(uid)),
+                         best=np.bincount(own, best[told], len(uid)))
+        at = np.flatnonzero(unseen | (kind == FIRST))
+        if len(at):
+            follows = gram[at] & (context[at] > 0)
+            yield _batch(MET, len(at), id_type, kind=np.full(len(at), UNSEEN), uid=c["uid"][at],
+                         ctx=np.where(follows, c["ctx"][at], -1), v=c["v"][at], w=w[at],
+                         nctx=np.where(follows, context[at], 0), npair=c["npair"][at])
+        asked = np.bincount(of_spot, unseen)[of_spot] > 0
+        kept = np.flatnonzero(seen & (asked | (c["nctx"] > 0)))
+        kept = kept[np.append(True, of[kept][1:] != of[kept][:-1])[:len(kept)]]
+        if len(kept):
+            yield _batch(MET, len(kept), id_type, kind=np.full(len(kept), TYPE), ctx=c["ctx"][kept], v=c["v"][kept],
+                         w=w[kept], nctx=context[kept], npair=c["npair"][kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < 1 << 18:
+                continue
+            table = pa.Table.from_batches(held)
+            spot = table.column("spot").to_numpy()
+            cut = int(np.searchsorted(spot, spot[-1]))  # the last spot may go on
+            if cut:
+                yield from group(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+            size = 0 if cut else -size  # a spot that fills everything waits for twice as much
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield from group(table)
+
+    return dealt.mapInArrow(run, f"kind long, uid long, id {id_type}, ctx long, v long, w long, nctx long, "
+                                 "npair long, n_known long, base double, best double")
+
+
+def _weight(types: Column, count: Column, lower: Column) -> Column:
+    """log10 backoff of a context with so many word types and places, whose words have ``lower`` mass below."""
+    return F.log10(F.greatest(DISCOUNT * types / count, F.lit(1e-12)) / F.greatest(1 - lower, F.lit(1e-12)))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, hot: Column, hot_rows: Column) -> DataFrame:
+    """Left join where the frequent keys, at most 2**ARCS, are broadcast and the others shuffled."""
+    return rows.where(hot).join(F.broadcast(table.where(hot_rows)), key, "left").unionByName(
+        rows.where(~hot).join(table.where(~hot_rows), key, "left"))
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
           scratch: Scratch | None = None) -> DataFrame:
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score; learned where ``training``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
+    parts = shuffle_partitions(spark)
     texts = docs.where(training).select(F.col(text_col).alias("text"))
     words = scratch.write(count_words(texts), "words")
-    of = words.agg(F.sum("n"), F.count("*"), *[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
-    unigrams = Unigrams.of(of[0] or 0, *of[1:])
+    end = int(END_KEY.view(np.int64)[0])
+    of = words.agg(F.sum("n"), F.count("*"), *[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)],
+                   F.sum(F.when(F.col("key") == end, F.col("n")))).first()
+    unigrams, starts = Unigrams.of(of[0] or 0, *of[1:6]), of[6] or 0
     n, v = unigrams.n, unigrams.v
     least = max(1.0, n / 2 ** ARCS)
     head = words.where(F.col("n") >= least).orderBy("key").toArrow()
-    keys, counts = head["key"].to_numpy().view(np.uint64), head["n"].to_numpy()
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    cached = [(head["key"].to_numpy().view(np.uint64), head["n"].to_numpy())]
     for size in range(2, ORDER + 1):
-        sent = spark.sparkContext.broadcast((keys, grams[-1][0] if grams else None))
+        sent = spark.sparkContext.broadcast((cached[0][0], cached[-1][0] if size > 2 else None))
         found = count_grams(texts, sent, size).where(F.col("n") >= least).toArrow()
-        grams.append((found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()))
-    made = build(counts, unigrams.log_p(counts.astype(float)), grams)
-    sent = spark.sparkContext.broadcast((  # at most 2**ARCS words and arcs of each length
-        keys, counts, (made.arcs, made.weight, made.target, made.backoff, made.failure)))
+        cached.append((found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()))
+    sent = spark.sparkContext.broadcast(tuple(cached))
     id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys, head_counts, parts = sent.value
-        table, walk = Lookup(head_keys), Automaton(*parts).walker()
-        log_c = np.append(np.log10(head_counts + BASE_ADD), 0.0)
-
-        def batch_of(columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                columns, ["uid", "id", "key", "n_tokens", "n_known", "base", "best"])
-
-        def told(uids: list, ids: pa.Array, block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            numbers, place = numbered(block, table), predicted(block)
-            real = place > 0
-            costs = walk(numbers, place == 0)[real]
-            hashes, numbers = np.concatenate(block), numbers[real]
-            owner, m = np.repeat(np.arange(len(block)), [len(t) for t in block]), len(block)
-            known = numbers >= 0
-            yield batch_of([
-                pa.array(uids, pa.int64()), ids, pa.nulls(m, pa.int64()),
-                pa.array(np.bincount(owner, minlength=m)),
-                pa.array(np.bincount(owner, known, m).astype(np.int64)),
-                pa.array(np.bincount(owner, log_c[numbers], m)), pa.array(np.bincount(owner, costs, m))])
-            rare = np.flatnonzero(~known)
-            for i in range(0, len(rare), 1 << 16):
-                part = rare[i:i + (1 << 16)]
-                k = len(part)
-                yield batch_of([
-                    pa.array(np.array(uids, np.int64)[owner[part]]), pa.nulls(k, ids.type),
-                    pa.array(hashes[part].view(np.int64)), pa.nulls(k, pa.int64()),
-                    pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())])
-
-        for batch in batches:
-            uids, ids = batch.column("uid").to_pylist(), batch.column("id")
-            block, size, first = [], 0, 0
-            for i, text in enumerate(batch.column("text")):
-                block.append(tokens(text.as_py()))
-                size += len(block[-1])
-                if size >= BLOCK or i == batch.num_rows - 1:
-                    yield from told(uids[first:i + 1], ids.slice(first, i + 1 - first), block)
-                    block, size, first = [], 0, i + 1
-
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),
-                       F.col(text_col).alias("text"))
-    table = scratch.write(rows.mapInArrow(
-        run, f"uid long, id {id_type}, key long, n_tokens long, n_known long, base double, best double"),
-        "told")
-    rare = table.where(F.col("key").isNotNull()).select("uid", "key")
-    c = F.coalesce("n", F.lit(0))
-    met = rare.join(words.where(F.col("n") < least), "key", "left").select(
-        "uid", (c > 0).cast("long").alias("n_known"), F.log10(c + BASE_ADD).alias("base"),
-        unigrams.log_p_column(c).alias("best"))
-    heads = table.where(F.col("key").isNull())
-    sums = met.unionByName(heads.select("uid", "n_known", "base", "best")).groupBy("uid").agg(
-        *[F.sum(x).alias(x) for x in ("n_known", "base", "best")])
-    return heads.select("uid", "id", "n_tokens").join(sums, "uid").select(
+                       F.col(text_col).alias("text"),
+                       F.coalesce(training, F.lit(False)).cast("long").alias("learned"))
+    dealt = places(rows, sent, starts, id_type).repartition(parts, "spot").sortWithinPartitions("spot", "w")
+    met = scratch.write(meet(dealt, id_type), "met")
+    pairs = scratch.write(count_pairs(texts, sent, parts), "pairs")
+
+    # contexts of one word: (v, c1, weight1)
+    p1 = F.pow(F.lit(10.0), unigrams.log_p_column(F.col("cw")))
+    singles = scratch.write(pairs.groupBy("v").agg(
+        F.sum("n").alias("c1"), F.count("*").alias("types"), F.sum(p1).alias("lower")).select(
+        "v", "c1", _weight(F.col("types"), F.col("c1"), F.col("lower")).alias("weight1")), "singles")
+    # unseen places and word types meet their bigram's count, n2
+    asked = met.where(F.col("kind").isin(UNSEEN, TYPE)).select("kind", "uid", "ctx", "v", "w", "nctx", "npair")
+    near = asked.where("npair > 0").withColumn("n2", F.col("npair")).unionByName(
+        asked.where("npair = 0").join(pairs.select("v", "w", F.col("n").alias("n2")), ["v", "w"], "left"))
+    near = scratch.write(near.select("kind", "uid", "ctx", "v", "w", "nctx", F.coalesce("n2", F.lit(0)).alias("n2")),
+                         "near")
+
+    # contexts of two words: (ctx, nctx, weight2); the cached trigrams are types as well
+    (pair_keys, pair_n), (keys, _) = cached[1:]
+    by, low = np.argsort(pair_keys), np.uint64((1 << 2 * WIDTH) - 1)
+
+    def n_of(asked_keys: np.ndarray) -> np.ndarray:
+        return pair_n[by][np.searchsorted(pair_keys[by], asked_keys)]
+
+    second = ((keys >> np.uint64(WIDTH)) & MASK).view(np.int64)
+    frequent = spark.createDataFrame(pa.table({
+        "ctx": mixed(keys >> np.uint64(2 * WIDTH), second), "v": second, "nctx": n_of(keys >> np.uint64(WIDTH)),
+        "n2": n_of(keys & low)}).cast(pa.schema([(c, pa.int64()) for c in ("ctx", "v", "nctx", "n2")])))
+    doubles = near.where(F.col("kind") == TYPE).select("ctx", "v", "nctx", "n2").unionByName(frequent).groupBy(
+        "ctx").agg(F.first("v").alias("v"), F.max("nctx").alias("c2"), F.count("*").alias("types"),
+                   F.sum("n2").alias("of"))
+    hot_v = F.col("v") >= 0
+    doubles = scratch.write(_looked_up(doubles, singles.select("v", "c1"), "v", hot_v, hot_v).select(
+        "ctx", "c2", _weight(F.col("types"), F.col("c2"), (F.col("of") - DISCOUNT * F.col("types")) / F.col("c1"))
+        .alias("weight2")), "doubles")
+
+    unseen = near.where(F.col("kind") == UNSEEN).select("uid", "ctx", "v", "w", "nctx", "n2")
+    follows = unseen.where("nctx > 0")
+    above = _looked_up(follows.select("uid", "ctx", "nctx").withColumnRenamed("nctx", "c"), doubles.select(
+        "ctx", F.col("c2").alias("c"), "weight2"), ["ctx", "c"], F.col("c") >= least, F.col("c") >= least).select(
+        "uid", F.col("weight2").alias("best"))
+    below = _looked_up(unseen.select("uid", "v", "w", "n2"), singles, "v", hot_v, hot_v)
+    seen = below.where("n2 > 0").select("uid", F.log10((F.col("n2") - DISCOUNT) / F.col("c1")).alias("best"))
+    numbers = spark.createDataFrame(pa.table({
+        "w": pa.array(np.arange(len(cached[0][0]))), "cw": pa.array(cached[0][1], pa.int64())}))
+    counts = words.where(F.col("n") < least).select(F.col("key").alias("w"), F.col("n").alias("cw")).unionByName(
+        numbers)
+    hot_w = F.col("w") >= 0
+    root = _looked_up(below.where("n2 = 0").select("uid", "w", "weight1"), counts, "w", hot_w, hot_w).select(
+        "uid", (F.coalesce("weight1", F.lit(0.0)) + unigrams.log_p_column(F.coalesce("cw", F.lit(0)))).alias("best"))
+
+    told = met.where(F.col("kind").isin(DOC, SUM)).select("uid", "n_known", "base", "best")
+    far = above.unionByName(seen).unionByName(root).select(
+        "uid", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "best")
+    sums = told.unionByName(far).groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("n_known", "base", "best")])
+    heads = met.where(F.col("kind") == DOC).select("uid", "id", F.col("nctx").alias("n_tokens"))
+    return heads.join(sums, "uid").select(
         F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * math.log10(n + BASE_ADD * (v + 1))).alias("base_score"),
         F.col("best").alias("score"))
