@@ -289,3 +289,22 @@ def test_fixity(spark):
     assert all(a.end == b.start and b.end - b.start == len(b.record.encode()) for a, b in zip(ends, ends[1:]))
     empty = fixity.lay_out(pages.limit(0))
     assert fixity.audit(empty, empty).count() == 0
+
+
+def test_fixity_of_a_replica_laid_out_anew(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}é</p>") for i in range(1200)],
+                                  "page_id long, url string, html string")
+    theirs = pages.where("page_id NOT IN (3, 600)").withColumn("html", F.when(
+        F.col("page_id").isin(4, 700), F.lit("<p>another length</p>")).otherwise(F.col("html"))).unionByName(
+        spark.createDataFrame([(300, "http://y/", "more")], pages.schema))
+    ours, found = fixity.lay_out(pages), fixity.lay_out(theirs)
+    more = found.where("record LIKE '%http://y/%'").first()
+    got = by_id(fixity.audit(ours, found), "file", "seq", "kind")
+    assert got == sorted([(0, 3, "lost"), (0, 4, "changed"), (0, more.seq, "extra"), (1, 88, "lost"),
+                          (1, 188, "changed")], key=str)
+    back = by_id(fixity.audit(found, ours), "file", "kind")
+    assert back == sorted([(0, "extra"), (0, "changed"), (0, "lost"), (1, "extra"), (1, "changed")], key=str)
+    # one record is put before nine others
+    swapped = ours.withColumn("seq", F.when(F.col("file") != 2, F.col("seq")).when(F.col("seq") == 9, 0).when(
+        F.col("seq") < 9, F.col("seq") + 1).otherwise(F.col("seq")))
+    assert by_id(fixity.audit(ours, swapped), "file", "seq", "kind") == [(2, 9, "moved")]
