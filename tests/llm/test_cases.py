@@ -308,3 +308,21 @@ def test_fixity_of_a_replica_laid_out_anew(spark):
     swapped = ours.withColumn("seq", F.when(F.col("file") != 2, F.col("seq")).when(F.col("seq") == 9, 0).when(
         F.col("seq") < 9, F.col("seq") + 1).otherwise(F.col("seq")))
     assert by_id(fixity.audit(ours, swapped), "file", "seq", "kind") == [(2, 9, "moved")]
+
+
+def test_wrapped_and_dual_licences(spark, docs):
+    mit = ("# Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "# of this software and associated documentation files (the \"Software\"), to deal\n"
+           "# in the Software without restriction, including without limitation the rights\n"
+           "# to use, copy, modify, merge, publish, distribute, sublicense.")
+    gpl = (" * This program is free software: you can redistribute it and/or modify\n"
+           " * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation, either version 3 of the License, or\n"
+           " * (at your option) any later version.")
+    bsd = ("Redistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions are met:")
+    both = "Licensed under the MIT license. Licensed under the Apache License, Version 2.0."
+    rows = [(1, "import os\n#\n" + mit), (2, gpl), (3, "x\n\n" + bsd), (4, both), (5, "the cat\nsat on the mat")]
+    got = by_id(licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.fit(docs)),
+                "doc_id", "paragraph", "family")
+    assert got == [(1, 2, "mit"), (2, 0, "gpl-3.0"), (3, 2, "bsd-3-clause"), (4, 0, "apache-2.0"), (4, 0, "mit")]
