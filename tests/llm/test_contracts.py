@@ -32,7 +32,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES and SMALL == FOLDER
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES and SMALL == FOLDER
 
 
 def test_bpe_equals_the_library(spark, texts):

@@ -119,3 +119,10 @@ def op10_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = read(spark, folder, "documents")
     return licences.scan(docs, licences.fit(docs))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm.crosstok import align
+
+    return align(read(spark, folder, "documents"))
