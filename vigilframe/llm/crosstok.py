@@ -24,23 +24,29 @@ document; columns other than id and text are ignored; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilframe.llm.tables import Scratch
 
-#: links of a block; chunks that a task remembers, and the longest it does
-LINKS, REMEMBERED, SHORT = 1 << 21, 1 << 16, 64
+#: links of a block, bytes of text cut at once, and the chunks that a task remembers (and bytes of groups)
+LINKS, PART, CHUNKS, CHUNK_BYTES = 1 << 21, 1 << 22, 1 << 19, 1 << 27
+#: chunks that are encoded as one text
+JOINED = 64
 SPACE_MARK = "▁"
 #: a space that both tokenizers begin a token with
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: white space beside a space, or at an end
+RUN = re.compile(r" \s|[^\S ] |\A\s|\s\Z")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -66,6 +72,7 @@ class Pair:
     """Both tokenizers and the bytes of their tokens."""
 
     def __init__(self, a: bytes, b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -77,87 +84,166 @@ class Pair:
         for token, i in self.a.get_vocab().items():
             self.bytes_a[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.fallback = [bool(BYTE_PIECE.match(p)) for p in pieces]
+        fallback = [bool(BYTE_PIECE.match(p)) for p in pieces]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if fell else p.replace(SPACE_MARK, " ").encode()
-                        for p, fell in zip(pieces, self.fallback)]
-        self.size_b = len(pieces)
+                        for p, fell in zip(pieces, fallback)]
+        self.fallback, self.pieces = np.array(fallback), len(pieces)
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        #: ids of A and of B as they are written inside a group and at its end
+        self.written = [f"{i}{mark}" for n, marks in ((len(self.bytes_a), ",|"), (len(pieces), ",;"))
+                        for mark in marks for i in range(n)]
         self.cuts = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
 
     def chunks(self, text: str) -> list[str]:
-        return CUT.split(text) if self.cuts else [text]
-
-    def ends_a(self, text: str, encoded) -> list[int]:
-        """Byte offsets behind A's tokens over ``text`` from its character offsets; tokens that share a
-        character are told apart by their decoded bytes."""
-        offsets, ids = encoded.offsets, encoded.ids
+        if not self.cuts:
+            return [text]
+        return text.split(" ") if not RUN.search(text) else CUT.split(text)
+
+    def ends_a(self, text: str, encoded, ids: np.ndarray) -> np.ndarray:
+        """Byte offsets behind A's tokens over ``text`` from its character offsets; of tokens that share a
+        character only the decoded bytes tell."""
+        offsets = np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         if text.isascii():
-            return [end for _, end in offsets]
-        at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).tolist()
-        ends = [at[end] for _, end in offsets]
-        for t in range(len(ids) - 1):
-            if offsets[t + 1][0] < offsets[t][1]:
-                ends[t] = (ends[t - 1] if t else 0) + len(self.bytes_a[ids[t]])
-        return ends
-
-    def ends_b(self, pieces) -> list[int]:
-        """Byte offsets behind B's tokens over space + text; bytes fallen back to have no span."""
-        ends, last = [], 0
-        for piece in pieces:
-            fell = self.fallback[piece.id] or piece.begin == piece.end
-            last = last + len(self.bytes_b[piece.id]) if fell else piece.end + 1
-            ends.append(last)
-        return ends
-
-    def aligned(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, list[int]] | None]:
-        """Per text (chunk): tokens of A and of B, groups, the groups written out, the links' codes;
-        None if either tokenizer changes the text."""
-        of_a = self.a.encode_batch([" " + x for x in texts], add_special_tokens=False)
+            return offsets[:, 1]
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        wide = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        coarse = np.append(0, np.cumsum(wide))[offsets[:, 1]]
+        shared = np.append(offsets[1:, 0] < offsets[:-1, 1], False)
+        return np.where(shared, np.cumsum(self.size_a[ids]), coarse)
+
+    def ends_b(self, end: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Byte offsets behind B's tokens over space + text from the ends of its spans; bytes fallen back
+        to, and the space put in front, have no span."""
+        bare = self.fallback[ids] | (np.diff(end, prepend=0) == 0)
+        return np.where(bare, np.cumsum(self.size_b[ids]), end + 1)
+
+    def aligned(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
+        """Per text ids and ends of both tokenizers over space + text; None if either changes the text."""
+        out = []
+        of_a = self.a.encode_batch([" " + text for text in texts], add_special_tokens=False)
         of_b = self.b.encode(texts, return_type="proto", num_threads=1)
-        for text, x, y in zip(texts, of_a, of_b):
-            whole, a, pieces = (" " + text).encode(), x.ids, list(y.pieces)
-            b = [piece.id for piece in pieces]
-            if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
-                yield None
+        for text, encoded, message in zip(texts, of_a, of_b):
+            whole, pieces, ids_a = " " + text, list(message.pieces), encoded.ids
+            ids_b, raw = [piece.id for piece in pieces], whole.encode()
+            if (b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw
+                    or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw):
+                out.append(None)
                 continue
-            groups, links = walk(a, self.ends_a(" " + text, x), b, self.ends_b(pieces), self.size_b)
-            yield len(a), len(b), len(groups), ";".join(groups), links
-
-
-def walk(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int], size_b: int
-         ) -> tuple[list[str], list[int]]:
-    """One pass over both: the pairs it stands on overlap, and a group closes where both end."""
-    groups, links, of_a, of_b, i, j = [], [], [], [], 0, 0
-    while i < len(a) and j < len(b):
-        links.append(a[i] * size_b + b[j])
-        at, bt = ends_a[i], ends_b[j]
-        if at <= bt:
-            of_a.append(str(a[i]))
-            i += 1
-        if bt <= at:
-            of_b.append(str(b[j]))
-            j += 1
-        if at == bt:
-            groups.append(",".join(of_a) + "|" + ",".join(of_b))
-            of_a, of_b = [], []
-    return groups, links
+            a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+            end = np.array([piece.end for piece in pieces], np.int64)
+            out.append((a, self.ends_a(whole, encoded, a), b, self.ends_b(end, b)))
+        return out
+
+
+class Alignments:
+    """Per chunk, by number: ``table`` (tokens of A and of B, groups, links, and whether both keep the
+    chunk as it is), the groups written out, and the links' codes one chunk behind the other."""
+
+    def __init__(self):
+        self.shown, self.links, self.columns, self.size = [], [], [], 0
+        self.table = np.zeros((5, 0), np.int64)
+
+    def add(self, pair: Pair, chunks: list[str]) -> None:
+        """Chunks side by side, JOINED at once where nothing but their spaces parts them."""
+        runs, open_run = [], False
+        for c in chunks:
+            plain = not (c[0].isspace() or c[-1].isspace())
+            if plain and open_run and len(runs[-1]) < JOINED:
+                runs[-1].append(c)
+            else:
+                runs.append([c])
+            open_run = plain
+        self._add(pair, runs)
+        self.links = [np.concatenate(self.links)] if self.links else []
+        self.table = np.concatenate([self.table, *self.columns], axis=1)
+        self.columns = []
+
+    def _add(self, pair: Pair, runs: list[list[str]]) -> None:
+        good = []
+        for run, found in zip(runs, pair.aligned([" ".join(run) for run in runs])):
+            ends = np.cumsum([len(c.encode()) + 1 for c in run])
+            if found is not None:
+                common = np.intersect1d(found[1], found[3], assume_unique=True)
+                if np.isin(ends, common).all():
+                    good.append((*found, common, ends))
+                    continue
+            self._cut(pair, good)
+            good = []
+            if len(run) == 1:
+                self.shown.append("")
+                self.columns.append(np.zeros((5, 1), np.int64))
+            else:  # one of them is changed: find it by halves
+                self._add(pair, [run[:len(run) // 2], run[len(run) // 2:]])
+        self._cut(pair, good)
+
+    def _cut(self, pair: Pair, runs: list[tuple[np.ndarray, ...]]) -> None:
+        """Groups and links of runs of chunks; each run: ids and ends of A and of B, the ends common to
+        both and the ends of its chunks."""
+        if not runs:
+            return
+        base = np.cumsum([0, *[int(run[5][-1]) for run in runs]])
+        a, ends_a, b, ends_b, common, ends = (
+            np.concatenate([run[k] + (at if k not in (0, 2) else 0) for run, at in zip(runs, base)]) for k in range(6))
+        # every stretch between neighbouring ends lies in one token of A and one of B: a link
+        stretch = np.sort(np.concatenate([ends_a, ends_b]))
+        stretch = stretch[np.append(True, stretch[1:] != stretch[:-1])]
+        self.links.append(a[np.searchsorted(ends_a, stretch)] * pair.pieces + b[np.searchsorted(ends_b, stretch)])
+        # the tokens as they are written: a group's tokens of A, then those of B, each with what follows it
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        shown = np.concatenate([a + len(pair.bytes_a) * (common[group_a] == ends_a),
+                                2 * len(pair.bytes_a) + b + pair.pieces * (common[group_b] == ends_b)])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = list(map(pair.written.__getitem__, shown[order].tolist()))
+        to_a, to_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        at = 0
+        for k in (to_a + to_b).tolist():
+            self.shown.append("".join(written[at:k])[:-1])
+            at = k
+        self.size += 8 * len(written)
+        self.columns.append(np.stack([
+            *[np.diff(n, prepend=0) for n in (to_a, to_b, np.searchsorted(common, ends) + 1,
+                                              np.searchsorted(stretch, ends) + 1)], np.ones(len(ends), np.int64)]))
+
+
+class Numbers(dict):
+    """Numbers its keys in the order they come."""
+
+    def __missing__(self, key):
+        self[key] = out = len(self)
+        return out
 
 
 class Memory:
-    """Alignments of chunks, the short ones remembered up to a fixed number."""
+    """Alignments of the chunks that were met, forgotten between two parts once there are too many."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.known = pair, {}
-
-    def of(self, texts: list[str]) -> list[list]:
-        """Per text the alignments of its chunks; the number of texts is that of one Arrow batch part."""
-        cut = [self.pair.chunks(text) if text else [] for text in texts]
-        new = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in self.known]
-        found = dict(zip(new, self.pair.aligned(new))) if new else {}
-        known = self.known
-        out = [[known[c] if c in known else found[c] for c in chunks] for chunks in cut]
-        if len(known) + len(found) > REMEMBERED:
-            known.clear()
-        known.update((c, x) for c, x in found.items() if len(c) <= SHORT)
+        self.pair, self.numbers, self.found = pair, Numbers(), Alignments()
+
+    def of(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
+        """Per text: tokens of A and of B, groups, digest of the groups, codes of the links."""
+        if len(self.numbers) > CHUNKS or self.found.size > CHUNK_BYTES:
+            self.numbers, self.found = Numbers(), Alignments()
+        numbers, found = self.numbers, self.found
+        known = len(numbers)
+        cut = [list(map(numbers.__getitem__, self.pair.chunks(text))) if text else [] for text in texts]
+        if len(numbers) > known:
+            found.add(self.pair, list(islice(numbers, known, None)))
+            self.first = np.cumsum(found.table[3]) - found.table[3]
+        sizes = np.array(list(map(len, cut)), np.int64)
+        at = np.fromiter(chain.from_iterable(cut), np.int64, int(sizes.sum()))
+        end, table = np.cumsum(sizes), found.table[:, at]
+        sums = np.concatenate([np.zeros((5, 1), np.int64), np.cumsum(table, axis=1)], axis=1)
+        of_text = sums[:, end] - sums[:, end - sizes]
+        n = table[3]
+        codes = found.links[0][np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())] if n.any() else n
+        last = sums[3][end].tolist()
+        out = []
+        for chunks, (a, b, groups, links, good), stop in zip(cut, of_text.T.tolist(), last):
+            if not chunks or good < len(chunks):
+                out.append(None)
+                continue
+            digest = hashlib.sha256(";".join(map(found.shown.__getitem__, chunks)).encode()).hexdigest()
+            out.append((a, b, groups, digest, codes[stop - links:stop]))
         return out
 
 
@@ -173,6 +259,16 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of PART bytes of text, or one longer row."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    start, end = 0, np.cumsum(size, dtype=np.int64)
+    while start < len(end):
+        stop = max(start + 1, int(np.searchsorted(end, PART + (end[start - 1] if start else 0), "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -189,65 +285,43 @@ def coded(docs: DataFrame, sent, id_type: T.DataType, links_in_block: int) -> Da
         from pyspark import TaskContext
 
         memory = Memory(Pair(*sent.value))
-        block, size = TaskContext.get().partitionId() << 32, 0
-        numbers: dict[int, int] = {}
-        held: list[int] = []
+        block, size, waiting = TaskContext.get().partitionId() << 32, 0, []
         longs, strings, blobs, lists = pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())
 
-        def closed(kind: pa.DataType) -> pa.RecordBatch:
-            one = [pa.array([block], longs), pa.nulls(1, kind), *[pa.nulls(1, longs) for _ in COUNTS],
-                   pa.nulls(1, strings), pa.nulls(1, blobs), pa.nulls(1, blobs),
-                   pa.array([list(numbers)], lists), pa.array([held], lists)]
-            return pa.RecordBatch.from_arrays(one, schema.names)
+        def closed() -> Iterator[pa.RecordBatch]:
+            ids = pa.chunked_array([ids for ids, _ in waiting]).combine_chunks()
+            rows = [row or (0, 0, 0, "", np.zeros(0, np.int64)) for _, part in waiting for row in part]
+            n = np.array([len(row[4]) for row in rows], np.int64)
+            codes, link = np.unique(np.concatenate([row[4] for row in rows]), return_inverse=True)
+            one, times = np.unique(np.repeat(np.arange(len(rows)), n) * max(1, len(codes)) + link, return_counts=True)
+            owner, link = np.divmod(one, max(1, len(codes)))
+            cut = np.searchsorted(owner, np.arange(len(rows) + 1))
+            parts = [slice(x, y) for x, y in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(rows), longs), ids, *[pa.array([row[k] for row in rows], longs) for k in range(3)],
+                 pa.array(n), pa.array([row[3] for row in rows], strings),
+                 pa.array([packed(np.diff(link[x], prepend=0)) for x in parts], blobs),
+                 pa.array([packed(times[x]) for x in parts], blobs), pa.nulls(len(rows), lists),
+                 pa.nulls(len(rows), lists)], schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], longs), pa.nulls(1, ids.type), *[pa.nulls(1, longs) for _ in COUNTS],
+                 pa.nulls(1, strings), pa.nulls(1, blobs), pa.nulls(1, blobs), pa.array([codes], lists),
+                 pa.array([np.bincount(link, minlength=len(codes))], lists)], schema.names)
 
         for batch in batches:
-            kind = batch.schema.field("id").type
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                rows = []
-                for chunks in memory.of(part.column("text").to_pylist()):
-                    if not chunks or None in chunks:
-                        rows.append((block, 0, 0, 0, 0, "", packed(np.zeros(0)), packed(np.zeros(0))))
-                        continue
-                    a, b, groups, shown, links = zip(*chunks)
-                    flat = np.fromiter(map(numbers.setdefault, chain.from_iterable(links),
-                                           _Next(numbers)), np.int64)
-                    seen, times = np.unique(flat, return_counts=True)
-                    if len(held) < len(numbers):
-                        held.extend([0] * (len(numbers) - len(held)))
-                    for k in seen.tolist():
-                        held[k] += 1
-                    digest = hashlib.sha256(";".join(shown).encode()).hexdigest()
-                    rows.append((block, sum(a), sum(b), sum(groups), len(flat), digest,
-                                 packed(np.diff(seen, prepend=0)), packed(times)))
-                    size += len(flat)
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], longs), part.column("id"), *[pa.array(c, longs) for c in columns[1:5]],
-                     pa.array(columns[5], strings), pa.array(columns[6], blobs), pa.array(columns[7], blobs),
-                     pa.nulls(len(rows), lists), pa.nulls(len(rows), lists)], schema.names)
+            for part in parts_of(batch):
+                rows = memory.of(part.column("text").to_pylist())
+                waiting.append((part.column("id"), rows))
+                size += sum(len(row[4]) for row in rows if row)
                 if size >= links_in_block:
-                    yield closed(kind)
-                    block, size, numbers, held = block + 1, 0, {}, []
-        if numbers:
-            yield closed(kind)
+                    yield from closed()
+                    block, size, waiting = block + 1, 0, []
+        if waiting:
+            yield from closed()
 
     return docs.mapInArrow(run, schema)
 
 
-class _Next:
-    """What a key not yet numbered gets: how many there are."""
-
-    def __init__(self, numbers: dict):
-        self.numbers = numbers
-
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return len(self.numbers)
-
-
 def summed(schema: T.StructType):
     """The documents of one block and the answers to its links -> their result rows."""
 
@@ -275,14 +349,14 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "crosstok")
     files = files or tokenizer_files()
-    size_b = Pair(*files).size_b
+    pieces = Pair(*files).pieces
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     made = scratch.write(coded(rows, spark.sparkContext.broadcast(files), id_type, links_in_block), "coded")
     asked = made.where("codes is not null").select("block", F.posexplode(F.arrays_zip("codes", "held")).alias("pos", "x"))
     asked = asked.select("block", "pos", F.col("x.codes").alias("code"), F.col("x.held").alias("held"))
     counts = scratch.write(asked.groupBy("code").agg(F.sum("held").alias("n")), "counts")
-    of_a = F.floor(F.col("code") / F.lit(size_b)).alias("a")  # codes stay far below 2**53
+    of_a = F.floor(F.col("code") / F.lit(pieces)).alias("a")  # codes stay far below 2**53
     highest = counts.groupBy(of_a).agg(F.max("n").alias("most"))
     counts = counts.select("code", "n", of_a).join(highest, "a").select(
         "code", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))

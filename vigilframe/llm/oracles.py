@@ -125,3 +125,36 @@ SELECT file, idx AS seq, a0.s::BIGINT AS start_offset, a0.e::BIGINT AS end_offse
        b0.hash AS found_sha256, a3.hash AS root, b3.hash AS found_root
 FROM a0 LEFT JOIN b0 USING (file, idx) JOIN a3 USING (file) LEFT JOIN b3 USING (file)
 WHERE b0.hash IS DISTINCT FROM a0.hash"""
+
+SQL["op12_phrases"] = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p CROSS JOIN range(1, 6) t(k)
+        WHERE len(w) >= k)
+  GROUP BY ALL
+), total AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 100),
+inner_phrase AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c CROSS JOIN range(2, 5) t(m) WHERE m < k)
+  GROUP BY ALL
+), cut AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, n, j,
+         (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN total USING (lang)
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(w, 1, j), ' ')
+  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(w, j + 1, c.k), ' ')
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM lowest LEFT JOIN inner_phrase USING (lang, phrase)
+WHERE longer IS NULL OR longer < a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""

@@ -126,3 +126,17 @@ def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     from vigilframe.llm.crosstok import align
 
     return align(read(spark, folder, "documents"))
+
+
+@query
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm.quality import judge
+
+    return judge(read(spark, folder, "documents"))
+
+
+@query
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    from vigilframe.llm.phrases import mine
+
+    return mine(read(spark, folder, "documents"))
