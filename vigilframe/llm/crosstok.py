@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from vigilframe.llm.tables import Scratch
 
 #: links of a block, bytes of text cut at once, and the chunks that a task remembers (and bytes of groups)
-LINKS, PART, CHUNKS, CHUNK_BYTES = 1 << 21, 1 << 22, 1 << 19, 1 << 27
+LINKS, PART, CHUNKS, CHUNK_BYTES = 1 << 21, 1 << 21, 1 << 18, 1 << 26
 #: chunks that are encoded as one text
 JOINED = 64
 SPACE_MARK = "▁"
