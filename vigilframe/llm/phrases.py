@@ -1,10 +1,13 @@
 """Phrases of 2 to LONGEST words that occur together more often than their parts would by chance.
 
-Counts grow with the phrases.  Words are counted first; then every phrase of m words whose first m-1 and
-last m-1 words were both seen LEAST times or more, which is all that can be seen so often.  Which phrases
-those are is told to the tasks by a bitmap over 2**FILTER_BITS hash values, of the same size whatever
-the corpus: a wrong bit costs a count that is dropped afterwards, never a phrase.  Each row of a level's
-table holds a phrase's own count and those of its first 1..m-1 words and of its last 1..m-1 words.
+Counts grow with the phrases.  Texts are cut into words once and kept as blocks of numbers.  Words are
+counted first; then every phrase of m words whose first m-1 and last m-1 words were both seen LEAST times
+or more, which is all that can be seen so often.  Which phrases those are is told to the tasks by a
+bitmap over 2**FILTER_BITS hash values, of the same size whatever the corpus: a wrong bit costs a count
+that is dropped afterwards, never a phrase.  A block sends its different phrases as sorted, packed
+hashes with their counts; what a phrase is made of is asked only for those that were seen often enough.
+Each row of a level's table holds a phrase's own count and those of its first 1..m-1 words and of its
+last 1..m-1 words.
 
 The search is best first.  A phrase that begins with a word seen l times, cut behind that word, scores
 1000*a*n/(l*r) with r >= a, so 1000*n/l bounds it and everything that grows from that word.  The
@@ -28,15 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.tables import Scratch
+from vigilframe.llm.packing import Numbers, expanded, squeezed
+from vigilframe.llm.tables import Scratch, shuffle_partitions
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 FILTER_BITS = 27
-#: words counted at once
-BLOCK = 1 << 21
+#: words of a block, and words whose lists meet in one task
+BLOCK, MET = 1 << 21, 1 << 22
 REACH = 16
 #: the contract's separators of pieces; bytes.split() parts the words of a piece
 PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
@@ -55,66 +60,134 @@ def bit_of(keys: np.ndarray) -> np.ndarray:
     return ((keys * GOLD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-class Numbers(dict):
-    def __missing__(self, key):
-        self[key] = out = len(self)
-        return out
+def coded(texts: DataFrame) -> DataFrame:
+    """(lang, size, words, stream): blocks of the texts of one language; the stream holds the number of
+    every word from 1, and 0 behind each piece."""
 
+    def packed(lang: str, numbers: Numbers, parts: list[list[int]]) -> pa.RecordBatch:
+        size = sum(map(len, parts))
+        stream = np.zeros(size + len(parts), np.uint32)
+        at = 0
+        for part in parts:
+            stream[at:at + len(part)] = part
+            at += len(part) + 1
+        words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(numbers)[1:])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang]), pa.array([size], pa.int64()), pa.array([words], pa.binary()),
+             pa.array([squeezed(stream)], pa.binary())], ["lang", "size", "words", "stream"])
 
-class Block:
-    """Words of some texts of one language: their texts, and at each place the number of the word, -1 at
-    the ends of pieces."""
-
-    def __init__(self):
-        self.numbers, self.parts, self.size = Numbers(), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                if not (text := text.as_py()):
+                    continue
+                numbers, parts, size = held.get(lang) or (Numbers({b"": 0}), [], 0)
+                number = numbers.__getitem__
+                for piece in text.encode().translate(PIECES).split(b"\n"):
+                    if words := piece.split():
+                        parts.append(list(map(number, words)))
+                        size += len(words)
+                held[lang] = numbers, parts, size
+                if size >= BLOCK:
+                    yield packed(lang, *held.pop(lang)[:2])
+        for lang, (numbers, parts, _) in held.items():
+            if parts:
+                yield packed(lang, numbers, parts)
+
+    return texts.mapInArrow(run, "lang string, size long, words binary, stream binary")
 
-    def add(self, text: str) -> None:
-        number = self.numbers.__getitem__
-        for piece in text.encode().translate(PIECES).split(b"\n"):
-            if words := piece.split():
-                self.parts.append(list(map(number, words)))
-                self.size += len(words)
 
-    def places(self) -> np.ndarray:
-        out = np.full(self.size + len(self.parts), -1, np.int64)
-        at = 0
-        for part in self.parts:
-            out[at:at + len(part)] = part
-            at += len(part) + 1
-        return out
+class Block:
+    """One block: the words, their hashes (0 behind a piece) and what stands at each place."""
 
-    def keys(self, lang: str) -> np.ndarray:
-        """Hash of every word of this language, by number."""
+    def __init__(self, lang: str, words: bytes, stream: bytes):
+        self.words = [b"", *zstandard.ZstdDecompressor().decompress(words).split(b"\n")]
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.numbers), np.uint64,
-                           len(self.numbers)) & POSITIVE
+        self.keys = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64,
+                                len(self.words)) & POSITIVE
+        self.number = expanded(stream, np.uint32)[0]
+
+    def phrases(self, size: int, maps: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Hashes of the phrases of ``size`` words at all places where their first and last size-1 words
+        have their bit, with those of these words and of the last word."""
+        good, word = self.number > 0, self.keys[self.number]
+        phrase, at = word, np.flatnonzero(good)
+        prefix = suffix = last = word
+        for length in range(2, size + 1):
+            good[at] = known(phrase[at], maps[length - 2])
+            prefix, suffix, last = phrase[:-1], phrase[1:], word[length - 1:]
+            at = np.flatnonzero(good[:-1] & good[1:])
+            phrase = np.zeros(len(prefix), np.uint64)
+            phrase[at] = chained(prefix[at], last[at])
+            good = np.zeros(len(prefix), bool)
+            good[at] = True
+        return phrase[at], prefix[at], suffix[at], last[at]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
-    held: dict[str, Block] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            if text := text.as_py():
-                block = held.setdefault(lang, Block())
-                block.add(text)
-                if block.size >= BLOCK:
-                    yield lang, held.pop(lang)
-    yield from held.items()
+        for lang, words, stream in zip(*[batch.column(c) for c in ("lang", "words", "stream")]):
+            yield lang.as_py(), Block(lang.as_py(), words.as_py(), stream.as_py())
+
+
+def known(phrases: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = bit_of(phrases)
+    return bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
+def count_phrases(blocks: DataFrame, sent, size: int, least: int, parts: int) -> DataFrame:
+    """(key, n) of all phrases of ``size`` words seen ``least`` times; ``sent`` holds the bitmaps of the
+    phrases of fewer words."""
+    borders = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 63 / parts)).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches):
+            key, n = np.unique(block.phrases(size, sent.value)[0], return_counts=True)
+            cut = [0, *np.searchsorted(key, borders).tolist(), len(key)]
+            rows = [(p, squeezed(np.diff(key[x:y], prepend=np.uint64(0)), n[x:y].astype(np.uint32)))
+                    for p, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()),
+                                                  pa.array([b for _, b in rows], pa.binary())], ["part", "list"])
+
+    def merged(met: pa.Table) -> pa.Table:
+        lists = [expanded(x, np.uint64, np.uint32) for x in met.column("list").to_pylist()]
+        key, of = np.unique(np.concatenate([np.cumsum(x) for x, _ in lists]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([x for _, x in lists]), len(key)).astype(np.int64)
+        often = n >= least
+        return pa.table([pa.array(key[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
 
+    return blocks.mapInArrow(run, "part int, list binary").groupBy("part").applyInArrow(merged, "key long, n long")
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(lang, key, word, n) of every word."""
+
+def spelled_words(blocks: DataFrame, sent) -> DataFrame:
+    """(key, lang, word) of the words that have their bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in _blocks(batches):
-            words, places = [w.decode() for w in block.numbers], block.places()
-            n = np.bincount(places[places >= 0], minlength=len(words))
+            at = np.flatnonzero(known(block.keys[1:], sent.value[0])) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words), pa.string()), pa.array(block.keys(lang).view(np.int64)),
-                 pa.array(words, pa.string()), pa.array(n.astype(np.int64))], ["lang", "key", "word", "n"])
+                [pa.array(block.keys[at].view(np.int64)), pa.array([lang] * len(at), pa.string()),
+                 pa.array([block.words[i].decode() for i in at.tolist()], pa.string())], ["key", "lang", "word"])
+
+    return blocks.mapInArrow(run, "key long, lang string, word string").groupBy("key").agg(
+        F.first("lang").alias("lang"), F.first("word").alias("word"))
+
+
+def made_of(blocks: DataFrame, sent, size: int) -> DataFrame:
+    """(key, prefix, suffix, word) of the phrases of ``size`` words that have their bit."""
 
-    rows = texts.mapInArrow(run, "lang string, key long, word string, n long")
-    return rows.groupBy("lang", "key", "word").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches):
+            columns = block.phrases(size, sent.value)
+            there = known(columns[0], sent.value[size - 1])
+            _, first = np.unique(columns[0][there], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c[there][first].view(np.int64)) for c in columns],
+                                             ["key", "prefix", "suffix", "word"])
+
+    return blocks.mapInArrow(run, "key long, prefix long, suffix long, word long").groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("prefix", "suffix", "word")])
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -135,62 +208,34 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def count_phrases(texts: DataFrame, sent, size: int) -> DataFrame:
-    """(key, prefix, suffix, word, n) of phrases of ``size`` words whose first and last size-1 words have
-    their bit; ``sent`` holds the bitmaps of 1..size-1 words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = sent.value
-
-        def known(phrases: np.ndarray, length: int) -> np.ndarray:
-            at = bit_of(phrases)
-            return maps[length - 1][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
-
-        for lang, block in _blocks(batches):
-            places, of = block.places(), block.keys(lang)
-            frequent = np.append(known(of, 1), False)[places]
-            word = np.append(of, np.uint64(0))[places]
-            phrase, good = word, frequent
-            for length in range(2, size + 1):  # the hash and whether it counts, of the phrase beginning here
-                prefix, suffix = phrase[:-1], phrase[1:]
-                at = np.flatnonzero(good[:-1] & good[1:])
-                last = word[length - 1:]
-                phrase = np.zeros(len(prefix), np.uint64)
-                phrase[at] = chained(prefix[at], last[at])
-                good = np.zeros(len(prefix), bool)
-                good[at] = True if length == size else known(phrase[at], length)
-            key, first, n = np.unique(phrase[at], return_index=True, return_counts=True)
-            columns = [key, prefix[at][first], suffix[at][first], last[at][first]]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c.view(np.int64)) for c in columns], pa.array(n.astype(np.int64))],
-                ["key", "prefix", "suffix", "word", "n"])
-
-    rows = texts.mapInArrow(run, "key long, prefix long, suffix long, word long, n long")
-    if size == 2:  # the last word is all that follows the first; less to shuffle
-        return rows.groupBy("prefix", "suffix").agg(F.sum("n").alias("n"), F.first("key").alias("key")).select(
-            "key", "prefix", "suffix", F.col("suffix").alias("word"), "n")
-    return rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("prefix", "suffix", "word")], F.sum("n").alias("n"))
-
-
 def grow(texts: DataFrame, scratch: Scratch, longest: int, least: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """All words' totals by language, the words seen ``least`` times, and a table for each longer length:
     key, prefix, word, n, heads (counts of the first 1..m-1 words), tails (of the last m-1..1), whole
     (whether no phrase of one more word has the same count)."""
     spark = texts.sparkSession
-    counted = scratch.write(count_words(texts), "words")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = scratch.write(counted.where(F.col("n") >= least), "frequent")
-    maps, tables = [bitmap(words)], [words.select("key", "n", F.array().cast("array<long>").alias("heads"),
-                                                  F.array().cast("array<long>").alias("tails"))]
+    blocks = scratch.write(coded(texts), "blocks")
+    totals = scratch.write(blocks.groupBy("lang").agg(F.sum("size").alias("total")), "totals")
+    size_of_all = totals.agg(F.sum("total")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size_of_all // MET))
+    maps: list[np.ndarray] = []
+
+    def counted(size: int) -> tuple[DataFrame, object]:
+        sent = spark.sparkContext.broadcast(list(maps))
+        found = scratch.write(count_phrases(blocks, sent, size, least, parts), f"counts{size}")
+        maps.append(bitmap(found))
+        return found, spark.sparkContext.broadcast(list(maps))
+
+    found, sent = counted(1)
+    words = scratch.write(found.join(spelled_words(blocks, sent), "key"), "frequent")
+    none = F.array().cast("array<long>")
+    tables = [words.select("key", "n", none.alias("heads"), none.alias("tails"))]
     for size in range(2, longest + 1):
-        found = scratch.write(count_phrases(texts, spark.sparkContext.broadcast(list(maps)), size)
-                              .where(F.col("n") >= least), f"counts{size}")
+        found, sent = counted(size)
+        found = found.join(made_of(blocks, sent, size), "key")
         before = tables[-1]
         head = before.select(F.col("key").alias("prefix"), F.concat("heads", F.array("n")).alias("heads"))
         tail = before.select(F.col("key").alias("suffix"), F.concat(F.array("n"), "tails").alias("tails"))
         tables.append(scratch.write(found.join(head, "prefix").join(tail, "suffix"), f"level{size}"))
-        if size < longest:
-            maps.append(bitmap(found))
     levels = []
     for size in range(2, longest + 1):
         level = tables[size - 1]
