@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vigilframe.llm import (bpe, decontaminate, exact, fixity, language, licences, lm, neardup, sharding,
                             toxic)
 from vigilframe.llm.components import components
+from vigilframe.llm.packing import squeezed
 from vigilframe.llm.tables import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -130,6 +131,26 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in language.identify(docs, language.fit(none)).collect()} == {"und"}
 
 
+def test_language_is_learned_however_small_the_share(spark):
+    """A sample far below one text, and languages that lie in a few long texts, still learn every language."""
+    rng = random.Random(6)
+    parts = {"en": ["the", "ing", "wh"], "de": ["für", "ung", "sch"], "fr": ["ç", "eau", "tion"]}
+
+    def prose(lang, n):
+        return " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    rows = [(i, prose(lang, 40_000 if lang == "fr" else 300), lang, None, None)
+            for i, lang in enumerate(["en"] * 30 + ["de"] * 30 + ["fr"] * 3)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for sample in (1, 500, 20_000):
+        model = language.fit(frame, sample_bytes=sample)
+        assert model.languages == ["de", "en", "fr"]
+        got = {r.doc_id: r.lang_pred for r in language.identify(frame, model, keep=["doc_id"]).collect()}
+        assert all(got[i] == lang for i, _, lang, _, _ in rows)
+    same = spark.createDataFrame([(None, rows[0][1], "en", None, None)] * 3 + [(None, rows[40][1], "de", None, None)], SCHEMA)
+    assert language.fit(same, sample_bytes=1).languages == ["de", "en"]
+
+
 def test_code_lengths_equal_a_plain_coder():
     import math
 
@@ -195,46 +216,29 @@ def test_lm(docs, none):
     assert {r.n_known for r in lm.score(docs, F.lit(False)).collect()} == {0}
 
 
-def test_automaton_equals_a_plain_walk():
+def test_automaton_walks_like_a_loop():
+    """Lanes side by side give what one state carried from left to right gives."""
     import numpy as np
-    rng = random.Random(4)
-    texts = [[rng.randrange(6) for _ in range(rng.randint(1, 700))] for _ in range(12)]
-    counts = [{}, {}, {}, {}]
-    for t in texts:
-        for i in range(len(t)):
-            for k in (1, 2, 3):
-                if i + 1 >= k:
-                    counts[k].setdefault(tuple(t[i + 1 - k:i + 1]), 0)
-                    counts[k][tuple(t[i + 1 - k:i + 1])] += 1
-    for k in (2, 3):
-        counts[k] = {g: n for g, n in counts[k].items() if n >= 6 and (k == 2 or (g[:2] in counts[2] and g[1:] in counts[2]))}
-    heads = np.array([counts[1].get((w,), 1) for w in range(6)])
-    one = np.log10(heads / heads.sum())
-    code = lambda g: sum(w << (lm.WIDTH * (len(g) - 1 - i)) for i, w in enumerate(g))
-    made = lm.build(heads, one, [(np.array([code(g) for g in counts[k]], np.uint64), np.array(list(counts[k].values())))
-                                 for k in (2, 3)])
-
-    def p(h, w):
-        if not h:
-            return 10 ** one[w]
-        kept = {g[-1]: n for g, n in counts[len(h) + 1].items() if g[:-1] == h}
-        if not kept:
-            return p(h[1:], w)
-        total = counts[len(h)][h] if len(h) > 1 else heads[h[0]]
-        if w in kept:
-            return (kept[w] - lm.DISCOUNT) / total
-        return (1 - sum((n - lm.DISCOUNT) / total for n in kept.values())) / (
-            1 - sum(p(h[1:], x) for x in kept)) * p(h[1:], w)
-
-    numbers = np.array([w for t in texts for w in [0, *t]])
-    fresh = np.concatenate([np.arange(len(t) + 1) == 0 for t in texts])
-    got, at = made.walker()(numbers, fresh), 0
-    for t in texts:
-        line = [0, *t]
-        for i in range(1, len(line)):
-            want = np.log10(p(tuple(line[max(0, i - 2):i]), line[i]))
-            assert got[at + i] == pytest.approx(want, abs=1e-9)
-        at += len(line)
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 700, 255, 256, 257, 3], np.uint32)
+    words = np.arange(7, dtype=np.uint64) * 3 + 1
+    stream = rng.integers(0, 7, int(sizes.sum())).astype(np.uint32)
+    block = lm.Block(squeezed(sizes, np.ones(6, np.uint8)), words.tobytes(), squeezed(stream))
+    n_pair = np.where(np.arange(len(block.pair)) % 3 == 0, 0, block.n_pair + 2)
+    total = np.bincount(block.context, n_pair, 7).astype(np.int64)
+    total[5] = n_pair[block.context == 5].sum() * 0  # a word that nothing followed has no state
+    n_pair[block.context == 5] = 0
+    types = np.bincount(block.context[n_pair > 0], minlength=7)
+    one = lm.Unigrams.of(5000, 6, 0, 0, 0, 0)
+    machine = lm.Automaton.of(block, one, np.array([9, 0, 30, 4, 5, 6, 7]), total, types, n_pair)
+    arcs = {int(k): (w, t) for k, w, t in zip(machine.arcs, machine.weight, machine.target)}
+    got, state = machine.walk(block.word, block.first), machine.start
+    for word, first, cost in zip(block.word.tolist(), block.first.tolist(), got.tolist()):
+        state, paid = (machine.start if first else state), 0.0
+        if state << 32 | word not in arcs:
+            paid, state = machine.failure[state], 0
+        weight, state = arcs[state << 32 | word]
+        assert cost == pytest.approx(paid + weight, abs=1e-12)
 
 
 def test_decontamination(spark, docs, none):

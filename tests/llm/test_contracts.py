@@ -91,47 +91,39 @@ def test_licence_lines(spark, texts):
     assert {(r.doc_id, r.paragraph, r.family) for r in rows if r.family != "unknown"} == want
 
 
-@pytest.mark.parametrize("arcs", [19, 9, 2])
-def test_lm_score_counts_every_ngram(spark, texts, monkeypatch, arcs):
-    """The same plain backoff model, however few n-grams are frequent enough for the cache."""
+@pytest.mark.parametrize("block, hot, met", [(1 << 20, 12, 1 << 25), (700, 6, 2000), (1, 30, 1 << 25)])
+def test_lm_score_counts_every_pair(spark, texts, monkeypatch, block, hot, met):
+    """The same plain interpolated model, whatever the blocks, the hot words and the parts."""
     from pyspark.sql import functions as F
 
     from vigilframe.llm import lm
-    monkeypatch.setattr(lm, "ARCS", arcs)
+    for name, value in (("BLOCK", block), ("HOT", hot), ("MET", met)):
+        monkeypatch.setattr(lm, name, value)
     docs = {d: t for d, t in texts.items() if d % 4 == 0}
     words = {d: [b"\n", *(t or "").encode().lower().split(), b"\n"] for d, t in docs.items()}
-    counts, lone = [Counter(), Counter()], Counter()
+    pairs, lone = Counter(), Counter()
     for d, ws in words.items():
         if fold(d, 10):
             lone.update(ws[1:])
-            for k in (2, 3):
-                counts[k - 2].update(tuple(ws[i:i + k]) for i in range(len(ws) + 1 - k))
+            pairs.update(zip(ws, ws[1:]))
     of = Counter(lone.values())
     one = lm.Unigrams.of(sum(lone.values()), len(lone), *[of[k] for k in (1, 2, 3, 4)])
-    after = {}
-    for table in counts:
-        for g, n in table.items():
-            after.setdefault(g[:-1], {})[g[-1]] = n
-    memo = {}
-
-    def p(h, w):
-        if not h:
-            c = lone[w]
-            return (c - one.discount[min(c, 3) - 1]) / one.n if c else one.aside
-        kept = after.get(h)
-        if kept is None:
-            return p(h[1:], w)
-        total = sum(kept.values())
-        if w in kept:
-            return (kept[w] - lm.DISCOUNT) / total
-        if h not in memo:
-            memo[h] = lm.DISCOUNT * len(kept) / total / (1 - sum(p(h[1:], x) for x in kept))
-        return memo[h] * p(h[1:], w)
-
+    total, types = Counter(), Counter(v for v, _ in pairs)
+    for (v, _), n in pairs.items():
+        total[v] += n
+
+    def p(v, w):
+        c = lone[w]
+        lower = (c - one.discount[min(c, 3) - 1]) / one.n if c else one.aside
+        if not total[v]:
+            return lower
+        return (max(0, pairs[v, w] - lm.DISCOUNT) + lm.DISCOUNT * types[v] * lower) / total[v]
+
+    assert sum(p(b"\n", w) for w in lone) + one.aside * lm.DISCOUNT * types[b"\n"] / total[b"\n"] == pytest.approx(1)
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in lm.score(
         frame, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).collect()}
     assert set(got) == set(words)
     for d, ws in words.items():
-        want = sum(math.log10(p(tuple(ws[max(0, i - 2):i]), ws[i])) for i in range(1, len(ws)))
+        want = sum(math.log10(p(v, w)) for v, w in zip(ws, ws[1:]))
         assert got[d] == pytest.approx(want, rel=1e-9), d

@@ -1,24 +1,30 @@
 """Language-model scores from a weighted backoff automaton.
 
-A text is its lower-cased (A-Z) words and one end.  Word n-grams of up to ORDER words are counted over
-the whole training corpus and smoothed by absolute discounting (the unigram discounts follow from the
-counts of counts): an unseen continuation pays its context's backoff weight and is looked up in the
-shorter context, and what the unigrams set aside is the probability of the one unknown word.
-
-Every n-gram of the training texts counts, however rare.  Those that make up 2**-ARCS of all training
-tokens, at most 2**ARCS of each length, are broadcast, so that no hot key is shuffled; that cache only
-says where a count is found.  All other places of all rows are dealt out once by their context (under a
-cached context by context and word), and sorted: a context's places lie together, so its count, the
-counts of its words and what is unseen are read off in one pass.  Unseen places, which only rows that
-were not learned from have, meet the table of all bigrams and the backoff weights of their contexts.
-A context's weight needs its words' bigrams, which only contexts with an unseen place look up.
-
-Words are told apart by 63 bits of a hash (frequent ones by number), contexts of two words by 63 more.
-``Automaton`` is the same model for a table that fits one machine, for comparison.
+A text is its lower-cased (A-Z) words and one end.  Words and word pairs are counted over the whole
+training corpus, every pair however rare, and smoothed by interpolated absolute discounting: a state
+for each word that anything followed, an arc for each pair, weighted by
+
+    (n(v, w) - DISCOUNT) / n(v) + failure(v) * p(w),    failure(v) = DISCOUNT * types(v) / n(v),
+
+and a failure arc, weighted by failure(v), to the root, whose arcs are the words' own discounted
+probabilities (the discounts follow from the counts of counts; what they set aside is the probability
+of the one unknown word).  A text begins in the state of an end.  One traversal from left to right
+carries the state and adds the logarithms of the weights.
+
+No task holds the whole automaton.  Texts are put into blocks of BLOCK words.  A block lists its
+different words and pairs once, with their counts in its training texts, in packed lists that are dealt
+out by the word that comes first.  Where lists of all blocks meet, counts are added up and sent back in
+the order they were asked in; with them the block builds the part of the automaton that its texts can
+reach and walks it.  So the lists serve the count and the question at once, and nothing is sent for each
+word of a text.  Words that make up 2**-HOT of all words, at most 2**HOT, are known to all tasks: their
+pairs are dealt out by both words, so no context is one task's.
+
+Words are told apart by 64 bits of a hash, what follows a word by 48 more.
 
 Defined results: null and empty texts are one end token; without training text every token is unknown
-and has probability 1 (score 0), and the base is that of the formula with N = V = 0; rows are told
-apart by their place, so repeated and null ids are scored row by row; empty tables give empty tables.
+and has probability 1 (score 0), and the base is that of the formula with N = V = 0; repeated rows and
+null ids are scored row by row; columns other than id and text are ignored; empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -30,207 +36,174 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilframe.llm.lookup import Lookup
+from vigilframe.llm.packing import Numbers, expanded, squeezed
 from vigilframe.llm.tables import Scratch, shuffle_partitions
 
-ORDER = 3
-ARCS = 19
-#: bits of a frequent word's number; ORDER of them fit one key
-WIDTH = 20
-DISCOUNT = 0.5
+DISCOUNT = 0.75
 END = b"\n"
-#: words that are counted or scored at once, and the length of a lane
-BLOCK, LANE = 1 << 19, 1 << 8
+#: words of a block, length of a lane, hot words, bytes of lists that meet in one task
+BLOCK, LANE, HOT, MET = 1 << 20, 1 << 8, 12, 1 << 25
 BASE_ADD = 0.1
-MASK = np.uint64((1 << WIDTH) - 1)
+SIX = np.uint64((1 << 48) - 1)
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a whole text and of its end."""
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a whole text and its end; bytes split at the contract's six characters."""
     words = (text or "").encode().lower().split()
     words.append(END)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | TOP
-
-
-#: set in every word's hash: as a long it is negative, a frequent word's number is not
-TOP = np.uint64(1 << 63)
-END_KEY = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64) | TOP
+    return words
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The texts' tokens, some BLOCK words at a time."""
-    held, size = [], 0
-    for batch in batches:
-        for text in batch.column("text"):
-            held.append(tokens(text.as_py()))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    known, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(known.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def coded(rows: DataFrame, id_type: T.DataType) -> DataFrame:
+    """A row for each block of texts: ids, sizes and whether they are learned from, hashes of its words,
+    and the texts as numbers of these words."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
+                           *[T.StructField(c, T.BinaryType()) for c in ("texts", "words", "stream")]])
 
-
-def count_words(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            yield _counted(np.concatenate(block))
+        from pyspark import TaskContext
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        block = TaskContext.get().partitionId() << 32
+        numbers, ids, learned, sizes, parts, held = Numbers({END: 0}), [], [], [], [], 0
 
+        def closed() -> pa.RecordBatch:
+            hashes = np.fromiter(map(hash_of, numbers), np.uint64, len(numbers))
+            columns = [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()),
+                                                                   pa.concat_arrays(ids))]
+            blobs = [squeezed(np.array(sizes, np.uint32), np.array(learned, np.uint8)), hashes.tobytes(),
+                     squeezed(np.concatenate(parts))]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array([b], pa.binary()) for b in blobs]], schema.names)
 
-def numbered(block: list[np.ndarray], table: Lookup) -> np.ndarray:
-    """Frequent words by number, others -1; every text follows an end mark of its own."""
-    found = table.find(np.concatenate([np.concatenate([END_KEY, text]) for text in block]))
-    return found.astype(np.int64)
+        for batch in batches:
+            column = batch.column("id")
+            for i, (text, learns) in enumerate(zip(batch.column("text"), batch.column("learned").to_pylist())):
+                words = words_of(text.as_py())
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                ids.append(column.slice(i, 1))
+                sizes.append(len(words))
+                learned.append(learns)
+                held += len(words)
+                if held >= BLOCK:
+                    yield closed()
+                    block, held = block + 1, 0
+                    numbers, ids, learned, sizes, parts = Numbers({END: 0}), [], [], [], []
+        if held:
+            yield closed()
+
+    return rows.mapInArrow(run, schema)
+
+
+class Block:
+    """One block's texts: their words, the different pairs (previous word, word) and learned counts."""
+
+    def __init__(self, texts: bytes, words: bytes, stream: bytes):
+        self.sizes, learned = expanded(texts, np.uint32, np.uint8)
+        self.words = np.frombuffer(words, np.uint64)
+        self.word = expanded(stream, np.uint32)[0].astype(np.int64)
+        self.first = np.zeros(len(self.word), bool)
+        self.first[np.cumsum(self.sizes, dtype=np.int64) - self.sizes] = True
+        before = np.append(0, self.word[:-1])  # the end, number 0, before the first word of a text
+        learns = np.repeat(learned, self.sizes)
+        self.pair, of = np.unique(before * len(self.words) + self.word, return_inverse=True)
+        self.n_word = np.bincount(self.word, learns, len(self.words)).astype(np.int64)
+        self.n_pair = np.bincount(of, learns, len(self.pair)).astype(np.int64)
+        self.context, self.then = np.divmod(self.pair, len(self.words))
+
+    def lists(self, hot: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(part, words, pairs) by number, the pairs in the order of their words: what is asked where.
+
+        A word that is not hot is asked, with all its pairs, where its hash says; a hot word's pairs go
+        where both hashes say.
+        """
+        is_hot = np.isin(self.words, hot)
+        of_word = (self.words % np.uint64(parts)).astype(np.int64)
+        both = mixed(self.words[self.context], self.words[self.then]) % np.uint64(parts)
+        of_pair = np.where(is_hot[self.context], both.astype(np.int64), of_word[self.context])
+        by = np.argsort(of_pair, kind="stable")  # pairs come sorted by their first word
+        cut = np.searchsorted(of_pair[by], np.arange(parts + 1))
+        own = np.flatnonzero(~is_hot)
+        by_word = own[np.argsort(of_word[own], kind="stable")]
+        cut_word = np.searchsorted(of_word[by_word], np.arange(parts + 1))
+        for part in range(parts):
+            pairs, words = by[cut[part]:cut[part + 1]], by_word[cut_word[part]:cut_word[part + 1]]
+            if len(pairs) or len(words):
+                yield part, np.union1d(words, self.context[pairs]), pairs
 
 
-def joined_keys(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end at each place, and where all their words are frequent."""
-    n = len(numbers)
-    code, good = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(size - 1, -1, -1):
-        word = np.concatenate([np.full(k, -1), numbers[:n - k]])
-        good &= word >= 0
-        code = (code << np.uint64(WIDTH)) | (word.astype(np.uint64) & MASK)
-    return code, good
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a pair of hashes."""
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h ^ (h >> np.uint64(32))) + b) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
-def predicted(block: list[np.ndarray]) -> np.ndarray:
-    """Distance from the start mark of each text; the marks themselves (0) are not predicted."""
-    return np.concatenate([np.arange(len(text) + 1) for text in block])
+ASKED = "part int, block long, asked binary"
 
 
-def count_grams(texts: DataFrame, sent, size: int) -> DataFrame:
-    """n-grams of ``size`` frequent words whose beginning and end (one word shorter) were kept."""
+def ask(blocks: DataFrame, hot, parts: int) -> DataFrame:
+    """The lists of every block: hashes and learned counts of words, and of what follows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, kept = sent.value
-        table = Lookup(heads)
-        shorter = Lookup(kept) if size > 2 else None
-        for block in _blocks(batches):
-            numbers = numbered(block, table)
-            code, good = joined_keys(numbers, size)
-            good &= predicted(block) >= size - 1  # all inside one text and its start mark
-            code = code[good]
-            if shorter is not None:
-                tail = np.uint64((1 << (WIDTH * (size - 1))) - 1)
-                code = code[shorter.find(code >> np.uint64(WIDTH)) >= 0]
-                code = code[shorter.find(code & tail) >= 0]
-            yield _counted(code)
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Automaton:
-    """Arcs by (state, word) with log10 weight and target; per state its backoff and failure."""
-
-    arcs: np.ndarray
-    weight: np.ndarray
-    target: np.ndarray
-    backoff: np.ndarray
-    failure: np.ndarray
-
-    def walker(self):
-        """Word numbers -> log10 weight of each; a rare word (-1) brings the way to the root only."""
-        table = Lookup(self.arcs)
-        weight, target = np.append(self.weight, 0.0), np.append(self.target, 0)
-
-        def step(state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            cost, at = np.zeros(len(state)), state.copy()
-            symbol = word.astype(np.uint64) & MASK
-            row = table.find((at.astype(np.uint64) << np.uint64(WIDTH)) | symbol)
-            row[word < 0] = -1
-            fell = np.flatnonzero((row < 0) & (at > 0))
-            while len(fell):
-                cost[fell] += self.backoff[at[fell]]
-                at[fell] = self.failure[at[fell]]
-                found = table.find((at[fell].astype(np.uint64) << np.uint64(WIDTH)) | symbol[fell])
-                row[fell] = np.where(word[fell] < 0, -1, found)
-                fell = fell[(row[fell] < 0) & (at[fell] > 0)]
-            return cost + weight[row], target[row]
-
-        def walk(numbers: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-            """``fresh`` marks the start marks, which follow nothing.
-
-            Lanes are walked side by side; each first reads the words before it, which alone
-            determine its state.
-            """
-            n, warm = len(numbers), ORDER - 1
-            lanes = -(-n // LANE)
-            padded = np.full(warm + lanes * LANE, -1, np.int64)
-            padded[warm:warm + n] = numbers
-            starts = np.zeros(warm + lanes * LANE, bool)
-            starts[warm:warm + n] = fresh
-            begin, out = np.arange(lanes) * LANE, np.zeros(lanes * LANE)
-            state = np.zeros(lanes, np.int64)
-            for k in range(warm + LANE):
-                state[starts[begin + k]] = 0
-                cost, state = step(state, padded[begin + k])
-                if k >= warm:
-                    out[begin + k - warm] = cost
-            return out[:n]
-
-        return walk
-
-
-def build(heads: np.ndarray, unigram: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton:
-    """From log10 unigram weights with the frequent words' counts, and (keys, counts) by length."""
-    log_p, counts = unigram, heads.astype(float)
-    keys = np.arange(len(heads), dtype=np.uint64)
-    probability, sizes = [(keys, 10.0 ** log_p)], [(keys, counts)]
-    contexts, backoffs = [np.zeros(1, np.uint64)], [np.zeros(1)]
-    arcs_by_order = [(keys, np.zeros(len(keys), np.int64), log_p)]
-    for order, (keys, n) in enumerate(grams, 2):
-        if not len(keys):
-            break
-        by = np.argsort(keys)
-        keys, n = keys[by], n[by].astype(float)
-        context, of = np.unique(keys >> np.uint64(WIDTH), return_inverse=True)
-        shorter_keys, shorter_counts = sizes[-1]
-        of_context = shorter_counts[np.searchsorted(shorter_keys, context)]
-        p = (n - DISCOUNT) / of_context[of]
-        low_keys, low = probability[-1]
-        tail = np.uint64((1 << (WIDTH * (order - 1))) - 1)
-        low = low[np.searchsorted(low_keys, keys & tail)]
-        given, had = np.bincount(of, p, len(context)), np.bincount(of, low, len(context))
-        backoffs.append(np.log10(np.maximum(1 - given, 1e-12) / np.maximum(1 - had, 1e-12)))
-        contexts.append(context)
-        probability.append((keys, p))
-        sizes.append((keys, n))
-        arcs_by_order.append((keys, of, np.log10(p)))
-    offsets = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-
-    def state_of(keys: np.ndarray, longest: int) -> np.ndarray:
-        """The longest end of these word strings that is a state."""
-        out, unset = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
-        for size in range(min(longest, len(contexts) - 1), 0, -1):
-            ends = keys & np.uint64((1 << (WIDTH * size)) - 1)
-            at = np.minimum(np.searchsorted(contexts[size], ends), len(contexts[size]) - 1)
-            hit = unset & (contexts[size][at] == ends)
-            out[hit] = offsets[size] + at[hit]
-            unset &= ~hit
-        return out
-
-    arcs, weight, target = [], [], []
-    for order, (keys, of, log_of) in enumerate(arcs_by_order, 1):
-        arcs.append(((offsets[order - 1] + of).astype(np.uint64) << np.uint64(WIDTH)) | (keys & MASK))
-        weight.append(log_of)
-        target.append(state_of(keys, min(order, ORDER - 1)))
-    failure = np.concatenate([np.zeros(1, np.int64)] + [
-        state_of(context, size - 1) for size, context in enumerate(contexts) if size])
-    return Automaton(np.concatenate(arcs), np.concatenate(weight), np.concatenate(target),
-                     np.concatenate(backoffs), failure)
+        for batch in batches:
+            for number, *blobs in zip(*[batch.column(c).to_pylist() for c in ("block", "texts", "words", "stream")]):
+                block, rows = Block(*blobs), []
+                for part, words, pairs in block.lists(hot.value, parts):
+                    follow = np.bincount(np.searchsorted(words, block.context[pairs]), minlength=len(words))
+                    then = block.words[block.then[pairs]] & SIX
+                    six = np.ascontiguousarray(then.view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+                    rows.append((part, squeezed(
+                        block.words[words], block.n_word[words].astype(np.uint32), follow.astype(np.uint32),
+                        six, block.n_pair[pairs].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()),
+                     pa.array([b for _, b in rows], pa.binary())], ["part", "block", "asked"])
+
+    return blocks.mapInArrow(run, ASKED)
+
+
+def answer(hot):
+    """All lists of one part -> the same lists with corpus-wide counts; for hot words (block -1), whose
+    pairs are spread, this part's share of their types and of their pairs' counts."""
+
+    def run(met: pa.Table) -> pa.Table:
+        lists = [expanded(x, np.uint64, np.uint32, np.uint32, np.uint8, np.uint32)
+                 for x in met.column("asked").to_pylist()]
+        then = [np.zeros((len(x[3]) // 6, 8), np.uint8) for x in lists]
+        for wide, x in zip(then, lists):
+            wide[:, :6] = x[3].reshape(-1, 6)
+        hashes = np.concatenate([x[0] for x in lists])
+        word, of_word = np.unique(hashes, return_inverse=True)
+        n_word = np.bincount(of_word, np.concatenate([x[1] for x in lists]), len(word)).astype(np.int64)
+        context = np.repeat(of_word, np.concatenate([x[2] for x in lists]))
+        keys = mixed(word[context], np.concatenate([x.reshape(-1).view(np.uint64) for x in then]))
+        pair, first, of_pair = np.unique(keys, return_index=True, return_inverse=True)
+        n_pair = np.bincount(of_pair, np.concatenate([x[4] for x in lists]), len(pair)).astype(np.int64)
+        seen = n_pair > 0
+        types = np.bincount(context[first][seen], minlength=len(word))
+        total = np.bincount(context[first], n_pair, len(word)).astype(np.int64)
+        out, at, at_pair = [], 0, 0
+        for x in lists:
+            own, pairs = of_word[at:at + len(x[0])], of_pair[at_pair:at_pair + len(x[4])]
+            out.append(squeezed(*[y.astype(np.uint64) for y in (
+                n_word[own], total[own], types[own], n_pair[pairs])]))
+            at, at_pair = at + len(x[0]), at_pair + len(x[4])
+        spread = np.flatnonzero(np.isin(word, hot.value))
+        blocks = pa.array([*met.column("block").to_pylist(), -1], pa.int64())
+        parts = pa.array([met.column("part")[0].as_py()] * len(blocks), pa.int32())
+        out.append(squeezed(word[spread], types[spread].astype(np.uint64), total[spread].astype(np.uint64)))
+        return pa.table([parts, blocks, pa.array(out, pa.binary())], ["part", "of", "told"])
+
+    return run
 
 
 @dataclass
@@ -251,215 +224,117 @@ class Unigrams:
         aside = d[0] * ones + d[1] * twos + d[2] * (v - ones - twos)
         return cls(n, v, d, aside / n if n else 1.0)
 
-    def log_p(self, c: np.ndarray) -> np.ndarray:
+    def p(self, c: np.ndarray) -> np.ndarray:
+        """Probability of words seen ``c`` times; of the one unknown word for 0."""
         d = np.select([c == 1, c == 2], self.discount[:2], self.discount[2])
-        return np.log10((c - d) / self.n)
-
-    def log_p_column(self, c: Column) -> Column:
-        d = F.when(c == 1, self.discount[0]).when(c == 2, self.discount[1]).otherwise(self.discount[2])
-        return F.when(c > 0, F.log10((c - d) / max(self.n, 1))).otherwise(math.log10(self.aside))
+        return np.where(c > 0, (c - d) / max(self.n, 1), self.aside)
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """63 bits that stand for a pair of codes."""
-    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = ((h ^ (h >> np.uint64(32))) + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return ((h ^ (h >> np.uint64(32))) & ~TOP).view(np.int64)
-
-
-class Cache:
-    """The frequent words and n-grams with their counts, as the workers look them up."""
-
-    def __init__(self, words, pairs, triples):
-        self.words, self.pairs, self.triples = (Lookup(keys) for keys, _ in (words, pairs, triples))
-        self.n1, self.n2, self.n3 = (np.append(n, 0) for _, n in (words, pairs, triples))
-
-    def of(self, block: list[np.ndarray]):
-        """Per place, start marks included: number or -1, code, and cached counts (0: not cached)."""
-        numbers = numbered(block, self.words)
-        hashes = np.concatenate([np.concatenate([END_KEY, text]) for text in block])
-        code = np.where(numbers >= 0, numbers, hashes.view(np.int64))
-        place, counts = predicted(block), []
-        for size, table, n in ((2, self.pairs, self.n2), (3, self.triples, self.n3)):
-            keys, good = joined_keys(numbers, size)
-            row = table.find(keys)
-            row[~good | (place < size - 1)] = -1
-            counts.append(n[row])
-        return place, numbers, code, counts[0], counts[1]
-
-
-def count_pairs(texts: DataFrame, sent, parts: int) -> DataFrame:
-    """(v, w, n, cw): every bigram with its count and that of its second word.
-
-    A rare word's bigrams lie together, so their sum is the word's count; a frequent word brings it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(*sent.value)
-        for block in _blocks(batches):
-            place, numbers, code, _, _ = cache.of(block)
-            at = np.flatnonzero(place > 0)
-            pair = np.stack([code[at - 1], code[at]], 1)
-            by = np.lexsort((pair[:, 1], pair[:, 0]))
-            pair, at = pair[by], at[by]
-            first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1)))
-            n, v, w = np.diff(np.append(first, len(at))), *pair[first].T.copy()
-            cw = cache.n1[numbers[at[first]]] * (w >= 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(w < 0, w, mixed(v, w))), pa.array(v), pa.array(w), pa.array(cw), pa.array(n)],
-                ["spot", "v", "w", "cw", "n"])
-
-    rows = texts.mapInArrow(run, "spot long, v long, w long, cw long, n long").repartition(parts, "spot")
-    rows = rows.groupBy("spot", "v", "w").agg(F.max("cw").alias("cw"), F.sum("n").alias("n"))
-    whole = F.sum("n").over(Window.partitionBy("spot"))
-    return rows.select("v", "w", "n", F.when(F.col("w") < 0, whole).otherwise(F.col("cw")).alias("cw"))
-
-
-DOC, WORD, GRAM, FIRST, UNSEEN, TYPE, SUM = range(7)
-PLACES = ["kind", "learned", "uid", "id", "spot", "ctx", "v", "w", "nctx", "npair", "base", "best"]
-MET = ["kind", "uid", "id", "ctx", "v", "w", "nctx", "npair", "n_known", "base", "best"]
-
-
-def _batch(names: list[str], size: int, id_type, **given) -> pa.RecordBatch:
-    """Columns that are not given are 0, ids null."""
-    zero, real = np.zeros(size, np.int64), np.zeros(size)
-    columns = [given[c] if c in given else pa.nulls(size, id_type) if c == "id"
-               else real if c in ("base", "best") else zero for c in names]
-    return pa.RecordBatch.from_arrays(
-        [x if isinstance(x, pa.Array) else pa.array(x, pa.float64() if c in ("base", "best") else pa.int64())
-         for c, x in zip(names, columns)], names)
-
-
-def places(rows: DataFrame, sent, starts: int, id_type: str) -> DataFrame:
-    """A row for each text with what the cache tells, and one for each place that it does not tell."""
+@dataclass
+class Automaton:
+    """States: the root (0) and one for each word that something followed.  Arcs by (state, word) with
+    log10 weight and target; per state the log10 weight of its failure arc, which leads to the root."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(*sent.value)
-        log_c = np.log10(cache.n1 + BASE_ADD)
-
-        def told(uids: np.ndarray, ids: pa.Array, learned: np.ndarray, block: list[np.ndarray]):
-            place, numbers, code, pair, triple = cache.of(block)
-            m, owner = len(block), np.repeat(np.arange(len(block)), [len(t) + 1 for t in block])
-            best, known = np.zeros(len(place)), (place > 0) & (numbers >= 0)
-            context = np.append(0, pair[:-1])
-            seen = triple > 0  # its context is cached too
-            best[seen] = np.log10((triple[seen] - DISCOUNT) / context[seen])
-            first = (place == 1) & (pair > 0)
-            best[first] = np.log10((pair[first] - DISCOUNT) / starts)
-            yield _batch(PLACES, m, ids.type, uid=uids, id=ids, spot=mixed(uids, uids),
-                         w=np.bincount(owner, place > 0, m).astype(np.int64),
-                         v=np.bincount(owner, known, m).astype(np.int64),
-                         base=np.bincount(owner[known], log_c[numbers[known]], m), best=np.bincount(owner, best, m))
-
-            def out(at: np.ndarray, kind: int, **given):
-                for k in range(0, len(at), 1 << 16):
-                    part = slice(k, k + (1 << 16))
-                    own = owner[at[part]]
-                    yield _batch(PLACES, len(own), ids.type, kind=np.full(len(own), kind), uid=uids[own],
-                                 learned=learned[own], **{c: x[part] for c, x in given.items()})
-
-            at = np.flatnonzero((place > 0) & (numbers < 0))
-            yield from out(at, WORD, spot=code[at])
-            at = np.flatnonzero((place == 1) & (pair == 0))
-            yield from out(at, FIRST, spot=mixed(code[at - 1], code[at]), v=code[at - 1], w=code[at])
-            at = np.flatnonzero((place > 1) & (triple == 0))
-            ctx, w, n = mixed(code[at - 2], code[at - 1]), code[at], context[at]
-            yield from out(at, GRAM, spot=np.where(n > 0, mixed(ctx, w), ctx), ctx=ctx, v=code[at - 1], w=w,
-                           nctx=n, npair=pair[at])
+    arcs: np.ndarray
+    weight: np.ndarray
+    target: np.ndarray
+    failure: np.ndarray
+    start: int
 
-        for batch in batches:
-            uids, ids = batch.column("uid").to_numpy(), batch.column("id")
-            learned = batch.column("learned").to_numpy()
-            block, size, first = [], 0, 0
-            for i, text in enumerate(batch.column("text")):
-                block.append(tokens(text.as_py()))
-                size += len(block[-1])
-                if size >= BLOCK or i == batch.num_rows - 1:
-                    part = slice(first, i + 1)
-                    yield from told(uids[part], ids.slice(first, i + 1 - first), learned[part], block)
-                    block, size, first = [], 0, i + 1
-
-    return rows.mapInArrow(run, f"kind long, learned long, uid long, id {id_type}, spot long, ctx long, v long, "
-                                "w long, nctx long, npair long, base double, best double")
-
-
-def meet(dealt: DataFrame, id_type: str) -> DataFrame:
-    """Places sorted by (spot, w) -> sums of what is seen, places that are unseen, and the word types
-    of the contexts that unseen places may follow."""
-
-    def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, c = table.column("id").combine_chunks(), {
-            x: table.column(x).to_numpy() for x in table.column_names if x != "id"}
-        kind, spot, w, id_type = c["kind"], c["spot"], c["w"], ids.type
-        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-        docs = np.flatnonzero(kind == DOC)
-        if len(docs):
-            yield _batch(MET, len(docs), id_type, uid=c["uid"][docs], id=ids.take(pa.array(docs)),
-                         nctx=w[docs], n_known=c["v"][docs], base=c["base"][docs], best=c["best"][docs])
-        new_spot = np.append(True, spot[1:] != spot[:-1])
-        new = new_spot | np.append(True, w[1:] != w[:-1])
-        of_spot, of = np.cumsum(new_spot) - 1, np.cumsum(new) - 1
-        word, gram = kind == WORD, kind == GRAM
-        learned = c["learned"] * (word | gram)
-        n_spot, n = np.bincount(of_spot, learned).astype(np.int64), np.bincount(of, learned).astype(np.int64)
-        n_all, n = n_spot[of_spot], n[of]
-        context = np.where(c["nctx"] > 0, c["nctx"], n_all)
-        seen, unseen = gram & (n > 0), gram & (n == 0)
-        best = np.zeros(len(kind))
-        best[seen] = np.log10((n[seen] - DISCOUNT) / context[seen])
-        told = np.flatnonzero(word | seen)
-        if len(told):
-            uid, own = np.unique(c["uid"][told], return_inverse=True)
-            is_word = word[told]
-            count = n_all[told]
-            yield _batch(MET, len(uid), id_type, kind=np.full(len(uid), SUM), uid=uid,
-                         n_known=np.bincount(own, is_word & (count > 0), len(uid)).astype(np.int64),
-                         base=np.bincount(own, np.log10(count + BASE_ADD) * is_word, len(uid)),
-                         best=np.bincount(own, best[told], len(uid)))
-        at = np.flatnonzero(unseen | (kind == FIRST))
-        if len(at):
-            follows = gram[at] & (context[at] > 0)
-            yield _batch(MET, len(at), id_type, kind=np.full(len(at), UNSEEN), uid=c["uid"][at],
-                         ctx=np.where(follows, c["ctx"][at], -1), v=c["v"][at], w=w[at],
-                         nctx=np.where(follows, context[at], 0), npair=c["npair"][at])
-        asked = np.bincount(of_spot, unseen)[of_spot] > 0
-        kept = np.flatnonzero(seen & (asked | (c["nctx"] > 0)))
-        kept = kept[np.append(True, of[kept][1:] != of[kept][:-1])[:len(kept)]]
-        if len(kept):
-            yield _batch(MET, len(kept), id_type, kind=np.full(len(kept), TYPE), ctx=c["ctx"][kept], v=c["v"][kept],
-                         w=w[kept], nctx=context[kept], npair=c["npair"][kept])
+    @classmethod
+    def of(cls, block: Block, one: Unigrams, n_word, total, types, n_pair) -> Automaton:
+        """The part that a block's texts can reach, from the corpus-wide counts of its words and pairs."""
+        p = one.p(n_word)
+        state = np.where(total > 0, np.cumsum(total > 0), 0)
+        fails = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
+        there = np.flatnonzero(n_pair > 0)
+        v, w = block.context[there], block.then[there]
+        high = (n_pair[there] - DISCOUNT) / total[v] + fails[v] * p[w]
+        words = np.arange(len(p))
+        return cls(np.concatenate([words, state[v] << 32 | w]).astype(np.uint64),
+                   np.log10(np.concatenate([p, high])), np.concatenate([state, state[w]]),
+                   np.append(0.0, np.log10(fails[total > 0])), int(state[0]))
+
+    def walk(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of every word, from left to right; ``first`` marks the first of each text.
+
+        Stretches of LANE words are walked side by side; each first reads the word before it, which
+        alone decides its state.
+        """
+        table = Lookup(self.arcs)
+        lanes = -(-len(word) // LANE)
+        padded, fresh = np.zeros(1 + lanes * LANE, np.int64), np.zeros(1 + lanes * LANE, bool)
+        padded[1:1 + len(word)], fresh[1:1 + len(word)] = word, first
+        begin, out = np.arange(lanes) * LANE, np.zeros((LANE + 1, lanes))
+        state = np.zeros(lanes, np.int64)
+        for k in range(LANE + 1):
+            state[fresh[begin + k]] = self.start
+            symbol = padded[begin + k]
+            row = table.find((state << 32 | symbol).astype(np.uint64))
+            fell = np.flatnonzero(row < 0)  # no such arc: pay the failure arc and go on from the root
+            out[k, fell] = self.failure[state[fell]]
+            row[fell] = table.find(symbol[fell].astype(np.uint64))
+            out[k] += self.weight[row]
+            state = self.target[row]
+        return out[1:].T.reshape(-1)[:len(word)]
+
+
+def scored(result: T.StructType, one: Unigrams, hot, parts: int):
+    """One block and the answers to its lists -> a row for each of its texts."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        keys, n_hot, types_hot, total_hot = hot.value
+        told = dict(zip(answers.column("part").to_pylist(), answers.column("told").to_pylist()))
+        for ids, *blobs in zip(blocks.column("ids"), *[blocks.column(c).to_pylist() for c in ("texts", "words", "stream")]):
+            block = Block(*blobs)
+            n_word, total, types = (np.zeros(len(block.words), np.int64) for _ in range(3))
+            n_pair = np.zeros(len(block.pair), np.int64)
+            for part, words, pairs in block.lists(keys, parts):
+                of = expanded(told[part], *[np.uint64] * 4)
+                n_word[words], total[words], types[words], n_pair[pairs] = of
+            at = np.minimum(np.searchsorted(keys, block.words), max(len(keys) - 1, 0))
+            known = np.flatnonzero(keys[at] == block.words) if len(keys) else at[:0]
+            n_word[known], types[known], total[known] = n_hot[at[known]], types_hot[at[known]], total_hot[at[known]]
+            logs = Automaton.of(block, one, n_word, total, types, n_pair).walk(block.word, block.first)
+            owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
+            seen = n_word[block.word]
+            n = block.sizes.astype(np.int64)
+            base = np.bincount(owner, np.log10(seen + BASE_ADD), len(n)) - n * math.log10(one.n + BASE_ADD * (one.v + 1))
+            out.append(pa.table(
+                [ids.values, pa.array(n), pa.array(np.bincount(owner, seen > 0, len(n)).astype(np.int64)),
+                 pa.array(np.full(len(n), one.n)), pa.array(base), pa.array(np.bincount(owner, logs, len(n)))],
+                result.names))
+        return pa.concat_tables(out) if out else pa.Table.from_batches([], blocks.schema)
+
+    return run
+
+
+def count_words(blocks: DataFrame) -> DataFrame:
+    """(key, n) of every word that is learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < 1 << 18:
-                continue
-            table = pa.Table.from_batches(held)
-            spot = table.column("spot").to_numpy()
-            cut = int(np.searchsorted(spot, spot[-1]))  # the last spot may go on
-            if cut:
-                yield from group(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-            size = 0 if cut else -size  # a spot that fills everything waits for twice as much
-        if held and (table := pa.Table.from_batches(held)).num_rows:
-            yield from group(table)
+            for blobs in zip(*[batch.column(c).to_pylist() for c in ("texts", "words", "stream")]):
+                sizes, learned = expanded(blobs[0], np.uint32, np.uint8)
+                key, word = np.frombuffer(blobs[1], np.int64), expanded(blobs[2], np.uint32)[0]
+                n = np.bincount(word, np.repeat(learned, sizes), len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key[n > 0]), pa.array(n[n > 0])], ["key", "n"])
 
-    return dealt.mapInArrow(run, f"kind long, uid long, id {id_type}, ctx long, v long, w long, nctx long, "
-                                 "npair long, n_known long, base double, best double")
+    return blocks.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _weight(types: Column, count: Column, lower: Column) -> Column:
-    """log10 backoff of a context with so many word types and places, whose words have ``lower`` mass below."""
-    return F.log10(F.greatest(DISCOUNT * types / count, F.lit(1e-12)) / F.greatest(1 - lower, F.lit(1e-12)))
+def spread_sums(answers: DataFrame) -> DataFrame:
+    """(key, types, total) of the hot words: at most 2**HOT."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("told").to_pylist():
+                columns = expanded(blob, np.int64, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "types", "total"])
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, hot: Column, hot_rows: Column) -> DataFrame:
-    """Left join where the frequent keys, at most 2**ARCS, are broadcast and the others shuffled."""
-    return rows.where(hot).join(F.broadcast(table.where(hot_rows)), key, "left").unionByName(
-        rows.where(~hot).join(table.where(~hot_rows), key, "left"))
+    rows = answers.where("of = -1").select("told").mapInArrow(run, "key long, types long, total long")
+    return rows.groupBy("key").agg(F.sum("types").alias("types"), F.sum("total").alias("total"))
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -467,82 +342,28 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score; learned where ``training``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
-    parts = shuffle_partitions(spark)
-    texts = docs.where(training).select(F.col(text_col).alias("text"))
-    words = scratch.write(count_words(texts), "words")
-    end = int(END_KEY.view(np.int64)[0])
-    of = words.agg(F.sum("n"), F.count("*"), *[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)],
-                   F.sum(F.when(F.col("key") == end, F.col("n")))).first()
-    unigrams, starts = Unigrams.of(of[0] or 0, *of[1:6]), of[6] or 0
-    n, v = unigrams.n, unigrams.v
-    least = max(1.0, n / 2 ** ARCS)
-    head = words.where(F.col("n") >= least).orderBy("key").toArrow()
-    cached = [(head["key"].to_numpy().view(np.uint64), head["n"].to_numpy())]
-    for size in range(2, ORDER + 1):
-        sent = spark.sparkContext.broadcast((cached[0][0], cached[-1][0] if size > 2 else None))
-        found = count_grams(texts, sent, size).where(F.col("n") >= least).toArrow()
-        cached.append((found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()))
-    sent = spark.sparkContext.broadcast(tuple(cached))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),
-                       F.col(text_col).alias("text"),
+    share = spark.sparkContext.broadcast
+    id_type = docs.schema[id_col].dataType
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.coalesce(training, F.lit(False)).cast("long").alias("learned"))
-    dealt = places(rows, sent, starts, id_type).repartition(parts, "spot").sortWithinPartitions("spot", "w")
-    met = scratch.write(meet(dealt, id_type), "met")
-    pairs = scratch.write(count_pairs(texts, sent, parts), "pairs")
-
-    # contexts of one word: (v, c1, weight1)
-    p1 = F.pow(F.lit(10.0), unigrams.log_p_column(F.col("cw")))
-    singles = scratch.write(pairs.groupBy("v").agg(
-        F.sum("n").alias("c1"), F.count("*").alias("types"), F.sum(p1).alias("lower")).select(
-        "v", "c1", _weight(F.col("types"), F.col("c1"), F.col("lower")).alias("weight1")), "singles")
-    # unseen places and word types meet their bigram's count, n2
-    asked = met.where(F.col("kind").isin(UNSEEN, TYPE)).select("kind", "uid", "ctx", "v", "w", "nctx", "npair")
-    near = asked.where("npair > 0").withColumn("n2", F.col("npair")).unionByName(
-        asked.where("npair = 0").join(pairs.select("v", "w", F.col("n").alias("n2")), ["v", "w"], "left"))
-    near = scratch.write(near.select("kind", "uid", "ctx", "v", "w", "nctx", F.coalesce("n2", F.lit(0)).alias("n2")),
-                         "near")
-
-    # contexts of two words: (ctx, nctx, weight2); the cached trigrams are types as well
-    (pair_keys, pair_n), (keys, _) = cached[1:]
-    by, low = np.argsort(pair_keys), np.uint64((1 << 2 * WIDTH) - 1)
-
-    def n_of(asked_keys: np.ndarray) -> np.ndarray:
-        return pair_n[by][np.searchsorted(pair_keys[by], asked_keys)]
-
-    second = ((keys >> np.uint64(WIDTH)) & MASK).view(np.int64)
-    frequent = spark.createDataFrame(pa.table({
-        "ctx": mixed(keys >> np.uint64(2 * WIDTH), second), "v": second, "nctx": n_of(keys >> np.uint64(WIDTH)),
-        "n2": n_of(keys & low)}).cast(pa.schema([(c, pa.int64()) for c in ("ctx", "v", "nctx", "n2")])))
-    doubles = near.where(F.col("kind") == TYPE).select("ctx", "v", "nctx", "n2").unionByName(frequent).groupBy(
-        "ctx").agg(F.first("v").alias("v"), F.max("nctx").alias("c2"), F.count("*").alias("types"),
-                   F.sum("n2").alias("of"))
-    hot_v = F.col("v") >= 0
-    doubles = scratch.write(_looked_up(doubles, singles.select("v", "c1"), "v", hot_v, hot_v).select(
-        "ctx", "c2", _weight(F.col("types"), F.col("c2"), (F.col("of") - DISCOUNT * F.col("types")) / F.col("c1"))
-        .alias("weight2")), "doubles")
-
-    unseen = near.where(F.col("kind") == UNSEEN).select("uid", "ctx", "v", "w", "nctx", "n2")
-    follows = unseen.where("nctx > 0")
-    above = _looked_up(follows.select("uid", "ctx", "nctx").withColumnRenamed("nctx", "c"), doubles.select(
-        "ctx", F.col("c2").alias("c"), "weight2"), ["ctx", "c"], F.col("c") >= least, F.col("c") >= least).select(
-        "uid", F.col("weight2").alias("best"))
-    below = _looked_up(unseen.select("uid", "v", "w", "n2"), singles, "v", hot_v, hot_v)
-    seen = below.where("n2 > 0").select("uid", F.log10((F.col("n2") - DISCOUNT) / F.col("c1")).alias("best"))
-    numbers = spark.createDataFrame(pa.table({
-        "w": pa.array(np.arange(len(cached[0][0]))), "cw": pa.array(cached[0][1], pa.int64())}))
-    counts = words.where(F.col("n") < least).select(F.col("key").alias("w"), F.col("n").alias("cw")).unionByName(
-        numbers)
-    hot_w = F.col("w") >= 0
-    root = _looked_up(below.where("n2 = 0").select("uid", "w", "weight1"), counts, "w", hot_w, hot_w).select(
-        "uid", (F.coalesce("weight1", F.lit(0.0)) + unigrams.log_p_column(F.coalesce("cw", F.lit(0)))).alias("best"))
-
-    told = met.where(F.col("kind").isin(DOC, SUM)).select("uid", "n_known", "base", "best")
-    far = above.unionByName(seen).unionByName(root).select(
-        "uid", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), "best")
-    sums = told.unionByName(far).groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("n_known", "base", "best")])
-    heads = met.where(F.col("kind") == DOC).select("uid", "id", F.col("nctx").alias("n_tokens"))
-    return heads.join(sums, "uid").select(
-        F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * math.log10(n + BASE_ADD * (v + 1))).alias("base_score"),
-        F.col("best").alias("score"))
+    blocks = scratch.write(coded(rows, id_type), "blocks")
+    words = scratch.write(count_words(blocks), "words")
+    of = words.agg(F.sum("n"), F.count("*"), *[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
+    one = Unigrams.of(of[0] or 0, *of[1:])
+    found = words.where(F.col("n") * (1 << HOT) >= one.n).toArrow() if one.n else words.limit(0).toArrow()
+    keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    by = np.argsort(keys)
+    keys, n = keys[by], n[by]
+    sent = share(keys)
+    size = blocks.agg(F.sum(F.length("words") + F.length("stream") * 2)).first()[0] or 0
+    parts = max(shuffle_partitions(spark), math.ceil(3 * size / MET))
+    asked = ask(blocks, sent, parts)
+    told = scratch.write(asked.groupBy("part").applyInArrow(answer(sent), "part int, of long, told binary"), "told")
+    sums = spread_sums(told).toArrow()
+    at = np.searchsorted(keys, sums.column("key").to_numpy().view(np.uint64))
+    types, total = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    types[at], total[at] = sums.column("types").to_numpy(), sums.column("total").to_numpy()
+    result = T.StructType([T.StructField(id_col, id_type), *[T.StructField(c, T.LongType()) for c in (
+        "n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
+    return blocks.groupBy("block").cogroup(told.where("of >= 0").groupBy("of")).applyInArrow(
+        scored(result, one, share((keys, n, types, total)), parts), result)
