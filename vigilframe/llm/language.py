@@ -8,7 +8,8 @@ seen the resolved costs of all languages are laid out in one row, so scoring a t
 byte and a sum: the exact code length under each language.  The shortest code wins; ``score`` is the
 winner's share of 2**-length over the languages.
 
-Learning takes a bounded sample (about SAMPLE_BYTES of text for each language, picked by hash).
+Learning takes a bounded sample: pieces of PIECE characters from all over the texts, picked by hash, about
+SAMPLE_BYTES of each language and one piece at least.
 
 Defined results: null texts and texts without letters are ``und`` with score 0, as is everything when
 nothing was learned; ties go to the language first in order; null languages are not learned from;
@@ -22,14 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilframe.llm.lookup import Lookup
+from vigilframe.llm.tables import Scratch
 
 ORDER = 4
-SAMPLE_BYTES = 3_000_000
+SAMPLE_BYTES, PIECE = 3_000_000, 4096
 PAD = b"\n" * ORDER
 #: bytes that are scored at once
 BLOCK = 1 << 20
@@ -113,23 +116,64 @@ def freeze(languages: list[str], lang: np.ndarray, gram: np.ndarray, count: np.n
     return Frozen(languages, symbols, escapes)
 
 
+def pieces(rows: DataFrame, share: dict[str, float]) -> DataFrame:
+    """Pieces of whole texts that the draw takes: each of PIECE characters, by a hash of id, place and
+    words, with the chance of its language; and of each task the piece with the smallest draw that it did
+    not take, for languages of which the draw takes nothing."""
+    schema = "lang string, draw long, taken boolean, piece string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        border = {lang: int(part * (1 << 63)) for lang, part in share.items()}
+        spare: dict[str, tuple[int, str]] = {}
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            lang, draw, taken, piece = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(draw, pa.int64()), pa.array(taken), pa.array(piece, pa.string())],
+                ["lang", "draw", "taken", "piece"])
+
+        for batch in batches:
+            found = []
+            for lang, key, text in zip(*[batch.column(c) for c in ("lang", "id", "text")]):
+                lang, text = lang.as_py(), text.as_py()
+                for k in range(0, len(text), PIECE):
+                    piece = text[k:k + PIECE]
+                    draw = xxhash.xxh3_64_intdigest(f"{key.as_py()}/{k}/{piece}".encode()) >> 1
+                    if draw < border[lang]:
+                        found.append((lang, draw, True, piece))
+                    elif lang not in spare or draw < spare[lang][0]:
+                        spare[lang] = (draw, piece)
+            if found:
+                yield out(found)
+        if spare:
+            yield out([(lang, draw, False, piece) for lang, (draw, piece) in spare.items()])
+
+    return rows.mapInArrow(run, schema)
+
+
+def chosen(drawn: DataFrame) -> DataFrame:
+    """(lang, piece) to learn from; at most the sample, and one piece for each language and task."""
+    least = drawn.groupBy("lang").agg(F.max("taken").alias("some"), F.min(F.struct("draw", "piece")).alias("least"))
+    return drawn.where("taken").select("lang", "piece").unionByName(
+        least.where("not some").select("lang", F.col("least.piece").alias("piece")))
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
-        sample_bytes: int = SAMPLE_BYTES) -> Frozen:
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("draw"))
+        sample_bytes: int = SAMPLE_BYTES, scratch: Scratch | None = None) -> Frozen:
+    scratch = scratch or Scratch(docs.sparkSession, "language")
+    rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"),
+                       F.col(f"`{id_col}`").cast("string").alias("id")).where("lang is not null and text <> ''")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
         F.sum(F.octet_length("text")).alias("n")).collect()}
-    languages = sorted(k for k, n in sizes.items() if n)
+    languages = sorted(sizes)
     if not languages:
         return Frozen([], [], [])
+    drawn = scratch.write(pieces(rows, {k: min(1.0, sample_bytes / n) for k, n in sizes.items()}), "pieces")
+    drawn = chosen(drawn)
     number = F.lit(-1)
-    share = F.lit(0)
     for i, lang in enumerate(languages):
         number = F.when(F.col("lang") == lang, i).otherwise(number)
-        share = F.when(F.col("lang") == lang, int((1 << 20) * min(1, sample_bytes / sizes[lang]))
-                       ).otherwise(share)
-    picked = rows.where(F.col("draw") < share).select(number.alias("lang"), "text")
+    picked = drawn.select(number.alias("lang"), F.col("piece").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
