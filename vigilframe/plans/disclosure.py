@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import DOMAINS, FORBIDDEN_PURPOSES
 from vigilframe.functions.scalar import laplace, lookup, strings
-from vigilframe.operators import access, consent, deviation, ledger, release
+from vigilframe.operators import access, accumulator, consent, deviation, ledger, release
 from vigilframe.plans.registry import Registry, r9
 from vigilframe.plans.screening import night_of
+from vigilframe.session import materialised
 from vigilframe.sources import tables as T
 
 QUERIES = Registry()
@@ -178,11 +179,50 @@ def ledger_heads(spark, folder):
     return ledger.heads(ledger.seal(entries(spark, folder)))
 
 
+def sealed_log(spark, folder):
+    """The sealed entries, their heads, the number of segments and the nodes over them."""
+    sealed = ledger.seal(entries(spark, folder))
+    heads = materialised(ledger.heads(sealed), "heads")
+    size = heads.count()
+    return sealed, heads, size, materialised(accumulator.accumulate(heads, size), "nodes")
+
+
+@QUERIES.query
+def ledger_tree(spark, folder):
+    """Every complete node over the segments."""
+    return sealed_log(spark, folder)[3].select("level", "idx", "hash")
+
+
+def all_seals(spark, folder):
+    _, heads, size, nodes = sealed_log(spark, folder)
+    return heads, size, nodes, materialised(
+        accumulator.seals(heads, nodes, spark.range(1, size + 1).withColumnRenamed("id", "size")), "seals")
+
+
+@QUERIES.query
+def ledger_seals(spark, folder):
+    """The root after every segment."""
+    return all_seals(spark, folder)[3].select("size", "root")
+
+
+@QUERIES.query
+def ledger_consistency(spark, folder):
+    """Whether later roots only appended to earlier ones; every third earlier root is that of another log."""
+    heads, size, nodes, seals = all_seals(spark, folder)
+    pairs = spark.range(1, size).select(F.col("id").alias("before"), F.least(
+        F.col("id") + 1 + F.col("id") % 7, F.lit(size)).cast("bigint").alias("size"))
+    told = pairs.withColumn("of", F.when(F.col("before") % 3 == 0, F.col("before") + 1).otherwise(F.col("before")))
+    claims = told.join(seals.select(F.col("size").alias("of"), F.col("root").alias("root_before")), "of").join(
+        seals.select("size", "root"), "size").select("before", "size", "root_before", "root")
+    return accumulator.consistent(accumulator.proofs(heads, nodes, pairs), claims)
+
+
 @QUERIES.query
 def ledger_verification(spark, folder):
-    """Breaks found after entries were rewritten and removed, one whole segment was removed and
-    another replaced by a forgery that is sealed anew."""
-    sealed = ledger.seal(entries(spark, folder))
+    """Breaks found after entries were rewritten and removed, one whole segment was removed with its
+    head and another replaced by a forgery that is sealed anew; only the last root is trusted."""
+    sealed, heads, size, nodes = sealed_log(spark, folder)
+    last = accumulator.seals(heads, nodes, spark.createDataFrame([(size,)], "size bigint")).first()
     segment = F.col("segment")
     price = F.element_at("detail", "cents").cast("bigint")
     tampered = sealed.withColumn("detail", F.when(
@@ -190,7 +230,7 @@ def ledger_verification(spark, folder):
     forged = ledger.seal(entries(spark, folder).withColumn(
         "detail", F.create_map(F.lit("cents"), F.lit("1")))).filter(segment == 1)
     left = tampered.filter((price != 1234) & ~segment.isin(1, 2)).unionByName(forged)
-    return ledger.verify(left, ledger.heads(sealed))
+    return ledger.audit(left, nodes, size, last.peaks, last.root)
 
 
 @QUERIES.query
