@@ -164,3 +164,46 @@ SELECT campaign, count(*) FILTER (completed) AS rounds_completed,
   count(*) FILTER (NOT completed) AS rounds_skipped, round(sum(epsilon), 4) AS epsilon_spent,
   round(greatest(0, 8.0 - sum(epsilon)), 4)::DOUBLE AS epsilon_remaining
 FROM played GROUP BY campaign"""
+
+INTERVALS = """
+WITH last_day AS (SELECT max(o_orderdate)::DATE AS d FROM orders),
+people AS (
+  SELECT c_custkey, c_mktsegment AS rank, CASE WHEN c_acctbal < 0 THEN 30 ELSE d - DATE '1996-01-01' END AS stay
+  FROM customer, last_day
+), events AS (
+  SELECT o_custkey AS c_custkey, min(o_orderdate::DATE - DATE '1996-01-01') AS event_day
+  FROM orders JOIN people ON o_custkey = c_custkey
+  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate::DATE - DATE '1996-01-01' BETWEEN 0 AND stay
+  GROUP BY o_custkey
+), followed AS (
+  SELECT c_custkey, rank, coalesce(event_day < 90, false) AS event,
+    CASE WHEN coalesce(event_day < 90, false) THEN event_day ELSE least(stay, 90) END AS days
+  FROM people LEFT JOIN events USING (c_custkey)
+), intervals AS (
+  SELECT c_custkey, rank, k, (event AND k = days // 7)::INT AS label
+  FROM (SELECT *, unnest(range(0, days // 7 + event::INT)) AS k FROM followed)
+)"""
+
+SQL["hazard_life_table"] = INTERVALS + """
+SELECT k::BIGINT AS interval, count(*) AS at_risk, sum(label)::BIGINT AS events, round(avg(label), 9) AS hazard,
+  round((SELECT product(1 - h) FROM (SELECT k AS j, avg(label) AS h FROM intervals GROUP BY k) WHERE j <= i.k), 9)
+    AS survival
+FROM intervals i GROUP BY k"""
+
+SQL["hazard_by_stratum"] = INTERVALS + """,
+fitted AS (SELECT rank, avg(label) AS hazard FROM intervals GROUP BY rank),
+h AS (
+  SELECT c_custkey::VARCHAR AS pid, hazard, least(0.95, greatest(0.0001, hazard)) AS h
+  FROM customer LEFT JOIN fitted ON c_mktsegment = rank
+), risks AS (
+  SELECT pid, hazard, round(1 - pow(1 - h, 1), 4) AS risk_7d, round(1 - pow(1 - h, 30 / 7.0), 4) AS risk_30d,
+    round(1 - pow(1 - h, 60 / 7.0), 4) AS risk_60d, round(1 - pow(1 - h, 90 / 7.0), 4) AS risk_90d,
+    7 * ln(0.5) / ln(1 - h) AS days
+  FROM h
+)
+SELECT pid, round(hazard, 9) AS hazard, risk_7d, risk_30d, risk_60d, risk_90d,
+  CASE WHEN days <= 90 THEN round_even(days, 0)::BIGINT::VARCHAR ELSE '' END AS median_days,
+  CASE WHEN risk_7d >= 0.5 THEN '7' WHEN risk_30d >= 0.5 THEN '30' WHEN risk_60d >= 0.5 THEN '60'
+    WHEN risk_90d >= 0.5 THEN '90' ELSE '' END AS soonest,
+  CASE WHEN hazard IS NULL THEN 'unavailable' ELSE 'ok' END AS horizon_status
+FROM risks"""

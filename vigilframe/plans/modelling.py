@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import HORIZONS
 from vigilframe.operators import evaluation as ev
-from vigilframe.operators import federated, features, models
+from vigilframe.operators import federated, features, models, survival
 from vigilframe.plans.registry import Registry, r9
 from vigilframe.plans.screening import profile_of
+from vigilframe.session import materialised
 from vigilframe.sources import tables as T
 
 QUERIES = Registry()
@@ -91,6 +92,62 @@ def hazard_horizons(spark, folder):
     return out.select("pid", *[f"risk_{d}d" for d in HORIZONS], *days, "phrase")
 
 
+ENTRY, INTERVAL = "1996-01-01", min(HORIZONS)
+
+
+def followed(spark, folder):
+    """Customers from one day on, until their first urgent or high order, the last order in the table, or
+    the longest horizon; a customer whose balance is overdrawn left after thirty days."""
+    orders = T.read(spark, folder, "orders")
+    last = F.lit(orders.agg(F.max("o_orderdate")).first()[0]).cast("date")
+    entry = F.lit(ENTRY).cast("date")
+    people = T.read(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("pid"), entry.alias("entry"),
+        F.when(F.col("c_acctbal") < 0, F.date_add(entry, 30)).alias("gone")).select(
+        "pid", "entry", F.coalesce("gone", last).alias("left"))
+    events = orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(
+        F.col("o_custkey").cast("string").alias("pid"), F.col("o_orderdate").cast("date").alias("on"))
+    return survival.follow_up(people, events, max(HORIZONS))
+
+
+def interval_rows(spark, folder):
+    roster = T.read(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("pid"), F.col("c_mktsegment").alias("rank"))
+    return survival.person_intervals(followed(spark, folder).join(roster, "pid"), INTERVAL)
+
+
+@QUERIES.query
+def hazard_life_table(spark, folder):
+    """At risk, events, hazard and survival of every interval."""
+    return survival.life_table(interval_rows(spark, folder)).select(
+        F.col("interval").cast("bigint").alias("interval"), "at_risk", F.col("events").cast("bigint").alias("events"),
+        r9("hazard"), r9("survival"))
+
+
+@QUERIES.query
+def hazard_by_stratum(spark, folder):
+    """Risk by when for every customer, from the hazard fitted for their stratum."""
+    roster = T.read(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("pid"), F.col("c_mktsegment").alias("rank"))
+    hazard = survival.hazard_by(interval_rows(spark, folder), ["rank"]).select("rank", "hazard")
+    out = survival.composed(roster.join(hazard, "rank", "left"))
+    days = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("median_days", "soonest")]
+    return out.select("pid", r9("hazard"), *[f"risk_{d}d" for d in HORIZONS], *days, "horizon_status")
+
+
+@QUERIES.query
+def hazard_estimates(spark, folder):
+    """The boosted hazard on person-interval rows, and the horizons it gives everybody with features."""
+    matrix = features.feature_matrix(profile_of(spark, folder), CFG)
+    names = features.feature_names(CFG)
+    matrix = materialised(matrix.select("pid", *names), "hazard-features")
+    rows = survival.person_intervals(followed(spark, folder).join(matrix, "pid"), INTERVAL)
+    model = survival.fit(rows.select("pid", *names, "label"), names, "hazard-1")
+    return survival.estimate(model, matrix).select(
+        "pid", "hazard", *[f"risk_{d}d" for d in HORIZONS], "median_days", "soonest", "phrase", "horizon_status",
+        "model_version")
+
+
 @QUERIES.query
 def risk_scores(spark, folder):
     """Boosted trees (all 180 of them) and isotonic calibration, end to end."""
