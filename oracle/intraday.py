@@ -156,3 +156,28 @@ CROSS JOIN (VALUES ('_mean_7d', ' over the last week'), ('_mean_30d', ' over the
 SQL["daily_tumbling"] = screened("""
 SELECT pid, domain, strftime(observed_at, '%Y-%m-%d') AS day, round(avg(value), 9) AS value,
   count(*) AS n FROM signals GROUP BY ALL""")
+
+SQL["daily_store_values"] = SQL["daily_tumbling"]
+
+SQL["journal_replay_kinds"] = """
+WITH e AS (
+  SELECT o_custkey::VARCHAR AS pid, o_orderkey AS seq, o_orderpriority AS p, o_orderstatus AS s,
+    floor(o_totalprice)::BIGINT AS whole,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN CASE o_orderstatus WHEN 'F' THEN 'self_report,voice'
+        WHEN 'O' THEN 'self_report' ELSE 'voice' END
+      WHEN o_orderpriority = '2-HIGH' THEN '' END AS given
+  FROM orders
+), placed AS (
+  SELECT *, coalesce(last_value(given IGNORE NULLS) OVER (PARTITION BY pid ORDER BY seq
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS scope FROM e
+), t AS (
+  SELECT *, p = '3-MEDIUM' AND scope LIKE 'self_report%' AS told, p = '4-NOT SPECIFIED' AND scope LIKE '%voice' AS heard
+  FROM placed
+)
+SELECT pid, count(*) AS events, count(*) FILTER (p = '5-LOW') AS skipped, arg_max(scope, seq) AS scope,
+  coalesce(arg_max(s = 'F', seq) FILTER (p = '1-URGENT'), false) AS welfare_contact,
+  count(*) FILTER (told) AS assessments, coalesce(max(whole % 31) FILTER (told), -1) AS total,
+  coalesce(bool_or(whole % 31 >= 20) FILTER (told), false) AS above_cutoff,
+  coalesce(arg_max(whole % 7 = 0, seq) FILTER (told), false) AS acute, count(*) FILTER (heard) AS sittings,
+  coalesce(arg_max(whole::DOUBLE, seq) FILTER (heard), -1) AS level
+FROM t GROUP BY pid"""

@@ -54,7 +54,12 @@ def daily_series(signals: DataFrame, consent: DataFrame | None = None) -> DataFr
     Consent reads only the person and the domain, so it is applied to the pre-aggregated rows: the
     join then reuses the exchange on ``pid`` and the raw rows are never shuffled for it.
     """
-    parts = daily_parts(signals).repartition("pid")
+    return daily_from_parts(daily_parts(signals), consent)
+
+
+def daily_from_parts(parts: DataFrame, consent: DataFrame | None = None) -> DataFrame:
+    """Second half: parts of raw rows or of the daily store, merged per person."""
+    parts = parts.repartition("pid")
     if consent is not None:
         parts = consent_filter(parts, consent)
     last_seen = F.max(F.struct("seen", "unit_id")).over(Window.partitionBy("pid"))

@@ -119,5 +119,11 @@ def redecide(cases: DataFrame, scored: DataFrame, fractions: DataFrame, cfg: Con
     The folded rows are written first: every gate reads them, and a filter on the verdict would
     otherwise be pushed down with a copy of the fold inside each of its terms.
     """
-    folded = materialised(fold(cases, latest_per_person(scored), fractions, cfg), "folded")
+    return decide_again(cases, latest_per_person(scored), fractions, cfg, frozen)
+
+
+def decide_again(cases: DataFrame, reports: DataFrame, fractions: DataFrame, cfg: Config,
+                 frozen: Column | bool = False) -> DataFrame:
+    """The same from self-reports that are folded already, of the day or of the replayed journal."""
+    folded = materialised(fold(cases, reports, fractions, cfg), "folded")
     return decide(folded, cfg, frozen, detail=False)

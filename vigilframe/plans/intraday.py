@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from vigilframe.functions.scalar import strings
 from vigilframe.operators import alerts, intraday, protect, views
-from vigilframe.plans.registry import Registry, joined, r9, stamp
+from vigilframe.plans.registry import Registry, day, joined, r9, stamp
 from vigilframe.plans.screening import night_of
-from vigilframe.sources import journal
+from vigilframe.session import written_folder
+from vigilframe.sources import daily_store, journal
 from vigilframe.sources import tables as T
 
 QUERIES = Registry()
@@ -123,6 +127,31 @@ def journal_replay(spark, folder):
         F.max_by("acute", "seq").alias("acute"))
 
 
+@QUERIES.query
+def journal_replay_kinds(spark, folder):
+    """Consents, withdrawals, assessments, sittings and unusable events, applied in their order."""
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    whole = F.floor("o_totalprice")
+    scope = F.when(s == "F", strings(("self_report", "voice"))).when(s == "O", strings(("self_report",))).otherwise(
+        strings(("voice",)))
+    payload = (
+        F.when(p == "1-URGENT", F.to_json(F.struct(scope.alias("scope"), (s == "F").alias("welfare_contact"))))
+        .when(p == "2-HIGH", F.lit("{}"))
+        .when(p == "3-MEDIUM", F.to_json(F.struct(
+            (whole % 31).alias("total"), F.lit(20).alias("cutoff"), (whole % 7 == 0).alias("acute"))))
+        .when(p == "4-NOT SPECIFIED", F.to_json(F.struct(F.struct(whole.cast("double").alias("level")).alias("kept"))))
+        .otherwise(F.lit("{")))
+    kind = (F.when(p == "1-URGENT", "consent.granted").when(p == "2-HIGH", "consent.withdrawn")
+            .when(p == "4-NOT SPECIFIED", "voice.sitting").otherwise("assessment.submitted"))
+    events = T.read(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("pid"), F.col("o_orderkey").alias("seq"), kind.alias("kind"),
+        payload.alias("payload"))
+    return journal.replayed(events).select(
+        "pid", "events", "skipped", F.array_join("scope", ",").alias("scope"), "welfare_contact", "assessments",
+        F.coalesce("total", F.lit(-1)).alias("total"), "above_cutoff", "acute", "sittings",
+        F.coalesce(F.col("voice")["level"], F.lit(-1.0)).alias("level"))
+
+
 @QUERIES.query
 def driver_phrases(spark, folder):
     """Feature names of every domain and window in the words shown to the person."""
@@ -141,3 +170,19 @@ def daily_tumbling(spark, folder):
         F.avg("value").alias("value"), F.count("*").alias("n"))
     return rows.select("pid", "domain", F.date_format("w.start", "yyyy-MM-dd").alias("day"),
                        r9("value"), "n")
+
+
+@QUERIES.query
+def daily_store_values(spark, folder):
+    """Days read back from the mergeable store: three batches in disorder, one handed over twice, half of
+    the days compacted in between."""
+    signals = T.event_signals(spark, folder).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    path = f"{written_folder(spark)}/store-{uuid.uuid4().hex}"
+    batch = F.crc32(F.concat_ws("/", "pid", "domain", "observed_at").cast("binary")) % 3
+    for number in (2, 0, 2):
+        daily_store.append(signals.where(batch == number), path, number)
+    daily_store.compact(spark, path)
+    daily_store.append(signals.where(batch == 1), path, 3)
+    rows = daily_store.merged(daily_store.stored(spark, path)).groupBy("pid", "domain", "day").agg(
+        (F.sum("total") / F.sum("n")).alias("value"), F.sum("n").alias("n"))
+    return rows.select("pid", "domain", day("day"), r9("value"), "n")

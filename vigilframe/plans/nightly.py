@@ -51,8 +51,12 @@ class Night:
 
 def screen(signals: DataFrame, as_of: date, cfg: Config,
            consent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    recent = features.in_history(signals, as_of, cfg.history_days)
-    daily = features.daily_series(recent, consent)
+    """``signals`` are raw rows, or parts of days (``daily_store.history``), told by their columns."""
+    if "total" in signals.columns:
+        daily = features.daily_from_parts(
+            signals.filter(features.age_in(F.col("day"), as_of, cfg.history_days)), consent)
+    else:
+        daily = features.daily_series(features.in_history(signals, as_of, cfg.history_days), consent)
     return daily, features.profiles(daily, as_of, cfg)
 
 
