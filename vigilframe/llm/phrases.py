@@ -136,14 +136,20 @@ def known(phrases: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
 
 
-def count_phrases(blocks: DataFrame, sent, size: int, least: int, parts: int) -> DataFrame:
+def opened(sent: list) -> list[np.ndarray]:
+    """The bitmaps of 1, 2, ... words from their broadcasts."""
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.value), np.uint64) for x in sent]
+
+
+def count_phrases(blocks: DataFrame, sent: list, size: int, least: int, parts: int) -> DataFrame:
     """(key, n) of all phrases of ``size`` words seen ``least`` times; ``sent`` holds the bitmaps of the
     phrases of fewer words."""
     borders = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 63 / parts)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = opened(sent)
         for _, block in _blocks(batches):
-            key, n = np.unique(block.phrases(size, sent.value)[0], return_counts=True)
+            key, n = np.unique(block.phrases(size, maps)[0], return_counts=True)
             cut = [0, *np.searchsorted(key, borders).tolist(), len(key)]
             rows = [(p, squeezed(np.diff(key[x:y], prepend=np.uint64(0)), n[x:y].astype(np.uint32)))
                     for p, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
@@ -161,12 +167,13 @@ def count_phrases(blocks: DataFrame, sent, size: int, least: int, parts: int) ->
     return blocks.mapInArrow(run, "part int, list binary").groupBy("part").applyInArrow(merged, "key long, n long")
 
 
-def spelled_words(blocks: DataFrame, sent) -> DataFrame:
+def spelled_words(blocks: DataFrame, sent: list) -> DataFrame:
     """(key, lang, word) of the words that have their bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = opened(sent)[0]
         for lang, block in _blocks(batches):
-            at = np.flatnonzero(known(block.keys[1:], sent.value[0])) + 1
+            at = np.flatnonzero(known(block.keys[1:], bits)) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.keys[at].view(np.int64)), pa.array([lang] * len(at), pa.string()),
                  pa.array([block.words[i].decode() for i in at.tolist()], pa.string())], ["key", "lang", "word"])
@@ -175,13 +182,14 @@ def spelled_words(blocks: DataFrame, sent) -> DataFrame:
         F.first("lang").alias("lang"), F.first("word").alias("word"))
 
 
-def made_of(blocks: DataFrame, sent, size: int) -> DataFrame:
+def made_of(blocks: DataFrame, sent: list, size: int) -> DataFrame:
     """(key, prefix, suffix, word) of the phrases of ``size`` words that have their bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = opened(sent)
         for _, block in _blocks(batches):
-            columns = block.phrases(size, sent.value)
-            there = known(columns[0], sent.value[size - 1])
+            columns = block.phrases(size, maps)
+            there = known(columns[0], maps[size - 1])
             _, first = np.unique(columns[0][there], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(c[there][first].view(np.int64)) for c in columns],
                                              ["key", "prefix", "suffix", "word"])
@@ -217,21 +225,19 @@ def grow(texts: DataFrame, scratch: Scratch, longest: int, least: int) -> tuple[
     totals = scratch.write(blocks.groupBy("lang").agg(F.sum("size").alias("total")), "totals")
     size_of_all = totals.agg(F.sum("total")).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size_of_all // MET))
-    maps: list[np.ndarray] = []
+    sent: list = []  # a broadcast of fixed size for each length
 
-    def counted(size: int) -> tuple[DataFrame, object]:
-        sent = spark.sparkContext.broadcast(list(maps))
-        found = scratch.write(count_phrases(blocks, sent, size, least, parts), f"counts{size}")
-        maps.append(bitmap(found))
-        return found, spark.sparkContext.broadcast(list(maps))
+    def counted(size: int) -> DataFrame:
+        found = scratch.write(count_phrases(blocks, list(sent), size, least, parts), f"counts{size}")
+        sent.append(spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bitmap(found).tobytes())))
+        return found
 
-    found, sent = counted(1)
-    words = scratch.write(found.join(spelled_words(blocks, sent), "key"), "frequent")
+    found = counted(1)
+    words = scratch.write(found.join(spelled_words(blocks, list(sent)), "key"), "frequent")
     none = F.array().cast("array<long>")
     tables = [words.select("key", "n", none.alias("heads"), none.alias("tails"))]
     for size in range(2, longest + 1):
-        found, sent = counted(size)
-        found = found.join(made_of(blocks, sent, size), "key")
+        found = counted(size).join(made_of(blocks, list(sent), size), "key")
         before = tables[-1]
         head = before.select(F.col("key").alias("prefix"), F.concat("heads", F.array("n")).alias("heads"))
         tail = before.select(F.col("key").alias("suffix"), F.concat(F.array("n"), "tails").alias("tails"))
