@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import FORBIDDEN_PURPOSES, GRANTS, UNIT_SCOPED_ROLES
 from vigilframe.functions.scalar import lookup
+from vigilframe.session import materialised
+from vigilframe.sources import commit_log
 
+NOT_RECORDED = "the grant is not in the ledger; nothing is disclosed without a record"
 NO_RESOLUTION = "pid could not be resolved (expired salt epoch, or unknown pid)"
 
 
@@ -44,18 +47,16 @@ def authorise(requests: DataFrame) -> DataFrame:
         "access", F.when(F.col("denied_because").isNotNull(), "denied").otherwise(grant))
 
 
-def disclose(requests: DataFrame, consent: DataFrame, verdicts: DataFrame,
-             directory: DataFrame) -> DataFrame:
+def decide(requests: DataFrame, consent: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Every reason not to release a name, in order; the first one that holds is the answer.
 
-    The three lookups are equi-joins on pid.  The directory only answers once everything else has
-    agreed: an identity is nulled unless the request was granted.
+    The lookups are equi-joins on pid.  No identity is read here: what comes out is what the ledger
+    records, before the directory is asked.
     """
     asked = authorise(requests)
     facts = (
         asked.join(consent.select("pid", "status", "welfare_contact"), "pid", "left")
-        .join(verdicts.select("pid", "decision", "composite"), "pid", "left")
-        .join(directory, "pid", "left"))
+        .join(verdicts.select("pid", "decision", "composite"), "pid", "left"))
     decision = F.coalesce("decision", F.lit("CLEARED"))
     status = F.coalesce("status", F.lit("NOT_ENROLLED"))
     logged = (
@@ -74,21 +75,48 @@ def disclose(requests: DataFrame, consent: DataFrame, verdicts: DataFrame,
         .when(F.col("log_reason") == "welfare contact not consented",
               "consent does not extend to welfare contact")
         .when(F.col("log_reason").isNotNull(), F.concat(
-            F.lit("a "), decision, F.lit(" verdict does not disclose an identity")))
-        .when(F.col("identity").isNull(), NO_RESOLUTION))
+            F.lit("a "), decision, F.lit(" verdict does not disclose an identity"))))
     out = facts.withColumn("log_reason", logged).withColumn("refused_because", told)
     allowed = (F.col("access") != "denied") & F.col("log_reason").isNull()
+    # a granted attempt is logged before the directory is asked, even if nothing resolves
+    return out.withColumn("action", F.when(allowed, "disclosure.granted").when(
+        F.col("access") != "denied", "disclosure.denied"))
+
+
+def resolve(decided: DataFrame, committed: DataFrame, directory: DataFrame) -> DataFrame:
+    """The directory, joined to granted requests whose ledger row is committed, and to nothing else.
+
+    committed: (seq) of the ledger rows that were read back from the ledger.
+    """
+    recorded = committed.select("seq", F.lit(True).alias("recorded")).distinct()
+    rows = decided.join(recorded, "seq", "left")
+    granted = F.col("action") == "disclosure.granted"
+    asked = rows.where(granted & F.col("recorded")).select("seq", "pid").join(directory, "pid").select("seq", "identity")
+    out = rows.join(asked, "seq", "left")
     return out.withColumns({
-        # a granted attempt is logged before the directory is asked, even if nothing resolves
-        "action": F.when(allowed, "disclosure.granted")
-        .when(F.col("access") != "denied", "disclosure.denied"),
-        "granted": allowed & F.col("identity").isNotNull(),
-        "identity": F.when(allowed, F.col("identity")),
-    })
+        "granted": granted & F.col("identity").isNotNull(),
+        "refused_because": F.when(granted & F.col("recorded").isNull(), NOT_RECORDED)
+        .when(granted & F.col("identity").isNull(), NO_RESOLUTION).otherwise(F.col("refused_because")),
+    }).drop("recorded")
+
+
+def disclose(requests: DataFrame, consent: DataFrame, verdicts: DataFrame, directory: DataFrame,
+             ledger: str, batch: int = 0) -> DataFrame:
+    """Decide, record, and only then look anybody up.
+
+    The decisions are written once; their ledger rows go to the commit log at ``ledger``, and the
+    directory meets the grants that are read back from there.  A ledger that cannot be written raises
+    before the directory is read; one that was written in part is not committed and releases nobody.
+    """
+    decided = materialised(decide(requests, consent, verdicts), "decided")
+    commit_log.append(ledger_rows(decided, "seq"), ledger, batch)
+    committed = commit_log.committed(requests.sparkSession, ledger).where(
+        (F.col("batch") == batch) & (F.col("action") == "disclosure.granted"))
+    return resolve(decided, committed, directory)
 
 
-def ledger_rows(decided: DataFrame) -> DataFrame:
+def ledger_rows(decided: DataFrame, *keys: str) -> DataFrame:
     """What a batch of disclosure requests appends to the ledger: grants and logged refusals."""
     return decided.filter(F.col("action").isNotNull()).select(
-        actor().alias("actor"), "action", F.col("pid").alias("subject_pid"), "unit_id", "purpose",
+        *keys, actor().alias("actor"), "action", F.col("pid").alias("subject_pid"), "unit_id", "purpose",
         F.coalesce("log_reason", F.lit("")).alias("reason"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigilframe.config import DOMAINS, FORBIDDEN_PURPOSES
@@ -9,7 +11,7 @@ from vigilframe.functions.scalar import laplace, lookup, strings
 from vigilframe.operators import access, accumulator, consent, deviation, ledger, release
 from vigilframe.plans.registry import Registry, r9
 from vigilframe.plans.screening import night_of
-from vigilframe.session import materialised
+from vigilframe.session import materialised, written_folder
 from vigilframe.sources import tables as T
 
 QUERIES = Registry()
@@ -47,7 +49,8 @@ def decided(spark, folder):
     directory = T.read(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("pid"), F.col("c_name").alias("identity"))
     return access.disclose(requests(spark, folder), T.consent_states(spark, folder),
-                           night_of(spark, folder).verdicts, directory)
+                           night_of(spark, folder).verdicts, directory,
+                           f"{written_folder(spark)}/disclosures-{uuid.uuid4().hex}")
 
 
 @QUERIES.query
