@@ -37,6 +37,9 @@ SELECT service_number, unit_id, domain, strftime(d, '%Y-%m-%d') AS d, count(*) A
        round(sum(value), 9) AS total, round(max(value), 9) AS top
 FROM ranged WHERE in_window GROUP BY ALL"""
 
+SQL["extract_accepted"] = SQL["accepted_records"]
+SQL["extract_quarantine"] = SQL["raw_row_validation"]
+
 SQL["source_completeness"] = "WITH " + RAW + """,
 expected AS (
   SELECT domain, round_even((SELECT count(DISTINCT user_id) FROM events) * 20 * rate, 0)::BIGINT

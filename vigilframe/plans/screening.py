@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from vigilframe.operators import reviewers as panel
 from vigilframe.operators.verdicts import decide, illegal_transitions
 from vigilframe.plans.nightly import all_cases, last_year, nightly, screen
 from vigilframe.plans.registry import Registry, day, joined, r9
+from vigilframe.session import materialised, written_folder
+from vigilframe.sources import connectors
 from vigilframe.sources import tables as T
 
 QUERIES = Registry()
@@ -81,6 +84,37 @@ def source_completeness(spark, folder):
                       r9("missing_fraction"), "status")
 
 
+# --------------------------------------------------------------------- connectors ---
+def pulled(spark, folder, days):
+    """``events`` written as one delimited extract per domain, each in its own dialect, and pulled back."""
+    rows = T.raw_event_rows(spark, folder).withColumn(
+        "loaded", F.coalesce(F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))), F.lit(AS_OF)))
+    rows = materialised(rows, "raw-extract")
+    where = f"{written_folder(spark)}/extracts-{uuid.uuid4().hex}"
+    found = connectors.Registry()
+    for i, domain in enumerate(sorted(CFG.domain_scale)):
+        connector = connectors.DelimitedFolder(domain, f"{where}/{domain}", ",;|\t"[i % 4], {
+            "service_no": f"id_{i}", "value": f"reading_{i}"} if i % 2 else {})
+        connectors.write_extract(rows.where(F.col("domain") == domain), connector)
+        found.register(domain, connector)
+    return connectors.pull(spark, found, CFG, AS_OF, days, 150, quarantine=f"{where}/quarantine")
+
+
+@QUERIES.query
+def extract_accepted(spark, folder):
+    """What the connectors accept of the period: the rows that ``accepted_records`` finds in the table."""
+    return pulled(spark, folder, 20).signals.groupBy(
+        "service_number", "unit_id", "domain", F.to_date("observed_at").alias("d")).agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("top")).select(
+        "service_number", "unit_id", "domain", day("d"), "n", r9("total"), r9("top"))
+
+
+@QUERIES.query
+def extract_quarantine(spark, folder):
+    """Refused rows by domain and reason, from the quarantine."""
+    return pulled(spark, folder, 30).refused.groupBy("domain", "reject_reason").agg(F.count("*").alias("n"))
+
+
 # ------------------------------------------------------------------ privacy at ingest ---
 @QUERIES.query
 def pseudonyms(spark, folder):
