@@ -5,6 +5,7 @@ import re
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from vigilframe.llm import bpe, neardup, toxic
@@ -94,3 +95,33 @@ def test_bpe(stages):
 
 def test_run(spark, stages):
     assert P.run(spark, SMALL).count() == stages[-1][1].count()
+
+
+ODD = [(1, "the cat sat on the mat and looked at the dog next door", "en"), (2, "the cat  sat on the mat and looked at "
+       "the dog next\ndoor", "en"), (3, None, None), (4, "", "en"), (5, " \t\n", "en"), (None, "no id", "en"),
+       (None, None, None), (8, "7 7 7", "en"), (8, "7 7 7", "en"), (9, "Größe é 日本語 😀", "de"),
+       (10, "lorem ipsum dolor sit amet " * 4000, "la")]
+CLASHES = ["score", "n_hit", "found", "items", "n_items", "n_words", "_kept", "kept_id", "keep_id", "kept", "id", "ids",
+           "_text", "n_tokens", "component_id", "other_0", "a.b"]
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_odd_rows_and_clashing_columns(spark, name, stage):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string").repartition(3)
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = stage(spark, docs, SMALL)
+    rows = out.collect()
+    if name == "byte_bpe":
+        assert out.columns == ["doc_id", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in ODD)
+    else:
+        assert out.columns == docs.columns
+        for r in rows:
+            assert all(r[c] == f"{i}-{'none' if r.doc_id is None else r.doc_id}" for i, c in enumerate(CLASHES))
+        kept = sorted(str(r.doc_id) for r in rows)
+        want = {"toxicity": [str(r[0]) for r in ODD], "decontamination": [str(r[0]) for r in ODD],
+                "exact_dedup": ["10", "2", "5", "8", "9", "None"],
+                "near_dedup": [str(r[0]) for r in ODD if r[0] != 2]}[name]
+        assert kept == sorted(want)
+    assert stage(spark, docs.limit(0), SMALL).count() == 0
