@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from oracle.base import f, rd
+from vigilframe import config
+from vigilframe.plans.voice import PLANTED
 
 SQL: dict[str, str] = {}
 
@@ -50,6 +52,55 @@ SELECT utterance_id, start, phrase, kind, confidence FROM kept"""
 SQL["cue_best"] = "WITH " + SAID + """
 SELECT utterance_id, start, phrase, kind, confidence FROM best"""
 
+# the published bank over planted sentences: fixed values of the configuration, the search as above
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _any(names, where: str, pad: str = "") -> str:
+    return " OR ".join(f"contains({where}, {_text(pad + n + pad)})" for n in names)
+
+
+PLANTED_SAID = f"""
+planted AS (
+  SELECT conv_id || '-' || turn AS utterance_id,
+    [{", ".join(map(_text, PLANTED))}][(conv_id * 7 + turn * 5) % {len(PLANTED)} + 1] || ' ' || coalesce(text, '') AS text
+  FROM conversations
+), said AS (
+  SELECT utterance_id, lower(text) AS low, regexp_replace(lower(text), '[^\\x00-\\x7F]', 'x', 'g') AS plain FROM planted
+)"""
+
+PUBLISHED_CUES = f"""{PLANTED_SAID}, bank(ord, pattern, kind, base) AS (VALUES
+  {", ".join(f"({i}, {_text(p)}, '{kind}', {base}::DOUBLE)" for i, (p, kind, base) in enumerate(config.CUES))}
+), cut AS (
+  SELECT s.*, b.*,
+    list_transform(regexp_extract_all(plain, pattern), lambda x: x) AS found,
+    string_split(regexp_replace(plain, pattern, chr(1), 'g'), chr(1)) AS pieces,
+    CASE WHEN {_any(config.HEDGES, "low")} THEN 0.10 ELSE 0 END
+      + CASE WHEN {_any(config.CONTRASTS, "' ' || low || ' '", " ")} THEN 0.08 ELSE 0 END AS bonus
+  FROM said s CROSS JOIN bank b WHERE regexp_matches(plain, pattern)
+), hits AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM cut
+), placed AS (
+  SELECT utterance_id, ord, kind, found[i] AS phrase, plain,
+    list_sum(list_transform(pieces[1:i], lambda p: length(p)))::BIGINT
+      + coalesce(list_sum(list_transform(found[1:i - 1], lambda p: length(p))), 0)::BIGINT AS start,
+    """ + rd("least(1, base + bonus)", 3) + f""" AS confidence
+  FROM hits
+), tails AS (
+  SELECT *, list_filter(string_split_regex(string_split(regexp_replace(plain[1:start], {_text(config.CLAUSE_BREAK)},
+    chr(1), 'g'), chr(1))[-1], '\\s+'), lambda w: w <> '') AS words FROM placed
+)
+SELECT utterance_id, start, phrase, kind, confidence
+FROM (SELECT *, array_to_string(words[greatest(1, len(words) - 5):], ' ') AS tail FROM tails)
+WHERE NOT ({_any(config.NEGATORS, "tail")})"""
+
+SQL["published_cues"] = "WITH " + PUBLISHED_CUES
+
+SQL["published_acute"] = f"""WITH {PLANTED_SAID}
+SELECT utterance_id, heard FROM (SELECT utterance_id, concat_ws(' + ', {", ".join(
+    f"CASE WHEN regexp_matches(plain, {_text(p)}) THEN {_text(p)} END" for p in config.ACUTE_PHRASES)}) AS heard FROM said)
+WHERE heard <> ''"""
+
 SQL["acute_phrases"] = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g') AS plain FROM documents)

@@ -41,6 +41,7 @@ def cues(column: str, cfg: Config, clause_break: str) -> Column:
     once per text, and only in texts that hold a cue.
     """
     bank = [(order, re.compile(p), kind, float(base)) for order, (p, kind, base) in enumerate(cfg.cues)]
+    anything = re.compile("|".join(f"(?:{p})" for p, _, _ in cfg.cues))
     breaks, tail_words = re.compile(clause_break), TAIL_WORDS
     negators, hedges = tuple(cfg.negators), tuple(cfg.hedges)
     contrasts = tuple(f" {c} " for c in cfg.contrasts)
@@ -53,8 +54,8 @@ def cues(column: str, cfg: Config, clause_break: str) -> Column:
         out = []
         for text in texts:
             found, ends = [], None
-            if text is not None:
-                low = text.lower()
+            # one search for any cue; most texts hold none
+            if text is not None and anything.search(low := text.lower()):
                 for order, pattern, kind, _ in bank:
                     for match in pattern.finditer(low):
                         if ends is None:
@@ -84,10 +85,14 @@ def best_cue(utterances: DataFrame, cfg: Config, clause_break: str) -> DataFrame
 
 
 def acute_phrases(text: Column, cfg: Config) -> Column:
-    """The literal patterns heard in a text."""
-    return let(F.lower(F.coalesce(text, F.lit(NO_TEXT))), lambda lowered: F.filter(
-        F.array(*[F.when(lowered.rlike(p), F.lit(p)) for p in cfg.acute_phrases]),
-        lambda p: p.isNotNull()))
+    """The literal patterns heard in a text.
+
+    One search for any of them comes first: nearly every text holds none, and is read once.
+    """
+    lowered = F.lower(F.coalesce(text, F.lit(NO_TEXT)))
+    heard = F.array_compact(F.array(*[F.when(lowered.rlike(p), F.lit(p)) for p in cfg.acute_phrases]))
+    any_of = lowered.rlike("|".join(f"(?:{p})" for p in cfg.acute_phrases))
+    return F.when(any_of, heard).otherwise(F.array().cast("array<string>"))
 
 
 # -------------------------------------------------------------------------- frames ---
@@ -139,7 +144,11 @@ def frames_near(utterances: DataFrame, frames: DataFrame, cfg: Config) -> DataFr
 
 
 def gap_assessments(claims: DataFrame, frames: DataFrame, cfg: Config) -> DataFrame:
-    """claims: (session_id, utterance_id, at_ms, cue), one row per claim -> its assessment."""
+    """claims: (session_id, utterance_id, at_ms, cue), one row per claim -> its assessment.
+
+    The claims are written first, without the text: both readers below would search it again.
+    """
+    claims = materialised(claims.drop("text"), "claims")
     near = frames_near(claims.select("session_id", "utterance_id", "at_ms"),
                        trustworthy(frames, cfg), cfg)
     # the window bounds the frames of one utterance, so a per-utterance median is small

@@ -53,6 +53,41 @@ def frames(spark, folder):
         (4 - 2.4 * v).alias("speech_rate_sps"))
 
 
+PUBLISHED = Config()
+#: sentences that hold, negate, hedge and contrast the published cues, and acute ones, put before what was said
+PLANTED = (
+    "Honestly, I'm fine.", "i'm okay, mostly", "I am not saying it but I'm alright", "Nothing much, though tired.",
+    "it's nothing", "No problem at all.", "I'm managing. More or less", "we never hear it: i'll cope",
+    "i'll be fine", "getting by, I suppose", "Hardly used to it", "used to it by now", "It is part of the job",
+    "everybody goes through that", "just a bit tired", "not a big deal", "It is hardly a thing, not big deal",
+    "don't worry, I'm fine but I'm okay", "I'll sorted it", "i'll be sort it", "far from it: I'm fine",
+    "i can't go on", "they are better off without me", "No point going on, no reason in living", "a plain day", "",
+    "I want to die; I will end it all")
+
+
+def planted(spark, folder):
+    """conversations with a sentence before every turn, chosen by the place of the turn."""
+    sentence = F.element_at(F.array(*[F.lit(x) for x in PLANTED]), (
+        (F.col("conv_id") * 7 + F.col("turn") * 5) % len(PLANTED) + 1).cast("int"))
+    return T.read(spark, folder, "conversations").select(
+        F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("utterance_id"),
+        F.concat(sentence, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@QUERIES.query
+def published_cues(spark, folder):
+    """Every cue of the published bank that is not negated."""
+    rows = planted(spark, folder).select("utterance_id", F.inline(voice.cues("text", PUBLISHED, CLAUSE_BREAK)))
+    return rows.select("utterance_id", F.col("start").cast("bigint").alias("start"), "phrase", "kind", "confidence")
+
+
+@QUERIES.query
+def published_acute(spark, folder):
+    """The published acute phrases heard in every turn."""
+    heard = planted(spark, folder).select("utterance_id", voice.acute_phrases(F.col("text"), PUBLISHED).alias("heard"))
+    return heard.filter(F.size("heard") > 0).select("utterance_id", joined("heard", " + "))
+
+
 def claims(spark, folder):
     return voice.best_cue(utterances(spark, folder), CFG, BREAKS)
 
