@@ -271,3 +271,11 @@ def screened(select: str, *ctes: str) -> str:
 
 def run(select: str, *ctes: str) -> str:
     return "WITH " + ",\n".join((RUN, *ctes)) + "\n" + select
+
+
+def uniform(secret: str, text: str) -> str:
+    """HMAC-SHA256 of a text expression under a fixed key, as a number in (0, 1): 52 bits of the digest."""
+    key = secret.encode().ljust(64, b"\0")
+    inner, outer = ("".join(f"\\x{b ^ pad:02X}" for b in key) for pad in (0x36, 0x5C))
+    digest = f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode({text}))))"
+    return f"((('0x' || substr({digest}, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"

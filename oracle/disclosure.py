@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from oracle.base import rd, run
+from oracle.base import rd, run, uniform
+from vigilframe import config
 
 SQL: dict[str, str] = {}
 
@@ -106,6 +107,25 @@ SELECT unit_id, label, CASE WHEN n < 5 THEN 0 ELSE n END AS n,
   CASE WHEN n < 5 THEN NULL ELSE {rd("value", 4)} END AS value, n < 5 AS suppressed,
   CASE WHEN n < 5 THEN 'cohort below k=5' ELSE '' END AS reason FROM grouped""", SERIES)
 
+_EPSILON = config.Config().epsilon_query
+_ASKED = "'2024-01-30|' || unit_id || '|' || label || '|{}'"
+
+
+def _laplace(scale: str, u: str) -> str:
+    return f"(-({scale}) * sign({u} - 0.5) * ln(1 - 2 * abs({u} - 0.5)))"
+
+
+SQL["unit_view_private"] = run(f"""
+SELECT unit_id, label,
+  CASE WHEN n >= 5 THEN greatest(5, round_even(n + {_laplace(f"1.0 / {_EPSILON}", "un")}, 0)::BIGINT) END AS n,
+  CASE WHEN n >= 5 THEN {rd(f"value + {_laplace(f'1.0 / {_EPSILON} / n', 'um')}", 4)} END AS value,
+  n < 5 AS suppressed, spent
+FROM (
+  SELECT *, sum(CASE WHEN n < 5 THEN 0 ELSE 2 * {_EPSILON} END::DOUBLE) OVER (PARTITION BY unit_id ORDER BY label) AS spent,
+    {uniform("release key", _ASKED.format("n"))} AS un, {uniform("release key", _ASKED.format("mean"))} AS um
+  FROM grouped)
+WHERE round(spent, 9) <= 5""", SERIES)
+
 SQL["release_log"] = run("""
 SELECT unit_id, count(*) AS cells, count(*) FILTER (n < 12) AS suppressed,
   (count(*) FILTER (n >= 12) * 1.0)::DOUBLE AS epsilon,

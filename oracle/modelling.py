@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from oracle.base import rd, screened
+from oracle.base import rd, screened, uniform
+from vigilframe import config
 
 SQL: dict[str, str] = {}
 
@@ -146,6 +147,14 @@ SQL["federated_average"] = "WITH " + FED + """
 SELECT pos::BIGINT AS pos, round(sum(v * n_examples) / sum(n_examples), 9) AS step
 FROM sent GROUP BY pos"""
 
+_KEY = "'1|' || unit_id || '|' || pos || '|{}'"
+SQL["federated_noised_average"] = "WITH " + FED + f""", drawn AS (
+  SELECT *, {uniform("federation key", _KEY.format("r"))} AS u, {uniform("federation key", _KEY.format("a"))} AS w FROM sent
+)
+SELECT pos::BIGINT AS pos, round(sum((v + {config.Config().noise_multiplier} * 0.05 * sqrt(-2 * ln(u)) * cos(2 * pi() * w))
+  * n_examples) / sum(n_examples), 9) AS step
+FROM drawn GROUP BY pos"""
+
 ROUNDS = """
 per AS (
   SELECT floor(vec_id / 7)::BIGINT AS round, count(DISTINCT label) AS units
@@ -207,3 +216,40 @@ SELECT pid, round(hazard, 9) AS hazard, risk_7d, risk_30d, risk_60d, risk_90d,
     WHEN risk_90d >= 0.5 THEN '90' ELSE '' END AS soonest,
   CASE WHEN hazard IS NULL THEN 'unavailable' ELSE 'ok' END AS horizon_status
 FROM risks"""
+
+
+def _campaign() -> str:
+    """Rounds 1, 3 complete; 2 hears two units, 4 finds the budget spent."""
+    parts = ["""WITH e AS (
+  SELECT 'V' || label AS unit_id, vec_id % 4 + 1 AS round, unnest(embedding)::DOUBLE AS x,
+    generate_subscripts(embedding, 1) - 1 AS pos
+  FROM embeddings WHERE vec_id % 4 <> 1 OR label < 2
+), rep AS (
+  SELECT round, unit_id, pos, avg(x) AS v, count(*) AS n FROM e GROUP BY ALL
+), units AS (
+  SELECT round, count(DISTINCT unit_id) AS units, array_to_string(list_sort(list(DISTINCT unit_id)), ',') AS names
+  FROM rep GROUP BY round
+), g0 AS (SELECT DISTINCT pos, 0::DOUBLE AS v FROM rep)"""]
+    for r, before in ((1, "g0"), (3, "g1")):
+        parts.append(f"""d{r} AS (
+  SELECT unit_id, pos, n, rep.v - {before}.v AS delta FROM rep JOIN {before} USING (pos) WHERE round = {r}
+), n{r} AS (SELECT unit_id, sqrt(sum(delta * delta)) AS norm FROM d{r} GROUP BY unit_id
+), s{r} AS (
+  SELECT pos, sum(delta * CASE WHEN norm > 0.05 THEN 0.05 / norm ELSE 1 END * n) / sum(n) AS step
+  FROM d{r} JOIN n{r} USING (unit_id) GROUP BY pos
+), g{r} AS (SELECT pos, {before}.v + step AS v FROM {before} JOIN s{r} USING (pos))""")
+    return ", ".join(parts)
+
+
+SQL["federated_vectors"] = _campaign() + """
+SELECT r::BIGINT AS round, pos::BIGINT AS pos, round(v, 9) AS value
+FROM (SELECT 1 AS r, * FROM g1 UNION ALL SELECT 2, * FROM g1 UNION ALL SELECT 3, * FROM g3 UNION ALL SELECT 4, * FROM g3)"""
+
+SQL["federated_history"] = _campaign() + f"""
+SELECT 'embeddings' AS campaign, round, units, names AS participants, round IN (1, 3) AS completed,
+  CASE WHEN round IN (1, 3) THEN {{0}} ELSE 0 END::DOUBLE AS epsilon,
+  CASE WHEN round < 3 THEN {{0}} ELSE 2 * {{0}} END::DOUBLE AS spent,
+  CASE round WHEN 1 THEN (SELECT count(*) FROM n1 WHERE norm > 0.05) WHEN 3 THEN (SELECT count(*) FROM n3 WHERE norm > 0.05)
+    ELSE 0 END AS clipped,
+  CASE round WHEN 2 THEN 'too few units' WHEN 4 THEN 'budget exhausted' ELSE '' END AS reason
+FROM units""".format(config.Config().fed_epsilon_round)

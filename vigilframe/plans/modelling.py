@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import HORIZONS
 from vigilframe.operators import evaluation as ev
 from vigilframe.operators import federated, features, models, survival
-from vigilframe.plans.registry import Registry, r9
+from vigilframe.plans.registry import Registry, joined, r9
 from vigilframe.plans.screening import profile_of
 from vigilframe.session import materialised
 from vigilframe.sources import tables as T
@@ -191,7 +194,7 @@ def federated_noised_average(spark, folder):
     """The same average with the noise every unit adds before it reports."""
     deltas = federated.unit_deltas(local_parameters(spark, folder), None, FED)
     return federated.average(federated.with_noise(deltas, "federation key", 1, FED)).select(
-        F.col("pos").cast("bigint").alias("pos"), "step")
+        F.col("pos").cast("bigint").alias("pos"), r9("step"))
 
 
 def round_reports(spark, folder):
@@ -210,3 +213,35 @@ def federated_rounds(spark, folder):
 def federated_campaign(spark, folder):
     cfg = FED.but(min_participants=5)
     return federated.campaign_report(federated.rounds(round_reports(spark, folder), cfg), cfg)
+
+
+ROUNDS = 4
+
+
+def played_campaign(spark, folder):
+    """Four rounds over the embeddings: the second hears two units only, the budget covers two rounds."""
+    rows = T.read(spark, folder, "embeddings").select(
+        F.concat(F.lit("V"), F.col("label").cast("string")).alias("unit_id"), "label",
+        (F.col("vec_id") % ROUNDS + 1).alias("round"), F.posexplode("embedding"))
+    per = rows.where((F.col("round") != 2) | (F.col("label") < 2)).groupBy("round", "unit_id", "pos").agg(
+        F.avg(F.col("col").cast("double")).alias("value"), F.count("*").alias("n_examples"))
+    per = materialised(per, "round-reports")
+    base = per.select("pos").distinct().withColumn("value", F.lit(0.0))
+    cfg = FED.but(min_participants=5, fed_epsilon_total=2 * FED.fed_epsilon_round)
+    return federated.play("embeddings", base, [
+        per.where(F.col("round") == r).drop("round") for r in range(1, ROUNDS + 1)], cfg)
+
+
+@QUERIES.query
+def federated_history(spark, folder):
+    out = played_campaign(spark, folder).table(spark)
+    return out.select("campaign", "round", "units", joined("participants"), "completed", r9("epsilon"), r9("spent"),
+                      "clipped", "reason")
+
+
+@QUERIES.query
+def federated_vectors(spark, folder):
+    """The global vector after every round."""
+    found = [v.select(F.lit(i).cast("bigint").alias("round"), F.col("pos").cast("bigint").alias("pos"), r9("value"))
+             for i, v in enumerate(played_campaign(spark, folder).vectors, 1)]
+    return reduce(DataFrame.unionByName, found)
