@@ -126,6 +126,14 @@ FROM (
   FROM grouped)
 WHERE round(spent, 9) <= 5""", SERIES)
 
+SQL["budget_carried"] = run(f"""
+SELECT unit_id, label, suppressed, round(own + earlier, 9) AS spent FROM (
+  SELECT *, max(CASE WHEN round(own, 9) <= 5 THEN own END) OVER (PARTITION BY unit_id) AS earlier FROM (
+    SELECT unit_id, label, n < 5 AS suppressed,
+      sum(CASE WHEN n < 5 THEN 0 ELSE 2 * {_EPSILON} END::DOUBLE) OVER (PARTITION BY unit_id ORDER BY label) AS own
+    FROM grouped))
+WHERE round(own + earlier, 9) <= 7""", SERIES)
+
 SQL["release_log"] = run("""
 SELECT unit_id, count(*) AS cells, count(*) FILTER (n < 12) AS suppressed,
   (count(*) FILTER (n >= 12) * 1.0)::DOUBLE AS epsilon,

@@ -103,6 +103,12 @@ SQL["training_rows"] = screened(
        ELSE '40-plus' END AS age_band, c_mktsegment AS rank, (c_acctbal >= 6000)::BIGINT AS label
 FROM matrix JOIN customer ON pid = c_custkey::VARCHAR""", MATRIX)
 
+SQL["training_matrix"] = screened(
+    "SELECT " + ", ".join(f"{rd(n, 6)} AS {n}" for n in _NAMES) + """,
+  CASE WHEN c_nationkey * 2 + 18 < 30 THEN 'under-30' WHEN c_nationkey * 2 + 18 < 40 THEN '30-39'
+       ELSE '40-plus' END AS age_band, c_mktsegment AS rank, (c_acctbal >= 6000)::BIGINT AS label
+FROM matrix JOIN customer ON pid = c_custkey::VARCHAR""", MATRIX)
+
 SQL["driver_topk"] = screened(f"""
 SELECT pid, pos - 1 AS position, feature, {rd("value", 5)} AS contribution FROM (
   SELECT *, row_number() OVER (PARTITION BY pid ORDER BY abs(value) DESC, ord) AS pos

@@ -85,19 +85,29 @@ def noised(checked: DataFrame, keys: list[str], as_of: date, secret: str, cfg: C
     }).drop("true_n", "true_mean")
 
 
-def within_budget(checked: DataFrame, period: list[str], label: str, cfg: Config) -> DataFrame:
+def within_budget(checked: DataFrame, period: list[str], label: str, cfg: Config,
+                  earlier: DataFrame | None = None) -> DataFrame:
     """Stop releasing once the period's budget is gone; a cell is charged for count and mean at once.
 
-    Cells of one period are a fixed list of labels, so the running sum is short.
+    Cells of one period are a fixed list of labels, so the running sum is short.  ``earlier`` (the period's
+    columns and ``earlier``, see ``charged``) is what releases before this one spent of the same budget.
     """
     order = Window.partitionBy(*period).orderBy(label).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     cost = F.when(F.col("suppressed"), 0.0).otherwise(CELL_CHARGES * cfg.epsilon_query)
-    spent = F.sum(cost).over(order)
-    out = checked.withColumn("spent", spent)
+    if earlier is None:
+        out = checked.withColumn("spent", F.sum(cost).over(order))
+    else:
+        out = checked.join(earlier.select(*period, "earlier"), period, "left").withColumn(
+            "spent", F.sum(cost).over(order) + F.coalesce("earlier", F.lit(0.0))).drop("earlier")
     return out.filter(F.round("spent", 9) <= cfg.epsilon_total)
 
 
+def charged(released: DataFrame, period: list[str]) -> DataFrame:
+    """What a release within its budget has spent of each period, for the release after it."""
+    return released.groupBy(*period).agg(F.max("spent").alias("earlier"))
+
+
 def redacted(released: DataFrame) -> DataFrame:
     visible = ~F.col("suppressed")
     return released.withColumns({"n": F.when(visible, F.col("n")),

@@ -97,6 +97,16 @@ def unit_view_private(spark, folder):
     return out.select("unit_id", "label", "n", "value", "suppressed", "spent")
 
 
+@QUERIES.query
+def budget_carried(spark, folder):
+    """The same cells asked for again in the same period: the second release starts where the first stopped."""
+    checked = materialised(release.cells(release.unit_series(gated_cases(spark, folder)), ["unit_id", "label"], CFG), "cells")
+    first = release.within_budget(checked, ["unit_id"], "label", CFG.but(epsilon_total=5.0))
+    second = release.within_budget(checked, ["unit_id"], "label", CFG.but(epsilon_total=7.0),
+                                   release.charged(first, ["unit_id"]))
+    return second.select("unit_id", "label", "suppressed", r9("spent"))
+
+
 @QUERIES.query
 def heat_map(spark, folder):
     sub_unit = release.company(F.col("pid").cast("bigint") % 4)

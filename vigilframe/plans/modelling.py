@@ -13,6 +13,7 @@ from vigilframe.operators import federated, features, models, survival
 from vigilframe.plans.registry import Registry, joined, r9
 from vigilframe.plans.screening import profile_of
 from vigilframe.session import materialised
+from vigilframe.sources import sinks
 from vigilframe.sources import tables as T
 
 QUERIES = Registry()
@@ -74,6 +75,14 @@ def training_rows(spark, folder):
         F.col("label").cast("bigint").alias("label"))
 
 
+@QUERIES.query
+def training_matrix(spark, folder):
+    """The exported matrix: every feature, the group columns and the label, without the person."""
+    table = training_table(spark, folder)
+    groups = table.select("pid", "age_band", "rank", F.col("label").cast("bigint").alias("label"))
+    return sinks.training_matrix(table.select("pid", *features.feature_names(CFG)), groups, CFG)
+
+
 @QUERIES.query
 def driver_topk(spark, folder):
     """Three largest contributions per person under fixed importances."""
