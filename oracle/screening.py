@@ -424,29 +424,16 @@ WITH log AS (
 SELECT pid, seq, previous, state FROM moves m WHERE previous IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM legal l WHERE l.previous = m.previous AND l.state = m.state)"""
 
-_PROSE = """CASE domain WHEN 'leave' THEN 'the rate at which their leave applications are denied'
-  WHEN 'duty_roster' THEN 'consecutive duty days without a clear break'
-  WHEN 'training' THEN 'course and training days assigned'
-  WHEN 'workload' THEN 'duty hours above unit establishment'
-  ELSE 'a voluntary wellness self-assessment' END"""
-
 SQL["risk_advocate_findings"] = run(f"""
-SELECT f.pid, CASE WHEN count(r.domain) = 0
-    THEN 'No consented domain deviates. There is no case to make.'
-    ELSE 'The case for concern: '
-      || string_agg(line, '; ' ORDER BY pos) FILTER (pos <= 3) || '.'
-      || CASE WHEN bool_or(tier = 'T1') THEN ' This includes a validated self-assessment, which '
-           || 'the person volunteered — the strongest class of signal available here.'
-         WHEN count(*) >= 3 THEN ' No single domain would carry this; the case rests on '
-           || count(*) || ' of them moving together.' ELSE '' END END AS narrative,
+SELECT f.pid, CASE WHEN count(r.domain) = 0 THEN 'concern=none'
+    ELSE 'concern=' || string_agg(line, ',' ORDER BY pos) FILTER (pos <= 3)
+      || CASE WHEN bool_or(tier = 'T1') THEN ';told_by_the_person'
+         WHEN count(*) >= 3 THEN ';together=' || count(*) ELSE '' END END AS narrative,
   coalesce(string_agg(stance, ' / ' ORDER BY pos), '') AS assessments
 FROM case_facts f LEFT JOIN ranked r USING (pid) GROUP BY f.pid""", f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY pid ORDER BY abs(z_self) DESC, domain) AS pos,
-    {_PROSE} || ' is ' || CASE direction WHEN 'elevated' THEN 'well above' ELSE 'well below' END
-      || ' their own 20-day baseline (z=' || {sg("z_self", 1)}
-      || CASE WHEN windows_breached > 0 THEN ', sustained across ' || windows_breached
-           || ' of the three scoring windows' ELSE '' END || ')' AS line,
+    domain || ':' || direction || ':z=' || {sg("z_self", 1)} || ':windows=' || windows_breached AS line,
     domain || '|' || CASE WHEN abs(z_self) >= 1 THEN 'supports' ELSE 'insufficient' END
       || '|z_self=' || {sg("z_self", 2)} || ', z_unit='
       || {sg("z_unit", 2)} || ', tier ' || tier AS stance
@@ -454,17 +441,10 @@ ranked AS (
 )""")
 
 SQL["confounder_check_findings"] = run(f"""
-SELECT f.pid, CASE WHEN h.pid IS NULL THEN
-    'No benign explanation was found for these deviations. The unit cohort is not moving with '
-    || 'this person, no sanctioned leave or training assignment accounts for the pattern, the '
-    || 'prior year''s same window does not show it, and record coverage is adequate.'
-    || CASE WHEN n_consented < 2 THEN ' Note that a single deviating domain has nothing to be '
-         || 'consistent with, which is itself a reason for caution.' ELSE '' END
-  ELSE 'The case against: ' || parts || '. A unit-wide pattern is a command workload matter, not '
-    || 'an individual welfare concern. The correct action is to raise it with the commanding '
-    || 'officer as a rostering question.' END AS narrative,
+SELECT f.pid, CASE WHEN h.pid IS NULL THEN 'benign=none' || CASE WHEN n_consented < 2 THEN ';single_domain' ELSE '' END
+  ELSE 'benign=' || parts || ';whole_unit' END AS narrative,
   coalesce((SELECT string_agg(c.domain || CASE WHEN h2.domain IS NULL
-      THEN '|supports|no confounder found' ELSE '|contradicts|' || h2.reason END, ' / '
+      THEN '|supports|none' ELSE '|contradicts|' || h2.reason END, ' / '
       ORDER BY c.domain)
     FROM cons c LEFT JOIN reasons h2 ON h2.pid = c.pid AND h2.domain = c.domain
     WHERE c.pid = f.pid), '') AS assessments,
@@ -472,7 +452,7 @@ SELECT f.pid, CASE WHEN h.pid IS NULL THEN
 FROM gates f LEFT JOIN (SELECT pid, string_agg(domain || ': ' || reason, ' | ' ORDER BY domain)
   AS parts FROM reasons GROUP BY pid) h USING (pid)""", f"""
 reasons AS (
-  SELECT pid, domain, label || ' (mass ' || {f("mass", 2)} || ') — ' || detail AS reason FROM hits
+  SELECT pid, domain, label || ':mass=' || {f("mass", 2)} || ': ' || detail AS reason FROM hits
 )""")
 
 _PRECEDENTS = """
@@ -503,18 +483,15 @@ FROM top_precedents""", _PRECEDENTS)
 
 SQL["welfare_context_findings"] = run(f"""
 SELECT f.pid,
-  CASE WHEN f.n_consented = 0 THEN 'No consented domain deviates; no precedent applies.' ELSE
-  CASE WHEN lines IS NULL THEN 'No comparable closed case was found for this driver combination. '
-    ELSE 'Comparable closed cases: ' || lines || '. ' END
-  || 'Unit strength on this roll is ' || f.cohort_size
-  || '. Welfare capacity for the period is available.'
-  || CASE WHEN cautions IS NULL THEN '' ELSE ' Caution: ' || cautions || '.' END END AS narrative,
+  CASE WHEN f.n_consented = 0 THEN 'precedents=none;no_domain' ELSE
+    'precedents=' || coalesce(lines, 'none') || ';strength=' || f.cohort_size || ';capacity=free'
+    || CASE WHEN cautions IS NULL THEN '' ELSE ';caution=' || cautions END END AS narrative,
   CASE WHEN f.n_consented = 0 THEN '' ELSE coalesce(actions, 'WLF-REST') END
     AS precedent_interventions
 FROM gates f LEFT JOIN (
-  SELECT pid, string_agg(code || ' (' || {pct("score")} || ' driver overlap, outcome: ' || outcome
-      || '): ' || note, ' | ' ORDER BY pos) AS lines,
-    string_agg(code || ' with similar drivers was closed as ' || outcome, '; ' ORDER BY pos)
+  SELECT pid, string_agg(code || ':overlap=' || {pct("score")} || ':' || outcome || ': ' || note, ' | '
+      ORDER BY pos) AS lines,
+    string_agg(code || ':' || outcome, ',' ORDER BY pos)
       FILTER (outcome IN ('not_supported', 'already_known')) AS cautions,
     string_agg(action, ',' ORDER BY pos) AS actions
   FROM top_precedents GROUP BY pid) USING (pid)""", _PRECEDENTS)
@@ -620,8 +597,7 @@ SQL["frozen_run"] = run("""
 SELECT CASE decision WHEN 'ESCALATE' THEN 'MONITOR' ELSE decision END AS decision,
   CASE decision WHEN 'ESCALATE' THEN 'all gates passed but escalation is frozen for this run '
     || '(reviewer unavailable or model drift beyond threshold)' ELSE reason END AS reason,
-  'Confounder Check unavailable: the system has heard only the case for concern, so escalation is '
-    || 'frozen to MONITOR-only for this run' AS freeze_reason, count(*) AS n
+  'no_counter_case:monitor_only' AS freeze_reason, count(*) AS n
 FROM verdicts GROUP BY ALL""")
 
 

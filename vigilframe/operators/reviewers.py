@@ -11,19 +11,17 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.config import DOMAIN_PROSE, PLAYBOOK, PRECEDENTS, REVIEWERS, Config
-from vigilframe.functions.scalar import fixed, let, lookup, percent, signed, strings
+from vigilframe.config import PLAYBOOK, PRECEDENTS, REVIEWERS, Config
+from vigilframe.functions.scalar import fixed, let, percent, signed, strings
 from vigilframe.operators.cases import consented
 from vigilframe.operators.gates import detect
 from vigilframe.operators.verdicts import decide
 
 Reviewer = Callable[[Config], Column]
 TOP = 3
-FREEZE_UNHEARD = (
-    "Confounder Check unavailable: the system has heard only the case for concern, so escalation "
-    "is frozen to MONITOR-only for this run"
-)
-FREEZE_DRIFT = "model drift beyond threshold: escalation frozen system-wide"
+# findings are codes with parameters; whoever shows them words them
+FREEZE_UNHEARD = "no_counter_case:monitor_only"
+FREEZE_DRIFT = "score_drift:monitor_only"
 
 
 def prepared(cases: DataFrame, cfg: Config) -> DataFrame:
@@ -55,28 +53,14 @@ def risk_advocate_finding(cfg: Config) -> Column:
         lambda s: s["d"])
 
     def describe(d: Column) -> Column:
-        sustained = F.when(d["windows_breached"] > 0, F.concat(
-            F.lit(", sustained across "), d["windows_breached"].cast("string"),
-            F.lit(" of the three scoring windows"))).otherwise("")
-        return F.concat(
-            lookup(DOMAIN_PROSE, d["domain"], d["domain"]), F.lit(" is "),
-            F.when(d["direction"] == "elevated", "well above").otherwise("well below"),
-            F.lit(f" their own {cfg.baseline_days}-day baseline (z="), signed(d["z_self"], 1),
-            sustained, F.lit(")"))
+        return F.concat(d["domain"], F.lit(":"), d["direction"], F.lit(":z="), signed(d["z_self"], 1),
+                        F.lit(":windows="), d["windows_breached"].cast("string"))
 
     count = F.size(devs)
-    emphasis = (
-        F.when(F.exists(devs, lambda d: d["tier"] == "T1"), F.lit(
-            " This includes a validated self-assessment, which the person volunteered — the "
-            "strongest class of signal available here."))
-        .when(count >= TOP, F.concat(
-            F.lit(" No single domain would carry this; the case rests on "), count.cast("string"),
-            F.lit(" of them moving together."))).otherwise(""))
-    narrative = F.when(count == 0, F.lit(
-        "No consented domain deviates. There is no case to make.")).otherwise(F.concat(
-            F.lit("The case for concern: "),
-            F.array_join(F.transform(F.slice(ranked, 1, TOP), describe), "; "), F.lit("."),
-            emphasis))
+    weight = (F.when(F.exists(devs, lambda d: d["tier"] == "T1"), F.lit(";told_by_the_person"))
+              .when(count >= TOP, F.concat(F.lit(";together="), count.cast("string"))).otherwise(""))
+    narrative = F.when(count == 0, F.lit("concern=none")).otherwise(F.concat(
+        F.lit("concern="), F.array_join(F.transform(F.slice(ranked, 1, TOP), describe), ","), weight))
     stances = F.transform(ranked, lambda d: F.concat(
         d["domain"], F.lit("|"),
         F.when(F.abs(d["z_self"]) >= cfg.z_self, "supports").otherwise("insufficient"),
@@ -91,7 +75,7 @@ def risk_advocate(cases: DataFrame, cfg: Config) -> DataFrame:
 
 # ----------------------------------------------------------------- confounder check ---
 def _reason(h: Column) -> Column:
-    return F.concat(h["label"], F.lit(" (mass "), fixed(h["mass"], 2), F.lit(") — "), h["detail"])
+    return F.concat(h["label"], F.lit(":mass="), fixed(h["mass"], 2), F.lit(": "), h["detail"])
 
 
 def confounder_check_finding(cfg: Config) -> Column:
@@ -103,30 +87,17 @@ def confounder_check_finding(cfg: Config) -> Column:
 
     domains = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["domain"])))
     clean = F.size(hits) == 0
-    nothing = F.concat(
-        F.lit("No benign explanation was found for these deviations. The unit cohort is not "
-              "moving with this person, no sanctioned leave or training assignment accounts for "
-              "the pattern, the prior year's same window does not show it, and record coverage "
-              "is adequate."),
-        F.when(F.size(devs) < 2, F.lit(
-            " Note that a single deviating domain has nothing to be consistent with, which is "
-            "itself a reason for caution.")).otherwise(""))
+    nothing = F.concat(F.lit("benign=none"), F.when(F.size(devs) < 2, F.lit(";single_domain")).otherwise(""))
     against = F.concat(
-        F.lit("The case against: "),
+        F.lit("benign="),
         F.array_join(F.transform(domains, lambda d: F.concat(d, F.lit(": "), reasons(d))), " | "),
-        F.lit("."),
-        F.when(F.exists(hits, lambda h: h["rule"] == "unit_op_tempo"), F.lit(
-            " A unit-wide pattern is a command workload matter, not an individual welfare "
-            "concern. The correct action is to raise it with the commanding officer as a "
-            "rostering question.")).otherwise(""),
+        F.when(F.exists(hits, lambda h: h["rule"] == "unit_op_tempo"), F.lit(";whole_unit")).otherwise(""),
         F.when(F.exists(hits, lambda h: h["rule"] == "data_gap"), F.concat(
-            F.lit(" More than "), percent(F.lit(cfg.data_gap_fraction)), F.lit(
-                " of records are missing for at least one domain. Missingness is not evidence, "
-                "and nothing has been imputed to cover it."))).otherwise(""))
+            F.lit(";records_missing>"), percent(F.lit(cfg.data_gap_fraction)))).otherwise(""))
     stances = F.transform(devs, lambda d: F.when(
         F.exists(hits, lambda h: h["domain"] == d["domain"]),
         F.concat(d["domain"], F.lit("|contradicts|"), reasons(d["domain"]))
-    ).otherwise(F.concat(d["domain"], F.lit("|supports|no confounder found"))))
+    ).otherwise(F.concat(d["domain"], F.lit("|supports|none"))))
     rules = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["rule"])))
     return finding(F.when(clean, nothing).otherwise(against), _listed(stances), rules)
 
@@ -161,31 +132,20 @@ def welfare_context_finding(cfg: Config) -> Column:
 
 def _welfare_story(matched: Column) -> Column:
     lines = F.transform(matched, lambda p: F.concat(
-        p["code"], F.lit(" ("), percent(p["score"]), F.lit(" driver overlap, outcome: "),
-        p["outcome"], F.lit("): "), p["note"]))
+        p["code"], F.lit(":overlap="), percent(p["score"]), F.lit(":"), p["outcome"], F.lit(": "), p["note"]))
     cautions = F.transform(
         F.filter(matched, lambda p: p["outcome"].isin("not_supported", "already_known")),
-        lambda p: F.concat(p["code"], F.lit(" with similar drivers was closed as "), p["outcome"]))
-    norm = F.concat(
-        F.lit("Unit strength on this roll is "), F.col("cohort_size").cast("string"),
-        F.lit(". Welfare capacity for the period is "),
-        F.when(F.col("capacity"), "available").otherwise("exhausted"), F.lit("."),
-        F.when(F.size("active_codes") > 0, F.concat(
-            F.lit(" This person already has an active intervention ("),
-            F.array_join("active_codes", ", "), F.lit(
-                "); re-approaching them without concluding it is how a welfare system loses the "
-                "confidence of the force."))).otherwise(""))
+        lambda p: F.concat(p["code"], F.lit(":"), p["outcome"]))
     story = F.concat(
-        F.when(F.size(matched) > 0, F.concat(
-            F.lit("Comparable closed cases: "), F.array_join(lines, " | "), F.lit(". ")))
-        .otherwise("No comparable closed case was found for this driver combination. "),
-        norm,
-        F.when(F.size(cautions) > 0, F.concat(
-            F.lit(" Caution: "), F.array_join(cautions, "; "), F.lit("."))).otherwise(""))
+        F.lit("precedents="), F.when(F.size(matched) > 0, F.array_join(lines, " | ")).otherwise("none"),
+        F.lit(";strength="), F.col("cohort_size").cast("string"),
+        F.lit(";capacity="), F.when(F.col("capacity"), "free").otherwise("used"),
+        F.when(F.size("active_codes") > 0, F.concat(F.lit(";running="), F.array_join("active_codes", ","))).otherwise(""),
+        F.when(F.size(cautions) > 0, F.concat(F.lit(";caution="), F.array_join(cautions, ","))).otherwise(""))
     empty = F.size("consented") == 0
     actions = F.transform(matched, lambda p: p["action"])
     return finding(
-        F.when(empty, F.lit("No consented domain deviates; no precedent applies.")).otherwise(story),
+        F.when(empty, F.lit("precedents=none;no_domain")).otherwise(story),
         interventions=F.when(empty, strings(())).when(F.size(actions) > 0, actions)
         .otherwise(strings([PLAYBOOK[0][0]])))
 
@@ -205,9 +165,7 @@ def default_panel(cfg: Config) -> dict[str, Reviewer]:
 
 
 def _unavailable(name: str, why: str) -> Column:
-    detail = f": {why}" if why else ""
-    return F.lit(f"{name.replace('_', ' ')} did not complete for this case{detail}. "
-                 "No finding is available and none has been assumed.")
+    return F.lit(f"unavailable={name}" + (f":{why}" if why else ""))
 
 
 def assemble(cases: DataFrame, reviewers: Mapping[str, Reviewer],
