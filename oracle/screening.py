@@ -334,50 +334,35 @@ _MIND = f"""
 ev_items AS (
   SELECT pid, 0 AS stuck, round(0.65 - round(evidence, 4), 9) AS shortfall, 0 AS ord,
     'evidence' AS gate, round(evidence, 4) AS current, 0.65::DOUBLE AS required,
+    concat_ws(' / ', 'volume(' || {short("weighted_volume", 4)} || ',2.4)',
+      'domains(' || distinct_domains || ',3)', CASE WHEN NOT has_t1 THEN 'no_self_report()' END) AS failed_because,
     concat_ws(' / ',
-      'weighted corroboration is ' || {short("weighted_volume", 4)} || ' of 2.4 weighted units',
-      distinct_domains || ' of 3 independent domains are deviating',
-      CASE WHEN NOT has_t1 THEN 'no validated self-assessment (T1) is present' END)
-      AS failed_because,
-    concat_ws(' / ',
-      CASE WHEN NOT has_t1 AND round(0.65 - evidence, 9) <= 0.20 THEN
-        'one voluntary wellness self-assessment (T1), worth 0.20 of this gate on its own' END,
-      CASE WHEN volume < 1 THEN 'corroboration from ' || t2 || ' further service-record domain'
-        || CASE WHEN t2 = 1 THEN '' ELSE 's' END || ' (' || {f("needed", 2)}
-        || ' weighted units short)' END,
-      CASE WHEN breadth < 1 THEN (3 - distinct_domains) || ' more distinct deviating domain'
-        || CASE WHEN 3 - distinct_domains = 1 THEN '' ELSE 's' END
-        || ' to satisfy the breadth requirement' END) AS would_change_if,
+      CASE WHEN NOT has_t1 AND round(0.65 - evidence, 9) <= 0.20 THEN 'self_report(0.20)' END,
+      CASE WHEN volume < 1 THEN 'service_records(' || t2 || ',' || {f("needed", 2)} || ')' END,
+      CASE WHEN breadth < 1 THEN 'more_domains(' || (3 - distinct_domains) || ')' END) AS would_change_if,
     true AS recoverable
   FROM (SELECT *, round(0.65 - evidence, 9) / 0.5 * 2.4 AS needed,
           ceil(round(round(0.65 - evidence, 9) / 0.5 * 2.4 / 0.7, 9))::BIGINT AS t2 FROM gates)
   WHERE NOT evidence_passed
 ), hit_text AS (
-  SELECT pid, string_agg(label || ' on ' || domain || ' (mass ' || {f("mass", 2)} || ') — '
-      || detail, ' / ' ORDER BY domain) AS because,
-    string_agg('the ' || domain || ' deviation is still present after the unit''s current '
-      || 'deployment cycle ends (op-tempo confounder, ' || {f("mass", 2)} || ')', ' / '
-      ORDER BY domain) AS changes
+  SELECT pid, string_agg('explained(' || rule || ',' || domain || ',' || {f("mass", 2)} || ')', ' / '
+      ORDER BY domain) AS because,
+    string_agg('outlasts(' || rule || ',' || domain || ',' || {f("mass", 2)} || ')', ' / ' ORDER BY domain) AS changes
   FROM hits GROUP BY pid
 ), co_items AS (
   SELECT pid, (because IS NULL)::INT AS stuck, round(0.70 - round(consistency, 4), 9) AS shortfall,
     1 AS ord, 'consistency' AS gate, round(consistency, 4) AS current, 0.70::DOUBLE AS required,
-    coalesce(because, 'deviating domains do not agree with one another; ' || n_domains
-      || ' domain(s) assessed') AS failed_because,
-    coalesce(changes, 'a further domain deviating in the same direction, so the existing signal '
-      || 'is corroborated rather than isolated') AS would_change_if,
+    coalesce(because, 'domains_disagree(' || n_domains || ')') AS failed_because,
+    coalesce(changes, 'same_direction()') AS would_change_if,
     because IS NOT NULL AS recoverable
   FROM gates LEFT JOIN hit_text USING (pid) WHERE NOT consistency_passed
 ), pe_items AS (
   SELECT pid, 0 AS stuck, round(0.20 - round(persistence, 4), 9) AS shortfall, 2 AS ord,
     'persistence' AS gate, round(persistence, 4) AS current, 0.20::DOUBLE AS required,
-    'breach fraction is ' || {short("w0", 4)} || ' over 3 days, ' || {short("w1", 4)}
-      || ' over 7 days, ' || {short("w2", 4)} || ' over 10 days' AS failed_because,
-    CASE WHEN days > 0 AND round(round(w1, 4) + extra, 9) <= 1 THEN
-      'the deviation is sustained a further ' || days || ' day'
-        || CASE WHEN days = 1 THEN '' ELSE 's' END || ' within the 7-day window'
-    ELSE 'the deviation is sustained across the 10-day window as well as the 7-day window; '
-      || 'the 7-day window alone can no longer close this gap' END AS would_change_if,
+    'breach(3d=' || {short("w0", 4)} || ',7d=' || {short("w1", 4)} || ',10d=' || {short("w2", 4)} || ')'
+      AS failed_because,
+    CASE WHEN days > 0 AND round(round(w1, 4) + extra, 9) <= 1 THEN 'days_within(' || days || ',7)'
+    ELSE 'throughout(10)' END AS would_change_if,
     true AS recoverable
   FROM (SELECT *, round(0.20 - persistence, 9) / 0.45 AS extra,
           ceil(round(least(1 - round(w1, 4), round(0.20 - persistence, 9) / 0.45) * 7, 9))::BIGINT
@@ -385,16 +370,10 @@ ev_items AS (
 ), ac_items AS (
   SELECT pid, 0 AS stuck, round(0.50 - round(actionability, 4), 9) AS shortfall, 3 AS ord,
     'actionability' AS gate, round(actionability, 4) AS current, 0.50::DOUBLE AS required,
-    concat_ws(' / ',
-      CASE WHEN NOT contact_ok THEN 'consent does not extend to welfare contact' END,
-      CASE WHEN NOT has_match THEN 'no playbook intervention matches the current drivers' END)
-      AS failed_because,
-    concat_ws(' / ',
-      CASE WHEN NOT contact_ok THEN 'the person extends consent to welfare contact in the app '
-        || '(this is theirs to give, and the system will not ask again)' END,
-      CASE WHEN NOT has_match THEN
-        'a welfare action covering these drivers is added to the playbook' END)
-      AS would_change_if,
+    concat_ws(' / ', CASE WHEN NOT contact_ok THEN 'no_contact_consent()' END,
+      CASE WHEN NOT has_match THEN 'no_playbook_match()' END) AS failed_because,
+    concat_ws(' / ', CASE WHEN NOT contact_ok THEN 'contact_consent()' END,
+      CASE WHEN NOT has_match THEN 'playbook_entry()' END) AS would_change_if,
     true AS recoverable
   FROM gates WHERE NOT actionability_passed
 ), items AS (

@@ -58,10 +58,6 @@ def percent(c: Column) -> Column:
     return F.concat(F.rint(F.round(c * 100, 9)).cast("bigint").cast("string"), F.lit("%"))
 
 
-def plural(n: Column, word: str) -> Column:
-    return F.when(n == 1, F.lit(word)).otherwise(F.lit(word + "s"))
-
-
 def total(array: Column, term) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + term(x))
 

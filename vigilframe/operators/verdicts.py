@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.config import GATES, LEGAL_STATES, PLAYBOOK, Config
 from vigilframe.functions.ordered import WIDTH, lagged
-from vigilframe.functions.scalar import fixed, lookup, plural, present, shortest, strings
+from vigilframe.functions.scalar import fixed, lookup, present, shortest, strings
 from vigilframe.operators.gates import evaluate
 
 NAMED = ("ESCALATE", "IMMEDIATE_ESCALATE")
@@ -77,115 +77,68 @@ def decide(cases: DataFrame, cfg: Config, frozen: Column | bool = False,
 
 
 # ---------------------------------------------------------------- counterfactuals ---
-def _evidence_items(cfg: Config) -> tuple[Column, Column, Column]:
+def told(code: str, *values: Column) -> Column:
+    """A statement: its code and the values it is about."""
+    return F.concat(F.lit(f"{code}("), F.concat_ws(",", *[v.cast("string") for v in values]), F.lit(")"))
+
+
+def statements(cfg: Config) -> dict[str, tuple[Column, Column, Column]]:
+    """By gate: why it failed, what would change that, and whether anything can.
+
+    One table of codes with their conditions and values; a page words them for the reader.
+    """
     w_volume, _, w_t1 = cfg.evidence_weights
-    short = F.round(F.lit(float(cfg.thresholds["evidence"])) - F.col("evidence"), 9)
-    distinct = F.col("distinct_domains")
-    because = present(
-        F.concat(F.lit("weighted corroboration is "), shortest(F.col("weighted_volume"), 4),
-                 F.lit(f" of {cfg.evidence_saturation} weighted units")),
-        F.concat(distinct.cast("string"),
-                 F.lit(f" of {cfg.evidence_breadth} independent domains are deviating")),
-        F.when(~F.col("has_t1"), F.lit("no validated self-assessment (T1) is present")))
-    needed = short / w_volume * cfg.evidence_saturation
-    n_t2 = F.ceil(F.round(needed / float(cfg.tier_weight["T2"]), 9))
-    more = F.lit(cfg.evidence_breadth) - distinct
-    changes = present(
-        F.when(~F.col("has_t1") & (short <= w_t1), F.lit(
-            f"one voluntary wellness self-assessment (T1), worth {w_t1:.2f} of this gate "
-            "on its own")),
-        F.when(F.col("volume") < 1.0, F.concat(
-            F.lit("corroboration from "), n_t2.cast("string"), F.lit(" further service-record "),
-            plural(n_t2, "domain"), F.lit(" ("), fixed(needed, 2),
-            F.lit(" weighted units short)"))),
-        F.when(F.col("breadth") < 1.0, F.concat(
-            more.cast("string"), F.lit(" more distinct deviating "), plural(more, "domain"),
-            F.lit(" to satisfy the breadth requirement"))))
-    return because, changes, F.lit(True)
-
-
-# What would have to become true for each rule to stop explaining a domain.
-RULE_CHANGE = {
-    "unit_op_tempo": ("the {} deviation is still present after the unit's current deployment "
-                      "cycle ends (op-tempo confounder, "),
-    "planned_leave_cycle": ("the {} deviation continues outside the sanctioned leave window "
-                            "(planned-leave confounder, "),
-    "scheduled_training": ("the {} deviation persists after the training assignment concludes "
-                           "(training confounder, "),
-    "seasonal_roster": ("the {} deviation exceeds the prior-year same-window level "
-                        "(seasonal confounder, "),
-    "data_gap": ("the missing {} records for this window are supplied by the unit records "
-                 "custodian (data-gap confounder, "),
-}
-
-
-def _consistency_items() -> tuple[Column, Column, Column]:
-    clean = F.size("hits") == 0
-    because = F.when(clean, F.array(F.concat(
-        F.lit("deviating domains do not agree with one another; "),
-        F.col("n_domains").cast("string"), F.lit(" domain(s) assessed")))
-    ).otherwise(F.transform("hits", lambda h: F.concat(
-        h["label"], F.lit(" on "), h["domain"], F.lit(" (mass "), fixed(h["mass"], 2),
-        F.lit(") — "), h["detail"])))
-
-    def change(h: Column) -> Column:
-        return lookup({
-            rule: F.concat(F.lit(text.split("{}")[0]), h["domain"], F.lit(text.split("{}")[1]),
-                           fixed(h["mass"], 2), F.lit(")"))
-            for rule, text in RULE_CHANGE.items()}, h["rule"])
-
-    changes = F.when(clean, F.array(F.lit(
-        "a further domain deviating in the same direction, so the existing signal is "
-        "corroborated rather than isolated"))).otherwise(F.transform("hits", change))
-    return because, changes, ~clean
-
-
-def _persistence_items(cfg: Config) -> tuple[Column, Column, Column]:
-    short_w, main_w, long_w = cfg.persistence_windows
-    weight = cfg.persistence_weights[1]
-    short = F.round(F.lit(float(cfg.thresholds["persistence"])) - F.col("persistence"), 9)
-    w0, w1, w2 = (F.round(F.col(f"window_{i}"), 4) for i in range(3))
-    because = F.array(F.concat(
-        F.lit("breach fraction is "), shortest(w0, 4), F.lit(f" over {short_w} days, "), shortest(w1, 4),
-        F.lit(f" over {main_w} days, "), shortest(w2, 4), F.lit(f" over {long_w} days")))
-    extra = short / weight
-    days = F.ceil(F.round(F.least(1.0 - w1, extra) * main_w, 9))
-    reachable = (days > 0) & (F.round(w1 + extra, 9) <= 1.0)
-    changes = F.array(F.when(reachable, F.concat(
-        F.lit("the deviation is sustained a further "), days.cast("string"), F.lit(" "),
-        plural(days, "day"), F.lit(f" within the {main_w}-day window"))
-    ).otherwise(F.lit(
-        f"the deviation is sustained across the {long_w}-day window as well as the "
-        f"{main_w}-day window; the {main_w}-day window alone can no longer close this gap")))
-    return because, changes, F.lit(True)
-
-
-def _actionability_items() -> tuple[Column, Column, Column]:
-    duplicate = F.coalesce("duplicate", F.lit(""))
-    because = present(
-        F.when(~F.col("contact_ok"), F.lit("consent does not extend to welfare contact")),
-        F.when(~F.col("has_match"), F.lit("no playbook intervention matches the current drivers")),
-        F.when(~F.col("not_duplicate"), F.concat(
-            F.lit("an active intervention ("), duplicate, F.lit(") already covers these drivers"))),
-        F.when(~F.col("capacity"), F.lit("unit welfare capacity for this period is exhausted")))
-    changes = present(
-        F.when(~F.col("contact_ok"), F.lit(
-            "the person extends consent to welfare contact in the app (this is theirs to give, "
-            "and the system will not ask again)")),
-        F.when(~F.col("has_match"), F.lit(
-            "a welfare action covering these drivers is added to the playbook")),
-        F.when(~F.col("not_duplicate"), F.concat(
-            F.lit("the current intervention "), duplicate, F.lit(" is concluded"))),
-        F.when(~F.col("capacity"), F.lit("welfare capacity becomes available in the next cycle")))
-    return because, changes, F.col("not_duplicate")
+    windows = cfg.persistence_windows
+    to_evidence, to_persistence = (F.round(F.lit(float(cfg.thresholds[g])) - F.col(g), 9)
+                                   for g in ("evidence", "persistence"))
+    # evidence: units of corroboration that are short, and in how many service records they would come
+    units = to_evidence / w_volume * cfg.evidence_saturation
+    records = F.ceil(F.round(units / float(cfg.tier_weight["T2"]), 9))
+    untold = ~F.col("has_t1")
+    # persistence: breach share of each window, and days of the middle one that would close the gap
+    shares = [F.round(F.col(f"window_{i}"), 4) for i in range(len(windows))]
+    rise = to_persistence / cfg.persistence_weights[1]
+    days = F.ceil(F.round(F.least(1.0 - shares[1], rise) * windows[1], 9))
+    by_days = (days > 0) & (F.round(shares[1] + rise, 9) <= 1.0)
+    # consistency: the rules that explain a domain away, or domains that disagree
+    hits, free = F.col("hits"), F.size("hits") == 0
+    running, twice = F.coalesce("duplicate", F.lit("")), ~F.col("not_duplicate")
+
+    def hit(code: str) -> Column:
+        return F.transform(hits, lambda h: told(code, h["rule"], h["domain"], fixed(h["mass"], 2)))
+
+    return {
+        "evidence": (
+            present(told("volume", shortest(F.col("weighted_volume"), 4), F.lit(cfg.evidence_saturation)),
+                    told("domains", F.col("distinct_domains"), F.lit(cfg.evidence_breadth)),
+                    F.when(untold, told("no_self_report"))),
+            present(F.when(untold & (to_evidence <= w_t1), told("self_report", fixed(F.lit(w_t1), 2))),
+                    F.when(F.col("volume") < 1.0, told("service_records", records, fixed(units, 2))),
+                    F.when(F.col("breadth") < 1.0, told(
+                        "more_domains", F.lit(cfg.evidence_breadth) - F.col("distinct_domains")))),
+            F.lit(True)),
+        "consistency": (
+            F.when(free, F.array(told("domains_disagree", F.col("n_domains")))).otherwise(hit("explained")),
+            F.when(free, F.array(told("same_direction"))).otherwise(hit("outlasts")), ~free),
+        "persistence": (
+            F.array(told("breach", *[F.concat(F.lit(f"{w}d="), shortest(x, 4)) for w, x in zip(windows, shares)])),
+            F.array(F.when(by_days, told("days_within", days, F.lit(windows[1]))).otherwise(
+                told("throughout", F.lit(windows[2])))), F.lit(True)),
+        "actionability": (
+            present(F.when(~F.col("contact_ok"), told("no_contact_consent")),
+                    F.when(~F.col("has_match"), told("no_playbook_match")),
+                    F.when(twice, told("running", running)),
+                    F.when(~F.col("capacity"), told("no_capacity"))),
+            present(F.when(~F.col("contact_ok"), told("contact_consent")),
+                    F.when(~F.col("has_match"), told("playbook_entry")),
+                    F.when(twice, told("concluded", running)),
+                    F.when(~F.col("capacity"), told("capacity"))), ~twice),
+    }
 
 
 def counterfactuals(gated: DataFrame, cfg: Config) -> DataFrame:
     """``mind_change``: one item per failed gate, recoverable first, then smallest shortfall."""
-    parts = {
-        "evidence": _evidence_items(cfg), "consistency": _consistency_items(),
-        "persistence": _persistence_items(cfg), "actionability": _actionability_items(),
-    }
+    parts = statements(cfg)
     items = []
     for order, gate in enumerate(GATES):
         because, changes, recoverable = parts[gate]
