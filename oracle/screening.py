@@ -531,9 +531,7 @@ ORDER BY miss, pid LIMIT 12""")
 SQL["own_reasons"] = run("""
 SELECT pid, decision IN ('ESCALATE', 'IMMEDIATE_ESCALATE') AS named_to_an_officer,
   CASE WHEN decision IN ('ESCALATE', 'IMMEDIATE_ESCALATE')
-    THEN 'A welfare officer was given your name, along with these reasons.'
-    ELSE 'No name was released. These are the reasons the system weighed, and the gate that '
-      || 'stopped it.' END AS message, gate, round(value, 4)::DOUBLE AS value,
+    THEN 'named_with_reasons' ELSE 'withheld_with_reasons' END AS message, gate, round(value, 4)::DOUBLE AS value,
   threshold::DOUBLE AS threshold, passed
 FROM (
   SELECT pid, decision, 'evidence' AS gate, evidence AS value, 0.65 AS threshold, evidence_passed AS passed FROM verdicts

@@ -174,19 +174,16 @@ counts AS (SELECT utterance_id, count(*) AS usable FROM near GROUP BY ALL
     coalesce(s.features, 0) AS features, coalesce({rd("s.pull * b.confidence", 4)}, 0) AS d
   FROM best b LEFT JOIN counts c USING (utterance_id) LEFT JOIN strength s USING (utterance_id)
 ), gaps AS (
-  SELECT *, CASE WHEN confidence < 0.5 THEN 'the phrase “' || phrase || '” is too weak a register '
-      || 'marker (' || {f("confidence", 2)} || ') to anchor a measurement'
-    WHEN usable = 0 THEN 'not enough voiced speech in this window to measure anything'
-    WHEN features < 2 THEN 'only ' || features || ' feature moved meaningfully; a gap needs at '
-      || 'least 2 independent ones past 0.25, so one twitchy measurement cannot raise a finding on '
-      || 'its own'
-    WHEN d < 0.22 THEN 'divergence ' || {f("d", 2)} || ' is below the 0.22 floor for raising a gap'
-    ELSE 'concordance gap' END AS reason,
+  SELECT *, CASE WHEN confidence < 0.5 THEN 'weak_cue(' || phrase || ',' || {f("confidence", 2)} || ')'
+    WHEN usable = 0 THEN 'unvoiced()'
+    WHEN features < 2 THEN 'features(' || features || ',2)'
+    WHEN d < 0.22 THEN 'divergence(' || {f("d", 2)} || ',0.22)'
+    ELSE 'gap' END AS reason,
     (CASE WHEN confidence >= 0.5 AND usable > 0 AND features >= 2 THEN d ELSE 0 END)::DOUBLE
       AS divergence FROM gap0
 )"""
 SQL["concordance_gaps"] = "WITH " + GAPS + """
-SELECT utterance_id, reason = 'concordance gap' AS raised, round(divergence, 9) AS divergence,
+SELECT utterance_id, reason = 'gap' AS raised, round(divergence, 9) AS divergence,
   CASE WHEN divergence >= 0.66 THEN 'marked' WHEN divergence >= 0.40 THEN 'moderate'
     ELSE 'slight' END AS severity, features, reason FROM gaps"""
 
@@ -211,21 +208,16 @@ strain0 AS (
   SELECT session_id, windows, CASE WHEN windows >= 5 THEN features ELSE 0 END AS features,
     CASE WHEN shown THEN d ELSE 0 END::DOUBLE AS divergence,
     CASE WHEN shown THEN c ELSE 0 END::DOUBLE AS coverage,
-    CASE WHEN windows < 5 THEN 'only ' || windows || ' usable window(s); 5 are needed before '
-        || 'anything can be said to have held across a sitting'
-      WHEN features < 4 THEN features || ' feature(s) diverged; without a claim to anchor to, 4 are '
-        || 'needed before the voice alone says anything'
-      WHEN d < 0.45 THEN 'divergence ' || {f("d", 2)} || ' is below the 0.45 floor that an '
-        || 'unanchored reading has to clear'
-      WHEN c < 0.60 THEN 'the strain held across only ' || round_even(round(c * 100, 9), 0)::BIGINT
-        || '% of the sitting; 60% is needed. A hard stretch inside a conversation is not a finding '
-        || 'about a person'
-      ELSE 'sustained vocal strain' END AS reason
+    CASE WHEN windows < 5 THEN 'windows(' || windows || ',5)'
+      WHEN features < 4 THEN 'features(' || features || ',4)'
+      WHEN d < 0.45 THEN 'divergence(' || {f("d", 2)} || ',0.45)'
+      WHEN c < 0.60 THEN 'coverage(' || round_even(round(c * 100, 9), 0)::BIGINT || '%,60%)'
+      ELSE 'strain' END AS reason
   FROM strain1
 )"""
 SQL["sustained_strain"] = "WITH " + FRAMES + ",\n" + STRAIN + """
 SELECT session_id, windows, features, round(divergence, 9) AS divergence,
-  round(coverage, 9) AS coverage, reason = 'sustained vocal strain' AS raised,
+  round(coverage, 9) AS coverage, reason = 'strain' AS raised,
   CASE WHEN divergence >= 0.66 THEN 'marked' WHEN divergence >= 0.50 THEN 'moderate'
     ELSE 'slight' END AS severity, reason FROM strain"""
 
@@ -257,19 +249,17 @@ SELECT pid, feature, sessions, round(centre, 9) AS centre, round(spread, 9)::DOU
 FROM baselines"""
 SQL["baseline_shifts"] = "WITH " + FRAMES + ",\n" + SHIFT + """
 SELECT pid, session_id, shifted, history, history >= 3 AND shifted >= 3 AS raised,
-  CASE WHEN history < 3 THEN 'no usable voice history for this person (' || history
-      || ' of 3 sessions); there is nothing to compare against'
-    WHEN shifted < 3 THEN shifted || ' feature(s) moved from this person''s own baseline; 3 are '
-      || 'needed before a change is worth reporting'
-    ELSE 'shift from this person''s own voice' END AS reason FROM shifts"""
+  CASE WHEN history < 3 THEN 'history(' || history || ',3)'
+    WHEN shifted < 3 THEN 'features(' || shifted || ',3)'
+    ELSE 'shift' END AS reason FROM shifts"""
 
 SQL["voice_deviations"] = "WITH " + GAPS + ",\n" + STRAIN + ",\n" + SHIFT + f""",
 per AS (
-  SELECT session_id, count(*) AS assessed, count(*) FILTER (reason = 'concordance gap') AS n_gaps,
-    avg(divergence) FILTER (reason = 'concordance gap') AS gap_strength FROM gaps GROUP BY session_id
+  SELECT session_id, count(*) AS assessed, count(*) FILTER (reason = 'gap') AS n_gaps,
+    avg(divergence) FILTER (reason = 'gap') AS gap_strength FROM gaps GROUP BY session_id
 ), every AS (
   SELECT session_id, coalesce(assessed, 0) AS assessed, coalesce(n_gaps, 0) AS n_gaps, gap_strength,
-    coalesce(s.reason = 'sustained vocal strain', false) AS strained, s.divergence, s.coverage,
+    coalesce(s.reason = 'strain', false) AS strained, s.divergence, s.coverage,
     coalesce(h.shifted, 0) AS shifted,
     coalesce(h.history >= 3 AND h.shifted >= 3, false) AS moved
   FROM strain s FULL JOIN per USING (session_id) FULL JOIN shifts h USING (session_id)

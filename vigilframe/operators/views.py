@@ -122,10 +122,7 @@ def gate_structs(cfg: Config) -> Column:
 
 def own_reasons(verdicts: DataFrame, cfg: Config) -> DataFrame:
     """The account the person is owed: the same gates the officer saw."""
-    message = F.when(F.col("named"), F.lit(
-        "A welfare officer was given your name, along with these reasons.")).otherwise(F.lit(
-            "No name was released. These are the reasons the system weighed, and the gate that "
-            "stopped it."))
+    message = F.when(F.col("named"), "named_with_reasons").otherwise("withheld_with_reasons")
     return verdicts.select(
         "pid", F.col("named").alias("named_to_an_officer"), message.alias("message"),
         F.inline(gate_structs(cfg)))

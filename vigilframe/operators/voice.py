@@ -170,24 +170,19 @@ def gap_assessments(claims: DataFrame, frames: DataFrame, cfg: Config) -> DataFr
     strong = F.col("cue.confidence") >= cfg.cue_minimum
     count = F.size("moved")
     reason = (
-        F.when(~strong, F.concat(
-            F.lit("the phrase “"), F.col("cue.phrase"), F.lit("” is too weak a register marker ("),
-            fixed(F.col("cue.confidence"), 2), F.lit(") to anchor a measurement")))
-        .when(F.col("usable") == 0, "not enough voiced speech in this window to measure anything")
+        F.when(~strong, F.concat(F.lit("weak_cue("), F.col("cue.phrase"), F.lit(","),
+                                 fixed(F.col("cue.confidence"), 2), F.lit(")")))
+        .when(F.col("usable") == 0, "unvoiced()")
         .when(count < cfg.gap_features, F.concat(
-            F.lit("only "), count.cast("string"), F.lit(
-                f" feature moved meaningfully; a gap needs at least {cfg.gap_features} independent "
-                f"ones past {cfg.feature_divergence}, so one twitchy measurement cannot raise a "
-                "finding on its own")))
+            F.lit("features("), count.cast("string"), F.lit(f",{cfg.gap_features})")))
         .when(strength < cfg.gap_divergence, F.concat(
-            F.lit("divergence "), fixed(strength, 2),
-            F.lit(f" is below the {cfg.gap_divergence} floor for raising a gap")))
-        .otherwise("concordance gap"))
+            F.lit("divergence("), fixed(strength, 2), F.lit(f",{cfg.gap_divergence})")))
+        .otherwise("gap"))
     measured = strong & (F.col("usable") > 0) & (count >= cfg.gap_features)
     out = out.withColumns({
         "divergence": F.when(measured, strength).otherwise(0.0), "reason": reason,
         "features": count.cast("bigint")})
-    return out.withColumn("raised", F.col("reason") == "concordance gap").withColumn(
+    return out.withColumn("raised", F.col("reason") == "gap").withColumn(
         "severity", severity(F.col("divergence"), 0.40))
 
 
@@ -230,28 +225,21 @@ def sustained_strain(frames: DataFrame, cfg: Config) -> DataFrame:
     several = F.col("features") >= cfg.strain_features
     reason = (
         F.when(~enough, F.concat(
-            F.lit("only "), F.col("windows").cast("string"), F.lit(
-                f" usable window(s); {cfg.strain_windows} are needed before anything can be said "
-                "to have held across a sitting")))
-        .when(~several, F.concat(F.col("features").cast("string"), F.lit(
-            f" feature(s) diverged; without a claim to anchor to, {cfg.strain_features} are needed "
-            "before the voice alone says anything")))
+            F.lit("windows("), F.col("windows").cast("string"), F.lit(f",{cfg.strain_windows})")))
+        .when(~several, F.concat(
+            F.lit("features("), F.col("features").cast("string"), F.lit(f",{cfg.strain_features})")))
         .when(F.col("d") < cfg.strain_divergence, F.concat(
-            F.lit("divergence "), fixed(F.col("d"), 2), F.lit(
-                f" is below the {cfg.strain_divergence} floor that an unanchored reading has to "
-                "clear")))
+            F.lit("divergence("), fixed(F.col("d"), 2), F.lit(f",{cfg.strain_divergence})")))
         .when(F.col("c") < cfg.strain_coverage, F.concat(
-            F.lit("the strain held across only "),
-            F.rint(F.round(F.col("c") * 100, 9)).cast("bigint").cast("string"),
-            F.lit(f"% of the sitting; {cfg.strain_coverage:.0%} is needed. A hard stretch inside a "
-                  "conversation is not a finding about a person")))
-        .otherwise("sustained vocal strain"))
+            F.lit("coverage("), F.rint(F.round(F.col("c") * 100, 9)).cast("bigint").cast("string"),
+            F.lit(f"%,{cfg.strain_coverage:.0%})")))
+        .otherwise("strain"))
     shown = enough & several
     return out.select(
         "session_id", "windows", F.when(enough, F.col("features")).otherwise(0).alias("features"),
         F.when(shown, F.col("d")).otherwise(0.0).alias("divergence"),
         F.when(shown, F.col("c")).otherwise(0.0).alias("coverage"), reason.alias("reason"),
-        (reason == "sustained vocal strain").alias("raised"),
+        (reason == "strain").alias("raised"),
         severity(F.when(shown, F.col("d")).otherwise(0.0), 0.50).alias("severity"))
 
 
@@ -293,12 +281,10 @@ def baseline_shift(current: DataFrame, baseline: DataFrame, cfg: Config) -> Data
     return counts.select(
         "pid", "session_id", "shifted", "history", raised.alias("raised"),
         F.when(~enough, F.concat(
-            F.lit("no usable voice history for this person ("), F.col("history").cast("string"),
-            F.lit(f" of {cfg.shift_sessions} sessions); there is nothing to compare against")))
-        .when(~raised, F.concat(F.col("shifted").cast("string"), F.lit(
-            f" feature(s) moved from this person's own baseline; {cfg.shift_features} are needed "
-            "before a change is worth reporting")))
-        .otherwise("shift from this person's own voice").alias("reason"))
+            F.lit("history("), F.col("history").cast("string"), F.lit(f",{cfg.shift_sessions})")))
+        .when(~raised, F.concat(
+            F.lit("features("), F.col("shifted").cast("string"), F.lit(f",{cfg.shift_features})")))
+        .otherwise("shift").alias("reason"))
 
 
 def split_history(sittings: DataFrame) -> tuple[DataFrame, DataFrame]:
