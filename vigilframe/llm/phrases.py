@@ -136,6 +136,10 @@ def known(phrases: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
 
 
+def shut(bits: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
+
+
 def opened(sent: list) -> list[np.ndarray]:
     """The bitmaps of 1, 2, ... words from their broadcasts."""
     return [np.frombuffer(zstandard.ZstdDecompressor().decompress(x.value), np.uint64) for x in sent]
@@ -167,11 +171,11 @@ def count_phrases(blocks: DataFrame, sent: list, size: int, least: int, parts: i
     return blocks.mapInArrow(run, "part int, list binary").groupBy("part").applyInArrow(merged, "key long, n long")
 
 
-def spelled_words(blocks: DataFrame, sent: list) -> DataFrame:
-    """(key, lang, word) of the words that have their bit."""
+def spelled_words(blocks: DataFrame, sent) -> DataFrame:
+    """(key, lang, word) of the words that have their bit in the one bitmap that is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = opened(sent)[0]
+        bits = opened([sent])[0]
         for lang, block in _blocks(batches):
             at = np.flatnonzero(known(block.keys[1:], bits)) + 1
             yield pa.RecordBatch.from_arrays(
@@ -217,7 +221,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def grow(texts: DataFrame, scratch: Scratch, longest: int, least: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """All words' totals by language, the words seen ``least`` times, and a table for each longer length:
+    """All words' totals by language, the words that phrases are made of, and a table for each longer length:
     key, prefix, word, n, heads (counts of the first 1..m-1 words), tails (of the last m-1..1), whole
     (whether no phrase of one more word has the same count)."""
     spark = texts.sparkSession
@@ -229,19 +233,21 @@ def grow(texts: DataFrame, scratch: Scratch, longest: int, least: int) -> tuple[
 
     def counted(size: int) -> DataFrame:
         found = scratch.write(count_phrases(blocks, list(sent), size, least, parts), f"counts{size}")
-        sent.append(spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bitmap(found).tobytes())))
+        sent.append(spark.sparkContext.broadcast(shut(bitmap(found))))
         return found
 
-    found = counted(1)
-    words = scratch.write(found.join(spelled_words(blocks, list(sent)), "key"), "frequent")
-    none = F.array().cast("array<long>")
-    tables = [words.select("key", "n", none.alias("heads"), none.alias("tails"))]
+    single, none = counted(1), F.array().cast("array<long>")
+    tables = [single.select("key", "n", none.alias("heads"), none.alias("tails"))]
     for size in range(2, longest + 1):
         found = counted(size).join(made_of(blocks, list(sent), size), "key")
         before = tables[-1]
         head = before.select(F.col("key").alias("prefix"), F.concat("heads", F.array("n")).alias("heads"))
         tail = before.select(F.col("key").alias("suffix"), F.concat(F.array("n"), "tails").alias("tails"))
         tables.append(scratch.write(found.join(head, "prefix").join(tail, "suffix"), f"level{size}"))
+    # every word of a phrase is in one of two words
+    used = scratch.write(tables[1].select(F.explode(F.array("prefix", "word")).alias("key")).distinct(), "used")
+    words = scratch.write(single.join(used, "key", "left_semi").join(
+        spelled_words(blocks, spark.sparkContext.broadcast(shut(bitmap(used)))), "key"), "frequent")
     levels = []
     for size in range(2, longest + 1):
         level = tables[size - 1]
