@@ -140,29 +140,26 @@ def mined(rows, least, top, longest=5):
     return out
 
 
-@pytest.mark.parametrize("least, top, reach", [(3, 40, 16), (4, 2000, 4)])
-def test_phrases_equal_brute_force(docs, texts, monkeypatch, least, top, reach):
-    monkeypatch.setattr(phrases, "REACH", reach)
-    got = {tuple(r) for r in phrases.mine(docs, least=least, top=top).collect()}
-    assert got == mined(texts, least, top) and got
+def test_phrases_equal_brute_force(docs, texts):
+    got = {tuple(r) for r in phrases.mine(docs, least=3, top=40).collect()}
+    assert got == mined(texts, 3, 40) and got
 
 
-def test_phrase_frontier_stops_where_it_may(spark, monkeypatch):
+def test_phrase_frontier_stops_where_it_may(spark):
     """Few rare phrases settle the search before the common words; ties at the border are kept apart."""
     rng = random.Random(3)
     rows = [(i, f"rare{i // 3} pair{i // 3} " + " ".join(rng.choice("abcdefgh") for _ in range(40)), "en")
             for i in range(90)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    for top in (5, 30, 31):
-        monkeypatch.setattr(phrases, "REACH", 3)
-        got = {tuple(r) for r in phrases.mine(frame, least=3, top=top).collect()}
-        assert got == mined(rows, 3, top)
+    for top in (5, 31):
+        got = {tuple(r) for r in phrases.mine(frame, least=3, top=top, longest=3).collect()}
+        assert got == mined(rows, 3, top, 3)
 
 
 def test_phrase_filter_may_be_wrong(docs, texts, monkeypatch):
     """A bitmap so small that most bits are set only makes the counts longer."""
     monkeypatch.setattr(phrases, "FILTER_BITS", 8)
-    assert {tuple(r) for r in phrases.mine(docs, least=3, top=50).collect()} == mined(texts, 3, 50)
+    assert {tuple(r) for r in phrases.mine(docs, least=3, top=50, longest=3).collect()} == mined(texts, 3, 50, 3)
 
 
 def test_phrases_of_odd_rows(spark):
