@@ -111,6 +111,23 @@ def test_alignment_of_odd_rows(spark):
     assert crosstok.align(frame.limit(0)).count() == 0
 
 
+def test_alignment_holds_few_encodings(monkeypatch):
+    """Of a part with many different chunks only some are encoded at once, with the same result."""
+    words = " ".join(f"w{i}" for i in range(30_000))
+    pair, held, aligned = crosstok.Pair(*crosstok.tokenizer_files()), [], crosstok.Pair.aligned
+
+    def watched(self, texts):
+        held.append(sum(map(len, texts)))
+        return aligned(self, texts)
+
+    monkeypatch.setattr(crosstok.Pair, "aligned", watched)
+    a, b, groups, digest, links = crosstok.Memory(pair).of([words])[0]
+    assert max(held) < len(words) / 5 and sum(held) <= len(words)
+    want = aligned_whole(pair, words)
+    assert (a, b, groups, digest) == (*want[:3], want[4]) and sorted(links) == sorted(
+        x * pair.pieces + y for x, y in want[3])
+
+
 # ------------------------------------------------------------------------------------- 12 ---
 def mined(rows, least, top, longest=5):
     counts, totals = defaultdict(Counter), Counter()

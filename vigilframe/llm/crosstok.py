@@ -40,8 +40,9 @@ from vigilframe.llm.tables import Scratch
 
 #: links of a block, bytes of text cut at once, and the chunks that a task remembers (and bytes of groups)
 LINKS, PART, CHUNKS, CHUNK_BYTES = 1 << 21, 1 << 21, 1 << 18, 1 << 26
-#: chunks that are encoded as one text
-JOINED = 64
+#: chunks that are encoded as one text, and such texts whose encodings are held at once: the objects that
+#: the libraries make of a token take a hundred times its bytes
+JOINED, RUNS = 64, 64
 SPACE_MARK = "▁"
 #: a space that both tokenizers begin a token with
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -159,6 +160,10 @@ class Alignments:
         self.columns = []
 
     def _add(self, pair: Pair, runs: list[list[str]]) -> None:
+        for at in range(0, len(runs), RUNS):
+            self._add_some(pair, runs[at:at + RUNS])
+
+    def _add_some(self, pair: Pair, runs: list[list[str]]) -> None:
         good = []
         for run, found in zip(runs, pair.aligned([" ".join(run) for run in runs])):
             ends = np.cumsum([len(c.encode()) + 1 for c in run])
@@ -247,6 +252,12 @@ class Memory:
         return out
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted and each once, without the places."""
+    codes = np.sort(codes)
+    return codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Non-negative numbers in the narrowest of 1, 2, 4 or 8 bytes; the first byte says which."""
     width = 1
@@ -292,9 +303,15 @@ def coded(docs: DataFrame, sent, id_type: T.DataType, links_in_block: int) -> Da
             ids = pa.chunked_array([ids for ids, _ in waiting]).combine_chunks()
             rows = [row or (0, 0, 0, "", np.zeros(0, np.int64)) for _, part in waiting for row in part]
             n = np.array([len(row[4]) for row in rows], np.int64)
-            codes, link = np.unique(np.concatenate([row[4] for row in rows]), return_inverse=True)
-            one, times = np.unique(np.repeat(np.arange(len(rows)), n) * max(1, len(codes)) + link, return_counts=True)
-            owner, link = np.divmod(one, max(1, len(codes)))
+            link = np.concatenate([row[4] for row in rows])
+            codes = distinct(link)
+            # one long array is worked on in place: document and number of each link
+            link[:] = np.searchsorted(codes, link)
+            link += np.repeat(np.arange(len(rows)) * max(1, len(codes)), n)
+            link.sort()
+            first = np.flatnonzero(np.append(True, link[1:] != link[:-1])) if len(link) else link
+            times = np.diff(first, append=len(link))
+            owner, link = np.divmod(link[first], max(1, len(codes)))
             cut = np.searchsorted(owner, np.arange(len(rows) + 1))
             parts = [slice(x, y) for x, y in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays(
