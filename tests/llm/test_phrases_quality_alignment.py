@@ -186,6 +186,27 @@ def test_phrases_of_odd_rows(spark):
     assert phrases.mine(frame.limit(0)).count() == 0 and phrases.mine(frame, least=10 ** 6).count() == 0
 
 
+def test_phrases_are_asked_of_one_block(spark, monkeypatch):
+    """However many blocks hold a phrase or word, one of them says what it is made of."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(800)]
+    frame, told = spark.createDataFrame(rows, SCHEMA).repartition(8), []
+    plain = type(frame).mapInArrow
+
+    def watched(self, run, schema, *more):
+        out = plain(self, run, schema, *more)
+        if "word" in schema and schema.startswith("key"):
+            told.append(out)
+        return out
+
+    monkeypatch.setattr(type(frame), "mapInArrow", watched)
+    got = {tuple(r) for r in phrases.mine(frame, least=20, top=100, longest=3).collect()}
+    assert got == mined(rows, 20, 100, 3) and got and len(told) == 3
+    for made in told:
+        assert made.count() <= 1.2 * made.select("key").distinct().count()
+
+
 # ------------------------------------------------------------------------------------- 11 ---
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

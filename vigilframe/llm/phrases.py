@@ -5,7 +5,8 @@ counted first; then every phrase of m words whose first m-1 and last m-1 words w
 or more, which is all that can be seen so often.  Which phrases those are is told to the tasks by a
 bitmap over 2**FILTER_BITS hash values, of the same size whatever the corpus: a wrong bit costs a count
 that is dropped afterwards, never a phrase.  A block sends its different phrases as sorted, packed
-hashes with their counts; what a phrase is made of is asked only for those that were seen often enough.
+hashes with their counts; what a phrase is made of is asked only for those that were seen often enough,
+and each of one of the blocks that hold it: a second bitmap, of hashes of phrase and block, tells whom.
 Each row of a level's table holds a phrase's own count and those of its first 1..m-1 words and of its
 last 1..m-1 words.
 
@@ -27,6 +28,7 @@ without phrases seen LEAST times, gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +62,16 @@ def bit_of(keys: np.ndarray) -> np.ndarray:
     return ((keys * GOLD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def addressed(keys: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """A hash of each phrase and the block that is asked for it."""
+    return chained(keys, block.astype(np.uint64) * GOLD)
+
+
 def coded(texts: DataFrame) -> DataFrame:
-    """(lang, size, words, stream): blocks of the texts of one language; the stream holds the number of
-    every word from 1, and 0 behind each piece."""
+    """(block, lang, size, words, stream): numbered blocks of the texts of one language; the stream holds
+    the number of every word from 1, and 0 behind each piece."""
 
-    def packed(lang: str, numbers: Numbers, parts: list[list[int]]) -> pa.RecordBatch:
+    def packed(block: int, lang: str, numbers: Numbers, parts: list[list[int]]) -> pa.RecordBatch:
         size = sum(map(len, parts))
         stream = np.zeros(size + len(parts), np.uint32)
         at = 0
@@ -73,11 +80,15 @@ def coded(texts: DataFrame) -> DataFrame:
             at += len(part) + 1
         words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(numbers)[1:])
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([size], pa.int64()), pa.array([words], pa.binary()),
-             pa.array([squeezed(stream)], pa.binary())], ["lang", "size", "words", "stream"])
+            [pa.array([block], pa.int64()), pa.array([lang]), pa.array([size], pa.int64()),
+             pa.array([words], pa.binary()), pa.array([squeezed(stream)], pa.binary())],
+            ["block", "lang", "size", "words", "stream"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: dict[str, tuple] = {}
+        block = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 if not (text := text.as_py()):
@@ -90,18 +101,19 @@ def coded(texts: DataFrame) -> DataFrame:
                         size += len(words)
                 held[lang] = numbers, parts, size
                 if size >= BLOCK:
-                    yield packed(lang, *held.pop(lang)[:2])
+                    yield packed(next(block), lang, *held.pop(lang)[:2])
         for lang, (numbers, parts, _) in held.items():
             if parts:
-                yield packed(lang, numbers, parts)
+                yield packed(next(block), lang, numbers, parts)
 
-    return texts.mapInArrow(run, "lang string, size long, words binary, stream binary")
+    return texts.mapInArrow(run, "block long, lang string, size long, words binary, stream binary")
 
 
 class Block:
     """One block: the words, their hashes (0 behind a piece) and what stands at each place."""
 
-    def __init__(self, lang: str, words: bytes, stream: bytes):
+    def __init__(self, block: int, lang: str, words: bytes, stream: bytes):
+        self.block = np.array([block])
         self.words = [b"", *zstandard.ZstdDecompressor().decompress(words).split(b"\n")]
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         self.keys = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64,
@@ -127,8 +139,9 @@ class Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
     for batch in batches:
-        for lang, words, stream in zip(*[batch.column(c) for c in ("lang", "words", "stream")]):
-            yield lang.as_py(), Block(lang.as_py(), words.as_py(), stream.as_py())
+        for row in zip(*[batch.column(c) for c in ("block", "lang", "words", "stream")]):
+            block, lang, words, stream = (x.as_py() for x in row)
+            yield lang, Block(block, lang, words, stream)
 
 
 def known(phrases: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -146,8 +159,9 @@ def opened(sent: list) -> list[np.ndarray]:
 
 
 def count_phrases(blocks: DataFrame, sent: list, size: int, least: int, parts: int) -> DataFrame:
-    """(key, n) of all phrases of ``size`` words seen ``least`` times; ``sent`` holds the bitmaps of the
-    phrases of fewer words."""
+    """(key, n, block) of all phrases of ``size`` words seen ``least`` times; ``sent`` holds the bitmaps of
+    the phrases of fewer words.  The block is one of those that hold the phrase, chosen by its hash, so that
+    none is asked for all of them."""
     borders = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 63 / parts)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,26 +172,34 @@ def count_phrases(blocks: DataFrame, sent: list, size: int, least: int, parts: i
             rows = [(p, squeezed(np.diff(key[x:y], prepend=np.uint64(0)), n[x:y].astype(np.uint32)))
                     for p, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()),
-                                                  pa.array([b for _, b in rows], pa.binary())], ["part", "list"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in rows], pa.int32()), pa.array([int(block.block[0])] * len(rows), pa.int64()),
+                     pa.array([b for _, b in rows], pa.binary())], ["part", "block", "list"])
 
     def merged(met: pa.Table) -> pa.Table:
         lists = [expanded(x, np.uint64, np.uint32) for x in met.column("list").to_pylist()]
-        key, of = np.unique(np.concatenate([np.cumsum(x) for x, _ in lists]), return_inverse=True)
-        n = np.bincount(of, np.concatenate([x for _, x in lists]), len(key)).astype(np.int64)
+        key, n = np.concatenate([np.cumsum(x) for x, _ in lists]), np.concatenate([x for _, x in lists])
+        of = np.repeat(met.column("block").to_numpy(), [len(x) for x, _ in lists])
+        by = np.lexsort((of, key))
+        key, n, of = key[by], n[by].astype(np.int64), of[by]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n, holders = np.add.reduceat(n, first), np.diff(first, append=len(key)).astype(np.uint64)
+        chosen = of[first + (key[first] % holders).astype(np.int64)]
         often = n >= least
-        return pa.table([pa.array(key[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
+        return pa.table([pa.array(key[first][often].view(np.int64)), pa.array(n[often]), pa.array(chosen[often])],
+                        ["key", "n", "block"])
 
-    return blocks.mapInArrow(run, "part int, list binary").groupBy("part").applyInArrow(merged, "key long, n long")
+    return blocks.mapInArrow(run, "part int, block long, list binary").groupBy("part").applyInArrow(
+        merged, "key long, n long, block long")
 
 
 def spelled_words(blocks: DataFrame, sent) -> DataFrame:
-    """(key, lang, word) of the words that have their bit in the one bitmap that is sent."""
+    """(key, lang, word) of the words that have their bit with the block in the one bitmap that is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = opened([sent])[0]
         for lang, block in _blocks(batches):
-            at = np.flatnonzero(known(block.keys[1:], bits)) + 1
+            at = np.flatnonzero(known(addressed(block.keys[1:], block.block), bits)) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.keys[at].view(np.int64)), pa.array([lang] * len(at), pa.string()),
                  pa.array([block.words[i].decode() for i in at.tolist()], pa.string())], ["key", "lang", "word"])
@@ -186,14 +208,16 @@ def spelled_words(blocks: DataFrame, sent) -> DataFrame:
         F.first("lang").alias("lang"), F.first("word").alias("word"))
 
 
-def made_of(blocks: DataFrame, sent: list, size: int) -> DataFrame:
-    """(key, prefix, suffix, word) of the phrases of ``size`` words that have their bit."""
+def made_of(blocks: DataFrame, sent: list, asked, size: int) -> DataFrame:
+    """(key, prefix, suffix, word) of the phrases of ``size`` words that have their bit, each from the block
+    that has its bit in ``asked``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = opened(sent)
+        maps, whom = opened(sent), opened([asked])[0]
         for _, block in _blocks(batches):
             columns = block.phrases(size, maps)
             there = known(columns[0], maps[size - 1])
+            there[there] = known(addressed(columns[0][there], block.block), whom)
             _, first = np.unique(columns[0][there], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(c[there][first].view(np.int64)) for c in columns],
                                              ["key", "prefix", "suffix", "word"])
@@ -202,18 +226,20 @@ def made_of(blocks: DataFrame, sent: list, size: int) -> DataFrame:
         *[F.first(c).alias(c) for c in ("prefix", "suffix", "word")])
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """One bit for each hash value that a key has, 64 to a number: 2**(FILTER_BITS-6) numbers at most."""
+def bitmap(keys: DataFrame, by_block: bool = False) -> np.ndarray:
+    """One bit for each hash value that a key has, or a key with its block, 64 to a number:
+    2**(FILTER_BITS-6) numbers at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         for batch in batches:
-            at = bit_of(batch.column("key").to_numpy().view(np.uint64))
+            key = batch.column("key").to_numpy().view(np.uint64)
+            at = bit_of(addressed(key, batch.column("block").to_numpy()) if by_block else key)
             np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
 
-    found = keys.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(
+    found = keys.select("key", *["block"] * by_block).mapInArrow(run, "at long, bits long").groupBy("at").agg(
         F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
@@ -231,23 +257,29 @@ def grow(texts: DataFrame, scratch: Scratch, longest: int, least: int) -> tuple[
     parts = max(shuffle_partitions(spark), -(-size_of_all // MET))
     sent: list = []  # a broadcast of fixed size for each length
 
+    def shared(bits: np.ndarray):
+        return spark.sparkContext.broadcast(shut(bits))
+
     def counted(size: int) -> DataFrame:
         found = scratch.write(count_phrases(blocks, list(sent), size, least, parts), f"counts{size}")
-        sent.append(spark.sparkContext.broadcast(shut(bitmap(found))))
+        sent.append(shared(bitmap(found)))
         return found
 
     single, none = counted(1), F.array().cast("array<long>")
     tables = [single.select("key", "n", none.alias("heads"), none.alias("tails"))]
     for size in range(2, longest + 1):
-        found = counted(size).join(made_of(blocks, list(sent), size), "key")
+        found = counted(size)
+        made = made_of(blocks, list(sent), shared(bitmap(found, by_block=True)), size)
+        found = found.drop("block").join(made, "key")
         before = tables[-1]
         head = before.select(F.col("key").alias("prefix"), F.concat("heads", F.array("n")).alias("heads"))
         tail = before.select(F.col("key").alias("suffix"), F.concat(F.array("n"), "tails").alias("tails"))
         tables.append(scratch.write(found.join(head, "prefix").join(tail, "suffix"), f"level{size}"))
     # every word of a phrase is in one of two words
-    used = scratch.write(tables[1].select(F.explode(F.array("prefix", "word")).alias("key")).distinct(), "used")
-    words = scratch.write(single.join(used, "key", "left_semi").join(
-        spelled_words(blocks, spark.sparkContext.broadcast(shut(bitmap(used)))), "key"), "frequent")
+    used = tables[1].select(F.explode(F.array("prefix", "word")).alias("key")).distinct()
+    used = scratch.write(single.join(used, "key", "left_semi"), "used")
+    words = scratch.write(used.drop("block").join(
+        spelled_words(blocks, shared(bitmap(used, by_block=True))), "key"), "frequent")
     levels = []
     for size in range(2, longest + 1):
         level = tables[size - 1]
