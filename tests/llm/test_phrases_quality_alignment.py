@@ -321,3 +321,25 @@ def test_quality_of_odd_rows(spark, monkeypatch):
     many = [(i, " ".join(rng.choice(words) for _ in range(60 + i % 5)), f"l{i % 4}") for i in range(40)]
     rows = quality.judge(spark.createDataFrame(many, SCHEMA)).collect()
     assert len(rows) == 40 and all(r.low < r.perplexity < r.high and r.kept == (not r.base_failed) for r in rows)
+
+
+def test_quality_of_more_languages_than_a_round_holds(spark, monkeypatch):
+    """Every language has its own models and band, however many there are: in rounds, with the same rows."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(36):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        words = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(12)]
+        rows += [(10 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"l{k}") for i in range(6)]
+    frame, want = spark.createDataFrame(rows, SCHEMA), judged(rows)
+
+    def got():
+        return {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
+                 r.kept): r.perplexity for r in quality.judge(frame).collect()}
+
+    plain = got()
+    assert set(plain) == set(want)
+    assert all(plain[row] == pytest.approx(2 ** bits, rel=1e-4) for row, bits in want.items())
+    counted = quality.counted_sequences
+    monkeypatch.setattr(quality, "counted_sequences", lambda *x: (counted(*x)[0], 3))
+    assert got() == plain
