@@ -85,3 +85,41 @@ def test_boosted_hazard_is_fitted_saved_and_tampered(spark, tmp_path):
     gone = survival.estimate(None, people.select("pid", "strain", "noise")).collect()
     assert {(r.horizon_status, r.model_version, r.hazard) for r in gone} == {("unavailable", "unavailable", None)}
     assert survival.fit(intervals.where("label = 0"), ["strain", "noise"], "none") is None
+
+
+def drawn_rows(spark, n=600):
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        strain, noise, last = rng.random(), rng.random(), rng.randint(0, 11)
+        event = int(rng.random() < strain)
+        rows += [(f"p{i}", strain, noise, int(event and k == last)) for k in range(last + 1)]
+    return rows, spark.createDataFrame(rows, "pid STRING, strain DOUBLE, noise DOUBLE, label INT")
+
+
+def test_interval_rows_are_made_once(spark):
+    rows, frame = drawn_rows(spark, 100)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    assert survival.fit(frame.mapInArrow(counted, frame.schema), ["strain", "noise"], "once", iterations=2)
+    assert made.value == len(rows)
+
+
+def test_training_parts_are_even_and_do_not_follow_the_files(spark, monkeypatch):
+    slots = spark.sparkContext.defaultParallelism
+    few, many = models.LEAST_ROWS, models.MOST_ROWS
+    assert [models.parts_for(n, 12) for n in (0, 1, few + 1, 12 * many, 12 * many + 1)] == [1, 1, 2, 12, 24]
+    rows, frame = drawn_rows(spark)
+    monkeypatch.setattr(models, "LEAST_ROWS", 10)
+    parts = models.dealt(frame.repartition(slots + 1), ["strain", "noise"]).rdd.glom().map(len).collect()
+    assert len(parts) == slots and sum(parts) == len(rows) and max(parts) < 2 * len(rows) / slots
+    scores = []
+    for laid in (frame.coalesce(1), frame.repartition(slots + 1, "noise"), frame.orderBy("noise")):
+        model = survival.fit(laid, ["strain", "noise"], "same", iterations=3)
+        scores.append({r.pid: r.hazard for r in survival.estimate(model, frame.dropDuplicates(["pid"])).collect()})
+    assert scores[0] == scores[1] == scores[2] and len(set(scores[0].values())) > 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline
@@ -18,6 +19,8 @@ from vigilframe.operators.evaluation import stable_split
 from vigilframe.session import materialised
 
 HORIZON_DAYS = 60
+# fewer rows are not worth a task of their own; with more, another round of tasks
+LEAST_ROWS, MOST_ROWS = 20_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -40,15 +43,34 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.when(F.col("label") == 1, ratio).otherwise(1.0))
 
 
+def parts_for(rows: int, slots: int) -> int:
+    """As many parts as fill every slot a whole number of times; fewer where the rows are few."""
+    return max(1, min(ceil(rows / LEAST_ROWS), slots * max(1, ceil(rows / (slots * MOST_ROWS)))))
+
+
+def dealt(train: DataFrame, features: list[str]) -> DataFrame:
+    """The rows in even parts and in one order, whatever files they came in.
+
+    Every level of every tree is a job over these parts: a part more than there are slots is a second
+    round in each of them.  The booster draws its samples along a part, so the order is settled too.
+    """
+    slots = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(parts_for(train.count(), slots), "pid").sortWithinPartitions(
+        "pid", "label", *features)
+
+
 def raw_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("raw", vector_to_array("probability")[1])
 
 
 def fit(rows: DataFrame, features: list[str], version: str, *, seed: int = 26186,
         iterations: int = 180) -> tuple[RiskModel, DataFrame]:
-    """rows: (pid, features..., label).  Returns the model and the scored held-out rows."""
+    """rows: (pid, features..., label), a written table: it is read more than once.
+
+    Returns the model and the scored held-out rows.
+    """
     parts = stable_split(rows, "pid", seed)
-    train = materialised(balanced(parts.filter("train")), "train")
+    train = materialised(dealt(balanced(parts.filter("train")), features), "train")
     booster = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="features"),
         GBTClassifier(maxIter=iterations, stepSize=0.05, maxDepth=3, minInstancesPerNode=12,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vigilframe.config import HORIZONS
 from vigilframe.operators import evaluation as ev
 from vigilframe.operators import models
+from vigilframe.session import materialised
 
 ITERATIONS = 120
 PHRASE_UNAVAILABLE = "no hazard model is available"
@@ -70,8 +71,10 @@ def fit(rows: DataFrame, features: list[str], version: str, iterations: int = IT
     """The boosted hazard over person-interval rows (pid, features..., label), or None without both labels.
 
     A person's intervals stay on one side of the split.  Saved and loaded like the risk model, in a
-    folder of its own and therefore with its own digest.
+    folder of its own and therefore with its own digest.  The rows are made once and written: their
+    labels, their balance and the training table read what was written.
     """
+    rows = materialised(rows, "hazard-rows")
     kinds = rows.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
     if (kinds.low, kinds.high) != (0, 1):
         return None

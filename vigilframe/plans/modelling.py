@@ -165,7 +165,7 @@ def risk_scores(spark, folder):
     """Boosted trees (all 180 of them) and isotonic calibration, end to end."""
     table = training_table(spark, folder)
     names = features.feature_names(CFG)
-    rows = table.select("pid", *names, "label")
+    rows = materialised(table.select("pid", *names, "label"), "risk-rows")
     model, _ = models.fit(rows, names, "boosted-1")
     return models.score(model, rows).select("pid", "risk_score", "risk_status", "model_version")
 
